@@ -133,3 +133,85 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
         out = step.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     return out
+
+
+def blocked(rows: DataFrame, bucket: list[str], member: str, block: int) -> DataFrame:
+    """Deal the rows of each bucket with two or more rows to block pairs (bi <= bj), so that every two rows of a
+    bucket meet in exactly one: inside a block where bi = bj, else across the two ``side``s.
+
+    Groups hold 2 * ``block`` rows or so, however many rows a bucket has.
+    """
+    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    dealt = rows.join(sizes, bucket).withColumn("__b", F.ceil(F.col("__n") / block).cast("int"))
+    dealt = dealt.withColumn("__own", F.pmod(F.xxhash64(member), F.col("__b")).cast("int"))
+    dealt = dealt.withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
+    return dealt.withColumns(
+        {
+            "bi": F.least("__own", "__with"),
+            "bj": F.greatest("__own", "__with"),
+            "side": F.when(F.col("__own") <= F.col("__with"), 0).otherwise(1),
+        }
+    ).drop("__n", "__b", "__own", "__with")
+
+
+def map_groups(df: DataFrame, keys: list[str], work, schema: str, order: list[str] = ()) -> DataFrame:
+    """``work(key, columns)`` over each group as numpy columns; yields lists of column arrays that fit ``schema``.
+
+    Rows are hash-partitioned and sorted by the keys, so a task holds one group and one Arrow batch at a time;
+    many small groups cost no pandas frame each.
+    """
+    import pandas as pd
+
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), bool)
+            for k in keys:
+                col = pdf[k].to_numpy()
+                same = col[1:] == col[:-1]
+                if col.dtype.kind == "f":
+                    same |= (col[1:] != col[1:]) & (col[:-1] != col[:-1])
+                elif col.dtype == object:
+                    same = np.array([x == y for x, y in zip(col[1:], col[:-1])], bool)
+                new[1:] |= ~same
+            cuts = [0, *np.flatnonzero(new).tolist()]
+            yield from done(pdf.iloc[: cuts[-1]], cuts)
+            rest = pdf.iloc[cuts[-1] :]
+        if rest is not None:
+            yield from done(rest, [0, len(rest)])
+
+    def done(pdf, cuts):
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part = {c: v[a:b] for c, v in cols.items()}
+            out += list(work(tuple(part[k][0] for k in keys), part))
+            if sum(len(x[0]) for x in out) > 50_000:
+                yield pd.DataFrame({n: np.concatenate([x[i] for x in out]) for i, n in enumerate(names)})
+                out = []
+        if out:
+            yield pd.DataFrame({n: np.concatenate([x[i] for x in out]) for i, n in enumerate(names)})
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def block_roots(linked: np.ndarray) -> np.ndarray:
+    """Of a symmetric boolean matrix, the smallest index of each row's component."""
+    n = len(linked)
+    root = np.full(n, -1)
+    for i in range(n):
+        if root[i] < 0:
+            member = np.zeros(n, bool)
+            member[i] = True
+            new = member
+            while new.any():
+                new = linked[new].any(axis=0) & ~member
+                member = member | new
+            root[member] = i
+    return root
