@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup, exact_dedup, mixing, warc
+from . import chat, embedding_dedup, exact_dedup, mixing, near_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(_table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = chat.format_conversations(chat.with_forged(_table(spark, sf_dir, "conversations")))
     return done.drop("formatted", "loss_spans")
@@ -33,7 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_chat_format, op7_embedding_dedup, op8_warc, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_near_dedup, op5_chat_format, op7_embedding_dedup, op8_warc, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
