@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup, exact_dedup, mixing, near_dedup, warc
+from . import chat, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents")).drop("row")
 
@@ -24,6 +28,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("formatted", "loss_spans")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
@@ -37,7 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_near_dedup, op5_chat_format, op7_embedding_dedup, op8_warc, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_toxicity, op4_near_dedup, op5_chat_format, op6_language_id, op7_embedding_dedup, op8_warc, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
