@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, toxicity, warc
+from . import chat, embedding_dedup, exact_dedup, language_id, license_scan, mixing, near_dedup, sentencepiece_nbest, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(_table(spark, sf_dir, "documents"))
 
@@ -40,14 +44,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sentencepiece_nbest.encode_documents(_table(spark, sf_dir, "documents"), with_ids=False)
+    return done.select("doc_id", "n_pieces", "ids_sha256", "scores", "round_trip")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_toxicity, op4_near_dedup, op5_chat_format, op6_language_id, op7_embedding_dedup, op8_warc, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_toxicity, op4_near_dedup, op5_chat_format, op6_language_id, op7_embedding_dedup, op8_warc, op9_sentencepiece, op10_exact_dedup)}
 
 ORACLES = {
+    "op1_license_scan": license_scan.oracle(),
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
