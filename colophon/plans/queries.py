@@ -1,4 +1,681 @@
-"""Catalogue queries over the test tables."""
+"""Queries over the test tables: what the library computes, and the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import entities, json_repair, pricing, quality, terms, text
+from ..operators import chunking, clustering, lookup, usage
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- text -------------------------------------------------------------------------------------------------------
+
+_NOISE_SQL = "replace(replace(replace(text, ' ', chr(9) || ' '), '.', '.' || chr(160)), chr(10), repeat(chr(10), 4))"
+
+
+@query(rf"""
+    SELECT doc_id, regexp_replace(regexp_replace(replace({_NOISE_SQL}, chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS clean
+    FROM documents""")
+def ocr_clean(spark, sf_dir):
+    noisy = F.replace(F.replace(F.replace("text", F.lit(" "), F.lit("\t ")), F.lit("."), F.lit(". ")), F.lit("\n"), F.lit("\n\n\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_ocr(noisy).alias("clean"))
+
+
+_KEY_SQL = r"trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[^a-z\s]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_KEY_SQL.format('text')} AS key FROM documents")
+def normalize_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.comparison_key("text").alias("key"))
+
+
+@query(f"SELECT doc_id, {_KEY_SQL.format('text')} AS key FROM documents")
+def normalize_key_native(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.latin_key(F.col("text")).alias("key"))
+
+
+@query(f"""
+    SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY {_KEY_SQL.format('text')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
+def dedupe_norm_key(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("key", text.comparison_key("text"))
+    return docs.groupBy("key").agg(F.min(F.struct("doc_id", "lang")).alias("first")).select("first.doc_id", "first.lang")
+
+
+@query(r"""
+    SELECT doc_id, count(*) AS n, string_agg(part, '|' ORDER BY pos) AS parts FROM (
+      SELECT doc_id, trim(unnest(p)) AS part, generate_subscripts(p, 1) AS pos
+      FROM (SELECT doc_id, string_split_regex(string_split(text, chr(10))[1], '[,;]') AS p FROM documents))
+    WHERE part <> '' GROUP BY doc_id""")
+def subject_split(spark, sf_dir):
+    parts = text.split_list(F.get(F.split("text", "\n"), F.lit(0)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("p")).where(F.size("p") > 0)
+    return rows.select("doc_id", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("parts"))
+
+
+@query("""
+    SELECT doc_id, regexp_replace(trim(regexp_replace(lower(left(text, 60)), '\\s+', ' ', 'g')), '[.,;:!?]$', '') AS label FROM documents""")
+def matching_label(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.matching_label(F.left("text", F.lit(60))).alias("label"))
+
+
+@query("SELECT doc_id, length(text) > 2500 AS chunked, CAST(floor(length(text) / 4) AS BIGINT) + 100 + 4800 AS tokens FROM documents")
+def needs_chunking(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.needs_chunking(t, 2500).alias("chunked"), text.estimated_tokens(t, completion_limit=8000).alias("tokens"))
+
+
+@query("""
+    SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE left(text, 482) || chr(10) || '[...truncated...]' END AS title,
+           CASE WHEN length(text) <= 4000 THEN text ELSE left(text, 3982) || chr(10) || '[...truncated...]' END AS abstract FROM documents""")
+def truncate_prompt(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(t, 500).alias("title"), text.truncate(t, 4000).alias("abstract"))
+
+
+@query("""
+    SELECT doc_id, 'Cost: $5 for ' || source || chr(10) || left(text, 200) || chr(10) || 'Language ' || lang || '.' AS prompt FROM documents""")
+def prompt_render(spark, sf_dir):
+    prompt = text.fill_template("Cost: $$5 for $source\n${body}\nLanguage $lang.", source=F.col("source"), body=F.left("text", F.lit(200)), lang=F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"))
+
+
+@query(r"""
+    SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading,
+           len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages""")
+def page_text(spark, sf_dir):
+    h = "html"
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, "<h1>([^<]*)</h1>", 1).alias("heading"), F.regexp_count(h, F.lit("<p[ >]")).cast("long").alias("paragraphs"))
+
+
+# --- entities ---------------------------------------------------------------------------------------------------
+
+_CAP = "upper(left(p_name, 1)) || substr(p_name, 2)"
+_MENTIONS_SQL = f"""
+    (SELECT p_partkey AS mention, p_brand AS source, CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' university'
+        WHEN 2 THEN 'the ' || p_name || ' study' WHEN 3 THEN p_name || ' Co.x' WHEN 4 THEN 'J. K. ' || {_CAP}
+        WHEN 5 THEN {_CAP} || ' Brand' WHEN 6 THEN 'the ' || p_name || ' county' ELSE p_name || ' (' || p_type || ')' END AS entity FROM part)"""
+
+
+def mentions(spark, sf_dir) -> DataFrame:
+    name = F.col("p_name")
+    cap = F.concat(F.upper(F.left(name, F.lit(1))), F.substring(name, 2, 1 << 20))
+    kind = F.col("p_partkey") % 8
+    forms = [name, F.concat(name, F.lit(" university")), F.concat(F.lit("the "), name, F.lit(" study")), F.concat(name, F.lit(" Co.x")), F.concat(F.lit("J. K. "), cap), F.concat(cap, F.lit(" Brand")), F.concat(F.lit("the "), name, F.lit(" county")), F.concat(name, F.lit(" ("), F.col("p_type"), F.lit(")"))]
+    entity = forms[7]
+    for k, form in enumerate(forms[:7]):
+        entity = F.when(kind == k, form).otherwise(entity)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mention"), F.col("p_brand").alias("source"), entity.alias("entity"))
+
+
+def _any_sql(column: str, parts: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts) + ")"
+
+
+_TYPE_SQL = f"""CASE WHEN {_any_sql('lower(entity)', entities.INSTITUTION)} THEN 'institution'
+    WHEN {_any_sql('lower(entity)', entities.ORGANIZATION)} THEN 'organization' WHEN {_any_sql('lower(entity)', entities.PROJECT)} THEN 'project'
+    WHEN regexp_matches(entity, '{entities.INITIALS}') OR regexp_matches(entity, '{entities.MIDDLE_INITIAL}')
+      OR regexp_matches(entity, '^\\s*[A-Z]\\S*\\s+[A-Z]') THEN 'person'
+    WHEN {_any_sql('lower(entity)', entities.LOCATION)} THEN 'location' ELSE 'unknown' END"""
+
+
+@query(f"""
+    SELECT mention, CASE WHEN regexp_matches(entity, '{entities.TYPED}') THEN regexp_extract(entity, '{entities.TYPED}', 1) ELSE entity END AS name,
+           CASE WHEN regexp_matches(entity, '{entities.TYPED}') THEN lower(regexp_extract(entity, '{entities.TYPED}', 2)) ELSE {_TYPE_SQL} END AS type
+    FROM {_MENTIONS_SQL}""")
+def typed_entity_parse(spark, sf_dir):
+    return mentions(spark, sf_dir).select("mention", entities.parsed(F.col("entity")).alias("p")).select("mention", "p.name", "p.type")
+
+
+@query(f"SELECT type, count(*) AS n FROM (SELECT {_TYPE_SQL} AS type FROM {_MENTIONS_SQL}) GROUP BY type")
+def classify_entity(spark, sf_dir):
+    return mentions(spark, sf_dir).groupBy(entities.guessed_type(F.col("entity")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""
+    SELECT mention, regexp_replace(regexp_replace(replace(regexp_replace(trim(entity), '\s+', ' ', 'g'), '&', 'and'), '\bCo\.\b', 'Company', 'gi'), '\bInc\.\b', 'Incorporated', 'gi') AS name
+    FROM (SELECT mention, entity || ' & sons  Inc.y' AS entity FROM {_MENTIONS_SQL})""")
+def normalize_entity(spark, sf_dir):
+    rows = mentions(spark, sf_dir)
+    return rows.select("mention", entities.normalised_name(F.concat("entity", F.lit(" & sons  Inc.y"))).alias("name"))
+
+
+_LCS_SQL = """list_reduce(string_split({a}, ''), lambda prev, ca: list_reduce(range(1, length({b}) + 1),
+      lambda cur, j: list_append(cur, CASE WHEN substr({b}, j, 1) = ca THEN prev[j] + 1 ELSE greatest(cur[j], prev[j + 1]) END),
+      [0::BIGINT]), list_transform(range(0, length({b}) + 1), lambda x: 0::BIGINT))[-1]"""
+
+
+def part_names(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.struct(F.col("p_partkey").alias("item_index"), F.lit(0).alias("pos")).alias("seq"))
+    return clustering.distinct_names(rows)
+
+
+@query(f"""
+    WITH u AS (SELECT p_name AS n, min(p_partkey) AS pos FROM part GROUP BY 1)
+    SELECT a.n AS a, b.n AS b, round(200.0 * {_LCS_SQL.format(a='a.n', b='b.n')} / (length(a.n) + length(b.n)), 6) AS ratio
+    FROM u a JOIN u b ON a.pos < b.pos WHERE 200.0 * {_LCS_SQL.format(a='a.n', b='b.n')} / (length(a.n) + length(b.n)) >= 85""")
+def lcs_pairs(spark, sf_dir):
+    return clustering.similar_pairs(part_names(spark, sf_dir), 85).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+def _cluster_sql(threshold: int, tail: str) -> str:
+    return f"""
+    WITH RECURSIVE u AS (SELECT p_name AS n, min(p_partkey) AS pos, count(*) AS cnt FROM part GROUP BY 1),
+    o AS (SELECT n, cnt, row_number() OVER (ORDER BY pos) AS i FROM u),
+    adj AS MATERIALIZED (SELECT a.i AS i, b.i AS j FROM o a JOIN o b ON a.i < b.i
+      WHERE 200.0 * {_LCS_SQL.format(a='a.n', b='b.n')} / (length(a.n) + length(b.n)) >= {threshold}),
+    st(k, leaders, asg) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+      SELECT k + 1, CASE WHEN l IS NULL THEN list_append(leaders, k + 1) ELSE leaders END, list_append(asg, coalesce(l, k + 1))
+      FROM (SELECT k, leaders, asg, (SELECT min(a.i) FROM adj a WHERE a.j = k + 1 AND list_contains(leaders, a.i)) AS l
+            FROM st WHERE k < (SELECT count(*) FROM o))),
+    fin AS (SELECT asg FROM st ORDER BY k DESC LIMIT 1),
+    m AS (SELECT o.*, (SELECT asg[o.i] FROM fin) AS leader FROM o),
+    c AS (SELECT leader, arg_max(n, {{'c': cnt, 'l': length(n), 'p': -i}}) AS name, CAST(sum(cnt) AS BIGINT) AS frequency,
+                 count(*) AS n_variants, string_agg(n, '; ' ORDER BY n) AS variants FROM m GROUP BY leader)
+    {tail}"""
+
+
+def _clusters(spark, sf_dir, threshold):
+    found = clustering.clusters(part_names(spark, sf_dir), threshold)
+    return found.groupBy(F.col("canonical").alias("name")).agg(F.sum("mentions").alias("frequency"), F.count(F.lit(1)).alias("n_variants"), F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("variants"))
+
+
+@query(_cluster_sql(85, "SELECT name, frequency, n_variants, variants FROM c"))
+def entity_clusters(spark, sf_dir):
+    return _clusters(spark, sf_dir, 85)
+
+
+@query(_cluster_sql(70, "SELECT name, frequency, n_variants, variants FROM c"))
+def entity_clusters_70(spark, sf_dir):
+    return _clusters(spark, sf_dir, 70)
+
+
+def part_mentions(spark, sf_dir) -> DataFrame:
+    name = F.col("p_name")
+    seq = F.struct(F.col("p_partkey").alias("item_index"), F.lit(0).alias("pos"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "unknown").otherwise(F.lower("p_type"))
+    return table(spark, sf_dir, "part").select(F.upper(name).alias("original"), name.alias("name"), kind.alias("type"), F.col("p_brand").alias("source"), F.lower("p_type").alias("context"), seq.alias("seq"))
+
+
+_AUTHORITY_SQL = """,
+    a AS (SELECT c.name, c.frequency, c.n_variants, c.variants, count(DISTINCT p_brand) AS n_documents,
+            coalesce(arg_max(lower(p_type), p_partkey) FILTER (p_partkey % 3 <> 0), 'unknown') AS type,
+            string_agg(p_brand, '; ' ORDER BY p_partkey) AS sources, string_agg(DISTINCT upper(p_name), '; ' ORDER BY upper(p_name)) AS original_forms, min(p_partkey) AS pos
+          FROM c JOIN m USING (leader) JOIN part ON p_name = m.n GROUP BY ALL)
+    """
+
+
+@query(_cluster_sql(85, _AUTHORITY_SQL + "SELECT name, type, frequency, n_documents, variants, sources, original_forms FROM a"))
+def entity_authority(spark, sf_dir):
+    file = clustering.authority(part_mentions(spark, sf_dir), 85)
+    return file.select("name", "type", "frequency", "n_documents", *[F.array_join(c, "; ").alias(c) for c in ("variants", "sources", "original_forms")])
+
+
+@query(_cluster_sql(85, _AUTHORITY_SQL + """
+    SELECT 'type' AS kind, type AS value, count(*) AS entities, CAST(sum(frequency) AS BIGINT) AS mentions,
+           string_agg(name, '; ' ORDER BY pos, name) FILTER (r <= 3) AS examples
+      FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY pos, name) AS r FROM a) GROUP BY type
+    UNION ALL SELECT 'frequency', CASE WHEN frequency = 1 THEN '1' WHEN frequency <= 3 THEN '2-3' WHEN frequency <= 10 THEN '4-10' ELSE '>10' END, count(*), CAST(sum(frequency) AS BIGINT), '' FROM a GROUP BY 2
+    UNION ALL SELECT 'with_variants', '', count(*), CAST(coalesce(sum(n_variants - 1), 0) AS BIGINT), '' FROM a WHERE n_variants > 1"""))
+def entity_stats(spark, sf_dir):
+    return clustering.statistics(clustering.authority(part_mentions(spark, sf_dir), 85))
+
+
+# --- failed records ---------------------------------------------------------------------------------------------
+
+@query(r"""
+    SELECT d.doc_id, coalesce(m.top, 0) AS top, round(coalesce(m.top, 0) / length(text), 9) AS share FROM documents d LEFT JOIN (
+      SELECT doc_id, max(n) AS top FROM (SELECT doc_id, c, count(*) AS n FROM (
+        SELECT doc_id, unnest(string_split(regexp_replace(text, '[ \n\t\r]', '', 'g'), '')) AS c FROM documents) WHERE c <> '' GROUP BY 1, 2) GROUP BY 1) m
+    USING (doc_id)""")
+def char_dominance(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", quality.top_character(t).cast("long").alias("top"), F.round(quality.dominance(t), 9).alias("share"))
+
+
+@query(r"""
+    WITH w AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (
+                 SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS p FROM documents)),
+    g AS (SELECT doc_id, w, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS island FROM w)
+    SELECT doc_id, max(n) AS run FROM (SELECT doc_id, w, island, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id""")
+def word_run(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quality.longest_word_run(F.col("text")).cast("long").alias("run"))
+
+
+_RESPONSES_SQL = """
+    (SELECT d.doc_id, CASE d.doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'Error: ' || text WHEN 2 THEN text ELSE '{"t": "' || text || '"}' END AS raw,
+            l.doc_id IS NOT NULL AS complete, d.doc_id % 50 <> 7 AS there
+     FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)"""
+
+
+def responses(spark, sf_dir) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("l")).distinct()
+    kind = F.col("doc_id") % 8
+    raw = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("Error: "), "text")).when(kind == 2, F.col("text")).otherwise(F.concat(F.lit('{"t": "'), "text", F.lit('"}')))
+    return docs.join(labels, "doc_id", "left").select("doc_id", raw.alias("raw"), F.col("l").isNotNull().alias("complete"), (F.col("doc_id") % 50 != 7).alias("there"))
+
+
+_INDICATOR_SQL = " OR ".join(f"contains(raw, '{x}')" for x in quality.INDICATORS)
+_REASON_SQL = rf"""
+    WITH r AS (SELECT * FROM {_RESPONSES_SQL}),
+    t AS (SELECT doc_id, max(n) AS top FROM (SELECT doc_id, c, count(*) AS n FROM (
+            SELECT doc_id, unnest(string_split(regexp_replace(raw, '[ \n\t\r]', '', 'g'), '')) AS c FROM r WHERE length(raw) > 1000) GROUP BY 1, 2) GROUP BY 1),
+    w AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (
+            SELECT doc_id, list_filter(string_split_regex(raw, '\s+'), lambda x: x <> '') AS p FROM r)),
+    g AS (SELECT doc_id, w, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS island FROM w),
+    m AS (SELECT doc_id, max(n) AS run FROM (SELECT doc_id, w, island, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id),
+    j AS (SELECT r.*, coalesce(top, 0) AS top, coalesce(run, 0) AS run, length(raw) AS n, length(trim(raw, ' ' || chr(10) || chr(9) || chr(13))) AS bare,
+            length(raw) - length(replace(raw, '{{', '')) AS opened, length(raw) - length(replace(raw, '}}', '')) AS closed
+          FROM r LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)),
+    f AS (SELECT doc_id, CASE WHEN NOT there THEN '{quality.NO_ANALYSIS}' WHEN {_INDICATOR_SQL} THEN '{quality.EXPLICIT}' WHEN bare = 0 THEN '{quality.EMPTY}'
+            WHEN bare >= 10 AND ((opened = 0 AND closed = 0) OR abs(opened - closed) > 12 OR (n < 50 AND regexp_matches(raw, '^\s*(Error:|Failed:|Exception:)'))
+              OR (n > 1000 AND top / n >= 0.8)) THEN '{quality.BROKEN}'
+            WHEN bare >= 30 AND ((n > 2500 AND (top > 2500 OR top / n > 0.8)) OR run >= 500) THEN '{quality.REPETITION}'
+            WHEN NOT complete THEN '{quality.MISSING}' END AS failure_reason FROM j)
+    """
+
+
+@query(_REASON_SQL + "SELECT doc_id, failure_reason FROM f")
+def failure_reasons(spark, sf_dir):
+    rows = responses(spark, sf_dir)
+    return rows.select("doc_id", quality.failure_reason(F.col("there"), F.col("raw"), F.col("complete")).alias("failure_reason"))
+
+
+@query(_REASON_SQL + "SELECT failure_reason, count(*) AS items, min(doc_id) AS first FROM f WHERE failure_reason IS NOT NULL GROUP BY 1")
+def failure_histogram(spark, sf_dir):
+    return failure_reasons(spark, sf_dir).where("failure_reason IS NOT NULL").groupBy("failure_reason").agg(F.count(F.lit(1)).alias("items"), F.min("doc_id").alias("first"))
+
+
+@query("SELECT doc_id, coalesce(upper(source) = 'SRC1', true) AS batch FROM documents")
+def batch_marker(spark, sf_dir):
+    mode = F.when(F.upper("source") == "SRC1", "batch").otherwise("individual")
+    return table(spark, sf_dir, "documents").select("doc_id", quality.batch_run(mode).alias("batch"))
+
+
+# --- model output -----------------------------------------------------------------------------------------------
+
+@query("""
+    SELECT event_id, json_keys(props)[1] AS first_key, CASE WHEN event_id % 4 = 3 THEN NULL ELSE json_extract_string(props, '$.' || json_keys(props)[1]) END AS first_value,
+           event_id % 4 <> 3 AS readable FROM (SELECT event_id, CAST(props AS JSON) AS props FROM events)""")
+def json_repair_props(spark, sf_dir):
+    props, kind = F.col("props"), F.col("event_id") % 4
+    commas = F.regexp_replace(props, r"\}\s*$", ", }")
+    raw = F.when(kind == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Here it is: "), commas, F.lit(" as asked."))).when(kind == 2, props).otherwise(F.left(props, F.length(props) - 1))
+    first = F.get(F.json_object_keys(props), F.lit(0))
+    rows = table(spark, sf_dir, "events").select("event_id", first.alias("first_key"), json_repair.repaired(raw).alias("m"))
+    return rows.select("event_id", "first_key", F.try_element_at("m", F.col("first_key")).alias("first_value"), F.col("m").isNotNull().alias("readable"))
+
+
+@query("""
+    SELECT doc_id, list_aggregate(list_filter([
+        CASE WHEN NOT coalesce(role IN ('system', 'user', 'assistant'), false) THEN 'invalid role' END,
+        CASE WHEN trim(coalesce(content, '')) = '' THEN 'empty content' END,
+        CASE WHEN limit_ <= 0 THEN 'max_tokens must be positive' END,
+        CASE WHEN temperature NOT BETWEEN 0 AND 2 THEN 'temperature must be within 0 and 2' END], lambda x: x IS NOT NULL), 'string_agg', '; ') AS errors
+    FROM (SELECT conv_id * 100 + turn AS doc_id, CASE WHEN turn % 7 = 6 THEN 'tool' ELSE role END AS role, CASE WHEN turn % 5 = 4 THEN '  ' ELSE text END AS content,
+                 CAST(turn AS BIGINT) % 3 - 1 + 1 AS limit_, CAST(turn AS DOUBLE) / 2 AS temperature FROM conversations)""")
+def request_validate(spark, sf_dir):
+    turn = F.col("turn")
+    role = F.when(turn % 7 == 6, "tool").otherwise(F.col("role"))
+    content = F.when(turn % 5 == 4, "  ").otherwise(F.col("text"))
+    errors = json_repair.request_errors(F.lit("m"), F.array(F.struct(role.alias("role"), content.alias("content"))), turn % 3, turn / 2)
+    joined = F.array_join(errors, "; ")
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + turn).alias("doc_id"), F.when(joined != "", joined).alias("errors"))
+
+
+@query("""
+    SELECT doc_id, text <> '' AND lower(trim(text)) <> 'none' AS warned,
+           CASE WHEN trim(text) = '' OR lower(trim(text)) = 'none' THEN 'None' ELSE regexp_replace(upper(left(trim(text), 1)) || substr(trim(text), 2), '\\.+$', '') || '.' END AS content_warning
+    FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' NONE ' WHEN 2 THEN lower(source) || '...' ELSE ' ' || lang || ' words ' END AS text FROM documents)""")
+def content_warnings(spark, sf_dir):
+    kind = F.col("doc_id") % 5
+    said = F.when(kind == 0, "").when(kind == 1, " NONE ").when(kind == 2, F.concat(F.lower("source"), F.lit("..."))).otherwise(F.concat(F.lit(" "), "lang", F.lit(" words ")))
+    warning = json_repair.content_warning(said)
+    return table(spark, sf_dir, "documents").select("doc_id", (warning != "None").alias("warned"), warning.alias("content_warning"))
+
+
+# --- chunks -----------------------------------------------------------------------------------------------------
+
+SMALL = chunking.Chunking(front=200, size=500, overlap=50)
+
+_CUT_SQL = r"""CASE WHEN {e} >= length({t}) THEN length({t}) ELSE {e} - CASE WHEN len(p({t}, {s}, {e})) > 1 THEN length(p({t}, {s}, {e})[-1]) ELSE 0 END END"""
+_PIECES = r"string_split(regexp_replace(substr({t}, {s} + ({e} - {s}) // 2 + 1, {e} - ({s} + ({e} - {s}) // 2)), '([.!?][\"'')\]]*\s|\n\n)', '\1' || chr(1), 'g'), chr(1))"
+
+
+def _cut_sql(t: str, s: str, e: str) -> str:
+    pieces = _PIECES.format(t=t, s=s, e=e)
+    return f"(CASE WHEN {e} >= length({t}) THEN length({t}) WHEN len({pieces}) > 1 THEN {e} - length(({pieces})[-1]) ELSE {e} END)"
+
+
+_BOUNDS_SQL = f"""
+    WITH RECURSIVE f AS (SELECT doc_id, text, {_cut_sql('text', '0', 'least(200, length(text))')} AS fe FROM documents),
+    b AS MATERIALIZED (SELECT doc_id, fe, substr(text, fe + 1) AS body FROM f WHERE length(text) > fe),
+    c(doc_id, idx, st, en) AS (
+      SELECT doc_id, 0, 0, {_cut_sql('body', '0', '500')} FROM b
+      UNION ALL
+      SELECT doc_id, idx + 1, s, {_cut_sql('body', 's', '(s + 500)')}
+      FROM (SELECT c.doc_id, c.idx, greatest(en - 50, st + 1) AS s, b.body FROM c JOIN b ON b.doc_id = c.doc_id WHERE en < length(b.body)))
+    """
+
+
+@query(_BOUNDS_SQL + "SELECT c.doc_id, b.fe AS front_end, idx AS chunk_index, st AS start_pos, en AS end_pos FROM c JOIN b ON b.doc_id = c.doc_id")
+def chunk_bounds(spark, sf_dir):
+    return chunking.chunk_bounds(table(spark, sf_dir, "documents"), SMALL)
+
+
+@query(_BOUNDS_SQL + f""",
+    w AS (SELECT c.doc_id, idx, unnest(p) AS word, generate_subscripts(p, 1) AS pos FROM (
+            SELECT c.doc_id, idx, list_filter(string_split_regex(substr(body, st + 1, en - st), '[,;]'), lambda x: trim(x) <> '') AS p FROM c JOIN b ON b.doc_id = c.doc_id) c),
+    r AS (SELECT doc_id, idx, pos, trim(word) AS word, row_number() OVER (PARTITION BY doc_id, {_KEY_SQL.format('trim(word)')} ORDER BY idx, pos) AS r FROM w)
+    SELECT doc_id, count(*) AS n, md5(string_agg(word, '|' ORDER BY idx, pos)) AS digest FROM r WHERE r = 1 GROUP BY doc_id""")
+def chunk_merge(spark, sf_dir):
+    pieces = chunking.chunks(table(spark, sf_dir, "documents"), SMALL).where("chunk_index >= 0")
+    results = pieces.select("doc_id", "chunk_index", F.filter(F.transform(F.split("text", "[,;]"), lambda x: F.trim(x)), lambda x: x != "").alias("subjects"))
+    merged = chunking.merged_lists(results, "subjects")
+    return merged.select("doc_id", F.size("subjects").cast("long").alias("n"), F.md5(F.array_join("subjects", "|").cast("binary")).alias("digest"))
+
+
+# --- requests and usage -----------------------------------------------------------------------------------------
+
+@query("""
+    SELECT o_orderkey AS custom_id, CASE WHEN l.k IS NULL THEN 'no result for this request' END AS error, coalesce(l.n, 0) AS lines, round(coalesce(l.q, 0), 2) AS quantity
+    FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) l ON l.k = o_orderkey""")
+def batch_join(spark, sf_dir):
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("custom_id"))
+    answers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("custom_id")).agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity")).withColumn("error", F.lit(None).cast("string"))
+    joined = usage.with_outcomes(requests, answers)
+    return joined.select("custom_id", "error", F.coalesce("lines", F.lit(0)).alias("lines"), F.round(F.coalesce("quantity", F.lit(0.0)), 2).alias("quantity"))
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def batch_dupes(spark, sf_dir):
+    return usage.duplicate_ids(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+_USAGE_SQL = """
+    (SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4o-mini' WHEN 2 THEN 'gpt-4.1' WHEN 3 THEN 'gpt-4.1-mini' ELSE 'other' END AS model,
+            CAST(sum(CASE WHEN role <> 'assistant' THEN length(text) // 4 ELSE 0 END) AS BIGINT) AS prompt,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) // 4 ELSE 0 END) AS BIGINT) AS completion,
+            CAST(sum(CASE WHEN role = 'system' THEN length(text) // 2 ELSE 0 END) AS BIGINT) AS cached,
+            conv_id % 2 = 0 AS batch, CASE WHEN conv_id % 9 = 0 THEN 'failed' END AS error, CAST(count(*) AS DOUBLE) AS seconds
+     FROM conversations GROUP BY conv_id)"""
+
+
+def calls(spark, sf_dir) -> DataFrame:
+    n = F.floor(F.length("text") / 4)
+    conv = F.col("conv_id") % 5
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.sum(F.when(F.col("role") != "assistant", n).otherwise(0)).alias("prompt"),
+        F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).alias("completion"),
+        F.sum(F.when(F.col("role") == "system", F.floor(F.length("text") / 2)).otherwise(0)).alias("cached"),
+        F.count(F.lit(1)).cast("double").alias("seconds"),
+    )
+    model = F.when(conv == 0, "gpt-4o").when(conv == 1, "gpt-4o-mini").when(conv == 2, "gpt-4.1").when(conv == 3, "gpt-4.1-mini").otherwise("other")
+    return rows.select("conv_id", model.alias("model"), "prompt", "completion", "cached", (F.col("conv_id") % 2 == 0).alias("batch"), F.when(F.col("conv_id") % 9 == 0, "failed").alias("error"), "seconds")
+
+
+@query(f"""
+    SELECT count(*) AS documents, count(*) FILTER (error IS NULL) AS succeeded, count(error) AS failed, CAST(sum(prompt) AS BIGINT) AS prompt, CAST(sum(completion) AS BIGINT) AS completion,
+           CAST(sum(cached) AS BIGINT) AS cached, CAST(sum(prompt) + sum(completion) AS BIGINT) AS total_tokens FROM {_USAGE_SQL}""")
+def usage_summary(spark, sf_dir):
+    return usage.run_summary(calls(spark, sf_dir))
+
+
+_PRICES_SQL = ", ".join(f"('{m}', {a}, {b}, {c})" for m, (a, b, c) in pricing.PRICES.items())
+_COST_SQL = f"""
+    WITH p(model, i, o, c) AS (VALUES {_PRICES_SQL}),
+    u AS (SELECT u.*, CAST(i AS DOUBLE) AS i, CAST(o AS DOUBLE) AS o, CAST(c AS DOUBLE) AS c FROM {_USAGE_SQL} u LEFT JOIN p ON p.model = CASE WHEN u.model = 'other' THEN 'gpt-4o' ELSE u.model END),
+    x AS (SELECT *, ((prompt - least(cached, prompt)) / 1000 * i + completion / 1000 * o + least(cached, prompt) / 1000 * c) * CASE WHEN batch THEN 0.5 ELSE 1 END AS cost FROM u)
+    """
+
+
+@query(_COST_SQL + "SELECT model, count(*) AS calls, round(sum(cost), 6) AS cost FROM x GROUP BY model")
+def cost_by_model(spark, sf_dir):
+    priced = pricing.with_cost(calls(spark, sf_dir), pricing.price_table(spark), fallback="gpt-4o")
+    return priced.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+@query(_COST_SQL + """
+    SELECT model, count(*) AS calls, count(*) FILTER (error IS NULL) AS succeeded, round(sum(seconds) / count(*), 6) AS avg_seconds,
+           round(sum(cost) / count(*) FILTER (error IS NULL), 6) AS cost_per_success, round(sum(prompt + completion) / sum(seconds), 4) AS tokens_per_second FROM x GROUP BY model""")
+def efficiency(spark, sf_dir):
+    priced = pricing.with_cost(calls(spark, sf_dir), pricing.price_table(spark), fallback="gpt-4o")
+    rows = usage.efficiency(priced)
+    return rows.select("model", "calls", "succeeded", F.round("avg_seconds", 6).alias("avg_seconds"), F.round("cost_per_success", 6).alias("cost_per_success"), F.round("tokens_per_second", 4).alias("tokens_per_second"))
+
+
+_CALLS_SQL = """
+    (SELECT event_type AS source, user_id AS subject, CASE WHEN event_id % 10 = 0 THEN 'cache' ELSE 'request' END AS kind, event_id % 7 <> 0 AS success, value AS seconds, CAST(event_id % 4 AS BIGINT) AS terms FROM events)"""
+
+
+def api_calls(spark, sf_dir) -> DataFrame:
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("subject"), F.when(i % 10 == 0, "cache").otherwise("request").alias("kind"), (i % 7 != 0).alias("success"), F.col("value").alias("seconds"), (i % 4).alias("terms"))
+
+
+@query(f"""
+    SELECT source, count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'request' AND success) AS succeeded, count(*) FILTER (kind = 'request' AND NOT success) AS failed,
+           count(*) FILTER (kind = 'cache') AS cache_hits, round(sum(seconds) FILTER (kind = 'request'), 4) AS seconds, CAST(sum(terms) AS BIGINT) AS terms,
+           round(count(*) FILTER (kind = 'request' AND success) / count(*) FILTER (kind = 'request'), 9) AS success_rate FROM {_CALLS_SQL} GROUP BY ROLLUP (source)""")
+def api_breakdown(spark, sf_dir):
+    rows = usage.api_breakdown(api_calls(spark, sf_dir))
+    return rows.withColumn("seconds", F.round("seconds", 4)).withColumn("success_rate", F.round("success_rate", 9)).drop("avg_seconds")
+
+
+@query(f"""
+    SELECT subject, CAST(sum(t) AS BIGINT) AS total_terms, string_agg(source || '=' || t, '; ' ORDER BY source || '=' || t) AS by_source, round(sum(s), 4) AS seconds
+    FROM (SELECT subject, source, CAST(sum(terms) AS BIGINT) AS t, sum(seconds) AS s FROM {_CALLS_SQL} GROUP BY 1, 2) GROUP BY 1""")
+def subject_results(spark, sf_dir):
+    return usage.subject_results(api_calls(spark, sf_dir)).withColumn("seconds", F.round("seconds", 4))
+
+
+# --- vocabularies -----------------------------------------------------------------------------------------------
+
+_VOCABULARY_SQL = """
+    v AS MATERIALIZED (SELECT DISTINCT 'LCSH' AS source, p_name AS label, 'l/' || p_name AS uri FROM part UNION SELECT DISTINCT 'FAST', p_type || ' ' || p_name, 'f/' || p_name FROM part
+      UNION SELECT DISTINCT 'Getty AAT', p_brand || ' ' || split_part(p_name, ' ', 1), 'a/' || p_brand FROM part
+      UNION SELECT DISTINCT 'Getty TGN', n_name || ' ' || split_part(p_name, ' ', 2), 't/' || n_name FROM nation, (SELECT DISTINCT p_name FROM part))"""
+
+
+def vocabulary(spark, sf_dir) -> DataFrame:
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    name = F.col("p_name")
+
+    def rows(df, source, label, uri):
+        return df.select(F.lit(source).alias("source"), label.alias("label"), uri.alias("uri"))
+
+    out = rows(part, "LCSH", name, F.concat(F.lit("l/"), name))
+    out = out.union(rows(part, "FAST", F.concat_ws(" ", "p_type", "p_name"), F.concat(F.lit("f/"), name)))
+    out = out.union(rows(part, "Getty AAT", F.concat_ws(" ", F.col("p_brand"), first), F.concat(F.lit("a/"), "p_brand")))
+    seconds = part.select(second.alias("second")).distinct()
+    # nations are a fixed table of 25 rows
+    places = seconds.crossJoin(F.broadcast(nation.select("n_name").limit(25)))
+    out = out.union(rows(places, "Getty TGN", F.concat_ws(" ", "n_name", "second"), F.concat(F.lit("t/"), "n_name")))
+    return out.distinct()
+
+
+def subjects(spark, sf_dir) -> DataFrame:
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w"))
+    return lookup.queries(words, "w")
+
+
+_HITS_SQL = f"""
+    WITH {_VOCABULARY_SQL},
+    q AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part),
+    h AS (SELECT query, source, label, uri, row_number() OVER (PARTITION BY query, source ORDER BY lower(label) <> lower(query), label, uri) AS hit_pos
+          FROM q JOIN v ON list_contains(string_split_regex(lower(label), '\\s+'), lower(query))),
+    g AS (SELECT *, CASE source WHEN 'LCSH' THEN 0 WHEN 'FAST' THEN 1 WHEN 'Getty AAT' THEN 2 ELSE 3 END AS client_pos,
+                 CASE WHEN source LIKE 'Getty%' THEN 'Getty' ELSE source END AS grp FROM h WHERE hit_pos <= 3),
+    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, grp ORDER BY client_pos, hit_pos, label, uri) AS taken FROM g) WHERE taken <= 3),
+    d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, uri ORDER BY client_pos, hit_pos, label) AS again FROM c) WHERE again = 1),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY client_pos, hit_pos, label, uri) AS term_pos FROM d)
+    """
+
+
+@query(_HITS_SQL + "SELECT query, source, label, uri, hit_pos, taken FROM c")
+def vocab_lookup(spark, sf_dir):
+    found = lookup.search(subjects(spark, sf_dir), vocabulary(spark, sf_dir))
+    return lookup.capped(found).select("query", "source", "label", "uri", "hit_pos", "taken")
+
+
+@query(_HITS_SQL + "SELECT query, term_pos, label, uri, source, grp FROM t")
+def vocab_dedupe(spark, sf_dir):
+    return lookup.look_up(subjects(spark, sf_dir), vocabulary(spark, sf_dir))
+
+
+@query("""
+    WITH a AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part), b AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM benchmark)
+    SELECT item_id, count(DISTINCT p_name) AS names, count(DISTINCT w) AS words FROM a JOIN b USING (w) GROUP BY 1""")
+def word_overlap_join(spark, sf_dir):
+    a = table(spark, sf_dir, "part").select("p_name", F.explode(text.words(F.lower("p_name"))).alias("w")).distinct()
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.words(F.lower("text"))).alias("w")).distinct()
+    return a.join(b, "w").groupBy("item_id").agg(F.countDistinct("p_name").alias("names"), F.countDistinct("w").alias("words"))
+
+
+_SET = "array_to_string(list_sort(list_distinct(string_split({}, ' '))), ' ')"
+_MATCH_SQL = f"""
+    WITH {_VOCABULARY_SQL},
+    pool AS (SELECT n_nationkey % 5 AS item_index, * FROM (SELECT *, row_number() OVER (ORDER BY source, label, uri) AS pool_pos FROM v), (SELECT DISTINCT n_nationkey FROM nation WHERE n_nationkey < 5)
+             WHERE pool_pos % 5 <> n_nationkey),
+    labels AS (SELECT DISTINCT k AS item_index, dense_rank() OVER (ORDER BY p_name) AS label_pos,
+                 CASE WHEN length(p_name) % 4 = 0 THEN 'no such ' || p_name ELSE split_part(p_name, ' ', 2) || ' ' || upper(split_part(p_name, ' ', 1)) END AS label FROM part, range(6) r(k)),
+    x AS (SELECT l.item_index, label_pos, l.label, p.label AS term_label, uri, source,
+            row_number() OVER (PARTITION BY l.item_index, label_pos ORDER BY CASE source WHEN 'Getty AAT' THEN 1 WHEN 'LCSH' THEN 2 WHEN 'FAST' THEN 3 WHEN 'Getty TGN' THEN 4 ELSE 999 END, pool_pos) AS r
+          FROM labels l JOIN pool p ON p.item_index = l.item_index AND {_SET.format(_KEY_SQL.format('l.label'))} = {_SET.format(_KEY_SQL.format('p.label'))}),
+    m AS (SELECT l.item_index, l.label_pos, l.label, term_label, uri, source FROM labels l LEFT JOIN (SELECT * FROM x WHERE r = 1) x USING (item_index, label_pos))
+    """
+
+
+def _pool(spark, sf_dir) -> DataFrame:
+    numbered = usage.numbered(vocabulary(spark, sf_dir), ["source", "label", "uri"], "pool_pos").withColumn("pool_pos", F.col("pool_pos") + 1)
+    rows = numbered.withColumn("item_index", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return rows.where(F.col("pool_pos") % 5 != F.col("item_index"))
+
+
+def _labels(spark, sf_dir) -> DataFrame:
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    names = usage.numbered(names, ["p_name"], "label_pos").withColumn("label_pos", F.col("label_pos") + 1)
+    part = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    label = F.when(F.length("p_name") % 4 == 0, F.concat(F.lit("no such "), "p_name")).otherwise(F.concat_ws(" ", part(2), F.upper(part(1))))
+    return names.select(F.explode(F.sequence(F.lit(0), F.lit(5))).alias("item_index"), "label_pos", label.alias("label"))
+
+
+def _matched(spark, sf_dir) -> DataFrame:
+    return lookup.match(_labels(spark, sf_dir), _pool(spark, sf_dir))
+
+
+@query(_MATCH_SQL + "SELECT item_index, label_pos, label, term_label, uri, source FROM m WHERE term_label IS NOT NULL")
+def label_match(spark, sf_dir):
+    return _matched(spark, sf_dir).where("term_label IS NOT NULL").select("item_index", "label_pos", "label", "term_label", "uri", "source")
+
+
+@query(_MATCH_SQL + "SELECT item_index, label_pos, label FROM m WHERE term_label IS NULL")
+def label_unmatched(spark, sf_dir):
+    return lookup.unmatched(_matched(spark, sf_dir))
+
+
+@query(_MATCH_SQL + """,
+    s AS (SELECT item_index, count(DISTINCT uri) AS n_selected, count(*) FILTER (term_label IS NULL) AS n_unmatched FROM m GROUP BY 1)
+    SELECT n_nationkey AS item_index, CASE WHEN n_nationkey >= 5 THEN 'skipped_no_candidates' WHEN n_nationkey = 3 THEN 'failed' WHEN coalesce(n_selected, 0) > 0 THEN 'selected' ELSE 'none_selected' END AS status,
+           coalesce(n_selected, 0) AS n_selected, coalesce(n_unmatched, 0) AS n_unmatched, n_nationkey = 3 OR coalesce(n_unmatched, 0) > 0 AS has_issue
+    FROM (SELECT DISTINCT n_nationkey FROM nation) LEFT JOIN s ON item_index = n_nationkey""")
+def selection_status(spark, sf_dir):
+    items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item_index")).distinct()
+    answers = items.select("item_index", F.when(F.col("item_index") == 3, "bad shape").alias("error"))
+    return lookup.status(items, _pool(spark, sf_dir), answers, _matched(spark, sf_dir))
+
+
+@query(_HITS_SQL + """
+    SELECT s.source, count(t.query) AS terms FROM (VALUES ('LCSH'), ('FAST'), ('Getty AAT'), ('Getty TGN'), ('Other')) s(source) LEFT JOIN t ON t.source = s.source GROUP BY 1""")
+def vocab_report(spark, sf_dir):
+    known = spark.createDataFrame([(s,) for s, _ in lookup.SOURCES] + [("Other",)], "source string")
+    return usage.source_counts(vocab_dedupe(spark, sf_dir), known)
+
+
+@query(_HITS_SQL + """
+    SELECT count(*) AS subjects, count(n) AS with_terms, count(*) - count(n) AS without_terms, round(100.0 * count(n) / count(*), 4) AS rate
+    FROM (SELECT query FROM q UNION SELECT 'zzz' || query FROM q) LEFT JOIN (SELECT query, count(*) AS n FROM t GROUP BY 1) USING (query)""")
+def vocab_coverage(spark, sf_dir):
+    asked = subjects(spark, sf_dir)
+    return usage.coverage(asked.union(asked.select(F.concat(F.lit("zzz"), "query"))), lookup.look_up(asked, vocabulary(spark, sf_dir)))
+
+
+@query(_HITS_SQL + """,
+    i AS (SELECT p_partkey AS item_index, unnest(string_split(p_name, ' ')) AS query, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part),
+    w AS (SELECT item_index, pos, term_pos, label || CASE WHEN uri <> '' THEN ' (' || uri || ')' ELSE '' END || ' [' || source || ']' AS x FROM i JOIN t USING (query)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY item_index, x ORDER BY pos, term_pos) AS r FROM w)
+    SELECT item_index, count(*) AS n_terms, string_agg(x, '; ' ORDER BY pos, term_pos) FILTER (r = 1) AS cell FROM f GROUP BY 1""")
+def writeback(spark, sf_dir):
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_index"), F.split("p_name", " ").alias("subjects"))
+    return lookup.write_back(items, vocab_dedupe(spark, sf_dir))
+
+
+@query("""
+    SELECT event_id, first_key, first_key IN ('k', 'a', 'page', 'x') AS hit FROM (SELECT event_id, json_keys(CAST(props AS JSON))[1] AS first_key FROM events)""")
+def cache_hits(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select("event_id", F.get(F.json_object_keys("props"), F.lit(0)).alias("query"), F.lit("FAST").alias("service"))
+    cache = spark.createDataFrame([("FAST", x, f"terms of {x}") for x in ("k", "a", "page", "x")], "service string, query string, terms string")
+    hits, misses = lookup.cached(asked, cache)
+    cols = ["event_id", F.col("query").alias("first_key")]
+    return hits.select(*cols, F.lit(True).alias("hit")).union(misses.select(*cols, F.lit(False).alias("hit")))
+
+
+@query("""
+    SELECT source, label, uri FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY CASE source WHEN 'Getty AAT' THEN 1 WHEN 'LCSH' THEN 2 WHEN 'FAST' THEN 3 WHEN 'Getty TGN' THEN 4 ELSE 999 END, label) AS r
+      FROM (SELECT DISTINCT CASE p_size % 5 WHEN 0 THEN 'FAST' WHEN 1 THEN 'LCSH' WHEN 2 THEN 'Getty AAT' WHEN 3 THEN 'Getty TGN' ELSE 'Local' END AS source, p_name || ' ' || p_size AS label, p_name AS uri FROM part)) WHERE r = 1""")
+def source_priority_top1(spark, sf_dir):
+    k = F.col("p_size") % 5
+    source = F.when(k == 0, "FAST").when(k == 1, "LCSH").when(k == 2, "Getty AAT").when(k == 3, "Getty TGN").otherwise("Local")
+    rows = table(spark, sf_dir, "part").select(source.alias("source"), F.concat_ws(" ", "p_name", "p_size").alias("label"), F.col("p_name").alias("uri"))
+    best = rows.groupBy("uri").agg(F.min(F.struct(terms.priority(F.col("source")).alias("p"), "label", "source")).alias("m"))
+    return best.select("m.source", "m.label", "uri")
+
+
+@query("""
+    SELECT doc_id, CASE WHEN l.d IS NOT NULL THEN 'fixed ' || l.quality ELSE source END AS source, lang FROM documents LEFT JOIN (SELECT doc_id AS d, max(quality) AS quality FROM labels GROUP BY 1) l ON l.d = doc_id""")
+def upsert_fixes(spark, sf_dir):
+    fixes = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.concat(F.lit("fixed "), F.max("quality").cast("string")).alias("source"))
+    return usage.upsert(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), fixes, "doc_id")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS item_index FROM documents")
+def item_numbers(spark, sf_dir):
+    return usage.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"]).drop("source")
+
+
+@query()
+def run_end_to_end(spark, sf_dir):
+    """Extraction with a scripted provider, and the reasons why records need another try."""
+    from .run import scripted_extraction
+
+    return scripted_extraction(table(spark, sf_dir, "documents"))
+
+
+@query("""
+    SELECT window_start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type FROM events) GROUP BY ALL""")
+def stream_hourly(spark, sf_dir):
+    from ..streaming.ingest import hourly_counts
+
+    return hourly_counts(spark, f"{sf_dir}/events.parquet")
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
