@@ -162,7 +162,7 @@ def stitched_abstract(front: DataFrame, scans: DataFrame, most: int = 3) -> Data
     scans = scans.where(F.col("chunk_index") < most)
     stop = scans.groupBy("doc_id").agg(
         F.min(F.when(F.col("complete") & ~F.col("failed"), F.col("chunk_index"))).alias("last"),
-        F.min(F.when("failed", F.col("chunk_index"))).alias("broken"),
+        F.min(F.when(F.col("failed"), F.col("chunk_index"))).alias("broken"),
     )
     parts = scans.join(stop, "doc_id").where((F.col("chunk_index") <= F.coalesce("last", F.lit(1 << 30))) & (F.col("chunk_index") < F.coalesce("broken", F.lit(1 << 30))))
     parts = parts.where(strip(F.coalesce("abstract", F.lit(""))) != "").select("doc_id", "chunk_index", strip(F.col("abstract")).alias("part"))
