@@ -131,14 +131,15 @@ def mixed_stream(docs: DataFrame, max_passes: int = 3, cycle: int = 3) -> DataFr
     """
     queued, taken = mix(docs, max_passes, cycle)
     cols = docs.columns
-    same = Window.partitionBy("__id", "__source", "__size", "pass").orderBy("finish")
-    plan = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "pass", "finish")
-    own = Window.partitionBy("doc_id", "source", "__n").orderBy(F.xxhash64(*[F.col(c) for c in cols if c not in ("doc_id", "source")]))
+    same = Window.partitionBy("__mix_id", "__mix_source", "__mix_size", "__mix_pass").orderBy("__mix_finish")
+    names = {"doc_id": "__mix_id", "source": "__mix_source", "size": "__mix_size", "pass": "__mix_pass", "finish": "__mix_finish"}
+    plan = taken.select(*names).withColumnsRenamed(names)
+    own = Window.partitionBy("doc_id", "source", "__mix_n").orderBy(F.xxhash64(*[F.col(c) for c in cols if c not in ("doc_id", "source")]))
     repeated = queued.groupBy("doc_id", "source", "size").count().where("count > 1").limit(1).count() > 0
-    rows = docs.withColumn("__n", size_of())
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
+    rows = docs.withColumn("__mix_n", size_of())
+    on = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_n") == F.col("__mix_size"))
     if repeated:
-        plan = plan.withColumn("__k", F.row_number().over(same))
-        rows = rows.withColumn("__own", F.row_number().over(own))
-        on = on & (F.col("__own") == F.col("__k"))
-    return rows.join(plan, on).repartitionByRange("finish").sortWithinPartitions("finish").select(cols)
+        plan = plan.withColumn("__mix_k", F.row_number().over(same))
+        rows = rows.withColumn("__mix_own", F.row_number().over(own))
+        on = on & (F.col("__mix_own") == F.col("__mix_k"))
+    return rows.join(plan, on).repartitionByRange("__mix_finish").sortWithinPartitions("__mix_finish").select(cols)
