@@ -99,7 +99,7 @@ def inflate(content: bytes):
     """The inflated bytes of a gzip file of one or more members, piece by piece."""
     stream, at = zlib.decompressobj(31), 0
     while at < len(content) or stream.unconsumed_tail:
-        taken = stream.unconsumed_tail or content[at : (at := at + _STEP)]
+        taken = stream.unconsumed_tail or content[at : (at := min(at + _STEP, len(content)))]
         yield stream.decompress(taken, _STEP)
         if stream.eof:
             at -= len(stream.unused_data)
