@@ -12,6 +12,8 @@ the share of label 1 (0 if there are none); several labels of one document count
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +25,9 @@ BITS, FACTORS = 20, 8
 PREFIXES = (3, 4, 5)
 #: Bound of the training sample: rows of each label (on average over hashes).
 PER_CLASS = 6_000
-MAX_TERMS, LEAST_DOCS, LEAST_CHI = 4_096, 3, 15.0
+MAX_TERMS, LEAST_DOCS = 4_096, 3
+#: Terms that may pass the chi-square test by chance, however many are tested; and the weakest level of the test.
+CHANCE_TERMS, WEAKEST = 20, 0.01
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.02, 1e-4
 THRESHOLD = 0.3
 
@@ -93,7 +97,9 @@ class Machine:
         seen = np.bincount(bucket, minlength=1 << BITS)
         expected = seen * y.mean()
         chi = (pos - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9)
-        chi[(seen < LEAST_DOCS) | (chi < LEAST_CHI)] = 0
+        tested = seen >= LEAST_DOCS
+        level = min(WEAKEST, CHANCE_TERMS / max(tested.sum(), 1))
+        chi[~tested | (chi < NormalDist().inv_cdf(1 - level / 2) ** 2)] = 0
         best = np.argsort(-chi, kind="stable")[:MAX_TERMS]
         best = best[chi[best] > 0]
         self.slot[best] = np.arange(len(best))
