@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import re
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -52,7 +53,6 @@ class Vocabulary:
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 self.pieces[piece] = (i, p.get_score(i))
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
-        self.longest = max(map(len, self.pieces))
         #: character -> (id or -1, score, further characters)
         self.trie: dict = {}
         for piece in sorted(self.pieces, key=len):
@@ -93,17 +93,17 @@ class Vocabulary:
     def arcs(self, word: str):
         """Arcs (start, end, score, ids) by end position, and the best score up to each position."""
         n, by_end, best = len(word), [[] for _ in range(len(word) + 1)], [0.0] + [-1e300] * len(word)
-        get, longest = self.pieces.get, self.longest
         for i in range(n):
-            at, known = best[i], False
-            for j in range(i + 1, min(i + longest, n) + 1):
-                found = get(word[i:j])
-                if found:
+            at, node, j, known = best[i], self.trie.get(word[i]), i + 1, False
+            while node is not None:
+                piece, score, more = node
+                if piece >= 0:
                     known |= j == i + 1
-                    score = found[1]
-                    by_end[j].append((i, score, (found[0],)))
+                    by_end[j].append((i, score, (piece,)))
                     if at + score > best[j]:
                         best[j] = at + score
+                node = more.get(word[j]) if j < n else None
+                j += 1
             if not known:
                 by_end[i + 1].append((i, self.unknown, self._raw(word[i])))
                 if at + self.unknown > best[i + 1]:
@@ -115,7 +115,7 @@ class Vocabulary:
 
         The forward pass keeps the two best scores up to each position; the second best path of the whole follows.
         """
-        found = self.words.get(word)
+        found = self._odd(word) if word[0] == "\0" else self.words.get(word)
         if found is None:
             n, root, low = len(word), self.trie, -1e300
             best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
@@ -204,13 +204,15 @@ class Vocabulary:
 
     def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, list[float], list]:
         """Ids of the best segmentation, the n best scores, and for each what it changes: [(word number, ids)]."""
-        words = self.split(text)
-        solved = [self._odd(w) if w[0] == "\0" else self.solve(w) for w in words]
-        ids = np.fromiter(chain.from_iterable(x[0] for x in solved), np.int32)
-        total = sum(x[1] for x in solved)
+        words, known, solve = self.split(text), self.words.get, self.solve
+        solved = [known(w) or solve(w) for w in words]
+        ids = np.fromiter(chain.from_iterable(map(_IDS, solved)), np.int32)
+        total = sum(map(_SCORE, solved))
         scores, changes = [total], [[]]
         if n > 1 and words:
-            near = heapq.nsmallest(n - 1, ((x[2], k) for k, x in enumerate(solved) if x[2] != float("inf")))
+            loss = np.fromiter(map(_LOSS, solved), float, len(solved))
+            near = np.argpartition(loss, n - 2)[: n - 1] if len(loss) > n - 1 else np.arange(len(loss))
+            near = sorted((x, k) for x, k in zip(loss[near].tolist(), near.tolist()) if x != float("inf"))
             choices = [(k, self.nbest(words[k], n)) for _, k in near]
             losses = [[ways[0][0] - w[0] for w in ways] for _, ways in choices]
             queue, seen, start = [], set(), (0,) * len(choices)
@@ -256,12 +258,13 @@ def _with_vocabulary(spark, path: str):
 
 
 _built: dict[str, Vocabulary] = {}
+_IDS, _SCORE, _LOSS = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_pieces, ids, ids_sha256, scores (n best, best first), second_changes and round_trip for each document.
+    """doc_id, n_pieces, ids, ids_sha256, scores (n best, best first), alternatives and round_trip for each document.
 
-    ``ids`` is null unless asked for; ``alternatives`` names, for each further segmentation, the words it segments
+    ``ids`` and ``alternatives`` are null unless asked for; ``alternatives`` names, for each further segmentation, the words it segments
     otherwise and their ids.  ``round_trip`` says whether decoding the ids gives the text back.
     """
     get = _with_vocabulary(docs.sparkSession, path)
@@ -274,7 +277,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_i
                 text = text or ""
                 ids, scores, changes = vocabulary.encode(text, n)
                 digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
-                other = [[{"word": k, "ids": list(x)} for k, x in c] for c in changes[1:]]
+                other = [[{"word": k, "ids": list(x)} for k, x in c] for c in changes[1:]] if with_ids else None
                 rows.append((doc_id, len(ids), ids if with_ids else None, digest, scores, other, vocabulary.decode(ids.tolist()) == text))
                 size += len(ids)
                 if size > 1_000_000:
