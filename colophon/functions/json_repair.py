@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import split_list, strip
+from .text import strip
 
 _OBJECT = "map<string,string>"
 #: Fixed: fields that are trimmed; lists; names that subjects may have.
@@ -15,8 +15,17 @@ SUBJECT_NAMES = ["subjects", "topics", "subjectHeadings"]
 SNAKE = {"namedEntities": "named_entities", "geographicEntities": "geographic_entities", "contentWarning": "content_warning"}
 
 
+#: Fixed: what is removed, found and quoted when a text is read as an object.
+FENCE = r"```json\s*|\s*```"
+SURROUNDED = r"(?s)^[^{]*(\{.*\})[^}]*$"
+FIRST_OBJECT = r"(\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})"
+BARE_KEY = r"(\w+):"
+BARE_VALUE = r':\s*([^",\[\{][^,\]\}]*)'
+TRAILING_COMMA = r",(\s*[}\]])"
+
+
 def _no_trailing_commas(text: Column) -> Column:
-    return F.regexp_replace(text, r",(\s*[}\]])", "$1")
+    return F.regexp_replace(text, TRAILING_COMMA, "$1")
 
 
 def _object(text: Column) -> Column:
@@ -26,11 +35,9 @@ def _object(text: Column) -> Column:
 
 def attempts(raw: Column) -> list[Column]:
     """The texts to try, in order: fences and surroundings removed; the first object in it; bare keys and values quoted."""
-    bare = F.regexp_replace(raw, r"```json\s*|\s*```", "")
-    outer = F.regexp_replace(bare, r"(?s)^[^{]*(\{.*\})[^}]*$", "$1")
-    inner = F.regexp_extract(raw, r"(\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})", 1)
-    keys = F.regexp_replace(raw, r"(\w+):", '"$1":')
-    values = F.regexp_replace(keys, r':\s*([^",\[\{][^,\]\}]*)', ': "$1"')
+    outer = F.regexp_replace(F.regexp_replace(raw, FENCE, ""), SURROUNDED, "$1")
+    inner = F.regexp_extract(raw, FIRST_OBJECT, 1)
+    values = F.regexp_replace(F.regexp_replace(raw, BARE_KEY, '"$1":'), BARE_VALUE, ': "$1"')
     quoted = F.regexp_extract(_no_trailing_commas(values), r"(?s)(\{.*\})", 1)
     return [_no_trailing_commas(outer), _no_trailing_commas(inner), quoted]
 
@@ -126,6 +133,3 @@ def request_errors(model: Column, messages: Column, max_tokens: Column, temperat
         F.when(~F.coalesce(temperature.between(0, 2), F.lit(False)), "temperature must be within 0 and 2"),
     )
     return F.filter(found, lambda x: x.isNotNull())
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["split_list"]

@@ -40,6 +40,7 @@ def cell(terms: Column) -> Column:
     return F.array_join(F.transform(F.filter(terms, lambda t: t["label"] != ""), formatted), "; ")
 
 
+#: Fixed: one term of a joined cell.
 _ENTRY = r"\s*([^\[\]]*?)\s*(?:\(([^()\s]*)\)\s*)?\[([^\[\]]+)\]\s*(?:;|$)"
 
 

@@ -11,6 +11,7 @@ from ..functions import json_repair, quality
 from ..functions.text import clean_ocr, fill_template, strip
 from ..sources.completions import Provider, Retry, complete, messages
 from ..storage import cut
+from . import chunking
 
 SYSTEM = "You describe documents for a library catalogue. Answer with one JSON object."
 USER = (
@@ -70,3 +71,74 @@ def reprocess(failed: DataFrame, factory: Callable[[], Provider], model: str, re
     return again.withColumnRenamed("doc_id", "item_index")
 
 
+
+
+FRONT = (
+    "Return title, creator, date, department, abstract, type, access, publisher, sponsor and language of the document "
+    "that begins like this.\n\n$text"
+)
+ABSTRACT = "Return abstract (what of the document's abstract stands in this part) and abstract_complete (true or false).\n\n$text"
+CHUNK = "Return subjects, namedEntities, geographicEntities and contentWarning of this part of a document.\n\n$text"
+
+
+def _answers(pieces: DataFrame, prompt: str, factory, model: str, retry: Retry) -> DataFrame:
+    """doc_id, chunk_index and the answer for each piece; kept before use."""
+    key = F.to_json(F.struct("doc_id", "chunk_index"))
+    asked = pieces.select(key.alias("custom_id"), F.lit(model).alias("model"), messages(F.lit(SYSTEM), fill_template(prompt, text=F.col("text"))).alias("messages"), F.lit(4000).alias("max_tokens"), F.lit(0.0).alias("temperature"))
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    got = cut(complete(asked, factory, retry))
+    return got.withColumn("k", F.from_json("custom_id", f"doc_id {kind}, chunk_index int")).select("k.doc_id", "k.chunk_index", "content", "error", "prompt", "completion", "cached")
+
+
+def extract_long(docs: DataFrame, factory: Callable[[], Provider], model: str, config: chunking.Chunking, retry: Retry = Retry()) -> DataFrame:
+    """doc_id, record, raw, error, warnings of documents that are taken in chunks.
+
+    The front matter gives the scalars; if its abstract goes on, chunks are asked for the rest one after the other,
+    each round only for documents whose abstract is still open.  With ``full_scan`` every chunk gives subjects,
+    entities and warnings, which are merged; without it a document has none.  Only a failed front matter fails the
+    document.
+    """
+    pieces = cut(chunking.chunks(docs, config))
+    head = pieces.where("chunk_index = -1")
+    front = _answers(head, FRONT, factory, model, retry)
+    front = front.withColumn("fields", json_repair.repaired(F.col("content")))
+    bad = F.when(F.col("error").isNotNull(), F.col("error")).when(strip(F.coalesce("content", F.lit(""))) == "", "empty response").when(F.col("fields").isNull() | (F.size("fields") == 0), "no JSON object in the response")
+    front = front.withColumn("error", bad).withColumn("record", F.when(bad.isNull(), json_repair.record(F.col("fields"))))
+    front = cut(front.join(head.select("doc_id", "text"), "doc_id").select("doc_id", "record", "content", "error", chunking.looks_complete(F.coalesce("record.abstract", F.lit("")), F.col("text")).alias("complete")))
+    good = front.where("error IS NULL")
+
+    scans, still = None, good.where("NOT complete").select("doc_id")
+    for i in range(config.abstract_chunks):
+        got = _answers(pieces.where(F.col("chunk_index") == i).join(still, "doc_id", "left_semi"), ABSTRACT, factory, model, retry)
+        fields = json_repair.repaired(F.col("content"))
+        failed = F.col("error").isNotNull() | fields.isNull() | (F.size(fields) == 0)
+        got = cut(got.select("doc_id", "chunk_index", "content", json_repair.value(fields, "abstract").alias("abstract"), F.coalesce(F.lower(json_repair.value(fields, "abstract_complete")) == "true", F.lit(False)).alias("complete"), F.coalesce(failed, F.lit(True)).alias("failed")))
+        scans = got if scans is None else scans.unionByName(got)
+        still = cut(got.where("NOT complete AND NOT failed").select("doc_id"))
+    fronts = good.select("doc_id", F.col("record.abstract").alias("abstract"), "complete")
+    parts = good.select("doc_id", F.lit(-1).alias("at"), "content")
+    if scans is None:
+        told = fronts.select("doc_id", F.coalesce("abstract", F.lit("")).alias("abstract"), F.lit(True).alias("done"))
+    else:
+        told = chunking.stitched_abstract(fronts, scans, config.abstract_chunks)
+        parts = parts.unionByName(scans.where("content IS NOT NULL").select("doc_id", F.col("chunk_index").alias("at"), "content"))
+
+    none = F.array().cast("array<string>")
+    rows = front.join(told, "doc_id", "left")
+    warnings = F.when(~F.coalesce("done", F.lit(True)), F.array(F.lit(f"abstract not confirmed complete after {config.abstract_chunks} chunk(s)"))).otherwise(none)
+    if config.full_scan:
+        got = _answers(pieces.where("chunk_index >= 0").join(good.select("doc_id"), "doc_id", "left_semi"), CHUNK, factory, model, retry)
+        fields = json_repair.repaired(F.col("content"))
+        got = got.withColumn("r", F.when(F.col("error").isNull() & (F.size(fields) > 0), json_repair.record(fields)))
+        merged = chunking.merge(got.where("r IS NOT NULL").select("doc_id", "chunk_index", "r.subjects", "r.named_entities", "r.geographic_entities", "r.content_warning"))
+        lost = got.where("r IS NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit(" failed")))).alias("lost"))
+        parts = parts.unionByName(got.where("r IS NOT NULL").select("doc_id", (F.col("chunk_index") + (1 << 20)).alias("at"), "content"))
+        rows = rows.join(merged, "doc_id", "left").join(lost, "doc_id", "left")
+        warnings = F.concat(warnings, F.coalesce("lost", none))
+    else:
+        rows = rows.select("*", none.alias("subjects"), none.alias("named_entities"), none.alias("geographic_entities"), F.lit("None").alias("content_warning"))
+    raw = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "content"))), lambda x: x["content"]), "\n---\n").alias("raw"))
+    lists = [F.coalesce(c, none).alias(c) for c in ("subjects", "named_entities", "geographic_entities")]
+    scalars = [(F.col("abstract") if k == "abstract" else F.coalesce(F.col(f"record.{k}"), F.lit(""))).alias(k) for k in json_repair.SCALARS]
+    record = F.struct(*scalars, *lists, F.coalesce("content_warning", F.lit("None")).alias("content_warning"))
+    return rows.join(raw, "doc_id", "left").select("doc_id", F.when(F.col("error").isNull(), record).otherwise(json_repair.blank_record()).alias("record"), F.coalesce("raw", F.lit("")).alias("raw"), "error", warnings.alias("warnings"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import ConfigError, MissingInput
 from ..functions import json_repair, quality, terms
 from ..functions.text import clean_list, fill_template, truncate
-from ..operators import clustering, extraction, lookup, usage
+from ..operators import chunking, clustering, extraction, lookup, usage
 from ..sources.completions import Provider, Retry, complete, messages
 from ..storage import cut
 from . import run
@@ -35,6 +35,7 @@ class Catalogue:
     threshold: float = 85
     retry: Retry = field(default_factory=Retry)
     batch: bool = True
+    chunking: chunking.Chunking | None = None
 
     def read(self, name: str) -> DataFrame:
         try:
@@ -49,7 +50,12 @@ class Catalogue:
     def extract(self, docs: DataFrame) -> None:
         """Step 1: a record, raw answer and error for each document, numbered by id."""
         numbered = self.write(usage.numbered(docs.select("doc_id", "text"), ["doc_id"]), "documents")
-        self.write(extraction.extract(numbered, self.factory, self.model, self.retry), "items")
+        whole, long = chunking.split_by_size(numbered, self.chunking) if self.chunking else (numbered, numbered.limit(0))
+        items = extraction.extract(whole, self.factory, self.model, self.retry).select("item_index", "doc_id", "text", "record", "raw", "error")
+        if self.chunking:
+            done = extraction.extract_long(long, self.factory, self.model, self.chunking, self.retry).drop("warnings")
+            items = items.unionByName(long.join(done, "doc_id"))
+        self.write(items, "items")
 
     def items(self) -> DataFrame:
         """The records as they stand: fixes of step 1.5 over those of step 1."""
