@@ -141,7 +141,8 @@ def blocked(rows: DataFrame, bucket: list[str], member: str, block: int) -> Data
 
     Groups hold 2 * ``block`` rows or so, however many rows a bucket has.
     """
-    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    # written first: a join of two plain shuffles is one whose skewed partitions Spark splits
+    sizes = materialize(rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "sizes")
     dealt = rows.join(sizes, bucket).withColumn("__b", F.ceil(F.col("__n") / block).cast("int"))
     dealt = dealt.withColumn("__own", F.pmod(F.xxhash64(member), F.col("__b")).cast("int"))
     dealt = dealt.withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
