@@ -24,7 +24,7 @@ from .common import _powers, chunks, code_points, fold, mix, word_table
 BITS, FACTORS = 20, 8
 PREFIXES = (3, 4, 5)
 #: Bound of the training sample: rows of each label (on average over hashes).
-PER_CLASS = 6_000
+PER_CLASS = 4_000
 MAX_TERMS, LEAST_DOCS = 4_096, 3
 #: Terms that may pass the chi-square test by chance, however many are tested; and the weakest level of the test.
 CHANCE_TERMS, WEAKEST = 20, 0.01
@@ -88,12 +88,12 @@ class Machine:
         if not self.trained:
             return
         bucket = np.frombuffer(b"".join(sample["bucket"]), np.int32)
-        doc = np.repeat(np.arange(len(y)), sample["bucket"].map(len) // 4)
-        value = 1 + np.log(np.frombuffer(b"".join(sample["count"]), np.int32))
+        doc = np.repeat(np.arange(len(y), dtype=np.int32), sample["bucket"].map(len) // 4)
+        count = np.frombuffer(b"".join(sample["count"]), np.int32)
         # rows stand for as many labelled rows as the sampling rate says
         weight = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
         weight = weight / weight.mean()
-        pos = np.bincount(bucket, weights=y[doc], minlength=1 << BITS)
+        pos = np.bincount(bucket[y[doc] == 1], minlength=1 << BITS)
         seen = np.bincount(bucket, minlength=1 << BITS)
         expected = seen * y.mean()
         chi = (pos - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9)
@@ -104,7 +104,7 @@ class Machine:
         best = best[chi[best] > 0]
         self.slot[best] = np.arange(len(best))
         keep = self.slot[bucket] >= 0
-        doc, term, value = doc[keep], self.slot[bucket[keep]].astype(np.int64), value[keep]
+        doc, term, value = doc[keep], self.slot[bucket[keep]].astype(np.int64), 1 + np.log(count[keep])
         cuts = np.searchsorted(doc, np.arange(len(y) + 1))
         rng = np.random.default_rng(3)
         w0, w, v = np.log(max(self.prior, 1e-6) / max(1 - self.prior, 1e-6)), np.zeros(len(best)), rng.normal(0, 0.02, (len(best), FACTORS))
