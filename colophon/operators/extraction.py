@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import BatchError
 from ..functions import json_repair, quality
 from ..functions.text import clean_ocr, fill_template, strip
 from ..sources.completions import Provider, Retry, complete, messages
 from ..storage import cut
 from . import chunking
+from .usage import with_outcomes
 
 SYSTEM = "You describe documents for a library catalogue. Answer with one JSON object."
 USER = (
@@ -142,3 +144,22 @@ def extract_long(docs: DataFrame, factory: Callable[[], Provider], model: str, c
     scalars = [(F.col("abstract") if k == "abstract" else F.coalesce(F.col(f"record.{k}"), F.lit(""))).alias(k) for k in json_repair.SCALARS]
     record = F.struct(*scalars, *lists, F.coalesce("content_warning", F.lit("None")).alias("content_warning"))
     return rows.join(raw, "doc_id", "left").select("doc_id", F.when(F.col("error").isNull(), record).otherwise(json_repair.blank_record()).alias("record"), F.coalesce("raw", F.lit("")).alias("raw"), "error", warnings.alias("warnings"))
+
+
+def extract_batch(docs: DataFrame, submit: Callable[[DataFrame], DataFrame], factory: Callable[[], Provider], model: str, on_failure: str = "raise") -> DataFrame:
+    """The same by one remote batch: ``submit`` takes the requests and returns their outcomes (see ``read_batch``).
+
+    Empty documents never enter the batch.  If the batch as a whole fails, that is the run's error, or, with
+    ``on_failure="individual"``, documents are asked one by one.
+    """
+    asked, empty = requests(docs, model)
+    try:
+        answers = cut(submit(asked))
+    except BatchError:
+        if on_failure != "individual":
+            raise
+        return extract(docs, factory, model)
+    done = records(with_outcomes(asked.select("custom_id"), answers)).withColumnRenamed("custom_id", "__id")
+    done = done.unionByName(empty.select(F.col("doc_id").cast("string").alias("__id"), "error"), allowMissingColumns=True)
+    rows = docs.join(done, docs["doc_id"].cast("string") == F.col("__id"), "left").drop("__id")
+    return rows.withColumn("record", F.coalesce("record", json_repair.blank_record()))

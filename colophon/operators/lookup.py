@@ -170,3 +170,10 @@ def status(items: DataFrame, pools: DataFrame, answers: DataFrame, matched: Data
     zero = F.lit(0).cast("long")
     rows = rows.select("item_index", said.alias("status"), F.coalesce("n_selected", zero).alias("n_selected"), F.coalesce("n_unmatched", zero).alias("n_unmatched"))
     return rows.withColumn("has_issue", (F.col("status") == "failed") | (F.col("n_unmatched") > 0))
+
+
+def terms_for(asked: DataFrame, topical: DataFrame, places: DataFrame) -> DataFrame:
+    """Terms of each query: topical ones, or, only where it has none, those of places."""
+    found = asked.join(topical, "query")
+    rest = asked.join(topical.select("query").distinct(), "query", "left_anti")
+    return found.unionByName(rest.join(places, "query"))

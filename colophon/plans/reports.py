@@ -20,6 +20,15 @@ def write(lines: Iterator[str], path: str) -> None:
             out.write(line + "\n")
 
 
+def safely(work, *args) -> str | None:
+    """Run a report; a fault of a report is told, and never fails the step it reports on."""
+    try:
+        work(*args)
+    except Exception as e:
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
 def vocabulary_report(asked: DataFrame, terms: DataFrame, sources: DataFrame) -> Iterator[str]:
     """Coverage, terms by source (known ones without terms too), and all subjects in order with their terms."""
     c = usage.coverage(asked, terms).first()

@@ -146,3 +146,24 @@ def outcomes(lines: DataFrame) -> DataFrame:
         F.when(answered, used["cached"]).otherwise(0).alias("cached"),
         error.alias("error"),
     )
+
+
+def wait_for(status: Callable[[], str], interval: float = 60.0, most: float = 86_400.0, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Return when a remote batch is completed; failure, expiry, cancellation and the time-out are errors."""
+    waited = 0.0
+    while (state := status()) != "completed":
+        if state in ("failed", "expired", "cancelled"):
+            raise BatchError(f"the batch is {state}")
+        if waited >= most:
+            raise BatchError(f"the batch is {state} after {waited:.0f} s")
+        sleep(interval)
+        waited += interval
+
+
+def finished(content: Column, finish_reason: Column, required: list[str]) -> Column:
+    """What is wrong with an answer: cut off, unreadable, or without a required key; null if nothing."""
+    from ..functions import json_repair
+
+    fields = json_repair.repaired(content)
+    missing = json_repair.missing_keys(fields, required)
+    return F.when(finish_reason == "length", "cut off").when(fields.isNull(), "no JSON object").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -90,3 +90,22 @@ def parse(payloads: DataFrame) -> DataFrame:
         own = payloads.where("error IS NULL").where(F.col("service") == source)
         rows = rows.unionByName(own.select("service", "query", F.posexplode(terms.distinct_by_uri(terms.getty_terms(p, source))).alias("hit_pos", "term")))
     return rows
+
+
+CACHE = "service string, query string, terms array<struct<" + terms.TERM + ">>"
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Answers kept from earlier runs; none if there is nothing readable."""
+    try:
+        return spark.read.schema(CACHE).parquet(path)
+    except Exception:  # a missing or unreadable cache only means that everything is asked
+        return spark.createDataFrame([], CACHE)
+
+
+def write_cache(parsed: DataFrame, payloads: DataFrame, path: str) -> None:
+    """Keep the terms of every query that was answered, those without terms included; failures are asked again."""
+    answered = payloads.where("error IS NULL").select("service", "query")
+    found = parsed.groupBy("service", "query").agg(F.transform(F.array_sort(F.collect_list(F.struct("hit_pos", "term"))), lambda x: x["term"]).alias("terms"))
+    none = F.array().cast(f"array<struct<{terms.TERM}>>")
+    answered.join(found, ["service", "query"], "left").withColumn("terms", F.coalesce("terms", none)).write.mode("append").parquet(path)

@@ -79,6 +79,10 @@ def analysis_sheet(items: DataFrame) -> DataFrame:
     return items.select("item_index", "filename", *cols)
 
 
+def raw_sheet(items: DataFrame) -> DataFrame:
+    return items.select("item_index", "filename", F.col("analysis.raw_response").alias("raw_response"))
+
+
 def issues_sheet(failed: DataFrame, skipped: DataFrame) -> DataFrame:
     """Failed documents and skipped files: name, problem."""
     a = failed.select(F.col("filename").alias("name"), F.col("error").alias("problem"))

@@ -181,3 +181,71 @@ def test_ingest_takes_new_files_once(spark, tmp_path):
         (source / f"{name}.txt").write_text(name)
         ingest.ingest(ingest.new_documents(spark, str(source)), lambda rows, n: seen.append(sorted(r.text for r in rows.collect())), str(tmp_path / "state"))
     assert seen == [["a"], ["b"]]
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    from colophon.sources import workbook
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    path = tmp_path / "w.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><sheets><sheet name="Analysis" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>Subjects</t></si><si><r><t>Subject </t></r><r><t>Vocabulary</t></r></si><si><t>art</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1" t="s"><v>1</v></c></row><row r="2"><c r="A2" t="s"><v>2</v></c><c r="AB2" t="inlineStr"><is><t>A (u) [X]</t></is></c></row></sheetData></worksheet>')
+    sheet = workbook.read_sheet(spark, str(path))
+    assert [tuple(r) for r in sheet.collect()] == [(2, "art", "A (u) [X]")]
+    assert [(r.subject, r.term.uri) for r in workflow.terms_of_sheet(sheet).collect()] == [("art", "u")]
+    with pytest.raises(FormatError):
+        workbook.read_sheet(spark, str(path), "Other")
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    with pytest.raises(FormatError):
+        workbook.read_sheet(spark, str(tmp_path / "bad.xlsx"))
+    with pytest.raises(MissingInput):
+        workbook.read_sheet(spark, str(tmp_path / "none.xlsx"))
+
+
+def test_cache_keeps_answers_and_not_failures(spark, tmp_path):
+    rows = [("LCSH", "art", '{"hits": [{"aLabel": "A", "uri": "u"}]}', 1.0, None), ("LCSH", "none", '{"hits": []}', 1.0, None), ("LCSH", "down", None, 1.0, "error")]
+    payloads = spark.createDataFrame(rows, vocabularies.PAYLOAD)
+    path = str(tmp_path / "cache")
+    assert vocabularies.read_cache(spark, path).count() == 0
+    vocabularies.write_cache(vocabularies.parse(payloads), payloads, path)
+    assert {r.query: [t.uri for t in r.terms] for r in vocabularies.read_cache(spark, path).collect()} == {"art": ["u"], "none": []}
+
+
+def test_batch_extraction(spark):
+    docs = spark.createDataFrame([(1, "good"), (2, " "), (3, "lost")], "doc_id int, text string")
+
+    def submit(asked):
+        assert asked.count() == 2
+        return spark.createDataFrame([("1", '{"title": "T"}', None, 1, 1, 0)], "custom_id string, content string, error string, prompt long, completion long, cached long")
+
+    got = {r.doc_id: (r.record.title, r.error) for r in extraction.extract_batch(docs, submit, None, "m").collect()}
+    assert got == {1: ("T", None), 2: ("", "empty document"), 3: ("", "no result for this request")}
+
+    def broken(asked):
+        raise BatchError("down")
+
+    with pytest.raises(BatchError):
+        extraction.extract_batch(docs, broken, None, "m")
+    single = extraction.extract_batch(docs, broken, lambda: completions.ScriptedProvider(lambda p: '{"title": "S"}'), "m", on_failure="individual")
+    assert {r.doc_id: r.record.title for r in single.collect()} == {1: "S", 2: "", 3: "S"}
+
+
+def test_waiting_for_a_batch():
+    states, waits = iter(["running", "running", "completed"]), []
+    completions.wait_for(lambda: next(states), 5, sleep=waits.append)
+    assert waits == [5, 5]
+    for state, most in (("failed", 100), ("running", 10)):
+        with pytest.raises(BatchError):
+            completions.wait_for(lambda state=state: state, 5, most, waits.append)
+
+
+def test_answers_are_judged(one):
+    check = lambda c: completions.finished(c, F.lit("stop"), ["title"])
+    assert one(check, '{"title": 1}') is None and one(check, "{}") == "missing: title" and one(check, "x") == "no JSON object"
+    assert one(lambda c: completions.finished(c, F.lit("length"), []), "{}") == "cut off"
