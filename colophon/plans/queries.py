@@ -24,6 +24,10 @@ def query(sql: str | None = None):
     return keep
 
 
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -379,7 +383,7 @@ _BOUNDS_SQL = f"""
 
 @query(_BOUNDS_SQL + "SELECT c.doc_id, b.fe AS front_end, idx AS chunk_index, st AS start_pos, en AS end_pos FROM c JOIN b ON b.doc_id = c.doc_id")
 def chunk_bounds(spark, sf_dir):
-    return chunking.chunk_bounds(table(spark, sf_dir, "documents"), SMALL)
+    return longs(chunking.chunk_bounds(table(spark, sf_dir, "documents"), SMALL), "front_end", "start_pos", "end_pos")
 
 
 @query(_BOUNDS_SQL + f""",
@@ -535,12 +539,12 @@ _HITS_SQL = f"""
 @query(_HITS_SQL + "SELECT query, source, label, uri, hit_pos, taken FROM c")
 def vocab_lookup(spark, sf_dir):
     found = lookup.search(subjects(spark, sf_dir), vocabulary(spark, sf_dir))
-    return lookup.capped(found).select("query", "source", "label", "uri", "hit_pos", "taken")
+    return longs(lookup.capped(found).select("query", "source", "label", "uri", "hit_pos", "taken"), "hit_pos", "taken")
 
 
 @query(_HITS_SQL + "SELECT query, term_pos, label, uri, source, grp FROM t")
 def vocab_dedupe(spark, sf_dir):
-    return lookup.look_up(subjects(spark, sf_dir), vocabulary(spark, sf_dir))
+    return longs(lookup.look_up(subjects(spark, sf_dir), vocabulary(spark, sf_dir)), "term_pos")
 
 
 @query("""
@@ -586,12 +590,12 @@ def _matched(spark, sf_dir) -> DataFrame:
 
 @query(_MATCH_SQL + "SELECT item_index, label_pos, label, term_label, uri, source FROM m WHERE term_label IS NOT NULL")
 def label_match(spark, sf_dir):
-    return _matched(spark, sf_dir).where("term_label IS NOT NULL").select("item_index", "label_pos", "label", "term_label", "uri", "source")
+    return longs(_matched(spark, sf_dir), "item_index").where("term_label IS NOT NULL").select("item_index", "label_pos", "label", "term_label", "uri", "source")
 
 
 @query(_MATCH_SQL + "SELECT item_index, label_pos, label FROM m WHERE term_label IS NULL")
 def label_unmatched(spark, sf_dir):
-    return lookup.unmatched(_matched(spark, sf_dir))
+    return longs(lookup.unmatched(_matched(spark, sf_dir)), "item_index")
 
 
 @query(_MATCH_SQL + """,
