@@ -33,6 +33,9 @@ WORDS = 5
 SIMILARITY = 0.8
 #: k-mers sampled by a hash function, and hash functions: a pair at 0.8 is missed once in 40,000 times.
 PICKS, BANDS = 4, 20
+#: Documents of at most SHORT k-mers are sampled FEW at a time (a pair of five and four k-mers would rarely agree in
+#: four), those of at least LONG k-mers PICKS at a time: a similar pair has one of the two in common.
+FEW, LONG, SHORT = 2, 16, 20
 BLOCK = 256
 LEADERS = 16
 
@@ -69,17 +72,23 @@ def labelled_kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def order_sketch(labels: np.ndarray) -> np.ndarray:
-    """BANDS bucket keys of one document."""
+    """Bucket keys of one document: BANDS for each number of picks that its length asks for."""
     n = len(labels)
-    out, step = np.zeros(BANDS, np.uint64), max(1, (1 << 21) // max(n, 1))
+    sets = [_keys(labels, PICKS)] if n >= LONG else []
+    return np.concatenate([*sets, _keys(labels, FEW)] if n <= SHORT else sets)
+
+
+def _keys(labels: np.ndarray, picks: int) -> np.ndarray:
+    n = len(labels)
+    out, step = np.full(BANDS, picks, np.uint64) + np.arange(BANDS, dtype=np.uint64) * _OCC, max(1, (1 << 21) // max(n, 1))
     for b in range(0, BANDS, step):
         some = slice(b, min(b + step, BANDS))
-        if n > PICKS:
+        if n > picks:
             values = (labels[None, :] ^ _XOR[some, None]) * _TIMES[some, None]
-            chosen = np.sort(np.argpartition(values, PICKS - 1, axis=1)[:, :PICKS], axis=1)
-            out[some] = (labels[chosen] * _SEQ).sum(axis=1, dtype=np.uint64)
+            chosen = np.sort(np.argpartition(values, picks - 1, axis=1)[:, :picks], axis=1)
+            out[some] += (labels[chosen] * _SEQ[:picks]).sum(axis=1, dtype=np.uint64)
         else:
-            out[some] = (labels * _SEQ[:n]).sum(dtype=np.uint64)
+            out[some] += (labels * _SEQ[:n]).sum(dtype=np.uint64)
     return mix(out)
 
 
@@ -185,11 +194,11 @@ EDGES = "a binary, b binary"
 
 
 def live_buckets(reps: DataFrame) -> DataFrame:
-    """(band, key, n, node): members of buckets with two nodes or more; of buckets with equal members just one."""
-    members = reps.select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-    once = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("m")).select("m.band", "m.key", "n")
-    return materialize(members.join(once, ["band", "key"]), "buckets")
+    """(key, n, node): members of buckets with two nodes or more; of buckets with equal members just one."""
+    members = reps.select("node", F.explode("bands").alias("key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    once = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return materialize(members.join(once.drop("x", "y"), "key"), "buckets")
 
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -204,23 +213,23 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int")
     leads = F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")) < LEADERS
     first = buckets.withColumn("block", F.explode(F.when(leads, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-    first = first.join(texts, "node").select("band", "key", "block", "node", "text", F.col("node").alias("root"), F.lit(2).alias("side"))
-    found = materialize(map_groups(first, ["band", "key", "block"], _edges, EDGES).distinct(), "links")
+    first = first.join(texts, "node").select("key", "block", "node", "text", F.col("node").alias("root"), F.lit(2).alias("side"))
+    found = materialize(map_groups(first, ["key", "block"], _edges, EDGES).distinct(), "links")
 
     wide = materialize(buckets.where(F.col("n") > BLOCK), "wide")
     if not wide.limit(1).count():
         return found
     roots = components(found).select("node", "root")
     wide = materialize(wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "apart")
-    parts = wide.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = parts.groupBy("band", "key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).where("m.c < all")
-    wide = wide.join(largest.select("band", "key", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("rest")), ["band", "key"])
+    parts = wide.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).where("m.c < all")
+    wide = wide.join(largest.select("key", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("rest")), "key")
     others = F.ceil(F.col("rest") / BLOCK).cast("int")
     query = wide.where("root <> main").withColumn("i", F.pmod(F.xxhash64("node", F.lit(4)), others).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0))
     stock = wide.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), others - 1))).withColumn("side", F.lit(1))
-    cols = ["band", "key", "i", "j", "node", "root", "side"]
+    cols = ["key", "i", "j", "node", "root", "side"]
     again = query.select(cols).unionByName(stock.select(cols)).join(texts, "node")
-    more = materialize(map_groups(again, ["band", "key", "i", "j"], _edges, EDGES).distinct(), "links")
+    more = materialize(map_groups(again, ["key", "i", "j"], _edges, EDGES).distinct(), "links")
     return found.unionByName(more)
 
 

@@ -157,3 +157,14 @@ def test_components(spark):
     rng.shuffle(chain)
     got = {r.node: r.root for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_short_pairs_at_the_threshold_meet(spark):
+    """Nine words against their first eight: five k-mers and four, similarity 0.8; and longer ones around SHORT."""
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range([9, 9, 14, 23, 24, 25][i % 6])]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: -max(1, (len(words) - 4) // 5)]))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    brute = {d: c for d, c, _ in near_brute(spark.createDataFrame(rows, "doc_id long, text string").collect())}
+    assert got == brute and sum(d != c for d, c in got.items()) == 60
