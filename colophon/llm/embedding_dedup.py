@@ -30,7 +30,7 @@ MISS = 1e-6
 #: Vectors that a bucket of unrelated vectors holds on average.
 BUCKET = 32
 #: Rows of a block.
-BLOCK = 1024
+BLOCK = 256
 #: Width of the confidence bound in standard errors of the estimate.
 EPSILON = 4.0
 
