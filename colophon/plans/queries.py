@@ -361,7 +361,6 @@ def content_warnings(spark, sf_dir):
 
 SMALL = chunking.Chunking(front=200, size=500, overlap=50)
 
-_CUT_SQL = r"""CASE WHEN {e} >= length({t}) THEN length({t}) ELSE {e} - CASE WHEN len(p({t}, {s}, {e})) > 1 THEN length(p({t}, {s}, {e})[-1]) ELSE 0 END END"""
 _PIECES = r"string_split(regexp_replace(substr({t}, {s} + ({e} - {s}) // 2 + 1, {e} - ({s} + ({e} - {s}) // 2)), '([.!?][\"'')\]]*\s|\n\n)', '\1' || chr(1), 'g'), chr(1))"
 
 
