@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 4
-CACHE = 250_000
+#: Words and n-best lists that a worker keeps at most.
+CACHE, LISTS = 150_000, 5_000
 
 
 class Vocabulary:
@@ -174,7 +175,7 @@ class Vocabulary:
                     continue
                 for i, s, own in by_end[at]:
                     heapq.heappush(queue, (-(best[i] + s + behind), own + ids, i, s + behind))
-            if len(self.lists) >= CACHE:
+            if len(self.lists) >= LISTS:
                 self.lists.clear()
             if len(found) < n:
                 found.append(None)  # complete
@@ -261,7 +262,7 @@ _built: dict[str, Vocabulary] = {}
 _IDS, _SCORE, _LOSS = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_ids: bool = True, with_alternatives: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids, ids_sha256, scores (n best, best first), alternatives and round_trip for each document.
 
     ``ids`` and ``alternatives`` are null unless asked for; ``alternatives`` names, for each further segmentation, the words it segments
@@ -277,7 +278,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_i
                 text = text or ""
                 ids, scores, changes = vocabulary.encode(text, n)
                 digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
-                other = [[{"word": k, "ids": list(x)} for k, x in c] for c in changes[1:]] if with_ids else None
+                other = [[{"word": k, "ids": list(x)} for k, x in c] for c in changes[1:]] if with_alternatives else None
                 rows.append((doc_id, len(ids), ids if with_ids else None, digest, scores, other, vocabulary.decode(ids.tolist()) == text))
                 size += len(ids)
                 if size > 1_000_000:
