@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colophon.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_nbest
+from colophon.llm import exact_dedup, language_id, mixing, sentencepiece_nbest
+
+from .test_dedup import near_brute
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -20,8 +22,7 @@ def test_each_stage_takes_effect(spark):
     largest = kept.groupBy(F.coalesce("text", F.lit("")).alias("t")).agg(F.max("doc_id").alias("d"))
     assert sorted(r.doc_id for r in exact.collect()) == sorted(r.d for r in largest.collect())
     near = corpus_pipeline.drop_near_copies(spark, exact, str(DATA))
-    classes = near_dedup.near_dedup(exact).collect()
-    assert sorted(r.doc_id for r in near.collect()) == sorted({r.class_id for r in classes})
+    assert sorted(r.doc_id for r in near.collect()) == sorted({c for _, c, _ in near_brute(exact.collect())})
     mixed = corpus_pipeline.mix_sources(spark, near, str(DATA)).collect()
     want = collections.Counter()
     for r in mixing.mixed_counts(near).collect():
