@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one vectorised step takes at once (a single longer text is still taken whole).
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 #: Multiplier of the rolling word hash; odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
-_M64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
