@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, new_path
 
+#: Source partitions whose answers share a folder (one file each), so that files grow with the partitions and not
+#: with partitions times owners; a task reads that many partitions' answers to find its own.
+SOURCES_PER_FOLDER = 16
+
 MESSAGE = "src long, owner int, n int, shift int, unary binary, rest binary, dup binary"
 
 
@@ -92,10 +96,12 @@ def _read_answers(path: str, src: int, owners: int) -> tuple[np.ndarray, np.ndar
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(path)
-    where = f"{root}/src={src}"
+    where = f"{root}/folder={src // SOURCES_PER_FOLDER}"
     if store.get_file_info(where).type != fs.FileType.Directory:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    rows = ds.dataset(where, filesystem=store, format="parquet").to_table().sort_by("owner").to_pylist()
+    rows = ds.dataset(where, filesystem=store, format="parquet").to_table(filter=ds.field("src") == src).sort_by("owner").to_pylist()
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     fps = [golomb_decode(r["n"], r["shift"], r["unary"], r["rest"], _low(r["owner"], owners)) for r in rows]
     dup = [np.unpackbits(np.frombuffer(r["dup"], np.uint8))[: r["n"]].astype(bool) for r in rows]
     return np.concatenate(fps), np.concatenate(dup)
@@ -113,7 +119,8 @@ def mark_suspects(docs: DataFrame, owners: int | None = None) -> DataFrame:
     sent = base.select("fp").mapInPandas(_messages(owners), MESSAGE)
     path = new_path(spark, "bitmaps")
     answers = sent.repartition(owners, "owner").groupBy("owner").applyInPandas(_answers(owners), MESSAGE)
-    answers.write.partitionBy("src").parquet(path)
+    answers = answers.withColumn("folder", F.floor(F.col("src") / SOURCES_PER_FOLDER))
+    answers.repartition(owners, "folder").sortWithinPartitions("folder", "src").write.partitionBy("folder").parquet(path)
 
     def suspect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fps = None
