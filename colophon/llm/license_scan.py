@@ -1,15 +1,17 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; sentences are normalised (lower case, runs of other characters than letters and
-digits become one space) and mapped to known licence sentences.  The identifiers, in text order, form a sequence in
-which a sentence that speaks of licences but is not known stands as ``?``.  Ordered rules, each a sequence of
-identifiers, are then matched and replaced by their licence, so that what a longer rule has taken is not there for
-a shorter one.
+A text is cut into passages (at stops and at lines without letters or digits) and normalised: lower case, runs of
+other characters than letters and digits become one space.  A passage that is a known licence sentence is taken
+whole, however its lines are wrapped or marked as comments; any other is taken line by line.  The identifiers, in
+text order, form a sequence in which a sentence that speaks of licences but is not known stands as ``?``.  Ordered
+rules, each a sequence of identifiers, are then matched and replaced by their licence, so that what a longer rule has
+taken is not there for a shorter one.
 
 Everything is a column expression: no Python runs on the executors, and nothing is shuffled or joined.
 
 Defined results: null and empty texts have no sentence and no licence; a licence counts once a document however
-often it is stated; known sentences that no rule takes leave ``sequence`` telling them, and no licence.
+often it is stated; a line that is only an address says nothing; known sentences that no rule takes leave
+``sequence`` telling them, and no licence.
 """
 
 from __future__ import annotations
@@ -43,9 +45,11 @@ SENTENCES = {
     "this work is licensed under the gnu general public license version 3": "GPL3-REF",
     "licensed under the gnu general public license version 3": "GPL3-REF",
     "this work is licensed under the gnu general public license version 2": "GPL2-REF",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3-GRANT",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2-GRANT",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPL-HOPE",
+    "this program is free software": "GPL-FREE",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3-GRANT",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2-GRANT",
+    "this program is distributed in the hope that it will be useful but without any warranty": "GPL-HOPE",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GPL-EVEN",
     "see the gnu general public license for more details": "GPL-DETAILS",
     "you should have received a copy of the gnu general public license along with this program": "GPL-COPY",
     "licensed under cc by 4 0": "CC-BY-REF",
@@ -56,7 +60,7 @@ SENTENCES = {
     "this work is licensed under cc by sa 4 0": "CC-BY-SA-REF",
     "licensed under cc0 1 0": "CC0-REF",
     "licensed under the mozilla public license version 2 0": "MPL-REF",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL-REF",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL-REF",
     "all rights reserved": "RESERVED",
 }
 
@@ -69,9 +73,11 @@ RULES = [
     (("MIT-GRANT", "MIT-NOTICE", "MIT-ASIS", "MIT-LIABLE"), "MIT"),
     (("MIT-GRANT", "MIT-NOTICE", "MIT-ASIS"), "MIT"),
     (("ISC-GRANT", "ISC-ASIS"), "ISC"),
-    (("GPL3-GRANT", "GPL-HOPE", "GPL-DETAILS", "GPL-COPY"), "GPL-3.0-or-later"),
-    (("GPL2-GRANT", "GPL-HOPE", "GPL-DETAILS", "GPL-COPY"), "GPL-2.0-or-later"),
+    (("GPL-FREE", "GPL3-GRANT", "GPL-HOPE", "GPL-EVEN", "GPL-DETAILS", "GPL-COPY"), "GPL-3.0-or-later"),
+    (("GPL-FREE", "GPL2-GRANT", "GPL-HOPE", "GPL-EVEN", "GPL-DETAILS", "GPL-COPY"), "GPL-2.0-or-later"),
+    (("GPL-FREE", "GPL3-GRANT"), "GPL-3.0-or-later"),
     (("GPL3-GRANT",), "GPL-3.0-or-later"),
+    (("GPL-FREE", "GPL2-GRANT"), "GPL-2.0-or-later"),
     (("GPL2-GRANT",), "GPL-2.0-or-later"),
     (("APACHE-REF",), "Apache-2.0"),
     (("MIT-REF",), "MIT"),
@@ -87,15 +93,29 @@ RULES = [
 
 #: Fixed: a sentence with one of these speaks of licences.
 CLUES = "licen|copyright|permission|permitted|redistribut|warrant|liable|free software|all rights reserved|gnu general|provided as is"
-#: Where a sentence ends: white space behind one of these, or a line end.
-STOP = r"([.!?;:])[ \t\r\n]+"
+#: A line that holds nothing but an address.
+ADDRESS = r"^[^a-z0-9]*https?://[^\x00-\x20]+[\x00-\x20]*$"
+#: Where a passage ends: white space behind one of these, or a line without (ASCII) letters and digits.
+STOP, BLANK = r"([.!?;:])[ \t\r\n]+", r"\n[^a-z0-9]*\n"
 
 
-def sentences(text: Column) -> Column:
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+
+
+def _line(text: Column) -> Column:
+    return F.when(text.rlike(ADDRESS), "").otherwise(_plain(text))
+
+
+def sentences(text: Column, known: Column) -> Column:
     """Normalised sentences that speak of licences, in text order."""
-    lines = F.split(F.regexp_replace(F.lower(text), STOP, "$1\n"), "\n+")
-    plain = F.transform(lines, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.filter(plain, lambda s: s.rlike(CLUES))
+    passages = F.split(F.regexp_replace(F.lower(text), STOP, "$1\n\n"), BLANK)
+
+    def cut(passage: Column) -> Column:
+        whole = _plain(passage)
+        return F.when(F.map_contains_key(known, whole), F.array(whole)).otherwise(F.transform(F.split(passage, "\n+"), _line))
+
+    return F.filter(F.flatten(F.transform(passages, cut)), lambda s: s.rlike(CLUES))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -104,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
     marks = F.transform("found", lambda s: F.concat(F.lit("<"), F.coalesce(F.try_element_at(known, s), F.lit("?")), F.lit(">")))
     text = F.coalesce("text", F.lit(""))
     # most texts hold no clue at all: they are not cut up
-    found = F.when(F.lower(text).rlike(CLUES), sentences(text)).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.lower(text).rlike(CLUES), sentences(text, known)).otherwise(F.array().cast("array<string>"))
     rows = docs.select("doc_id", found.alias("found")).select("doc_id", F.array_join(marks, "").alias("sequence"))
     rows = rows.withColumn("n_unknown", F.regexp_count("sequence", F.lit("<\\?>")).cast("long")).withColumn("n_known", F.regexp_count("sequence", F.lit("<[^?>]+>")).cast("long"))
     for ids, licence in RULES:
@@ -123,9 +143,12 @@ def oracle() -> str:
         WITH known(sentence, id) AS (VALUES {values}),
         s AS (SELECT doc_id, row, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos
               FROM (SELECT doc_id, row_number() OVER () AS row,
-                           string_split_regex(regexp_replace(lower(coalesce(text, '')), '{STOP}', '\1' || chr(10), 'g'), '\n+') AS parts FROM documents)),
-        n AS (SELECT doc_id, row, pos, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s),
-        m AS (SELECT doc_id, row, coalesce(string_agg('<' || coalesce(id, '?') || '>', '' ORDER BY pos) FILTER (regexp_matches(n.sentence, '{CLUES}')), '') AS sequence
+                           string_split_regex(regexp_replace(lower(coalesce(text, '')), '{STOP}', '\1' || repeat(chr(10), 2), 'g'), '{BLANK}') AS parts FROM documents)),
+        w AS (SELECT *, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS whole FROM s),
+        l AS (SELECT doc_id, row, pos, CASE WHEN whole IN (SELECT sentence FROM known) THEN [whole]
+                     ELSE list_transform(string_split_regex(raw, '\n+'), lambda x: CASE WHEN regexp_matches(x, '{ADDRESS}') THEN '' ELSE trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')) END) END AS lines FROM w),
+        n AS (SELECT doc_id, row, pos, unnest(lines) AS sentence, generate_subscripts(lines, 1) AS line FROM l),
+        m AS (SELECT doc_id, row, coalesce(string_agg('<' || coalesce(id, '?') || '>', '' ORDER BY pos, line) FILTER (regexp_matches(n.sentence, '{CLUES}')), '') AS sequence
               FROM n LEFT JOIN known USING (sentence) GROUP BY doc_id, row),
         r AS (SELECT doc_id, len(regexp_extract_all(sequence, '<[^?>]+>')) AS n_known, len(regexp_extract_all(sequence, '<\?>')) AS n_unknown,
                      {sequence} AS sequence FROM m)

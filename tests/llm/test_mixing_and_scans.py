@@ -106,6 +106,45 @@ def test_longer_rules_take_first_and_order_counts(spark):
     assert [r.licences for r in scanned(spark, [three, two, turned])] == ["BSD-3-Clause", "BSD-2-Clause", ""]
 
 
+APACHE = """# Copyright 2020 A
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+
+import os
+"""
+
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_wrapped_and_commented_sentences(spark):
+    got = scanned(spark, [APACHE, GPL, GPL.replace("\n    ", " "), "Title\n" + MIT.replace(", ", ",\r\n * "), "\n" * 50_000 + "license\n" + "\u4e2d" * 50_000])
+    assert [r.licences for r in got] == ["Apache-2.0", "GPL-3.0-or-later", "GPL-3.0-or-later", "MIT", ""]
+    assert got[0].sequence == "<?>[Apache-2.0]"
+    assert got[1].sequence == got[2].sequence == "[GPL-3.0-or-later]<?>"
+
+
 @pytest.mark.parametrize("op", ["op1_license_scan", "op2_mixing", "op10_exact_dedup"])
 def test_sql_on_odd_rows(spark, odd_docs, op):
     from colophon.llm import exact_dedup
