@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import uuid
 import zlib
 
 import pandas as pd
@@ -46,10 +47,17 @@ def _uri(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
+def _escaped(url: Column) -> Column:
+    """White space and control characters as %XX, byte by byte."""
+    bad = r"[\x00-\x20\x7F-\x9F]"
+    parts = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(bad), F.regexp_replace(F.hex(c.cast("binary")), "(..)", "%$1")).otherwise(c))
+    return F.when(url.rlike(bad), F.array_join(parts, "")).otherwise(url)
+
+
 def record_text(date: str = "1970-01-01T00:00:00Z") -> Column:
     """A whole WARC record without the two line ends that close it."""
     revisit = F.col("record_type") == "revisit"
-    url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7F-\x9F]", "%20")
+    url = _escaped(F.coalesce("url", F.lit("about:blank")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
     fields = [
@@ -124,7 +132,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 name = path.rsplit("/", 1)[1].split(".")[0] + ".warc.gz"
-                own = f"{root}/_{name}-{hashlib.sha1(path.encode()).hexdigest()[:8]}-{id(content)}"
+                own = f"{root}/_{name}-{uuid.uuid4().hex}"
                 offset, lines = 0, []
                 with store.open_output_stream(own, compression=None) as out:
                     for record in split_records(inflate(content)):
