@@ -109,17 +109,21 @@ def word_hashes(texts: list[str], table: np.ndarray | None = None) -> tuple[np.n
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of the edges: (node, root) with root the smallest node reachable.
+    """Connected components of the edges: (node, root), root being one node of the component, the same for all.
 
-    Each round maps every node to the smallest of itself and its neighbours and contracts the edges, so that at
-    least half of the remaining nodes go; the maps are then composed backwards.  All steps are partial aggregates
-    and equi-joins; nothing but a row count comes to the driver.  Nodes without edges are not returned.
+    Each round maps every node to the first of itself and its neighbours and contracts the edges; the maps are then
+    composed backwards.  Nodes are ordered by a hash that changes every other round: whatever the numbering, a
+    constant share of the nodes is expected to go (a chain halves, a star is gone in two rounds), so rounds grow with
+    the logarithm of the largest component.  All steps are partial aggregates and equi-joins; nothing but a row
+    count comes to the driver.  Nodes without edges are not returned.
     """
     left = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges")
     maps = []
     while left.limit(1).count():
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+        rank = [F.struct(F.xxhash64(n, F.lit(len(maps) // 2)).alias("at"), F.col(n).alias("root")) for n in ("node", "b")]
+        step = both.withColumnRenamed("a", "node").groupBy("node").agg(F.min(rank[1]).alias("first"))
+        step = materialize(step.select("node", F.least("first", rank[0])["root"].alias("root")), "roots")
         maps.append(step)
         to_a = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to_b = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))

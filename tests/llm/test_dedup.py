@@ -156,7 +156,18 @@ def test_components(spark):
     rng = random.Random(5)
     rng.shuffle(chain)
     got = {r.node: r.root for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100, 103: 100}
+    lows = {root: min(n for n in got if got[n] == root) for root in got.values()}
+    assert {n: lows[root] for n, root in got.items()} == {i: 0 for i in range(51)} | {100: 100, 101: 100, 103: 100}
+    assert all(got[root] == root for root in got.values())
+
+
+@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(3000)], [(0, i) for i in range(1, 3000)], [(3000, i) for i in range(3000)]], ids=["chain", "star", "late star"])
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch, edges):
+    rounds = []
+    monkeypatch.setattr(common, "materialize", lambda df, name, own=common.materialize: rounds.append(name) or own(df, name))
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node for r in got} == {n for e in edges for n in e} and len({r.root for r in got}) == 1
+    assert rounds.count("roots") <= 18
 
 
 def test_short_pairs_at_the_threshold_meet(spark):
