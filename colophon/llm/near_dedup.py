@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ from .common import chunks, components, map_groups, materialize, mix, word_hashe
 
 WORDS = 5
 SIMILARITY = 0.8
+#: (1 - SIMILARITY) / (1 + SIMILARITY) as a whole fraction: a quotient of floats falls below it at exact ties.
+APART, OF = ((1 - Fraction(str(SIMILARITY))) / (1 + Fraction(str(SIMILARITY)))).as_integer_ratio()
 #: k-mers sampled by a hash function, and hash functions: a pair at 0.8 is missed once in 40,000 times.
 PICKS, BANDS = 4, 20
 #: Documents of at most SHORT k-mers are sampled FEW at a time (a pair of five and four k-mers would rarely agree in
@@ -121,7 +124,7 @@ def aligned(a: np.ndarray, b: np.ndarray) -> int:
     similarity of 0.8 at most (n + m) / 9 k-mers stay alone, so no match lies further off the diagonal than that.
     """
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= (len(a) + len(b)) * (1 - SIMILARITY) / (1 + SIMILARITY)
+    near = np.abs(i - j) * OF <= (len(a) + len(b)) * APART
     i, j = i[near], j[near]
     tails: list[int] = []
     for x in j[np.argsort(i)].tolist():

@@ -179,3 +179,18 @@ def test_short_pairs_at_the_threshold_meet(spark):
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     brute = {d: c for d, c, _ in near_brute(spark.createDataFrame(rows, "doc_id long, text string").collect())}
     assert got == brute and sum(d != c for d, c in got.items()) == 60
+
+
+def test_pairs_at_the_threshold_whose_words_are_shifted(spark):
+    """Words cut at the front, and a passage cut from the middle so that no new k-mer arises: similarity exactly 0.8."""
+    rng, pairs = random.Random(11), []
+    for k in (1, 2, 3, 4, 6, 9, 20, 45):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(5 * k + 4)]
+        pairs.append((words, words[k:]))
+        if k > 4:
+            words[2 * k : 2 * k + 4] = words[3 * k : 3 * k + 4]
+            pairs.append((words, words[: 2 * k] + words[3 * k :]))
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
+    got = near_dedup.near_dedup(rows).select("doc_id", "class_id", "class_size").collect()
+    assert sorted(map(tuple, got), key=str) == near_brute(rows.collect())
+    assert sum(r.doc_id != r.class_id for r in got) == len(pairs)
