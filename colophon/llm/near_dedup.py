@@ -209,7 +209,9 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     reps = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands")), "nodes")
     buckets = live_buckets(reps)
     need = reps.select("node", "row").join(buckets.select("node").distinct(), "node")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").where("text IS NOT NULL").join(need, "row").select("node", "text")
+    # one text a row hash, folded before the shuffle: rows that repeat id and text must not come back once per copy
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").where("text IS NOT NULL").groupBy("row").agg(F.first("text").alias("text"))
+    texts = texts.join(need, "row").select("node", "text")
     texts = materialize(texts, "texts")
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

@@ -194,3 +194,20 @@ def test_pairs_at_the_threshold_whose_words_are_shifted(spark):
     got = near_dedup.near_dedup(rows).select("doc_id", "class_id", "class_size").collect()
     assert sorted(map(tuple, got), key=str) == near_brute(rows.collect())
     assert sum(r.doc_id != r.class_id for r in got) == len(pairs)
+
+
+def test_repeated_rows_come_to_a_bucket_once(spark, monkeypatch):
+    """Many rows equal in id and text, or without an id, beside one near copy: one text a node is compared."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base)] * 300 + [(5, base)] * 300 + [(1, base + " more"), (2, "something else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    written, own = {}, near_dedup.materialize
+
+    def keep(df, name):
+        written[name] = own(df, name)
+        return written[name]
+
+    monkeypatch.setattr(near_dedup, "materialize", keep)
+    got = near_dedup.near_dedup(docs).select("doc_id", "class_id", "class_size").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(d, 2, 1) if d == 2 else (d, 1, 601) for d, _ in rows], key=str)
+    assert written["texts"].count() == 2
