@@ -45,8 +45,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = sentencepiece_nbest.encode_documents(_table(spark, sf_dir, "documents"), with_ids=False)
-    return done.select("doc_id", "n_pieces", "ids_sha256", "scores", "round_trip")
+    return sentencepiece_nbest.encode_documents(_table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

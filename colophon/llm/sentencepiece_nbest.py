@@ -204,7 +204,8 @@ class Vocabulary:
         return out
 
     def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, list[float], list]:
-        """Ids of the best segmentation, the n best scores, and for each what it changes: [(word number, ids)]."""
+        """Ids of the best segmentation, the n best scores, and for each what it changes: [(word number, place of the
+        word's ids among the best ones, how many they are, ids instead)], by word."""
         words, known, solve = self.split(text), self.words.get, self.solve
         solved = [known(w) or solve(w) for w in words]
         ids = np.fromiter(chain.from_iterable(map(_IDS, solved)), np.int32)
@@ -214,7 +215,8 @@ class Vocabulary:
             loss = np.fromiter(map(_LOSS, solved), float, len(solved))
             near = np.argpartition(loss, n - 2)[: n - 1] if len(loss) > n - 1 else np.arange(len(loss))
             near = sorted((x, k) for x, k in zip(loss[near].tolist(), near.tolist()) if x != float("inf"))
-            choices = [(k, self.nbest(words[k], n)) for _, k in near]
+            choices = [(k, self._others(words[k], solved[k], n)) for _, k in near]
+            places = [(k, sum(map(len, map(_IDS, solved[:k]))), len(solved[k][0])) for k, _ in choices]
             losses = [[ways[0][0] - w[0] for w in ways] for _, ways in choices]
             queue, seen, start = [], set(), (0,) * len(choices)
             heapq.heappush(queue, (0.0, start))
@@ -222,7 +224,7 @@ class Vocabulary:
             while queue and len(scores) < n:
                 loss, picks = heapq.heappop(queue)
                 scores.append(total - loss)
-                changes.append([(choices[c][0], choices[c][1][p][1]) for c, p in enumerate(picks) if p])
+                changes.append(sorted((*places[c], choices[c][1][p][1]) for c, p in enumerate(picks) if p))
                 for c in range(len(picks)):
                     more = picks[:c] + (picks[c] + 1,) + picks[c + 1 :]
                     if more[c] < len(losses[c]) and more not in seen:
@@ -230,6 +232,13 @@ class Vocabulary:
                         heapq.heappush(queue, (sum(losses[x][p] for x, p in enumerate(more)), more))
         return ids, scores, changes
 
+    def _others(self, word: str, solved: tuple, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best of a word, the one that ``solve`` chose first: among equal scores the two may order otherwise."""
+        ways = self.nbest(word, n)
+        if ways[0][1] != solved[0]:
+            ways = [(ways[0][0], solved[0]), *[w for w in ways if w[1] != solved[0]][: n - 1]]
+        return ways
+
     def _odd(self, word: str) -> tuple:
         raw = MARK.encode() if word == "\0" else b"\0"
         return tuple(self.byte_id[b] for b in raw), self.unknown, float("inf")
@@ -262,11 +271,13 @@ _built: dict[str, Vocabulary] = {}
 _IDS, _SCORE, _LOSS = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_ids: bool = True, with_alternatives: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_ids: bool = True, with_alternatives: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids, ids_sha256, scores (n best, best first), alternatives and round_trip for each document.
 
-    ``ids`` and ``alternatives`` are null unless asked for; ``alternatives`` names, for each further segmentation, the words it segments
-    otherwise and their ids.  ``round_trip`` says whether decoding the ids gives the text back.
+    ``ids`` and ``alternatives`` are null if not asked for; ``alternatives`` names, for each further segmentation, the
+    words it segments otherwise: ``ids`` stand in place of the ``old`` best ids from the ``at``-th (from 0) on, so that
+    every segmentation follows from the row (``segmentations``).  ``round_trip`` says whether decoding the ids of the
+    best one gives the text back.
     """
     get = _with_vocabulary(docs.sparkSession, path)
 
@@ -278,7 +289,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_i
                 text = text or ""
                 ids, scores, changes = vocabulary.encode(text, n)
                 digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
-                other = [[{"word": k, "ids": list(x)} for k, x in c] for c in changes[1:]] if with_alternatives else None
+                other = [[{"word": k, "at": at, "old": old, "ids": list(x)} for k, at, old, x in c] for c in changes[1:]] if with_alternatives else None
                 rows.append((doc_id, len(ids), ids if with_ids else None, digest, scores, other, vocabulary.decode(ids.tolist()) == text))
                 size += len(ids)
                 if size > 1_000_000:
@@ -289,10 +300,21 @@ def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_i
 
     names = ["doc_id", "n_pieces", "ids", "ids_sha256", "scores", "alternatives", "round_trip"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_pieces long, ids array<int>, ids_sha256 string, scores array<double>, alternatives array<array<struct<word: int, ids: array<int>>>>, round_trip boolean"
+    schema = f"doc_id {kind}, n_pieces long, ids array<int>, ids_sha256 string, scores array<double>, alternatives array<array<struct<word: int, at: int, old: int, ids: array<int>>>>, round_trip boolean"
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
+def segmentations(ids, alternatives) -> list[list[int]]:
+    """Ids of all segmentations of a row, best first."""
+    out = [list(ids)]
+    for changes in alternatives:
+        other = list(ids)
+        for c in reversed(changes):
+            other[c["at"] : c["at"] + c["old"]] = c["ids"]
+        out.append(other)
+    return out
+
+
 def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id and the text of its ids."""
     get = _with_vocabulary(encoded.sparkSession, path)

@@ -33,9 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of pieces, ids and n-best scores of each document of the mix."""
+    """doc_id, number of pieces, ids, n-best scores and further segmentations of each document of the mix."""
     done = sentencepiece_nbest.encode_documents(docs)
-    return done.select("doc_id", "n_pieces", "ids", "scores", "round_trip")
+    return done.select("doc_id", "n_pieces", "ids", "scores", "alternatives", "round_trip")
 
 
 STAGES = [

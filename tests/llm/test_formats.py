@@ -165,3 +165,25 @@ def test_encoding_documents(spark, odd_docs, no_docs):
     texts = sorted((r.text or "") for r in odd_docs.collect())
     assert sorted(r.text for r in pieces.decode_documents(done).collect()) == texts
     assert pieces.encode_documents(no_docs).count() == 0
+
+
+def test_query_and_last_stage_give_all_segmentations(spark, vocabulary, tmp_path, no_docs):
+    """The ids of each of the four best come back, decode to the text, differ, and have the scores that brute force gives."""
+    import corpus_pipeline
+    from colophon.llm.queries import QUERIES
+
+    texts = ["an ox", "to be it", "one", "x\u4e00y ab", "the cat sat on the mat and then it ran away, twice!\n", "▁ \0", " a", "rrrr", "%%%", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for done in (QUERIES["op9_sentencepiece"](spark, str(tmp_path)), corpus_pipeline.encode_pieces(spark, docs, "")):
+        rows = done.collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            text = texts[r.doc_id] or ""
+            found = pieces.segmentations(r.ids, r.alternatives)
+            assert len(found) == len(r.scores) == len({tuple(x) for x in found})
+            assert all(vocabulary.decode(x) == text for x in found)
+            if text and len(text) < 9 and text[0] not in "▁ ":
+                score = {x: s for s, x in all_segmentations(vocabulary, pieces.MARK + text.replace(" ", pieces.MARK))}
+                assert [score[tuple(x)] for x in found] == pytest.approx(r.scores)
+                assert r.scores == pytest.approx(sorted(score.values(), reverse=True)[:4])
