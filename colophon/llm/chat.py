@@ -347,13 +347,57 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
             close()
             yield _frame(out)
 
+    return _dealt(rows).mapInPandas(run, FORMATTED)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """key, role and text, a conversation's turns together and in order."""
     rows = rows.select("turn", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("key"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("key").sortWithinPartitions("key", "turn", "role", "text")
-    return dealt.select("key", "role", "text").mapInPandas(run, FORMATTED)
+    return dealt.select("key", "role", "text")
+
+
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
 
+def digest_conversations(rows: DataFrame) -> DataFrame:
+    """``format_conversations`` with TEMPLATE, without the formatted text and its spans: TEMPLATE writes turn by turn,
+    so each turn is formatted, read back and hashed on its own, and of a conversation only hashes and counts are kept.
+    """
+    return _dealt(rows).mapInPandas(_digests, DIGESTS)
+
+
+def _digests(batches):
+    render = compile_template()
+    conv, n, chars, loss_chars, turns_sha, loss_sha = None, 0, 0, 0, None, None
 
-def _frame(out: list[tuple]) -> pd.DataFrame:
-    names = [x.strip().split(" ")[0] for x in FORMATTED.split(",", 7)]
+    def row():
+        return (None if conv == "null" else int(conv), n, turns_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), chars)
+
+    for pdf in batches:
+        out = []
+        for key, role, text in zip(pdf["key"], pdf["role"], pdf["text"]):
+            if key != conv:
+                if conv is not None:
+                    out.append(row())
+                conv, n, chars, loss_chars, turns_sha, loss_sha = key, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+            done, spans = render([{"role": role, "text": text}])
+            for r, t in read_back(done):
+                turns_sha.update(f"{r}\n{t}\n".encode("utf-8", "surrogatepass"))
+                n += 1
+            for a, b in spans:
+                own = unescape(done[a:b])
+                loss_sha.update(own.encode("utf-8", "surrogatepass"))
+                loss_chars += len(own)
+            chars += len(done)
+        if out:
+            yield _frame(out, DIGESTS)
+    if conv is not None:
+        yield _frame([row()], DIGESTS)
+
+
+def _frame(out: list[tuple], schema: str = FORMATTED) -> pd.DataFrame:
+    names = [x.strip().split(" ")[0] for x in schema.split(",", 7)]
     return pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
 
 

@@ -28,8 +28,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = chat.format_conversations(chat.with_forged(_table(spark, sf_dir, "conversations")))
-    return done.drop("formatted", "loss_spans")
+    return chat.digest_conversations(chat.with_forged(_table(spark, sf_dir, "conversations")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

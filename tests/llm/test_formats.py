@@ -187,3 +187,23 @@ def test_query_and_last_stage_give_all_segmentations(spark, vocabulary, tmp_path
                 score = {x: s for s, x in all_segmentations(vocabulary, pieces.MARK + text.replace(" ", pieces.MARK))}
                 assert [score[tuple(x)] for x in found] == pytest.approx(r.scores)
                 assert r.scores == pytest.approx(sorted(score.values(), reverse=True)[:4])
+
+
+def test_digests_keep_no_turns(spark):
+    """A conversation of 60 million characters, and then what the whole strings give; null and forged turns among them."""
+    import tracemalloc
+
+    import pandas as pd
+
+    turn = "<s>" + "x" * 200_000
+    batches = (pd.DataFrame({"key": ["null"] * 3, "role": ["user", "assistant", "a"], "text": [turn] * 3}) for _ in range(100))
+    tracemalloc.start()
+    (done,) = chat._digests(batches)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done["n_turns"].tolist() == [300] and done["conv_id"].isna().all() and peak < 20 << 20
+    rows = [(c, t, r, x) for c in (1, 2, None) for t, r in enumerate(["user", "assistant", None, "to<s>ol", "assistant"]) for x in ("</s>\\[INST]", "", None, "a\n<|end|>")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = chat.format_conversations(frame).drop("formatted", "loss_spans").collect()
+    assert sorted(chat.digest_conversations(frame).collect(), key=str) == sorted(whole, key=str)
+    assert chat.digest_conversations(frame.limit(0)).count() == 0
