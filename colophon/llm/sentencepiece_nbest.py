@@ -1,17 +1,22 @@
 """SentencePiece encoding and decoding with n-best segmentation.
 
 The lattice of a text has an arc for each vocabulary piece that stands in it (and one for a character outside the
-vocabulary, which becomes its UTF-8 bytes).  A forward Viterbi pass gives the best score up to each position; used
-as heuristic of a search that runs backward from the end, these scores are exact, so A* pops complete segmentations
-in order of score, best first.
-
-No piece contains a word start behind another character, or (nearly) letters beside others, so the lattice of a
-text is a chain of independent word lattices: its best segmentation is made of theirs, and the n best of the text change at most n - 1 of them, those
-with the smallest loss in their second best.  Equal words are solved once a task (a bounded cache).
+vocabulary, which becomes its UTF-8 bytes).  A forward Viterbi pass gives the best score up to each position.  A*
+then runs backward from the end: what is behind a position is known, what lies before it is estimated by the forward
+score, and as that is exact, segmentations come out in order of score and no state is opened in vain.  Following the
+best arc back loses nothing, so a state goes on along the best arcs at once, and only the arcs that leave this way
+are put into the queue, each with what it loses; every entry stands for a segmentation of its own, so the queue needs
+no more entries than segmentations are still wanted.  Time is linear in the text and in n; memory is a few arrays.
+
+No piece contains a word start behind another character, or (nearly) letters beside others, so every segmentation has
+a boundary there and the lattice of a text is a chain of word lattices.  Arcs of different words never cross: what an
+arc loses is the same in the word's lattice and in the text's, so the search over the text opens the words with the
+smallest losses (at most n - 1 of them) and no others.  Equal words are solved once a task (a cache that is bounded in
+words and in characters).
 
 Defined results: a null text counts as empty; an empty text has no pieces and one segmentation with score 0; texts
-with fewer segmentations than asked for give fewer scores; among equal scores the order is fixed but arbitrary.  Decoding gives back every text exactly,
-the word mark U+2581 itself included.
+with fewer segmentations than asked for give fewer scores; among equal scores the order is fixed but arbitrary.
+Decoding gives back every text exactly, the word mark U+2581 itself included.  A word may be as long as a text.
 """
 
 from __future__ import annotations
@@ -19,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import chain
+from array import array
+from bisect import insort
+from itertools import chain, islice
 from operator import itemgetter
 
 import numpy as np
@@ -31,8 +38,11 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 4
-#: Words and n-best lists that a worker keeps at most.
-CACHE, LISTS = 150_000, 5_000
+#: Words and n-best lists that a worker keeps at most, and the longest word it keeps.
+CACHE, LISTS, CACHED_CHARS = 150_000, 5_000, 64
+#: Texts of more characters are encoded so many words, and decoded so many ids, at a time.
+LONG_TEXT, AT_ONCE = 1 << 20, 1 << 17
+_LOW = -1e300
 
 
 class Vocabulary:
@@ -63,13 +73,22 @@ class Vocabulary:
                     node[c] = (-1, 0.0, {})
                 node = node[c][2]
             node[piece[-1]] = (*self.pieces[piece], node[piece[-1]][2] if piece[-1] in node else {})
+        #: the same from the last character backward
+        self.back: dict = {}
+        for piece in sorted(self.pieces, key=len):
+            node = self.back
+            for c in piece[:0:-1]:
+                if c not in node:
+                    node[c] = (-1, 0.0, {})
+                node = node[c][2]
+            node[piece[0]] = (*self.pieces[piece], node[piece[0]][2] if piece[0] in node else {})
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - 10.0
         marked = any(MARK in x.lstrip(MARK) for x in self.pieces)
         if marked:
             raise ValueError("pieces cross word starts; texts cannot be cut there")
         self.cut = re.compile(self._word_pattern())
         self.words: dict[str, tuple] = {}
-        self.lists: dict[str, list] = {}
+        self.lists: dict[str, tuple[int, list]] = {}
 
     def _word_pattern(self) -> str:
         """Where every segmentation of a text has a boundary: at word marks, and between letters and other characters
@@ -91,162 +110,192 @@ class Vocabulary:
             other = other.replace("\\n", "")
         return f"{alone}{MARK}*{letter.pattern}+|{MARK}*{other}|{MARK}+"
 
-    def arcs(self, word: str):
-        """Arcs (start, end, score, ids) by end position, and the best score up to each position."""
-        n, by_end, best = len(word), [[] for _ in range(len(word) + 1)], [0.0] + [-1e300] * len(word)
+    def forward(self, word: str) -> tuple:
+        """Up to each position the best and the second best score, and the best way's last arc (start, piece or -1)."""
+        n, root = len(word), self.trie
+        if n <= CACHED_CHARS:
+            best, second, start, last = [_LOW] * (n + 1), [_LOW] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        else:
+            best, second, start, last = array("d", [_LOW]) * (n + 1), array("d", [_LOW]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
         for i in range(n):
-            at, node, j, known = best[i], self.trie.get(word[i]), i + 1, False
+            at, next_best, node, j = best[i], second[i], root.get(word[i]), i + 1
+            if node is None or node[0] < 0:
+                score = at + self.unknown
+                if score > best[j]:
+                    second[j], best[j], start[j], last[j] = max(best[j], next_best + self.unknown), score, i, -1
+                elif score > second[j]:
+                    second[j] = score
             while node is not None:
-                piece, score, more = node
+                piece, own, more = node
                 if piece >= 0:
-                    known |= j == i + 1
-                    by_end[j].append((i, score, (piece,)))
-                    if at + score > best[j]:
-                        best[j] = at + score
-                node = more.get(word[j]) if j < n else None
+                    score = at + own
+                    if score > best[j]:
+                        other = next_best + own
+                        second[j] = best[j] if best[j] > other else other
+                        best[j], start[j], last[j] = score, i, piece
+                    elif score > second[j]:
+                        second[j] = score
+                if j == n:
+                    break
+                node = more.get(word[j])
                 j += 1
-            if not known:
-                by_end[i + 1].append((i, self.unknown, self._raw(word[i])))
-                if at + self.unknown > best[i + 1]:
-                    best[i + 1] = at + self.unknown
-        return by_end, best
+        return best, second, start, last
 
     def solve(self, word: str) -> tuple:
-        """Ids of the best segmentation, its score, and the loss of the second best (inf: there is none).
-
-        The forward pass keeps the two best scores up to each position; the second best path of the whole follows.
-        """
+        """Ids of the best segmentation, its score, and the loss of the second best (inf: there is none)."""
         found = self._odd(word) if word[0] == "\0" else self.words.get(word)
         if found is None:
-            n, root, low = len(word), self.trie, -1e300
-            best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
-            best[0] = 0.0
-            for i in range(n):
-                at, next_best, node, j = best[i], second[i], root.get(word[i]), i + 1
-                if node is None or node[0] < 0:
-                    score = at + self.unknown
-                    if score > best[j]:
-                        second[j], best[j], back[j] = max(best[j], next_best + self.unknown), score, (i, -1)
-                    elif score > second[j]:
-                        second[j] = score
-                while node is not None:
-                    piece, own, more = node
-                    if piece >= 0:
-                        score = at + own
-                        if score > best[j]:
-                            other = next_best + own
-                            second[j] = best[j] if best[j] > other else other
-                            best[j], back[j] = score, (i, piece)
-                        elif score > second[j]:
-                            second[j] = score
-                    if j == n:
-                        break
-                    node = more.get(word[j])
-                    j += 1
-            ids, at = [], n
-            while at:
-                start, piece = back[at]
-                if piece >= 0:
-                    ids.append(piece)
-                else:
-                    ids += reversed(self._raw(word[start]))
-                at = start
-            ids.reverse()
-            found = (tuple(ids), best[n], best[n] - second[n] if second[n] > -1e299 else float("inf"))
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = found
+            best, second, start, last = self.forward(word)
+            ids, n = self._path(word, None, start, last), len(word)
+            found = (tuple(ids) if n <= CACHED_CHARS else ids, best[n], best[n] - second[n] if second[n] > -1e299 else float("inf"))
+            if n <= CACHED_CHARS:
+                if len(self.words) >= CACHE:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def _raw(self, character: str) -> tuple[int, ...]:
         return tuple(self.byte_id[b] for b in character.encode("utf-8", "surrogatepass"))
 
-    def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def _path(self, word: str, turns: tuple | None, start, last) -> array:
+        """Ids of the way that takes the arcs of ``turns`` (position, start, piece, earlier ones) and the best ones else."""
+        order = []
+        while turns:
+            order.append(turns)
+            turns = turns[3]
+        ids, at = array("i"), len(word)
+        while at:
+            turned = order and order[-1][0] == at
+            _, i, piece, _ = order.pop() if turned else (at, start[at], last[at], None)
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids.extend(reversed(self._raw(word[i])))
+            at = i
+        ids.reverse()
+        return ids
+
+    def nbest(self, word: str, n: int) -> list[tuple[float, array]]:
         """The n best segmentations (score, ids) of a word lattice, by A* from its end with exact heuristics."""
-        found = self.lists.get(word)
-        if found is None or (len(found) < n and found[-1] is not None):
-            by_end, best = self.arcs(word)
-            queue = [(-best[len(word)], (), len(word), 0.0)]
-            found = []
-            while queue and len(found) < n:
-                _, ids, at, behind = heapq.heappop(queue)
-                if not at:
-                    found.append((behind, ids))
-                    continue
-                for i, s, own in by_end[at]:
-                    heapq.heappush(queue, (-(best[i] + s + behind), own + ids, i, s + behind))
+        asked, ways = self.lists.get(word, (0, []))
+        if asked >= n:
+            return ways[:n]
+        best, _, start, last = self.forward(word)
+        queue, ways, made, back = [(0.0, 0, None, len(word))], [], 0, self.back
+        while queue:
+            loss, _, turns, at = queue.pop(0)
+            ways.append((best[-1] - loss, self._path(word, turns, start, last)))
+            room = n - len(ways)
+            if not room:
+                break
+            del queue[room:]
+            worst = queue[-1][0] if len(queue) == room else float("inf")
+            while at:
+                behind, first, usual = loss + best[at], start[at], last[at]
+                node, i = back.get(word[at - 1]), at - 1
+                arcs = [] if node is not None and node[0] >= 0 else [(i, -1, self.unknown)]
+                while node is not None:
+                    if node[0] >= 0:
+                        arcs.append((i, node[0], node[1]))
+                    i -= 1
+                    node = node[2].get(word[i]) if i >= 0 else None
+                for i, piece, score in arcs:
+                    more = behind - (best[i] + score)
+                    if more < worst and (i != first or piece != usual):
+                        made += 1
+                        insort(queue, (more, made, (at, i, piece, turns), i))
+                        del queue[room:]
+                        worst = queue[-1][0] if len(queue) == room else float("inf")
+                at = first
+        if len(word) <= CACHED_CHARS:
             if len(self.lists) >= LISTS:
                 self.lists.clear()
-            if len(found) < n:
-                found.append(None)  # complete
-            self.lists[word] = found
-        return [x for x in found[:n] if x]
+            self.lists[word] = (n, ways)
+        return ways
 
-    def split(self, text: str) -> list[str]:
-        """Words of the text, which starts with a word mark; a mark of the text itself is passed on as NUL's place."""
+    def blocks(self, text: str):
+        """The words of the text, which starts with a word mark, in lists."""
         if not text:
-            return []
+            return
         if MARK in text or "\0" in text:
-            return self._split_odd(text)
-        return self.cut.findall(MARK + text.replace(" ", MARK))
-
-    def _split_odd(self, text: str) -> list[str]:
-        """Marks and NULs of the text become words of their own, written as bytes."""
-        out, first = [], True
-        for part in re.split(f"([{MARK}\0])", text):
+            words = self._split_odd(text)
+        elif len(text) <= LONG_TEXT:
+            yield self.cut.findall(MARK + text.replace(" ", MARK))
+            return
+        else:
+            words = (m[0] for m in self.cut.finditer(MARK + text.replace(" ", MARK)))
+        while some := list(islice(words, AT_ONCE)):
+            yield some
+
+    def _split_odd(self, text: str):
+        """Marks and NULs of the text become words of their own (NUL, or two of them), written as bytes."""
+        first = True
+        for odd in re.finditer(f"[{MARK}\0]|[^{MARK}\0]+", text):
+            part = odd[0]
             if part in (MARK, "\0"):
                 if first:
-                    out.append(MARK)
-                out.append("\0" if part == MARK else "\0\0")
-            elif part:
-                out += self.cut.findall((MARK if first else "") + part.replace(" ", MARK))
-            first = first and not part
-        return out
+                    yield MARK
+                yield "\0" if part == MARK else "\0\0"
+            else:
+                for m in self.cut.finditer((MARK if first else "") + part.replace(" ", MARK)):
+                    yield m[0]
+            first = False
 
     def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, list[float], list]:
-        """Ids of the best segmentation, the n best scores, and for each what it changes: [(word number, place of the
-        word's ids among the best ones, how many they are, ids instead)], by word."""
-        words, known, solve = self.split(text), self.words.get, self.solve
-        solved = [known(w) or solve(w) for w in words]
-        ids = np.fromiter(chain.from_iterable(map(_IDS, solved)), np.int32)
-        total = sum(map(_SCORE, solved))
-        scores, changes = [total], [[]]
-        if n > 1 and words:
-            loss = np.fromiter(map(_LOSS, solved), float, len(solved))
-            near = np.argpartition(loss, n - 2)[: n - 1] if len(loss) > n - 1 else np.arange(len(loss))
-            near = sorted((x, k) for x, k in zip(loss[near].tolist(), near.tolist()) if x != float("inf"))
-            choices = [(k, self._others(words[k], solved[k], n)) for _, k in near]
-            places = [(k, sum(map(len, map(_IDS, solved[:k]))), len(solved[k][0])) for k, _ in choices]
-            losses = [[ways[0][0] - w[0] for w in ways] for _, ways in choices]
-            queue, seen, start = [], set(), (0,) * len(choices)
-            heapq.heappush(queue, (0.0, start))
-            scores, changes = [], []
-            while queue and len(scores) < n:
-                loss, picks = heapq.heappop(queue)
-                scores.append(total - loss)
-                changes.append(sorted((*places[c], choices[c][1][p][1]) for c, p in enumerate(picks) if p))
-                for c in range(len(picks)):
-                    more = picks[:c] + (picks[c] + 1,) + picks[c + 1 :]
-                    if more[c] < len(losses[c]) and more not in seen:
-                        seen.add(more)
-                        heapq.heappush(queue, (sum(losses[x][p] for x, p in enumerate(more)), more))
+        """Ids of the best segmentation, the n best scores, and for each what it changes: [(word number, place among
+        the best ids, how many of them go, ids instead)], by word."""
+        known, solve = self.words.get, self.solve
+        parts, total, near, words_before, ids_before = [], 0.0, [], 0, 0
+        for words in self.blocks(text):
+            solved = [known(w) or solve(w) for w in words]
+            parts.append(np.fromiter(chain.from_iterable(map(_IDS, solved)), np.int32))
+            total += sum(map(_SCORE, solved))
+            if n > 1:
+                loss = np.fromiter(map(_LOSS, solved), float, len(solved))
+                some = np.argpartition(loss, n - 2)[: n - 1] if len(loss) > n - 1 else np.arange(len(loss))
+                for k in some[loss[some] < float("inf")].tolist():
+                    near.append((float(loss[k]), words_before + k, ids_before + sum(map(len, map(_IDS, solved[:k]))), words[k]))
+                near = sorted(near)[: n - 1]
+            words_before, ids_before = words_before + len(words), ids_before + len(parts[-1])
+        ids = parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts])
+        if not near:
+            return ids, [total], [[]]
+        choices = [(k, at, self.nbest(word, n)) for _, k, at, word in near]
+        losses = [[ways[0][0] - w[0] for w in ways] for _, _, ways in choices]
+        start = (0,) * len(choices)
+        queue, seen, scores, changes = [(0.0, start)], set(), [], []
+        while queue and len(scores) < n:
+            loss, picks = heapq.heappop(queue)
+            scores.append(total - loss)
+            changes.append(sorted((choices[c][0], *_changed(choices[c][1], choices[c][2][0][1], choices[c][2][p][1])) for c, p in enumerate(picks) if p))
+            for c in range(len(picks)):
+                more = picks[:c] + (picks[c] + 1,) + picks[c + 1 :]
+                if more[c] < len(losses[c]) and more not in seen:
+                    seen.add(more)
+                    heapq.heappush(queue, (sum(losses[x][p] for x, p in enumerate(more)), more))
         return ids, scores, changes
 
-    def _others(self, word: str, solved: tuple, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best of a word, the one that ``solve`` chose first: among equal scores the two may order otherwise."""
-        ways = self.nbest(word, n)
-        if ways[0][1] != solved[0]:
-            ways = [(ways[0][0], solved[0]), *[w for w in ways if w[1] != solved[0]][: n - 1]]
-        return ways
-
     def _odd(self, word: str) -> tuple:
         raw = MARK.encode() if word == "\0" else b"\0"
         return tuple(self.byte_id[b] for b in raw), self.unknown, float("inf")
 
     def decode(self, ids) -> str:
         """The text of the ids: pieces joined, bytes put together, the first word mark dropped."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return raw.decode("utf-8", "surrogatepass")[1:]
+        ids = np.asarray(ids, np.int32)
+        parts = [b"".join(map(self.bytes_of.__getitem__, ids[a : a + AT_ONCE].tolist())) for a in range(0, len(ids), AT_ONCE)]
+        return b"".join(parts).decode("utf-8", "surrogatepass")[1:]
+
+
+def _changed(at: int, old, new) -> tuple[int, int, array]:
+    """Where the ids of two ways differ: place, how many go, what comes instead (what both end with is left out)."""
+    a, b = np.frombuffer(old, np.int32), np.frombuffer(new, np.int32)
+    least = min(len(a), len(b))
+    apart = np.flatnonzero(a[:least] != b[:least])
+    head = int(apart[0]) if len(apart) else least
+    apart = np.flatnonzero(a[::-1][: least - head] != b[::-1][: least - head])
+    tail = int(apart[0]) if len(apart) else least - head
+    return at + head, len(a) - head - tail, new[head : len(b) - tail]
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -290,7 +339,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_i
                 ids, scores, changes = vocabulary.encode(text, n)
                 digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
                 other = [[{"word": k, "at": at, "old": old, "ids": list(x)} for k, at, old, x in c] for c in changes[1:]] if with_alternatives else None
-                rows.append((doc_id, len(ids), ids if with_ids else None, digest, scores, other, vocabulary.decode(ids.tolist()) == text))
+                rows.append((doc_id, len(ids), ids if with_ids else None, digest, scores, other, vocabulary.decode(ids) == text))
                 size += len(ids)
                 if size > 1_000_000:
                     yield pd.DataFrame(rows, columns=names)
@@ -322,6 +371,6 @@ def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         vocabulary = get()
-        return ids.map(lambda x: vocabulary.decode(x.tolist()) if x is not None and len(x) else "")
+        return ids.map(lambda x: vocabulary.decode(x) if x is not None and len(x) else "")
 
     return encoded.select("doc_id", decode("ids").alias("text"))

@@ -157,6 +157,38 @@ def test_decoding_gives_the_text(vocabulary, text):
     assert vocabulary.decode(ids.tolist()) == text
 
 
+@pytest.mark.parametrize("word", ["a" * 40, "ab" * 20, "thereandback" * 5, "\u4e00x" * 12])
+def test_long_words_have_the_n_best_that_a_table_gives(vocabulary, word):
+    """Against a forward table of the n best scores of each position."""
+    table = [[0.0]] + [[] for _ in word]
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - 40), j):
+            own = vocabulary.pieces.get(word[i:j], (0, None))[1]
+            if own is None and j == i + 1:
+                own = vocabulary.unknown
+            if own is not None:
+                table[j] += [x + own for x in table[i]]
+        table[j] = sorted(table[j], reverse=True)[:6]
+    ways = vocabulary.nbest(word, 6)
+    assert [s for s, _ in ways] == pytest.approx(table[-1])
+    assert len({tuple(x) for _, x in ways}) == len(ways)
+    assert all(b"".join(vocabulary.bytes_of[i] for i in x).decode() == word for _, x in ways)
+
+
+@pytest.mark.parametrize("text", ["a" * 150_000, "qx\u4e00" * 50_000, "the cat sat " * 100_000], ids=["one letter", "unknown", "words"])
+def test_long_words_and_texts_take_little_memory(vocabulary, text):
+    import tracemalloc
+
+    tracemalloc.start()
+    ids, scores, changes = vocabulary.encode(text, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 * len(text) + (20 << 20)
+    found = pieces.segmentations(ids, [[{"at": a, "old": o, "ids": x} for _, a, o, x in c] for c in changes[1:]])
+    assert len(found) == len(scores) and all(vocabulary.decode(x) == text for x in found)
+    assert scores == sorted(scores, reverse=True)
+
+
 def test_encoding_documents(spark, odd_docs, no_docs):
     done = pieces.encode_documents(odd_docs)
     rows = done.collect()
