@@ -2,17 +2,23 @@
 
 ``write_archives`` lets Spark write the records as gzip files, each one monolithic stream.  ``normalise`` inflates
 each stream once, rewrites every record as a gzip member of its own, and puts a tab-separated index (file, offset,
-length, record id) beside the file.  ``read_records`` goes by the index and inflates single members.  All files lie
-in the shared folder and are renamed into place when complete, so a task can run again anywhere.
+length, record id) beside the file.  ``read_records`` goes by the index and inflates single members.  Archives and
+records pass through tasks in pieces of a megabyte, so neither has to fit in memory.
+
+An archive's output is named by its path below the source folder and a hash of that path, so no two archives meet.
+Data is written under a name of its own attempt; the index, which tells that name, is published by one rename.  A
+task that runs again finds the index and leaves it, or publishes its own pair: never a data file with an index of
+another attempt.  All files lie in the shared folder.
 
 Defined results: a null html is an empty payload; a null url is written as about:blank, white space and control
 characters in a url as %XX; a null page_id reads back as null and never stands for others; rows that repeat the
-smallest page_id and payload are all responses.
+smallest page_id and payload are all responses.  Archives in subfolders are read; zero bytes behind a member are
+padding; a stream that is cut off, a record without Content-Length or a head above HEAD_LIMIT ends the job with the
+archive's name.  A target that holds files already is refused.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
 import zlib
@@ -21,26 +27,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import delete, materialize, new_path
 
 #: Payloads below so many bytes are never replaced by a revisit.
 LEAST_REVISIT = 100
-#: Records of a file at most, which bounds the memory that normalising one takes.
-RECORDS_PER_FILE = 5_000
+#: Records of a written file at most, and payload bytes of one on average at most.
+RECORDS_PER_FILE, FILE_BYTES = 5_000, 256 << 20
+#: Bytes of a record's head at most.
+HEAD_LIMIT = 1 << 20
 _STEP = 1 << 20
 END = "\r\n\r\n"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def with_types(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
+def _payloads(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
-    large = F.col("payload_bytes") >= LEAST_REVISIT
-    firsts = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(firsts, "payload_digest", "left")
-    revisit = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
+
+
+def payload_sizes(pages: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest of each row, written: what types are decided by, without payloads."""
+    return materialize(_payloads(pages).select("page_id", "payload_bytes", "payload_digest"), "payloads")
+
+
+def with_types(pages: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+
+    Ids meet by digest, payloads only by (page_id, digest): however common a payload is, no task gathers its copies.
+    """
+    large = (payload_sizes(pages) if sizes is None else sizes).where(F.col("payload_bytes") >= LEAST_REVISIT).select("page_id", "payload_digest")
+    firsts = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    # written first: a join of two plain shuffles is one whose skewed partitions Spark splits
+    again = large.join(materialize(firsts, "firsts"), "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    again = again.select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest"), "refers_to")
+    rows = _payloads(pages).join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest")), "left")
+    kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
+    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 def _uri(page_id: Column) -> Column:
@@ -76,78 +98,164 @@ def record_text(date: str = "1970-01-01T00:00:00Z") -> Column:
     return F.concat(*parts)
 
 
-def write_archives(typed: DataFrame, path: str) -> None:
-    """Gzip files of WARC records, each file one stream from end to end."""
-    typed.select(record_text().alias("value")).write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def records_per_file(sizes: DataFrame) -> int:
+    mean = sizes.agg(F.avg("payload_bytes")).first()[0] or 0
+    return int(max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(mean, 1))))
 
 
-def split_records(pieces):
-    """Whole records (bytes, with their end) from an iterator of inflated pieces."""
-    buffer, size, end = bytearray(), None, END.encode()
-    for piece in pieces:
-        buffer += piece
-        at = 0
-        while True:
-            if size is None:
-                head = buffer.find(end, at)
-                if head < 0:
-                    break
-                length = next(x for x in bytes(buffer[at:head]).split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                size = head - at + 4 + int(length.split(b":")[1]) + 4
-            if len(buffer) - at < size:
-                break
-            yield bytes(buffer[at : at + size])
-            at, size = at + size, None
-        del buffer[:at]
-    if buffer:
-        raise ValueError(f"{len(buffer)} bytes after the last whole record")
+def write_archives(typed: DataFrame, path: str, most: int = RECORDS_PER_FILE) -> None:
+    """Gzip files of at most ``most`` WARC records, each file one stream from end to end."""
+    typed.select(record_text().alias("value")).write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
-def inflate(content: bytes):
-    """The inflated bytes of a gzip file of one or more members, piece by piece."""
-    stream, at = zlib.decompressobj(31), 0
-    while at < len(content) or stream.unconsumed_tail:
-        taken = stream.unconsumed_tail or content[at : (at := min(at + _STEP, len(content)))]
-        yield stream.decompress(taken, _STEP)
-        if stream.eof:
-            at -= len(stream.unused_data)
-            stream = zlib.decompressobj(31)
-    yield stream.flush()
+def _fields(head: bytes) -> dict[str, str]:
+    pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
-def _fields(record: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, body = record.partition(b"\r\n\r\n")
-    pairs = (x.partition(": ") for x in head.decode().split("\r\n")[1:])
-    return {k.lower(): v for k, _, v in pairs}, body[:-4]
+def split_records(pieces):
+    """(starts, bytes) pieces of all records from pieces of the stream; one that starts a record is its whole head."""
+    buffer, left, end = bytearray(), 0, END.encode()
+    for piece in pieces:
+        buffer += piece
+        while buffer:
+            if left:
+                some = bytes(buffer[:left])
+                del buffer[: len(some)]
+                left -= len(some)
+                yield False, some
+                continue
+            at = buffer.find(end)
+            if at > HEAD_LIMIT or at < 0 and len(buffer) > HEAD_LIMIT:
+                raise ValueError(f"a record's head has more than {HEAD_LIMIT} bytes")
+            if at < 0:
+                break
+            head = bytes(buffer[: at + 4])
+            del buffer[: at + 4]
+            length = _fields(head).get("content-length", "")
+            if not length.isdecimal():
+                raise ValueError("a record has no Content-Length")
+            left = int(length) + 4
+            yield True, head
+    if buffer or left:
+        raise ValueError("the stream ends inside a record")
+
+
+def inflate(pieces):
+    """The inflated bytes of a gzip stream of one or more members, from its pieces in pieces of a megabyte."""
+    stream, open_member = zlib.decompressobj(31), False
+    for piece in pieces:
+        while piece:
+            if not open_member:
+                piece = piece.lstrip(b"\0")
+                if not piece:
+                    break
+            open_member = True
+            some = stream.decompress(piece, _STEP)
+            if some:
+                yield some
+            piece = stream.unconsumed_tail
+            if stream.eof:
+                piece, stream, open_member = stream.unused_data, zlib.decompressobj(31), False
+    if open_member:
+        if some := stream.flush():
+            yield some
+        if not stream.eof:
+            raise ValueError("the gzip stream is cut off")
+
+
+def _pieces(file, left: int | None = None):
+    while left is None or left > 0:
+        some = file.read(_STEP if left is None else min(_STEP, left))
+        if not some:
+            return
+        left = None if left is None else left - len(some)
+        yield some
+
+
+def _storage(uri: str):
+    """pyarrow's file system and path of an address as Spark writes it (file:/x, s3a://x)."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file:///" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri("s3" + uri.removeprefix("s3a") if uri.startswith("s3a:") else uri)
+
+
+def output_name(path: str, root: str) -> str:
+    """The name of an archive's output, without ending: its path below ``root`` and a hash of that."""
+    below = path.removeprefix(root).lstrip("/")
+    stem = below.removesuffix(".gz").removesuffix(".warc")
+    return f"{stem.replace('/', '_')[-100:]}-{hashlib.blake2b(below.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+
+
+def rewrite(pieces, out, index, name: str) -> tuple[int, int]:
+    """One member a record into ``out``, a line a record into ``index``; (records, bytes)."""
+    start = offset = records = 0
+    member, record_id = None, ""
+
+    def close():
+        nonlocal start, offset, records
+        if member is not None:
+            last = member.flush()
+            out.write(last)
+            offset += len(last)
+            index.write(f"{name}\t{start}\t{offset - start}\t{record_id}\n".encode())
+            start, records = offset, records + 1
+
+    for starts, piece in split_records(inflate(pieces)):
+        if starts:
+            close()
+            member, record_id = zlib.compressobj(6, zlib.DEFLATED, 31), " ".join(_fields(piece).get("warc-record-id", "").split())
+        some = member.compress(piece)
+        out.write(some)
+        offset += len(some)
+    close()
+    return records, offset
+
+
+def _normalise_one(path: str, root: str, store, target: str) -> tuple[str, int, int]:
+    """Rewrite one archive, or tell what an earlier attempt published."""
+    name = output_name(_storage(path)[1], root)
+    published = f"{target}/{name}.idx"
+    if store.get_file_info(published).is_file:
+        with store.open_input_stream(published, compression=None) as f:
+            lines = f.read().decode().splitlines()
+        return (lines[-1].split("\t")[0], len(lines), sum(map(int, lines[-1].split("\t")[1:3]))) if lines else (name, 0, 0)
+    own = f"{name}-{uuid.uuid4().hex[:12]}"
+    drafts = [f"{target}/_{own}.warc.gz", f"{target}/_{own}.idx"]
+    source, at = _storage(path)
+    try:
+        with source.open_input_stream(at, compression=None) as f, store.open_output_stream(drafts[0], compression=None) as out, store.open_output_stream(drafts[1], compression=None) as index:
+            records, size = rewrite(_pieces(f), out, index, f"{own}.warc.gz")
+        store.move(drafts[0], f"{target}/{own}.warc.gz")
+        store.move(drafts[1], published)
+    except Exception as e:
+        for x in (*drafts, f"{target}/{own}.warc.gz"):
+            if store.get_file_info(x).is_file:
+                store.delete_file(x)
+        raise ValueError(f"{path}: {e}") from e
+    return f"{own}.warc.gz", records, size
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite each gzip stream below ``source``: one member a record, and an index.  (file, records, bytes) rows."""
+    from pyarrow import fs
 
-    def run(batches):
-        from pyarrow import fs
+    store, to = _storage(target)
+    if store.get_file_info(fs.FileSelector(to, allow_not_found=True)):
+        raise ValueError(f"{target} is not empty")
 
-        store, root = fs.FileSystem.from_uri(target)
-        store.create_dir(root)
+    def run(batches):
+        store, to = _storage(target)
+        root = _storage(source)[1]
+        store.create_dir(to)
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                name = path.rsplit("/", 1)[1].split(".")[0] + ".warc.gz"
-                own = f"{root}/_{name}-{uuid.uuid4().hex}"
-                offset, lines = 0, []
-                with store.open_output_stream(own, compression=None) as out:
-                    for record in split_records(inflate(content)):
-                        member = gzip.compress(record, 6, mtime=0)
-                        out.write(member)
-                        lines.append(f"{name}\t{offset}\t{len(member)}\t{_fields(record)[0]['warc-record-id']}\n")
-                        offset += len(member)
-                with store.open_output_stream(own + ".idx", compression=None) as out:
-                    out.write("".join(lines).encode())
-                store.move(own, f"{root}/{name}")
-                store.move(own + ".idx", f"{root}/{name.removesuffix('.warc.gz')}.idx")
-                yield pd.DataFrame({"file": [name], "records": [len(lines)], "bytes": [offset]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
-    return materialize(files.select("path", "content").mapInPandas(run, "file string, records long, bytes long"), "normalised")
+            for path in pdf["path"]:
+                yield pd.DataFrame([_normalise_one(path, root, store, to)], columns=["file", "records", "bytes"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(source)
+    return materialize(files.select("path").mapInPandas(run, "file string, records long, bytes long"), "normalised")
 
 
 def read_index(spark: SparkSession, target: str) -> DataFrame:
@@ -155,27 +263,45 @@ def read_index(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("pathGlobFilter", "*.idx").csv(target)
 
 
+def read_record(pieces) -> tuple[dict[str, str], int, int, str]:
+    """Fields of a record's head; the payload length its HTTP head states, the length found and its SHA-256."""
+    fields, http, left, size, sha = {}, bytearray(), 0, 0, hashlib.sha256()
+    inside = False
+    for starts, piece in split_records(inflate(pieces)):
+        if starts:
+            fields = _fields(piece)
+            left = int(fields["content-length"])
+            continue
+        piece, left = piece[:left], left - min(left, len(piece))
+        if not inside:
+            http += piece
+            at = http.find(END.encode())
+            if at < 0:
+                continue
+            inside, piece = True, bytes(http[at + 4 :])
+            del http[at:]
+        size += len(piece)
+        sha.update(piece)
+    return fields, int(_fields(bytes(http)).get("content-length", -1)), size, sha.hexdigest()
+
+
 def read_records(spark: SparkSession, target: str) -> DataFrame:
     """Each record of the archives, read as a single member where the index says; digests are checked."""
 
     def run(batches):
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(target)
+        store, root = _storage(target)
         for pdf in batches:
             out = []
             for name, part in pdf.groupby("file", sort=False):
                 with store.open_input_file(f"{root}/{name}") as archive:
                     for offset, length in zip(part["offset"], part["length"]):
                         archive.seek(offset)
-                        fields, block = _fields(gzip.decompress(archive.read(length)))
-                        http, _, payload = block.partition(b"\r\n\r\n")
+                        fields, stated, size, sha = read_record(_pieces(archive, length))
                         digest = fields["warc-payload-digest"].removeprefix("sha256:")
-                        size = int(http.rsplit(b": ", 1)[1])
-                        if fields["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+                        if fields["warc-type"] == "response" and (size != stated or sha != digest):
                             raise ValueError(f"{name} at {offset}: the payload differs from its digest")
                         ids = [fields.get(k, "null>").rsplit(":", 1)[-1][:-1] for k in ("warc-record-id", "warc-refers-to")]
-                        out.append((*(None if x == "null" else int(x) for x in ids), size, digest, fields["warc-type"]))
+                        out.append((*(None if x == "null" else int(x) for x in ids), stated, digest, fields["warc-type"]))
             frame = pd.DataFrame(out, columns=["page_id", "refers_to", "payload_bytes", "payload_digest", "record_type"])
             yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})[["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]]
 
@@ -186,7 +312,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages, normalise the archives and read them back."""
     spark = pages.sparkSession
     raw, tidy = new_path(spark, "warc-raw"), new_path(spark, "warc")
-    write_archives(with_types(pages), raw)
-    if not normalise(spark, raw, tidy).limit(1).count():
-        return spark.createDataFrame([], READ)
-    return read_records(spark, tidy)
+    sizes = payload_sizes(pages)
+    write_archives(with_types(pages, sizes), raw, records_per_file(sizes))
+    some = normalise(spark, raw, tidy).limit(1).count()
+    delete(spark, raw)  # read for the last time
+    return read_records(spark, tidy) if some else spark.createDataFrame([], READ)

@@ -94,7 +94,7 @@ def test_each_record_is_a_member_of_its_own(spark, tmp_path):
     done = warc.normalise(spark, raw, tidy).collect()
     assert sum(r.records for r in done) == frame.count()
     for index in (tmp_path / "tidy").glob("*.idx"):
-        content = index.with_suffix(".warc.gz").read_bytes()
+        content = (index.parent / index.read_text().partition("\t")[0]).read_bytes()
         end = 0
         for line in index.read_text().splitlines():
             name, offset, length, record_id = line.split("\t")
@@ -106,14 +106,88 @@ def test_each_record_is_a_member_of_its_own(spark, tmp_path):
         assert end == len(content)
 
 
+def whole_records(pieces):
+    out = []
+    for starts, piece in warc.split_records(pieces):
+        if starts:
+            out.append(b"")
+        out[-1] += piece
+    return out
+
+
 def test_streams_are_split_wherever_pieces_end():
     records = [f"WARC/1.1\r\nContent-Length: {n}\r\n\r\n{'y' * n}\r\n\r\n".encode() for n in (0, 5, 3000)]
     whole = b"".join(records)
     for step in (1, 7, 100_000):
-        assert list(warc.split_records(whole[i : i + step] for i in range(0, len(whole), step))) == records
-    assert b"".join(warc.inflate(gzip.compress(whole[:100]) + gzip.compress(whole[100:]))) == whole
+        assert whole_records(whole[i : i + step] for i in range(0, len(whole), step)) == records
+    packed = gzip.compress(whole[:100]) + gzip.compress(whole[100:]) + bytes(5)
+    for step in (1, 10_000):
+        assert b"".join(warc.inflate(packed[i : i + step] for i in range(0, len(packed), step))) == whole
+    with pytest.raises(ValueError):
+        whole_records([whole[:-1]])
+    with pytest.raises(ValueError):
+        list(warc.inflate([gzip.compress(whole)[:-9]]))
+    with pytest.raises(ValueError):
+        whole_records([b"WARC/1.1\r\nX: 1\r\n\r\n"])
+
+
+def record(page, payload=b"<p>"):
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{page}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}\r\nContent-Length: {len(http) + len(payload)}\r\n\r\n"
+    return head.encode() + http + payload + b"\r\n\r\n"
+
+
+def test_archives_of_like_names_all_stay(spark, tmp_path):
+    names = ["crawl.00001.warc.gz", "crawl.00002.warc.gz", "a/crawl.warc.gz", "b/crawl.warc.gz", "a_crawl.warc.gz"]
+    for i, name in enumerate(names):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(gzip.compress(record(10 * i) + record(10 * i + 1)))
+    done = warc.normalise(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
+    assert len({r.file for r in done}) == 5 and all(r.records == 2 for r in done)
+    assert sorted(r.page_id for r in warc.read_records(spark, f"file://{tmp_path}/out").collect()) == sorted(10 * i + k for i in range(5) for k in (0, 1))
     with pytest.raises(ValueError):
-        list(warc.split_records([whole[:-1]]))
+        warc.normalise(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+
+
+def test_a_task_that_runs_again_keeps_one_pair(tmp_path):
+    source, target = tmp_path / "x.warc.gz", tmp_path / "out"
+    source.write_bytes(gzip.compress(record(1) + record(2)))
+    target.mkdir()
+    store = warc._storage(f"file://{target}")[0]
+    first = warc._normalise_one(f"file:{source}", str(tmp_path), store, str(target))
+    assert warc._normalise_one(f"file:{source}", str(tmp_path), store, str(target)) == first and first[1] == 2
+    assert sorted(p.suffix for p in target.iterdir()) == [".gz", ".idx"]
+    source.write_bytes(gzip.compress(record(1))[:-9])
+    (tmp_path / "other").mkdir()
+    with pytest.raises(ValueError, match="x.warc.gz"):
+        warc._normalise_one(f"file:{source}", str(tmp_path), store, f"{tmp_path}/other")
+    assert not list((tmp_path / "other").iterdir())
+
+
+def test_large_records_pass_in_pieces():
+    """An archive of one record of 300 MB, made and rewritten as a stream, and its member read back."""
+    import io
+    import tracemalloc
+
+    n, block = 300, bytes(1 << 20)
+
+    def archive():
+        packer, whole = zlib.compressobj(1, zlib.DEFLATED, 31), n << 20
+        http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % whole
+        yield packer.compress(b"WARC/1.1\r\nWARC-Record-ID: <urn:x-page:1>\r\nContent-Length: %d\r\n\r\n" % (len(http) + whole) + http)
+        for _ in range(n):
+            yield packer.compress(block)
+        yield packer.compress(b"\r\n\r\n") + packer.flush()
+
+    out, index = io.BytesIO(), io.BytesIO()
+    tracemalloc.start()
+    assert warc.rewrite(archive(), out, index, "x")[0] == 1
+    out.seek(0)
+    _, stated, size, _ = warc.read_record(warc._pieces(out))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    assert stated == size == n << 20
 
 
 @pytest.fixture(scope="module")
