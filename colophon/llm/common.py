@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that one vectorised step takes at once (a single longer text is still taken whole).
+#: Characters that one vectorised step takes at once; a longer text is taken in parts.
 CHUNK_CHARS = 1 << 18
 #: Multiplier of the rolling word hash; odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -99,7 +99,7 @@ def code_points(text: str) -> np.ndarray:
 
 
 def chunks(texts: list[str]):
-    """(first index, texts) of runs of at most CHUNK_CHARS characters, one text at least."""
+    """(first index, texts) of runs of at most CHUNK_CHARS characters; a longer text comes alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > CHUNK_CHARS:
@@ -110,13 +110,58 @@ def chunks(texts: list[str]):
         yield start, texts[start:]
 
 
-def word_hashes(texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def is_long(texts: list[str]) -> bool:
+    """Is this a single text that has to be taken in parts?"""
+    return len(texts) == 1 and len(texts[0]) > CHUNK_CHARS
+
+
+def word_parts(lowered: str):
+    """A long text in order: (piece of whole words, False) of at most CHUNK_CHARS characters, (longer word, True)."""
+    table, at = word_table(), 0
+    while at < len(lowered):
+        inside = table[code_points(lowered[at : at + CHUNK_CHARS])]
+        if at + len(inside) >= len(lowered):
+            yield lowered[at:], False
+            return
+        gaps = np.flatnonzero(~inside)
+        if len(gaps):
+            cut = max(int(gaps[-1]), 1)
+            yield lowered[at : at + cut], False
+            at += cut
+            continue
+        end = at + len(inside)
+        while end < len(lowered):
+            gaps = np.flatnonzero(~table[code_points(lowered[end : end + CHUNK_CHARS])])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + CHUNK_CHARS, len(lowered))
+        yield lowered[at:end], True
+        at = end
+
+
+def word_sum(word: str) -> int:
+    """The rolling hash of one word of any length, before mixing."""
+    _, down = _powers(CHUNK_CHARS)
+    total = 0
+    for a in range(0, len(word), CHUNK_CHARS):
+        codes = code_points(word[a : a + CHUNK_CHARS])
+        part = int(((codes.astype(np.uint64) + np.uint64(1)) * down[: len(codes)]).sum(dtype=np.uint64))
+        total += part * pow(_BASE, -a, 1 << 64)
+    return total % (1 << 64)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, in order, and offsets: text i has words offsets[i]:offsets[i+1]."""
     lowered = [t.lower() for t in texts]
+    if is_long(lowered):
+        parts = [mix(np.array([(word_sum(x) + len(x)) % (1 << 64)], np.uint64)) if whole else word_hashes([x])[0] for x, whole in word_parts(lowered[0])]
+        hashes = np.concatenate(parts)
+        return hashes, np.array([0, len(hashes)])
     codes = code_points("\n".join(lowered) + "\n")
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in lowered], out=at[1:])
-    inside = (word_table() if table is None else table)[codes]
+    inside = word_table()[codes]
     edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(codes) + 1)

@@ -6,7 +6,8 @@ that occur more than once anywhere and answers each message with a bitmap.  Sour
 own answers, and only texts marked in them are shuffled, where equal bytes are grouped as such.
 
 Defined results: a null text counts as empty, empty texts equal each other, a null doc_id ranks below all others.
-Rows that repeat both id and text share ``kept``; ``drop_copies`` leaves one of them.  Other columns are ignored.
+Rows that repeat both id and text share ``kept``; ``drop_copies`` leaves one of them.  Other columns play no part,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from .common import materialize, new_path
 #: Source partitions whose answers share a folder (one file each), so that files grow with the partitions and not
 #: with partitions times owners; a task reads that many partitions' answers to find its own.
 SOURCES_PER_FOLDER = 16
+#: Rows whose fingerprints one owner holds at most, on average: eight bytes each, a few times over.
+ROWS_PER_OWNER = 2_000_000
+#: Source partitions whose copies of a text are folded together before all of them are.
+PARTS_PER_FOLD = 16
 
 MESSAGE = "src long, owner int, n int, shift int, unary binary, rest binary, dup binary"
 
@@ -107,6 +112,11 @@ def _read_answers(path: str, src: int, owners: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(fps), np.concatenate(dup)
 
 
+def owners_for(docs: DataFrame) -> int:
+    """Owners grow with the rows, so that an owner's part stays the same size."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ROWS_PER_OWNER))
+
+
 def mark_suspects(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """(doc_id, text, fp, suspect): suspect is true for every text whose fingerprint occurs more than once.
 
@@ -114,7 +124,7 @@ def mark_suspects(docs: DataFrame, owners: int | None = None) -> DataFrame:
     as suspect, so a copy is never missed.
     """
     spark = docs.sparkSession
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or owners_for(docs)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
     sent = base.select("fp").mapInPandas(_messages(owners), MESSAGE)
     path = new_path(spark, "bitmaps")
@@ -135,38 +145,36 @@ def mark_suspects(docs: DataFrame, owners: int | None = None) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and ``repeats`` (rows that have keep_id in the group)."""
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
     marked = mark_suspects(docs, owners).select(
         "doc_id",
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
         "suspect",
         F.when(F.col("suspect"), F.col("text")).alias("text"),
+        F.floor(F.spark_partition_id() / PARTS_PER_FOLD).alias("part"),
     )
     marked = materialize(marked, "marked")
     rows = marked.select("doc_id", "text_sha256", "suspect")
-    suspects = marked.where("suspect")
-    by_id = suspects.groupBy("text_sha256", "text", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = (
-        by_id.groupBy("text_sha256", "text")
-        .agg(F.max(F.struct("doc_id", "n")).alias("m"), F.sum("n").alias("group_size"))
-        .select("text_sha256", F.col("m.doc_id").alias("keep_id"), F.col("m.n").alias("repeats"), "group_size")
-    )
-    alone = rows.where("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", F.lit(1).cast("long").alias("repeats"))
-    shared = rows.where("suspect").join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "repeats")
+    # a text that very many rows share is folded in two steps: by its bytes in a few partitions, then over all
+    in_parts = marked.where("suspect").groupBy("text_sha256", "text", "part").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    in_parts = materialize(in_parts, "folded")
+    groups = in_parts.groupBy("text_sha256", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).drop("text")
+    alone = rows.where("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    shared = rows.where("suspect").join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(shared)
 
 
 def drop_copies(docs: DataFrame, owners: int | None = None) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: of equal texts one row, with the largest doc_id."""
+    """The rows of ``docs`` (all columns, whatever their names) that stay: of equal texts one, with the largest doc_id."""
     found = materialize(exact_dedup(docs, owners), "exact")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    cols = docs.columns
-    tagged = docs.withColumn("__sha", digest)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__s")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__s"))
-    left = tagged.join(gone, same, "left_anti")
-    again = found.where("kept AND repeats > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__s")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own"), digest.alias("sha"))
+    which = [F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")]
+    same = (F.col("sha") == F.col("digest")) & F.col("own").eqNullSafe(F.col("id"))
+    left = rows.join(found.where("NOT kept").select(*which).distinct(), same, "left_anti")
+    again = found.where("kept AND group_size > 1").groupBy(*which).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = materialize(again, "repeated")
     if not again.limit(1).count():
-        return left.select(cols)
-    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return left.join(again, same, "left_anti").unionByName(once).select(cols)
+        return left.select("doc.*")
+    once = left.join(again, same, "left_semi").dropDuplicates(["own", "sha"])
+    return left.join(again, same, "left_anti").unionByName(once).select("doc.*")

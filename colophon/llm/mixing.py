@@ -7,10 +7,11 @@ total budget.
 
 Running sums never gather a source or the whole mix in one task: the first hexadecimal digits of the md5 (or the
 finish time's leading digits) cut the order into ranges, range totals are summed first, and only inside a range
-rows are sorted.
+rows are sorted.  The number of ranges grows with the rows, so that a range holds about ROWS_PER_RANGE of them.
 
 Defined results: a null or blank text has size 0 and is never taken; a null source is a source of its own, last in
-order; a source without words has target 0; rows with equal id, source and size are interchangeable.
+order; a source without words has target 0; rows with equal id, source and size are interchangeable; other columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +23,18 @@ from .common import materialize
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hexadecimal digits of the md5 that cut a source's order into ranges (3: 4096 ranges a source).
-RANGE_DIGITS = 3
-#: Ranges of the virtual finish time, which lies between 0 and the largest number of passes.
-TIME_RANGES = 4096
+#: Rows that a range of a source's order, or of the virtual finish time, holds on average at most.
+ROWS_PER_RANGE = 20_000
+
+
+def range_digits(rows: int) -> int:
+    """Hexadecimal digits of the md5 that cut a source's order into ranges."""
+    return min(10, next(d for d in range(1, 40) if 16**d * ROWS_PER_RANGE >= rows))
+
+
+def time_ranges(rows: int) -> int:
+    """Ranges of a unit of virtual finish time, for so many documents: in all sources as many rows pass in a unit."""
+    return max(16, rows // ROWS_PER_RANGE)
 
 
 def size_of(text: str = "text") -> Column:
@@ -60,10 +69,11 @@ def source_targets(sizes: DataFrame, max_passes: int = 3, cycle: int = 3) -> Dat
 
 def queue(docs: DataFrame, max_passes: int = 3, cycle: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target and ``upto``: the source's tokens up to this document in one pass."""
-    key = F.concat(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.lit("/"), F.substring("shuffle", 1, RANGE_DIGITS))
     rows = docs.select("doc_id", "source", size_of().alias("size"))
     rows = rows.withColumn("shuffle", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = materialize(rows.withColumn("range", key), "sizes")
+    rows = materialize(rows, "sizes")
+    key = F.concat(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.lit("/"), F.substring("shuffle", 1, range_digits(rows.count())))
+    rows = rows.withColumn("range", key)
     totals = materialize(rows.groupBy("range").agg(F.first("source").alias("source"), F.sum("size").alias("size")), "ranges")
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = totals.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
@@ -81,9 +91,9 @@ def copies(queued: DataFrame, max_passes: int = 3) -> DataFrame:
     return out.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("upto")) / F.col("target"))
 
 
-def cut_point(emitted: DataFrame, budget: DataFrame) -> DataFrame:
+def cut_point(emitted: DataFrame, budget: DataFrame, ranges: int) -> DataFrame:
     """One row: the last copy (finish, shuffle, doc_id, pass, size) that fits into the budget in order of finish time."""
-    slot = F.floor(F.col("finish") * TIME_RANGES).cast("long")
+    slot = F.floor(F.col("finish") * ranges).cast("long")
     emitted = emitted.withColumn("slot", slot)
     totals = emitted.groupBy("slot").agg(F.sum("size").alias("n"))
     running = totals.withColumn("before", F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
@@ -99,10 +109,10 @@ def mix(docs: DataFrame, max_passes: int = 3, cycle: int = 3) -> tuple[DataFrame
     """(queued documents, copies that the mix takes: doc_id, source, size, pass, finish)."""
     queued = materialize(queue(docs, max_passes, cycle), "queue")
     budget = queued.agg(F.sum("size").alias("budget"))
-    emitted = copies(queued, max_passes)
-    cut = materialize(cut_point(emitted, budget), "cut")
+    emitted, ranges = copies(queued, max_passes), time_ranges(queued.count())
+    cut = materialize(cut_point(emitted, budget, ranges), "cut")
     here = F.struct("finish", "shuffle", "doc_id", "pass", "size")
-    slot = F.floor(F.col("finish") * TIME_RANGES).cast("long")
+    slot = F.floor(F.col("finish") * ranges).cast("long")
     taken = emitted.crossJoin(F.broadcast(cut)).where((slot < F.col("slot")) | ((slot == F.col("slot")) & (here <= F.col("last"))))
     return queued, taken.select("doc_id", "source", "size", "pass", "finish", "shuffle")
 
@@ -111,12 +121,13 @@ def mixed_counts(docs: DataFrame, max_passes: int = 3, cycle: int = 3) -> DataFr
     """Per document: size, source_size, target and taken (words the mix takes, repeats counted)."""
     queued = materialize(queue(docs, max_passes, cycle), "queue")
     budget = queued.agg(F.sum("size").alias("budget"))
-    cut = materialize(cut_point(copies(queued, max_passes), budget), "cut")
+    ranges = time_ranges(queued.count())
+    cut = materialize(cut_point(copies(queued, max_passes), budget, ranges), "cut")
     out = queued.join(F.broadcast(cut), how="left")
     took = F.lit(0).cast("long")
     for k in range(max_passes):
         finish = (F.lit(k) * F.col("source_size") + F.col("upto")) / F.col("target")
-        slot = F.floor(finish * TIME_RANGES).cast("long")
+        slot = F.floor(finish * ranges).cast("long")
         here = F.struct(finish.alias("finish"), "shuffle", "doc_id", F.lit(k).alias("pass"), "size")
         fits = (slot < F.col("slot")) | ((slot == F.col("slot")) & (here <= F.col("last")))
         took = took + F.when((F.col("size") > 0) & (F.col("target") > 0) & F.coalesce(fits, F.lit(False)), F.col("size")).otherwise(0)
@@ -130,16 +141,12 @@ def mixed_stream(docs: DataFrame, max_passes: int = 3, cycle: int = 3) -> DataFr
     gets its own copies.
     """
     queued, taken = mix(docs, max_passes, cycle)
-    cols = docs.columns
-    same = Window.partitionBy("__mix_id", "__mix_source", "__mix_size", "__mix_pass").orderBy("__mix_finish")
-    names = {"doc_id": "__mix_id", "source": "__mix_source", "size": "__mix_size", "pass": "__mix_pass", "finish": "__mix_finish"}
-    plan = taken.select(*names).withColumnsRenamed(names)
-    own = Window.partitionBy("doc_id", "source", "__mix_n").orderBy(F.xxhash64(*[F.col(c) for c in cols if c not in ("doc_id", "source")]))
-    repeated = queued.groupBy("doc_id", "source", "size").count().where("count > 1").limit(1).count() > 0
-    rows = docs.withColumn("__mix_n", size_of())
-    on = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_n") == F.col("__mix_size"))
-    if repeated:
-        plan = plan.withColumn("__mix_k", F.row_number().over(same))
-        rows = rows.withColumn("__mix_own", F.row_number().over(own))
-        on = on & (F.col("__mix_own") == F.col("__mix_k"))
-    return rows.join(plan, on).repartitionByRange("__mix_finish").sortWithinPartitions("__mix_finish").select(cols)
+    copy = taken.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("n"), "pass", "finish")
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", size_of().alias("size"))
+    on = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("n"))
+    if queued.groupBy("doc_id", "source", "size").count().where("count > 1").limit(1).count():
+        copy = copy.withColumn("k", F.row_number().over(Window.partitionBy("id", "of", "n", "pass").orderBy("finish")))
+        own = Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("doc"))
+        rows = rows.withColumn("own", F.row_number().over(own))
+        on = on & (F.col("own") == F.col("k"))
+    return rows.join(copy, on).repartitionByRange("finish").sortWithinPartitions("finish").select("doc.*")

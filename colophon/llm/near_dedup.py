@@ -7,10 +7,11 @@ k-mers: with L aligned k-mers out of n and m, the similarity is L / (n + m - L),
 similarity and equals it where shared k-mers keep their order.  Documents are linked from 0.8 on, and a class is a
 component of the links.
 
-Documents with equal words are folded first.  Buckets with equal members are compared once.  A bucket with more
-than BLOCK members is dealt to blocks, each with a few leaders of the bucket; what is still apart after that is
-compared again across blocks, members of the bucket's largest class only with members of other classes.  So no
-pair of different texts is left out, none is emitted, and no task holds more than about two blocks.
+Documents with equal words are folded first.  Buckets with equal members are compared once, by hashed k-mers; texts
+don't travel.  A bucket with more than BLOCK members or BLOCK_KMERS k-mers is dealt to blocks, each with a few leaders
+of the bucket; what is still apart after that is compared again across blocks, members of the bucket's largest class
+only with members of other classes.  So no pair of different texts is left out, none is emitted, and no task holds
+more than about two blocks, whose size is bounded in k-mers (a longer document is a block of its own).
 
 Defined results: a text without words (null, empty, marks only) is a class of its own; a text of one to four words
 has one k-mer; the class is named by its smallest doc_id (null last), which is the row that stays; rows equal in id
@@ -39,7 +40,7 @@ PICKS, BANDS = 4, 20
 #: Documents of at most SHORT k-mers are sampled FEW at a time (a pair of five and four k-mers would rarely agree in
 #: four), those of at least LONG k-mers PICKS at a time: a similar pair has one of the two in common.
 FEW, LONG, SHORT = 2, 16, 20
-BLOCK = 256
+BLOCK, BLOCK_KMERS = 256, 1 << 20
 LEADERS = 16
 
 _rng = np.random.default_rng(20)
@@ -63,14 +64,18 @@ def labelled_kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for k in range(WORDS):
         inside = first + k < at[doc + 1] if len(doc) else first
         kmer += np.where(inside, padded[first + k] + np.uint64(1), np.uint64(0)) * _PLACE[k]
+    del first, padded
     kmer = mix(kmer)
-    own = mix(kmer + doc.astype(np.uint64) * _OCC)
+    own = mix(kmer + doc.astype(np.uint64) * _OCC) if len(texts) > 1 else kmer
     order = np.argsort(own, kind="stable")
     ranked = own[order]
+    del own, doc
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
-    position = np.arange(len(ranked))
-    occurrence = np.zeros(len(ranked), np.uint64)
-    occurrence[order] = (position - np.maximum.accumulate(np.where(new, position, 0))).astype(np.uint64)
+    del ranked
+    position = np.arange(len(new))
+    position -= np.maximum.accumulate(np.where(new, position, 0))
+    occurrence = np.zeros(len(new), np.uint64)
+    occurrence[order] = position.astype(np.uint64)
     return mix(kmer + occurrence * _OCC), off, words, at
 
 
@@ -100,7 +105,7 @@ def _node(words: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of id and text), node (digest of the words; null: none) and bands (bucket keys)."""
+    """doc_id, row (hash of id and text), node (digest of the words; null: none), size (k-mers), bands (bucket keys)."""
 
     def run(batches):
         for pdf in batches:
@@ -110,11 +115,20 @@ def sketches(docs: DataFrame) -> DataFrame:
                 nodes = [_node(words[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:])]
                 keys = [order_sketch(labels[a:b]).view(np.int64) if b > a else None for a, b in zip(off[:-1], off[1:])]
                 part = pdf.iloc[start : start + len(some)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "node": nodes, "bands": keys})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "node": nodes, "size": np.diff(off), "bands": keys})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(rows.mapInPandas(run, f"doc_id {kind}, row long, node binary, bands array<long>"), "sketches")
+    return materialize(rows.mapInPandas(run, f"doc_id {kind}, row long, node binary, size long, bands array<long>"), "sketches")
+
+
+def _labels(batches):
+    """node, text -> node, labels: what alignments work on."""
+    for pdf in batches:
+        for start, some in chunks(pdf["text"].tolist()):
+            labels, off, _, _ = labelled_kmers(some)
+            own = labels.view(np.int64)
+            yield pd.DataFrame({"node": pdf["node"].iloc[start : start + len(some)], "labels": [own[a:b] for a, b in zip(off[:-1], off[1:])]})
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> int:
@@ -155,10 +169,10 @@ def _shared_counts(labels: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked_pairs(texts: list[str], group: np.ndarray, open_pairs: np.ndarray | None = None):
-    """Verified pairs that connect texts which ``group`` has apart; group numbers are merged on the way."""
-    labels, off, _, _ = labelled_kmers(texts)
-    size = np.diff(off)
+def linked_pairs(documents: list[np.ndarray], group: np.ndarray, open_pairs: np.ndarray | None = None):
+    """Verified pairs that connect documents (their labels) which ``group`` has apart; groups are merged on the way."""
+    labels, size = np.concatenate(documents), np.array([len(x) for x in documents])
+    off = np.concatenate([[0], np.cumsum(size)])
     shared = _shared_counts(labels, off)
     may = shared >= SIMILARITY * (size[:, None] + size[None, :] - shared) - 1e-3
     may &= group[:, None] != group[None, :]
@@ -187,7 +201,7 @@ def _edges(key, c):
     group = np.array([numbers.setdefault(bytes(x), len(numbers)) for x in c["root"]])
     side = c["side"]
     across = None if (side == 2).all() else (side == 0)[:, None] & (side == 1)[None, :]
-    pairs = list(linked_pairs(c["text"].tolist(), group, across))
+    pairs = list(linked_pairs(list(c["labels"]), group, across))
     if pairs:
         i, j = np.array(pairs).T
         yield [c["node"][i], c["node"][j]]
@@ -197,31 +211,39 @@ EDGES = "a binary, b binary"
 
 
 def live_buckets(reps: DataFrame) -> DataFrame:
-    """(key, n, node): members of buckets with two nodes or more; of buckets with equal members just one."""
-    members = reps.select("node", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-    once = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    return materialize(members.join(once.drop("x", "y"), "key"), "buckets")
+    """(key, n, kmers, node): members of buckets with two nodes or more; of buckets with equal members just one."""
+    members = reps.select("node", "size", F.explode("bands").alias("key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("kmers"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    once = sizes.groupBy("n", "kmers", "x", "y").agg(F.min("key").alias("key"))
+    return materialize(members.select("node", "key").join(once.drop("x", "y"), "key"), "buckets")
+
+
+def _blocks(n, kmers):
+    """Blocks that so many members with so many k-mers take."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(kmers / BLOCK_KMERS)).cast("int")
 
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b) edges between nodes that span all classes."""
-    reps = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands")), "nodes")
+    reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("row", "doc_id")).alias("m"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    reps = materialize(reps.select("node", F.col("m.row").alias("row"), F.col("m.doc_id").alias("id"), "size", "bands"), "nodes")
     buckets = live_buckets(reps)
-    need = reps.select("node", "row").join(buckets.select("node").distinct(), "node")
-    # one text a row hash, folded before the shuffle: rows that repeat id and text must not come back once per copy
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").where("text IS NOT NULL").groupBy("row").agg(F.first("text").alias("text"))
-    texts = texts.join(need, "row").select("node", "text")
-    texts = materialize(texts, "texts")
+    need = reps.select("node", F.col("row").alias("at"), "id").join(buckets.select("node").distinct(), "node")
+    # one text a row, folded before the shuffle: rows that repeat id and text must not come back once per copy
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").where("text IS NOT NULL").groupBy("row", "doc_id").agg(F.first("text").alias("text"))
+    texts = texts.join(need, (F.col("row") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    texts = materialize(texts.mapInPandas(_labels, "node binary, labels array<long>"), "texts")
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = _blocks(F.col("n"), F.col("kmers"))
     own = F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int")
-    leads = F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")) < LEADERS
+    # fewer leaders where documents are long: they come to every block
+    most = F.least(F.lit(LEADERS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_KMERS // 4) * F.col("n") / F.col("kmers"))))
+    leads = F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")) < most
     first = buckets.withColumn("block", F.explode(F.when(leads, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-    first = first.join(texts, "node").select("key", "block", "node", "text", F.col("node").alias("root"), F.lit(2).alias("side"))
+    first = first.join(texts, "node").select("key", "block", "node", "labels", F.col("node").alias("root"), F.lit(2).alias("side"))
     found = materialize(map_groups(first, ["key", "block"], _edges, EDGES).distinct(), "links")
 
-    wide = materialize(buckets.where(F.col("n") > BLOCK), "wide")
+    wide = materialize(buckets.where(blocks > 1), "wide")
     if not wide.limit(1).count():
         return found
     roots = components(found).select("node", "root")
@@ -229,7 +251,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     parts = wide.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).where("m.c < all")
     wide = wide.join(largest.select("key", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("rest")), "key")
-    others = F.ceil(F.col("rest") / BLOCK).cast("int")
+    others = _blocks(F.col("rest"), F.col("rest") * F.col("kmers") / F.col("n"))
     query = wide.where("root <> main").withColumn("i", F.pmod(F.xxhash64("node", F.lit(4)), others).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0))
     stock = wide.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), others - 1))).withColumn("side", F.lit(1))
     cols = ["key", "i", "j", "node", "root", "side"]
@@ -255,7 +277,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: one of each class."""
-    gone = near_dedup(docs).where("NOT kept").select(F.col("row").alias("__row")).distinct()
-    tagged = docs.withColumn("__own", F.xxhash64("doc_id", "text"))
-    return tagged.join(gone, F.col("__own") == F.col("__row"), "left_anti").drop("__own")
+    """The rows of ``docs`` (all columns, whatever their names) that stay: one of each class."""
+    gone = near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("id"), F.col("row").alias("at")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own"), F.xxhash64("doc_id", "text").alias("row"))
+    return rows.join(gone, (F.col("row") == F.col("at")) & F.col("own").eqNullSafe(F.col("id")), "left_anti").select("doc.*")

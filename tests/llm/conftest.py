@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-EXTRA = "row long, size long, fp long, label string, key string, node string, pass int, finish double, range string, shuffle string, suspect boolean, __n int"
+EXTRA = "row long, size long, fp long, label string, key string, node string, pass int, finish double, range string, shuffle string, suspect boolean, __n int, __sha string, __own long, __row long, __id long, __s string, __mix_id long, __mix_size long, doc string, own string, id string, n int, sha binary, digest string, of string, k string, at string, node_id string, size_of string"
+#: Values of the further columns, which operators are to leave alone.
+CLASH = (7, 8, 9, "label", "key", "node", 1, 0.5, "range", "shuffle", True, 3, "sha", 4, 5, 6, "s", 10, 11, "doc", "own", "id", 12, b"sha", "digest", "of", "k", "at", "node_id", "size_of")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -22,7 +24,17 @@ def odd_docs(spark):
         (9, long + " end", "en", "c"), (None, base, "en", "a"), (None, None, None, None), (10, "!!! 123 ???", "en", "b"),
         (11, "x", "en", "b"), (12, "\u0000 ▁ \U0001f600", "fr", "c"), (12, "another text", "fr", "c"),
     ]
-    return spark.createDataFrame([(*r, None, *[None] * 12) for r in rows], f"{DOCS}, {EXTRA}")
+    return spark.createDataFrame([(*r, None, *CLASH) for r in rows], f"{DOCS}, {EXTRA}")
+
+
+@pytest.fixture(scope="session")
+def unchanged():
+    """Are the further columns of all rows what they were?"""
+
+    def check(rows):
+        return all(tuple(r)[5:] == CLASH for r in rows)
+
+    return check
 
 
 @pytest.fixture(scope="session")

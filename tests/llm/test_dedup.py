@@ -41,10 +41,12 @@ def test_exact_of_nothing(no_docs):
     assert exact_dedup.drop_copies(no_docs).count() == 0
 
 
-def test_drop_copies_leaves_one_of_each_text(odd_docs):
+def test_drop_copies_leaves_one_of_each_text(odd_docs, unchanged):
     left = exact_dedup.drop_copies(odd_docs)
     assert left.columns == odd_docs.columns
-    texts = [r.text or "" for r in left.collect()]
+    rows = left.collect()
+    assert unchanged(rows)
+    texts = [r.text or "" for r in rows]
     assert sorted(texts) == sorted({r.text or "" for r in odd_docs.collect()})
 
 
@@ -119,17 +121,55 @@ def test_near_classes_equal_brute_force(spark, monkeypatch, block, leaders):
     assert sorted(map(tuple, got), key=str) == near_brute(rows.collect())
 
 
-def test_near_odd_rows(odd_docs, no_docs):
+def test_near_odd_rows(odd_docs, no_docs, unchanged):
     got = near_dedup.near_dedup(odd_docs).select("doc_id", "class_id", "class_size").collect()
     assert sorted(map(tuple, got), key=str) == near_brute(odd_docs.collect())
     assert near_dedup.near_dedup(no_docs).count() == 0
     left = near_dedup.drop_near_copies(odd_docs)
     assert left.columns == odd_docs.columns
-    assert {4, 5, 6, 7} <= {r.doc_id for r in left.collect()}
+    assert {4, 5, 6, 7} <= {r.doc_id for r in left.collect()} and unchanged(left.collect())
 
 
 
 
+def test_long_texts_are_hashed_in_parts_as_in_one(monkeypatch):
+    """Word hashes and labels of a text do not depend on where it is cut; words longer than a part among them."""
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("ab\u0130\u4e00_9") for _ in range(rng.choice([1, 3, 8, 200, 450]))) + rng.choice(["", "!", " -- "]) for _ in range(80))
+    for t in (text, " " + text, "x" * 300, "x" * 299 + " ", " " * 250, text.replace(" ", "")):
+        words, labels = common.word_hashes([t])[0].tolist(), near_dedup.labelled_kmers([t])[0].tolist()
+        for size in (16, 100, 101):
+            monkeypatch.setattr(common, "CHUNK_CHARS", size)
+            assert common.word_hashes([t])[0].tolist() == words and near_dedup.labelled_kmers([t])[0].tolist() == labels
+        monkeypatch.undo()
+
+
+def test_a_text_of_many_megabytes_takes_bounded_memory():
+    import tracemalloc
+
+    text = "word another Third 12 " * 500_000
+    common.word_hashes(["x " * common.CHUNK_CHARS])
+    tracemalloc.start()
+    labels = near_dedup.labelled_kmers([text])[0]
+    near_dedup.order_sketch(labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == 2_000_000 - 4 and peak < 14 * len(text)
+
+
+@pytest.mark.parametrize("kmers", [1 << 20, 400])
+def test_blocks_of_long_copies_are_bounded_in_kmers(spark, monkeypatch, kmers):
+    """Near copies that together exceed a block, in k-mers and not in number."""
+    monkeypatch.setattr(near_dedup, "BLOCK_KMERS", kmers)
+    rng, most = random.Random(4), []
+    own = near_dedup._blocks
+    monkeypatch.setattr(near_dedup, "_blocks", lambda n, k: most.append(1) or own(n, k))
+    texts = family(rng, 30, 0.02) + family(rng, 30, 0.035) + ["a b c d e f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dedup.near_dedup(rows.repartition(3)).select("doc_id", "class_id", "class_size").collect()
+    assert sorted(map(tuple, got), key=str) == near_brute(rows.collect()) and most
+
+
 def test_order_matters():
     words = [f"w{i}" for i in range(100)]
     labels = [near_dedup.labelled_kmers([" ".join(x)])[0] for x in (words, words[50:] + words[:50], words[:98])]
