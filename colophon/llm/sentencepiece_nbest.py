@@ -113,10 +113,10 @@ class Vocabulary:
     def forward(self, word: str) -> tuple:
         """Up to each position the best and the second best score, and the best way's last arc (start, piece or -1)."""
         n, root = len(word), self.trie
-        if n <= CACHED_CHARS:
-            best, second, start, last = [_LOW] * (n + 1), [_LOW] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        else:
-            best, second, start, last = array("d", [_LOW]) * (n + 1), array("d", [_LOW]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best, second, start, last = [_LOW], [_LOW], [0], [-1]
+        if n > CACHED_CHARS:
+            best, second, start, last = array("d", best), array("d", second), array("i", start), array("i", last)
+        best, second, start, last = best * (n + 1), second * (n + 1), start * (n + 1), last * (n + 1)
         best[0] = 0.0
         for i in range(n):
             at, next_best, node, j = best[i], second[i], root.get(word[i]), i + 1
@@ -147,8 +147,19 @@ class Vocabulary:
         found = self._odd(word) if word[0] == "\0" else self.words.get(word)
         if found is None:
             best, second, start, last = self.forward(word)
-            ids, n = self._path(word, None, start, last), len(word)
-            found = (tuple(ids) if n <= CACHED_CHARS else ids, best[n], best[n] - second[n] if second[n] > -1e299 else float("inf"))
+            n = at = len(word)
+            if n > CACHED_CHARS:
+                ids = self._path(word, None, start, last)
+            else:
+                ids = []
+                while at:
+                    piece, at = last[at], start[at]
+                    if piece >= 0:
+                        ids.append(piece)
+                    else:
+                        ids += reversed(self._raw(word[at]))
+                ids.reverse()
+            found = (ids, best[n], best[n] - second[n] if second[n] > -1e299 else float("inf"))
             if n <= CACHED_CHARS:
                 if len(self.words) >= CACHE:
                     self.words.clear()
@@ -289,13 +300,19 @@ class Vocabulary:
 
 def _changed(at: int, old, new) -> tuple[int, int, array]:
     """Where the ids of two ways differ: place, how many go, what comes instead (what both end with is left out)."""
-    a, b = np.frombuffer(old, np.int32), np.frombuffer(new, np.int32)
-    least = min(len(a), len(b))
-    apart = np.flatnonzero(a[:least] != b[:least])
-    head = int(apart[0]) if len(apart) else least
-    apart = np.flatnonzero(a[::-1][: least - head] != b[::-1][: least - head])
-    tail = int(apart[0]) if len(apart) else least - head
-    return at + head, len(a) - head - tail, new[head : len(b) - tail]
+    least, head, tail = min(len(old), len(new)), 0, 0
+    if least > CACHED_CHARS:
+        a, b = np.frombuffer(old, np.int32), np.frombuffer(new, np.int32)
+        apart = np.flatnonzero(a[:least] != b[:least])
+        head = int(apart[0]) if len(apart) else least
+        apart = np.flatnonzero(a[::-1][: least - head] != b[::-1][: least - head])
+        tail = int(apart[0]) if len(apart) else least - head
+    else:
+        while head < least and old[head] == new[head]:
+            head += 1
+        while tail < least - head and old[-1 - tail] == new[-1 - tail]:
+            tail += 1
+    return at + head, len(old) - head - tail, new[head : len(new) - tail]
 
 
 def read_model(path: str = MODEL) -> bytes:
