@@ -1,13 +1,16 @@
 """Language identification by averaged, hashed subword embeddings with a linear softmax.
 
 A text is the average of the embeddings of its letter n-grams (two to four letters, word ends included), hashed to
-BUCKETS rows of DIM numbers; a linear softmax on top gives the languages.  Both are trained together by stochastic
-gradient descent in numpy, on a sample of about PER_LANGUAGE rows a language.  A part of the sample that is not
-trained on sets the temperature of the probabilities and the threshold below which a document is rejected: so low
+BUCKETS rows of a few numbers; a linear softmax on top gives the languages.  Both are trained together by stochastic
+gradient descent in numpy (small batches), on a sample of about PER_LANGUAGE rows a language, fewer where there are
+more than SAMPLE_ROWS / PER_LANGUAGE languages; every language of the labels is learned.  A part of the sample that is
+not trained on sets the temperature of the probabilities and the threshold below which a document is rejected: so low
 that of correctly recognised documents only REJECT_RATE go.
 
+A row of the sample takes at most six bytes a bucket; rows beyond SAMPLE_BYTES in all are thinned evenly.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0 (and rejected); so is every text if
-there is nothing to learn from.  At most MAX_LANGUAGES languages are learned, the most frequent ones.
+there is nothing to learn from.  Very long texts are read in parts and counted as a whole.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, code_points, fold
+from . import common
+from .common import chunks, code_points, fold, is_long, materialize
 
 GRAMS = (2, 3, 4)
-BITS, DIM = 15, 8
-#: Bounds of the training sample.
-PER_LANGUAGE, MAX_LANGUAGES = 1_000, 128
-EPOCHS, RATE = 6, 0.5
+BITS = 15
+#: Bounds of the training sample: rows a language, rows in all (one a language at least), bytes in all.
+PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 20_000, 200 << 20
+EPOCHS, RATE, BATCH = 6, 0.5, 8
 #: Share of correctly recognised documents that rejection may cost.
 REJECT_RATE = 0.001
 UNKNOWN = "und"
@@ -39,13 +43,9 @@ def _letters() -> np.ndarray:
     return _tables["letter"]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams with the number of the text of each; and for each text whether it has a letter."""
-    lowered = [t.lower() for t in texts]
-    codes = code_points("\n" + "\n".join(lowered) + "\n\n\n\n")
-    letter = _letters()[codes]
+def _gram_buckets(codes: np.ndarray, letter: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Buckets and places of the n-grams that start in all but the last four characters."""
     codes = np.where(letter, codes, 32).astype(np.uint64)
-    ends = np.cumsum([len(t) + 1 for t in lowered])
     n, found, where = len(codes) - 4, [], []
     for row, size in enumerate(GRAMS):
         valid = np.ones(n, bool)
@@ -58,40 +58,84 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(size):
             h += codes[at + k] * _PLACE[row, k]
         h ^= h >> np.uint64(29)
-        found.append((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS))
+        found.append(((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64))
         where.append(at)
+    return found, where
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams with the number of the text of each; and for each text whether it has a letter."""
+    lowered = [t.lower() for t in texts]
+    codes = code_points("\n" + "\n".join(lowered) + "\n\n\n\n")
+    letter = _letters()[codes]
+    ends = np.cumsum([len(t) + 1 for t in lowered])
+    found, where = _gram_buckets(codes, letter)
     doc = np.searchsorted(ends, np.concatenate(where), side="right")
     inside = np.minimum(doc, len(texts) - 1)
     has = np.zeros(len(texts), bool)
     has[np.minimum(np.searchsorted(ends, np.flatnonzero(letter[1:]), side="right"), len(texts) - 1)] = True
-    return np.concatenate(found).astype(np.int64), inside, has
+    return np.concatenate(found), inside, has
+
+
+def long_counts(text: str) -> tuple[np.ndarray, bool]:
+    """How often each bucket occurs in a text of any length, and whether it has a letter; read in parts."""
+    padded, total, has = "\n" + text.lower() + "\n\n\n\n", np.zeros(1 << BITS, np.int64), False
+    for at in range(0, len(padded) - 4, common.CHUNK_CHARS):
+        codes = code_points(padded[at : min(at + common.CHUNK_CHARS, len(padded) - 4) + 4])
+        letter = _letters()[codes]
+        has |= bool(letter.any())
+        for bucket in _gram_buckets(codes, letter)[0]:
+            total += np.bincount(bucket, minlength=1 << BITS)
+    return total, has
+
+
+def _counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, counts) of each text; none for one without a letter."""
+    if is_long(texts):
+        total, has = long_counts(texts[0])
+        some = np.flatnonzero(total)
+        return [(some, total[some]) if has else (some[:0], some[:0])]
+    bucket, doc, has = grams(texts)
+    key, count = np.unique(doc * (1 << BITS) + bucket, return_counts=True)
+    cuts = np.searchsorted(key >> BITS, np.arange(len(texts) + 1))
+    spans = [(a, b if h else a) for a, b, h in zip(cuts[:-1], cuts[1:], has)]
+    return [(key[a:b] & ((1 << BITS) - 1), count[a:b]) for a, b in spans]
+
+
+def _features(batches):
+    for pdf in batches:
+        for start, some in chunks(pdf["text"].tolist()):
+            rows = pdf.iloc[start : start + len(some)]
+            found = _counts(some)
+            keep = [len(b) > 0 for b, _ in found]
+            found = [x for x in found if len(x[0])]
+            yield pd.DataFrame({"label": rows["label"][keep], "hash": rows["hash"][keep], "bucket": [b.astype(np.uint16).tobytes() for b, _ in found], "share": [(c / c.sum()).astype(np.float32).tobytes() for _, c in found]})
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """label, hash, and the buckets (int32) and shares (float32) of each row; what one document adds is bounded."""
-
-    def run(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for start, some in chunks(texts):
-                bucket, doc, has = grams(some)
-                key, count = np.unique(doc * (1 << BITS) + bucket, return_counts=True)
-                cuts = np.searchsorted(key >> BITS, np.arange(len(some) + 1))
-                for i in np.flatnonzero(has):
-                    a, b = cuts[i], cuts[i + 1]
-                    yield pd.DataFrame({"label": [pdf["label"].iloc[start + i]], "hash": [pdf["hash"].iloc[start + i]], "bucket": [(key[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes()], "share": [(count[a:b] / count[a:b].sum()).astype(np.float32).tobytes()]})
-
-    return rows.mapInPandas(run, "label string, hash long, bucket binary, share binary")
+    """label, hash, and the buckets (uint16) and shares (float32) of each row that has a letter."""
+    return rows.mapInPandas(_features, "label string, hash long, bucket binary, share binary")
 
 
 def training_sample(docs: DataFrame) -> pd.DataFrame:
-    """About PER_LANGUAGE rows of each language, chosen by hash, as features.  Rows with fold 2 are never read from."""
+    """A bounded number of rows of each language, chosen by hash, as features.  Rows with fold 2 are never read from."""
     rows = docs.where((fold() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = max(1, min(PER_LANGUAGE, SAMPLE_ROWS // max(counts.count(), 1)))
     rows = rows.select("text", F.col("lang").alias("label"), F.xxhash64("doc_id", F.lit(6)).alias("hash"))
+    # one row a language, as many as the model has columns
     rows = rows.join(F.broadcast(counts), F.col("label") == F.col("lang"))
-    chosen = rows.where(F.pmod("hash", F.lit(1 << 20)) < F.lit(PER_LANGUAGE << 20) / F.col("n"))
-    return features(chosen.select("text", "label", "hash")).toPandas().sort_values(["hash", "label"]).reset_index(drop=True)
+    chosen = rows.where(F.pmod("hash", F.lit(1 << 20)) < F.greatest(F.lit(each << 20) / F.col("n"), F.lit(1)))
+    found = materialize(features(chosen.select("text", "label", "hash")), "features")
+    size = found.agg(F.sum(F.length("bucket") + F.length("share"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        found = found.where(F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < int(SAMPLE_BYTES / size * (1 << 20)))
+    return found.toPandas().sort_values(["hash", "label", "bucket"]).reset_index(drop=True)
+
+
+def dimensions(languages: int) -> int:
+    """Numbers that an n-gram is embedded in: more for more languages."""
+    return 8 if languages <= 16 else min(64, 1 << (languages - 1).bit_length() // 2 + 2)
 
 
 class Model:
@@ -99,29 +143,37 @@ class Model:
 
     def __init__(self, sample: pd.DataFrame):
         self.languages = sorted(sample["label"].unique())
-        target = np.array([self.languages.index(x) for x in sample["label"]], int)
+        number = {x: i for i, x in enumerate(self.languages)}
+        target = sample["label"].map(number).to_numpy(int)
         rng, k = np.random.default_rng(1), len(self.languages)
-        self.embed = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
-        self.out, self.bias = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
-        held = np.arange(len(sample)) % 5 == 4
-        buckets = [np.frombuffer(x, np.int32) for x in sample["bucket"]]
+        dim = dimensions(k)
+        self.embed = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
+        self.out, self.bias = np.zeros((dim, k), np.float32), np.zeros(k, np.float32)
+        held = np.zeros(len(sample), bool)
+        for x in range(k):  # every fifth row of each language; all of it is learned from if there are too few
+            held[np.flatnonzero(target == x)[4::5]] = True
+        buckets = [np.frombuffer(x, np.uint16).astype(np.int64) for x in sample["bucket"]]
         shares = [np.frombuffer(x, np.float32) for x in sample["share"]]
         train = np.flatnonzero(~held)
         steps, step = EPOCHS * len(train), 0
         for _ in range(EPOCHS):
-            for i in rng.permutation(train):
+            order = rng.permutation(train)
+            for start in range(0, len(order), BATCH):
+                rows = order[start : start + BATCH]
                 rate = RATE * (1 - step / steps) + 0.01
-                bucket, share = buckets[i], shares[i]
-                mean = share @ self.embed[bucket]
+                bucket, share = np.concatenate([buckets[i] for i in rows]), np.concatenate([shares[i] for i in rows])
+                sizes = np.array([len(buckets[i]) for i in rows])
+                row = np.repeat(np.arange(len(rows)), sizes)
+                mean = np.add.reduceat(share[:, None] * self.embed[bucket], np.cumsum(sizes) - sizes)
                 error = self._softmax(mean @ self.out + self.bias)
-                error[target[i]] -= 1
-                back = self.out @ error
-                self.out -= rate * np.outer(mean, error)
-                self.bias -= rate * 0.1 * error
-                self.embed[bucket] -= (rate * 100 * share)[:, None] * back[None, :]
-                step += 1
+                error[np.arange(len(rows)), target[rows]] -= 1
+                back = error @ self.out.T
+                self.out -= rate * mean.T @ error
+                self.bias -= rate * 0.1 * error.sum(axis=0)
+                np.subtract.at(self.embed, bucket, (rate * 100 * share)[:, None] * back[row])
+                step += len(rows)
         used = np.flatnonzero(held) if held.any() else train
-        logits = np.array([shares[i] @ self.embed[buckets[i]] for i in used]).reshape(len(used), DIM) @ self.out + self.bias
+        logits = np.array([shares[i] @ self.embed[buckets[i]] for i in used]).reshape(len(used), dim) @ self.out + self.bias
         losses = {t: -np.log(self._softmax(logits / t)[np.arange(len(used)), target[used]] + 1e-12).mean() for t in np.geomspace(0.3, 20, 40)}
         self.temperature = min(losses, key=losses.get)
         prob = self._softmax(logits / self.temperature)
@@ -135,11 +187,15 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Most likely language (-1: no letter) and its calibrated probability."""
-        bucket, doc, has = grams(texts)
-        n = len(texts)
-        count = np.maximum(np.bincount(doc, minlength=n), 1)
-        rows = self.embed[bucket]
-        mean = np.stack([np.bincount(doc, weights=rows[:, k], minlength=n) for k in range(DIM)], axis=1) / count[:, None]
+        if is_long(texts):
+            total, has = long_counts(texts[0])
+            mean, has = (total @ self.embed / max(total.sum(), 1))[None, :], np.array([has])
+        else:
+            bucket, doc, has = grams(texts)
+            n = len(texts)
+            count = np.maximum(np.bincount(doc, minlength=n), 1)
+            rows = self.embed[bucket]
+            mean = np.stack([np.bincount(doc, weights=rows[:, k], minlength=n) for k in range(rows.shape[1])], axis=1) / count[:, None]
         prob = self._softmax((mean @ self.out + self.bias) / self.temperature)
         return np.where(has, prob.argmax(axis=1), -1), np.where(has, prob.max(axis=1), 0.0)
 

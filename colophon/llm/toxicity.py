@@ -1,10 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words and word beginnings of three to five letters, hashed to 2**BITS buckets.  Training picks
-the buckets whose presence goes with the label (chi-square), and learns a weight and a vector of FACTORS numbers for
-each: the score is the logistic function of bias, weights and all pairwise products of vectors, so that two terms
-together can say what neither says alone.  It learns from about PER_CLASS rows of each label, weighted back to the
-labels' shares.
+the buckets whose presence goes with the label (chi-square, counted by Spark over the sample) and the most frequent
+others, whose presence may matter in pairs only; it learns a weight and a vector of FACTORS numbers for each: the score
+is the logistic function of bias, weights and all pairwise products of vectors, so that two terms together can say what
+neither says alone.  It learns from about PER_CLASS rows of each label, weighted back to the labels' shares.
+
+What comes to the driver is bounded in bytes: at most SAMPLE_ROWS rows, of each the chosen terms with their counts,
+that is at most (MAX_TERMS + PAIR_TERMS) * 6 bytes a row, however long its text is.
 
 Defined results: null and empty texts are scored by the bias alone; without both labels to learn from every score is
 the share of label 1 (0 if there are none); several labels of one document count as the largest.
@@ -19,13 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, chunks, code_points, fold, mix, word_table
+from .common import _powers, chunks, code_points, fold, is_long, materialize, mix, word_parts, word_sum, word_table
 
 BITS, FACTORS = 20, 8
 PREFIXES = (3, 4, 5)
-#: Bound of the training sample: rows of each label (on average over hashes).
-PER_CLASS = 4_000
-MAX_TERMS, LEAST_DOCS = 4_096, 3
+#: Bound of the training sample: rows of each label (on average over hashes), and rows of it in all.
+PER_CLASS, SAMPLE_ROWS = 4_000, 10_000
+MAX_TERMS, PAIR_TERMS, LEAST_DOCS = 4_096, 128, 3
 #: Terms that may pass the chi-square test by chance, however many are tested; and the weakest level of the test.
 CHANCE_TERMS, WEAKEST = 20, 0.01
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.02, 1e-4
@@ -52,33 +55,86 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(docs)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, dict[int, int]]:
-    """Hashed terms with counts of a bounded sample, and the number of labelled rows by label (fold 2 left out)."""
+def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, bucket and count of each different term of each text, in order."""
+    if not is_long(texts):
+        bucket, doc = terms(texts)
+        key, count = np.unique((doc << BITS) + bucket, return_counts=True)
+        return key >> BITS, key & ((1 << BITS) - 1), count
+    total = np.zeros(1 << BITS, np.int64)
+    for part, whole in word_parts(texts[0].lower()):
+        if whole:  # a word longer than a part: itself and its beginnings
+            sums = [word_sum(part), *[word_sum(part[:size]) + size for size in PREFIXES]]
+            bucket = (mix(np.array([x % (1 << 64) for x in sums], np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+        else:
+            bucket = terms([part])[0]
+        total += np.bincount(bucket, minlength=1 << BITS)
+    found = np.flatnonzero(total)
+    return np.zeros(len(found), np.int64), found, total[found]
+
+
+def _sampled_terms(batches):
+    """doc_id, label, bucket and count (arrays) of each text."""
+    for pdf in batches:
+        for start, some in chunks(pdf["text"].tolist()):
+            doc, bucket, count = term_counts(some)
+            cuts = np.searchsorted(doc, np.arange(len(some) + 1))
+            part = pdf.iloc[start : start + len(some)]
+            spans = list(zip(cuts[:-1], cuts[1:]))
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype(str), "label": part["label"], "bucket": [bucket[a:b].astype(np.int32) for a, b in spans], "count": [count[a:b].astype(np.int32) for a, b in spans]})
+
+
+def chosen_terms(sample: DataFrame) -> np.ndarray:
+    """Buckets that go with the label, then frequent others: counted by partial aggregates, MAX_TERMS + PAIR_TERMS at most."""
+    rows, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < positive < rows:
+        return np.zeros(0, np.int32)
+    mean = positive / rows
+    seen = sample.select("label", F.explode("bucket").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("pos"))
+    seen = materialize(seen.where(F.col("seen") >= LEAST_DOCS), "seen")
+    level = min(WEAKEST, CHANCE_TERMS / max(seen.count(), 1))
+    expected = F.col("seen") * F.lit(mean)
+    chi = (F.col("pos") - expected) ** 2 / F.greatest(expected * F.lit(1 - mean), F.lit(1e-9))
+    least = NormalDist().inv_cdf(1 - level / 2) ** 2
+    told = seen.withColumn("chi", chi)
+    best = told.where(F.col("chi") >= least).orderBy(F.desc("chi"), "bucket").limit(MAX_TERMS).select("bucket").collect()
+    # terms of nearly all texts say nothing, in pairs neither
+    others = told.where((F.col("chi") < least) & F.col("seen").between(max(LEAST_DOCS, rows // 100), rows * 0.6))
+    others = others.orderBy(F.desc("seen"), "bucket").limit(PAIR_TERMS).select("bucket").collect()
+    return np.array([r[0] for r in best + others], np.int32)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, np.ndarray, dict[int, int]]:
+    """Chosen terms (slots and counts) of a bounded sample, the buckets of the slots, and labelled rows by label.
+
+    Rows with fold 2 are left out.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).where("label IN (0, 1)")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.when(F.col("label") == 1, PER_CLASS / max(shares.get(1, 0), 1)).otherwise(PER_CLASS / max(shares.get(0, 0), 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < rate * (1 << 20))
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id"), "text").join(F.broadcast(chosen.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(4 * PER_CLASS)), "doc_id")
-
-    def run(batches):
+    hashed = F.xxhash64("doc_id", F.lit(3))
+    chosen = known.where(F.pmod(hashed, F.lit(1 << 20)) < rate * (1 << 20)).orderBy(hashed).limit(SAMPLE_ROWS)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = materialize(rows.mapInPandas(_sampled_terms, "doc_id string, label int, bucket array<int>, count array<int>"), "terms")
+    buckets = chosen_terms(sample)
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[buckets] = np.arange(len(buckets))
+
+    def pack(batches):
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            for start, some in chunks(texts):
-                bucket, doc = terms(some)
-                key, count = np.unique((doc << BITS) + bucket, return_counts=True)
-                cuts = np.searchsorted(key >> BITS, np.arange(len(some) + 1))
-                part = pdf.iloc[start : start + len(some)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype(str), "label": part["label"], "bucket": [(key[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], "count": [count[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
+            at = [slot[b] for b in pdf["bucket"]]
+            keep = [a >= 0 for a in at]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "slot": [a[k].astype(np.uint16).tobytes() for a, k in zip(at, keep)], "count": [c[k].astype(np.int32).tobytes() for c, k in zip(pdf["count"], keep)]})
 
-    found = rows.mapInPandas(run, "doc_id string, label int, bucket binary, count binary").toPandas()
-    return found.sort_values(["doc_id", "label"]).reset_index(drop=True), shares
+    found = sample.mapInPandas(pack, "doc_id string, label int, slot binary, count binary").toPandas()
+    return found.sort_values(["doc_id", "label", "slot"]).reset_index(drop=True), buckets, shares
 
 
 class Machine:
     """Second-order factorization machine on the chosen buckets."""
 
-    def __init__(self, sample: pd.DataFrame, shares: dict[int, int]):
+    def __init__(self, sample: pd.DataFrame, buckets: np.ndarray, shares: dict[int, int]):
         total = max(sum(shares.values()), 1)
         self.prior = shares.get(1, 0) / total
         self.slot = np.full(1 << BITS, -1, np.int32)
@@ -87,28 +143,17 @@ class Machine:
         self.bias, self.w, self.v = 0.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32)
         if not self.trained:
             return
-        bucket = np.frombuffer(b"".join(sample["bucket"]), np.int32)
-        doc = np.repeat(np.arange(len(y), dtype=np.int32), sample["bucket"].map(len) // 4)
-        count = np.frombuffer(b"".join(sample["count"]), np.int32)
+        self.slot[buckets] = np.arange(len(buckets))
+        doc = np.repeat(np.arange(len(y), dtype=np.int32), sample["slot"].map(len) // 2)
+        term = np.frombuffer(b"".join(sample["slot"]), np.uint16).astype(np.int64)
+        value = 1 + np.log(np.frombuffer(b"".join(sample["count"]), np.int32))
         # rows stand for as many labelled rows as the sampling rate says
         weight = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
         weight = weight / weight.mean()
-        pos = np.bincount(bucket[y[doc] == 1], minlength=1 << BITS)
-        seen = np.bincount(bucket, minlength=1 << BITS)
-        expected = seen * y.mean()
-        chi = (pos - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9)
-        tested = seen >= LEAST_DOCS
-        level = min(WEAKEST, CHANCE_TERMS / max(tested.sum(), 1))
-        chi[~tested | (chi < NormalDist().inv_cdf(1 - level / 2) ** 2)] = 0
-        best = np.argsort(-chi, kind="stable")[:MAX_TERMS]
-        best = best[chi[best] > 0]
-        self.slot[best] = np.arange(len(best))
-        keep = self.slot[bucket] >= 0
-        doc, term, value = doc[keep], self.slot[bucket[keep]].astype(np.int64), 1 + np.log(count[keep])
         cuts = np.searchsorted(doc, np.arange(len(y) + 1))
         rng = np.random.default_rng(3)
-        w0, w, v = np.log(max(self.prior, 1e-6) / max(1 - self.prior, 1e-6)), np.zeros(len(best)), rng.normal(0, 0.02, (len(best), FACTORS))
-        g0, gw, gv = 1e-8, np.full(len(best), 1e-8), np.full((len(best), FACTORS), 1e-8)
+        w0, w, v = np.log(max(self.prior, 1e-6) / max(1 - self.prior, 1e-6)), np.zeros(len(buckets)), rng.normal(0, 0.02, (len(buckets), FACTORS))
+        g0, gw, gv = 1e-8, np.full(len(buckets), 1e-8), np.full((len(buckets), FACTORS), 1e-8)
         for _ in range(EPOCHS):
             order = rng.permutation(len(y))
             for start in range(0, len(y), BATCH):
@@ -119,9 +164,9 @@ class Machine:
                 z, s = _sums(w0, w, v, t, x, r, len(rows))
                 e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)
                 ex = e[r] * x
-                dw = np.bincount(t, weights=ex, minlength=len(best)) + DECAY * w
+                dw = np.bincount(t, weights=ex, minlength=len(buckets)) + DECAY * w
                 pair = ex[:, None] * (s[r] - v[t] * x[:, None])
-                dv = np.stack([np.bincount(t, weights=pair[:, f], minlength=len(best)) for f in range(FACTORS)], axis=1) + DECAY * v
+                dv = np.stack([np.bincount(t, weights=pair[:, f], minlength=len(buckets)) for f in range(FACTORS)], axis=1) + DECAY * v
                 g0, gw, gv = g0 + e.sum() ** 2, gw + dw**2, gv + dv**2
                 w0 -= RATE * 5 * e.sum() / np.sqrt(g0)
                 w -= RATE * 5 * dw / np.sqrt(gw)
@@ -131,11 +176,10 @@ class Machine:
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.trained:
             return np.full(len(texts), self.prior)
-        bucket, doc = terms(texts)
+        doc, bucket, count = term_counts(texts)
         slot = self.slot[bucket]
         keep = slot >= 0
-        key, count = np.unique(doc[keep] * len(self.w) + slot[keep], return_counts=True) if keep.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        doc, term = key // max(len(self.w), 1), key % max(len(self.w), 1)
+        doc, term, count = doc[keep], slot[keep], count[keep]
         z, _ = _sums(self.bias, self.w, self.v, term, 1 + np.log(count), doc, len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 

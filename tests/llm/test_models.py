@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colophon.llm import language_id, toxicity
+from colophon.llm import common, language_id, toxicity
 
 WORDS = {"en": "the of and in that this with from have which there".split(), "de": "der die und nicht schön über ein ich mit auf straße".split(), "fr": "le la être où çà les des avec dans pour élève".split()}
 
@@ -106,3 +106,130 @@ def test_terms_do_not_depend_on_neighbours():
     for i, t in enumerate(texts):
         assert sorted(bucket[doc == i]) == sorted(toxicity.terms([t])[0])
     assert np.all(bucket < 1 << toxicity.BITS)
+
+
+def test_pairs_whose_terms_say_nothing_alone(spark):
+    """Each of two words stands in half of the clean and half of the toxic texts; only together or missing together they tell."""
+    rng, docs, labels = random.Random(18), [], []
+    neutral = [f"word{i}" for i in range(300)]
+    for i in range(2400):
+        words = [rng.choice(neutral) for _ in range(rng.randint(10, 40))]
+        words += ["mild"] * (i % 4 in (1, 3)) + ["group"] * (i % 4 in (2, 3))
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 in (0, 3))))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.score_documents(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([(r.score >= 0.5) == r.toxic for r in rows]) > 0.95
+
+
+MASK = (1 << 64) - 1
+
+
+def mixed(h):
+    for _ in range(2):
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & MASK
+    return h ^ h >> 32
+
+
+def plain_terms(text):
+    """Buckets with counts, character by character."""
+    step, found, words, word = pow(0x9E3779B97F4A7C15, -1, 1 << 64), {}, [], ""
+    for c in text.lower() + " ":
+        if common.word_table()[ord(c)]:
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    for w in words:
+        for size in (None, 3, 4, 5):
+            if size is None or len(w) >= size:
+                h = sum((ord(c) + 1) * pow(step, j, 1 << 64) for j, c in enumerate(w[:size])) + (size or 0)
+                b = mixed(h & MASK) >> 64 - toxicity.BITS
+                found[b] = found.get(b, 0) + 1
+    return found
+
+
+def plain_score(machine, text):
+    """The factorization machine as its formula says: a double loop over pairs."""
+    x = [(machine.slot[b], 1 + np.log(n)) for b, n in plain_terms(text).items() if machine.slot[b] >= 0]
+    z = machine.bias + sum(machine.w[s] * v for s, v in x)
+    for i in range(len(x)):
+        for j in range(i):
+            z += float(machine.v[x[i][0]] @ machine.v[x[j][0]]) * x[i][1] * x[j][1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_toxicity_scores_equal_a_double_loop(judged, odd_docs, spark):
+    docs, labels = judged
+    docs = docs.limit(120).unionByName(odd_docs.where("length(text) < 5000 OR text IS NULL").select("doc_id", "text"))
+    machine = toxicity.train(*judged)
+    got = sorted((str(r.doc_id), round(r.score, 9)) for r in score(docs, machine).collect())
+    want = sorted((str(r.doc_id), round(float(plain_score(machine, r.text or "")), 9)) for r in docs.collect())
+    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-6)
+
+
+def score(docs, machine):
+    own = toxicity.train
+    toxicity.train = lambda *_: machine
+    try:
+        return toxicity.score_documents(docs, None)
+    finally:
+        toxicity.train = own
+
+
+def plain_language(model, text):
+    """Averaged embeddings and softmax, n-gram by n-gram."""
+    place, letters = language_id._PLACE, "\n" + text.lower() + "\n\n\n\n"
+    code = [ord(c) if c.isalpha() else 32 for c in letters]
+    total, n = np.zeros(model.embed.shape[1]), 0
+    for at in range(len(letters) - 4):
+        for row, size in enumerate(language_id.GRAMS):
+            inner = code[at + 1 : at + size - 1]
+            if 32 in inner or size == 2 and code[at] == code[at + 1] == 32:
+                continue
+            h = sum(code[at + k] * int(place[row, k]) for k in range(size)) & MASK
+            h ^= h >> 29
+            total += model.embed[(h * 0xBF58476D1CE4E5B9 & MASK) >> 64 - language_id.BITS]
+            n += 1
+    if all(c == 32 for c in code):
+        return "und", 0.0
+    z = (total / n @ model.out + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    return model.languages[int(p.argmax())], p.max() / p.sum()
+
+
+def test_languages_equal_a_plain_average_and_softmax(docs, odd_docs):
+    model = language_id.train(docs)
+    rows = docs.select("doc_id", "text").limit(100).unionByName(odd_docs.where("length(text) < 5000 OR text IS NULL").select("doc_id", "text"))
+    got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in language_id.identify(rows, model).collect())
+    want = sorted((str(r.doc_id), *plain_language(model, r.text or "")) for r in rows.collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-5)
+
+
+def test_long_texts_are_read_in_parts_as_in_one(docs, judged, monkeypatch):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("ab\u0130\u4e00_9") for _ in range(rng.choice([1, 3, 8, 150, 450]))) + rng.choice(["", "!", " -- "]) for _ in range(60)) + " grubwort mild group the der"
+    model, machine = language_id.train(docs), toxicity.train(*judged)
+    for t in (text, "x" * 500, " " * 500, text.replace(" ", "")):
+        best, prob = model.predict([t])
+        terms, scored, own = toxicity.term_counts([t]), machine.score([t]), language_id._counts([t])[0]
+        for size in (32, 101):
+            monkeypatch.setattr(common, "CHUNK_CHARS", size)
+            again = model.predict([t])
+            assert again[0] == best and np.allclose(again[1], prob)
+            assert all((x == y).all() for x, y in zip(toxicity.term_counts([t]), terms)) and np.allclose(machine.score([t]), scored)
+            assert all((x == y).all() for x, y in zip(language_id._counts([t])[0], own))
+        monkeypatch.undo()
+
+
+def test_two_hundred_languages_are_all_predicted(spark):
+    rng, rows = random.Random(5), []
+    for k in range(200):
+        words = ["".join(rng.choice("abcdefghijklmnoprstuvz") for _ in range(rng.randint(3, 7))) for _ in range(30)]
+        rows += [(100 * k + i, " ".join(rng.choice(words) for _ in range(40)), f"l{k:03}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len({r.lang_pred for r in found}) == 200
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.97
