@@ -3,15 +3,17 @@
 A vector is normalised and turned by a random rotation; the signs of its coordinates are its code, and the inner
 product of code and vector is the stored correction factor.  The product of one vector's code with another vector
 (in eight-bit steps), divided by the factor, estimates the cosine without bias, and the factor bounds the error.
-Codes meet in buckets that share a few sign bits, over as many bands as the wanted recall takes; only vectors with
-a partner whose upper bound reaches the threshold are sent on, and those are compared again in double precision.
+Codes meet in buckets that share a few sign bits, over as many bands as the wanted recall takes.  A pair whose upper
+bound stays below the threshold is done with; every other pair is open and is computed again in double precision from
+its two vectors, which are fetched only then.
 
-Equal vectors are folded into one with a weight first.  No pairs are emitted: each bucket (in blocks, if it is
-large) returns counts of links and the spanning roots of its components.  A pair that meets in several bands is
-counted in the first.
+Equal vectors are folded into one with a weight first.  No pairs are emitted: the open pairs of a block of a bucket are
+a row of bits at each vector, and what comes back is counts of links and the spanning roots of components.  A pair
+that meets in several bands is counted in the first.
 
-Defined results: a null label, a null or zero vector, or one with null or non-finite components links with nothing;
-vectors of different lengths are not compared; rows with equal vec_id count as vectors of their own.
+Defined results: a null label, a null or zero vector, or one with null or non-finite components links with nothing,
+any other does, however large or small its components are; vectors of different lengths are not compared; rows with
+equal vec_id count as vectors of their own; other columns play no part.
 """
 
 from __future__ import annotations
@@ -87,9 +89,19 @@ def upper_bounds(code: np.ndarray, factor: np.ndarray, eight: np.ndarray, step:
 
 def _units(vectors) -> np.ndarray:
     x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components would not be finite or 0
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cosines(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the pairs a, b only, a few million numbers at a time."""
+    out, some = np.empty(len(a)), max(1, (1 << 21) // unit.shape[1])
+    for at in range(0, len(a), some):
+        part = slice(at, at + some)
+        out[part] = np.einsum("ij,ij->i", unit[a[part]], unit[b[part]])
+    return out
+
+
 def distinct_vectors(table: DataFrame) -> DataFrame:
     """rid, label, dim, embedding, weight, first_id: one row for each different valid vector of a label."""
     e = F.col("embedding")
@@ -119,7 +131,7 @@ def link_counts(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     coded = materialize(coded, "codes")
 
     def partners(key, c):
-        """Rows with some partner that may reach the threshold."""
+        """The vectors of a block that have open pairs, each with the bits of its partners (those of side 0)."""
         dim = int(key[1])
         code = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c["rid"]), -1)
         eight = np.frombuffer(b"".join(c["eight"]), np.int8).reshape(len(c["rid"]), dim)
@@ -134,26 +146,32 @@ def link_counts(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         may &= upper_bounds(code[cols], f[cols], eight[rows], s[rows]).T >= cosine
         if within:
             np.fill_diagonal(may, False)
-        hit = np.union1d(rows[may.any(axis=1)], cols[may.any(axis=0)])
-        if len(hit):
-            yield [c["rid"][hit], *[c[k][hit] for k in group]]
-
+        some, others = may.any(axis=1), may.any(axis=0)
+        if not some.any():
+            return
+        bits_of = np.empty(int(some.sum()), object)
+        bits_of[:] = [x.tobytes() for x in np.packbits(may[some][:, others], axis=1)]
+        hit, side = rows[some], np.zeros(len(bits_of), np.int32)
+        if not within:
+            hit, side = np.concatenate([hit, cols[others]]), np.concatenate([side, np.ones(int(others.sum()), np.int32)])
+            bits_of = np.concatenate([bits_of, np.array([b""] * int(others.sum()), object)])
+        yield [c["rid"][hit], *[c[k][hit] for k in block], side, np.arange(len(hit), dtype=np.int32), bits_of]
+
+    block = [*group, "bi", "bj"]
     dealt = blocked(coded, group, "rid", BLOCK)
-    found = map_groups(dealt, [*group, "bi", "bj"], partners, f"rid long, label {label}, dim int, band int, bucket long")
-    found = materialize(found.distinct(), "partners")
+    found = map_groups(dealt, block, partners, f"rid long, label {label}, dim int, band int, bucket long, bi int, bj int, side int, place int, open binary")
+    found = materialize(found, "partners")
 
     def exact(key, c):
-        x = np.array([np.asarray(v, np.float64) for v in c["embedding"]])
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        unit = _units(c["embedding"])
         within = key[4] == key[5]
         rows, cols = (np.flatnonzero(c["side"] == s) for s in (0, 1))
         if within:
             cols = rows
-        if not len(rows) or not len(cols):
-            return
-        linked = unit[rows] @ unit[cols].T >= cosine
-        if within:
-            np.fill_diagonal(linked, False)
+        open_bits = np.frombuffer(b"".join(c["open"][rows]), np.uint8).reshape(len(rows), -1)
+        linked = np.unpackbits(open_bits, axis=1)[:, : len(cols)].astype(bool)
+        i, j = np.nonzero(linked)
+        linked[i, j] = _cosines(unit, rows[i], cols[j]) >= cosine
         if not linked.any():
             return
         keys = band_keys(unit, bits, bands)
@@ -176,7 +194,7 @@ def link_counts(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
             yield [rid[keep], links[keep].astype(np.int64), rid[root][keep]]
 
     again = found.join(vectors.select("rid", "embedding", "weight"), "rid")
-    return materialize(map_groups(blocked(again, group, "rid", BLOCK), [*group, "bi", "bj"], exact, "rid long, links long, root long"), "links")
+    return materialize(map_groups(again, block, exact, "rid long, links long, root long", ["place"]), "links")
 
 
 def embedding_dedup(table: DataFrame, cosine: float = 0.98) -> DataFrame:

@@ -53,6 +53,27 @@ def test_odd_vectors(spark):
     assert emb.embedding_dedup(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1e307, 5e-310])
+def test_very_large_and_small_components(spark, scale):
+    rows = [(1, [1.0, 2.0, 3.0], 0), (2, [scale, 2 * scale, 3 * scale], 0), (3, [3 * scale, 2 * scale, scale], 0), (4, [scale, 2 * scale, 3.01 * scale], 0)]
+    got = emb.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False)]
+
+
+def test_every_planted_link_of_many_vectors_is_found(spark):
+    """4 000 vectors of one label, half of them near copies at cosines around the threshold: all links, none else."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((2000, 64))
+    copy = base + rng.standard_normal((2000, 64)) * rng.uniform(0.05, 0.25, (2000, 1))
+    x = np.concatenate([base, copy]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in emb.embedding_dedup(rows.repartition(4)).collect()}
+    assert [got[i] for i in range(len(x))] == linked.sum(axis=1).tolist() and linked.sum() > 1500
+
+
 def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(2)
     errors, held = [], 0
