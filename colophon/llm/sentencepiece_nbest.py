@@ -11,8 +11,8 @@ no more entries than segmentations are still wanted.  Time is linear in the text
 No piece contains a word start behind another character, or (nearly) letters beside others, so every segmentation has
 a boundary there and the lattice of a text is a chain of word lattices.  Arcs of different words never cross: what an
 arc loses is the same in the word's lattice and in the text's, so the search over the text opens the words with the
-smallest losses (at most n - 1 of them) and no others.  Equal words are solved once a task (a cache that is bounded in
-words and in characters).
+smallest losses (at most n - 1 of them) and no others.  The forward pass runs over all different words of some texts at
+once, position by position, in numpy; equal words are solved once a task (a cache bounded in words and in characters).
 
 Defined results: a null text counts as empty; an empty text has no pieces and one segmentation with score 0; texts
 with fewer segmentations than asked for give fewer scores; among equal scores the order is fixed but arbitrary.
@@ -27,7 +27,6 @@ import re
 from array import array
 from bisect import insort
 from itertools import chain, islice
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -38,9 +37,10 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 4
-#: Words and n-best lists that a worker keeps at most, and the longest word it keeps.
-CACHE, LISTS, CACHED_CHARS = 150_000, 5_000, 64
-#: Texts of more characters are encoded so many words, and decoded so many ids, at a time.
+#: Words, characters of words and n-best lists that a worker keeps at most; words up to a length are solved together.
+CACHE, CACHE_CHARS, LISTS, CACHED_CHARS = 250_000, 4 << 20, 5_000, 64
+#: Characters of texts whose words are solved together; longer texts are encoded so many words at a time, and ids
+#: decoded so many.
 LONG_TEXT, AT_ONCE = 1 << 20, 1 << 17
 _LOW = -1e300
 
@@ -87,7 +87,8 @@ class Vocabulary:
         if marked:
             raise ValueError("pieces cross word starts; texts cannot be cut there")
         self.cut = re.compile(self._word_pattern())
-        self.words: dict[str, tuple] = {}
+        self._number_nodes()
+        self.forget()
         self.lists: dict[str, tuple[int, list]] = {}
 
     def _word_pattern(self) -> str:
@@ -143,28 +144,143 @@ class Vocabulary:
         return best, second, start, last
 
     def solve(self, word: str) -> tuple:
-        """Ids of the best segmentation, its score, and the loss of the second best (inf: there is none)."""
-        found = self._odd(word) if word[0] == "\0" else self.words.get(word)
-        if found is None:
-            best, second, start, last = self.forward(word)
-            n = at = len(word)
-            if n > CACHED_CHARS:
-                ids = self._path(word, None, start, last)
-            else:
-                ids = []
-                while at:
-                    piece, at = last[at], start[at]
-                    if piece >= 0:
-                        ids.append(piece)
-                    else:
-                        ids += reversed(self._raw(word[at]))
-                ids.reverse()
-            found = (ids, best[n], best[n] - second[n] if second[n] > -1e299 else float("inf"))
-            if n <= CACHED_CHARS:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        """Ids of the best segmentation of one word, its score, and the loss of the second best (inf: there is none)."""
+        if word[0] == "\0":
+            return self._odd(word)
+        best, second, start, last = self.forward(word)
+        n = len(word)
+        return self._path(word, None, start, last), best[n], best[n] - second[n] if second[n] > -1e299 else float("inf")
+
+    def _number_nodes(self) -> None:
+        """The trie as arrays: (node, character) -> node as sorted keys, and each node's piece (or -1) and score."""
+        keys, targets, pieces, scores = [], [], [-1], [0.0]
+        open_nodes = [(0, self.trie)]
+        while open_nodes:
+            node, children = open_nodes.pop()
+            for c, (piece, score, more) in children.items():
+                keys.append(node << 21 | ord(c))
+                targets.append(len(pieces))
+                open_nodes.append((len(pieces), more))
+                pieces.append(piece)
+                scores.append(score)
+        order = np.argsort(keys)
+        self.edges, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
+        self.node_piece, self.node_score = np.array(pieces, np.int32), np.array(scores)
+        self.first_node = np.full(0x110000, -1, np.int32)
+        roots = self.edges < 1 << 21
+        self.first_node[self.edges[roots]] = self.targets[roots]
+        self.byte_ids = np.array(self.byte_id, np.int32)
+
+    def arcs(self, codes: np.ndarray, end: np.ndarray) -> tuple:
+        """(start, length, piece or -1, score) of the arcs of all words; ``end``: of each character's word."""
+        start = np.arange(len(codes))
+        node = self.first_node[codes]
+        raw = start[(node < 0) | (self.node_piece[node] < 0)]
+        found = [(raw, np.ones(len(raw), np.int64), np.full(len(raw), -1, np.int32), np.full(len(raw), self.unknown))]
+        start, length = start[node >= 0], 1
+        node = node[start]
+        while len(start):
+            whole = self.node_piece[node] >= 0
+            at = node[whole]
+            found.append((start[whole], np.full(len(at), length), self.node_piece[at], self.node_score[at]))
+            on = start + length < end[start]
+            start, node = start[on], node[on]
+            key = node.astype(np.int64) << 21 | codes[start + length]
+            place = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = self.edges[place] == key
+            start, node, length = start[hit], self.targets[place[hit]], length + 1
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def solve_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``solve`` for many short words at once: all ids, how many each word has, scores, losses of the second best."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        word = np.repeat(np.arange(len(words)), size)
+        start, length, piece, score = self.arcs(codes, ends[word])
+        # a word of k characters has k + 1 positions, numbered through all words
+        origin = ends - size + np.arange(len(words))
+        source = start + word[start]
+        target = source + length
+        depth = target - origin[word[start]]
+        # by position in the word, then by word, then earlier starts first: those win among equal scores
+        order = np.argsort((depth << 40 | target) << 7 | (CACHED_CHARS - length))
+        source, target, piece, score, start, depth = (x[order] for x in (source, target, piece, score, start, depth))
+        best, second = np.full(len(codes) + len(words), _LOW), np.full(len(codes) + len(words), _LOW)
+        came, own = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+        best[origin] = 0.0
+        cuts = np.searchsorted(depth, np.arange(1, CACHED_CHARS + 2))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            at = target[a:b]
+            new = np.concatenate([[True], at[1:] != at[:-1]])
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            value, other = best[source[a:b]] + score[a:b], second[source[a:b]] + score[a:b]
+            most = np.maximum.reduceat(value, first)
+            winners = np.flatnonzero(value == most[group])
+            winners = winners[np.diff(group[winners], prepend=-1) > 0]
+            value[winners] = _LOW
+            here = at[first]
+            best[here], second[here] = most, np.maximum(np.maximum.reduceat(value, first), np.maximum.reduceat(other, first))
+            came[here], own[here] = source[a:b][winners], a + winners
+        # back from all ends at once
+        at, live, taken = ends + np.arange(len(words)), np.arange(len(words)), []
+        last = at
+        while len(live):
+            taken.append((live, own[at]))
+            at = came[at]
+            on = at > origin[live]
+            at, live = at[on], live[on]
+        of, arc = (np.concatenate(x) for x in zip(*taken))
+        turn = np.concatenate([np.full(len(x), -i) for i, (x, _) in enumerate(taken)])
+        order = np.lexsort((turn, of))
+        of, arc = of[order], arc[order]
+        ids, counts = self._with_bytes(piece[arc], codes[start[arc]])
+        per_word = np.bincount(of, weights=counts, minlength=len(words)).astype(np.int64)
+        loss = np.where(second[last] > -1e299, best[last] - second[last], np.inf)
+        return ids, per_word, best[last], loss
+
+    def _with_bytes(self, piece: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces, and in place of each -1 the byte pieces of the character; how many ids each became."""
+        raw = piece < 0
+        count = np.where(raw, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 1)
+        at = np.cumsum(count) - count
+        ids = np.empty(int(count.sum()), np.int32)
+        ids[at[~raw]] = piece[~raw]
+        for n, mark in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+            some = raw & (count == n)
+            c, place = code[some], at[some]
+            for k in range(n):
+                part = c >> 6 * (n - 1 - k)
+                ids[place + k] = self.byte_ids[mark | part if k == 0 else 0x80 | part & 63]
+        return ids, count
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.chars, self.flat = 0, np.zeros(0, np.int32)
+        self.counts, self.firsts, self.scores, self.losses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words among those solved; those not known yet are solved together."""
+        fresh = [w for w in dict.fromkeys(words) if w not in self.index]
+        if fresh and (len(self.index) + len(fresh) > CACHE or self.chars > CACHE_CHARS):
+            self.forget()
+            fresh = list(dict.fromkeys(words))
+        if fresh:
+            short = [w for w in fresh if len(w) <= CACHED_CHARS and w[0] != "\0"]
+            others = [w for w in fresh if len(w) > CACHED_CHARS or w[0] == "\0"]
+            ids, count, score, loss = self.solve_all(short) if short else (self.flat[:0], self.counts[:0], self.scores[:0], self.losses[:0])
+            alone = [self.solve(w) for w in others]
+            count = np.append(count, [len(x[0]) for x in alone]).astype(np.int64)
+            self.firsts = np.append(self.firsts, len(self.flat) + np.cumsum(count) - count)
+            self.flat = np.concatenate([self.flat, ids, *[np.array(x[0], np.int32) for x in alone]])
+            self.counts = np.append(self.counts, count)
+            self.scores = np.append(self.scores, np.append(score, [x[1] for x in alone]))
+            self.losses = np.append(self.losses, np.append(loss, [x[2] for x in alone]))
+            self.index.update(zip(chain(short, others), range(len(self.index), len(self.index) + len(fresh))))
+            self.chars += sum(map(len, fresh))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def _raw(self, character: str) -> tuple[int, ...]:
         return tuple(self.byte_id[b] for b in character.encode("utf-8", "surrogatepass"))
@@ -253,23 +369,22 @@ class Vocabulary:
                     yield m[0]
             first = False
 
-    def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, list[float], list]:
+    def encode(self, text: str, n: int = 1, solved=None) -> tuple[np.ndarray, list[float], list]:
         """Ids of the best segmentation, the n best scores, and for each what it changes: [(word number, place among
-        the best ids, how many of them go, ids instead)], by word."""
-        known, solve = self.words.get, self.solve
-        parts, total, near, words_before, ids_before = [], 0.0, [], 0, 0
-        for words in self.blocks(text):
-            solved = [known(w) or solve(w) for w in words]
-            parts.append(np.fromiter(chain.from_iterable(map(_IDS, solved)), np.int32))
-            total += sum(map(_SCORE, solved))
+        the best ids, how many of them go, ids instead)], by word.  ``solved``: the text's words and their numbers, if known."""
+        parts, total, near, words_before, ids_before = [np.zeros(0, np.int32)], 0.0, [], 0, 0
+        for words, number in ((w, self.numbers(w)) for w in self.blocks(text)) if solved is None else [solved]:
+            count = self.counts[number]
+            place = np.cumsum(count) - count
+            parts.append(self.flat[np.repeat(self.firsts[number] - place, count) + np.arange(count.sum())])
+            total += float(self.scores[number].sum())
             if n > 1:
-                loss = np.fromiter(map(_LOSS, solved), float, len(solved))
+                loss = self.losses[number]
                 some = np.argpartition(loss, n - 2)[: n - 1] if len(loss) > n - 1 else np.arange(len(loss))
-                for k in some[loss[some] < float("inf")].tolist():
-                    near.append((float(loss[k]), words_before + k, ids_before + sum(map(len, map(_IDS, solved[:k]))), words[k]))
+                near += [(x, words_before + k, ids_before + int(place[k]), words[k]) for x, k in zip(loss[some].tolist(), some.tolist()) if x < float("inf")]
                 near = sorted(near)[: n - 1]
             words_before, ids_before = words_before + len(words), ids_before + len(parts[-1])
-        ids = parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts])
+        ids = parts[1] if len(parts) == 2 else np.concatenate(parts)
         if not near:
             return ids, [total], [[]]
         choices = [(k, at, self.nbest(word, n)) for _, k, at, word in near]
@@ -287,6 +402,24 @@ class Vocabulary:
                     heapq.heappush(queue, (sum(losses[x][p] for x, p in enumerate(more)), more))
         return ids, scores, changes
 
+    def encode_all(self, texts: list[str], n: int):
+        """``encode`` of each text; the words of as many texts as LONG_TEXT characters take are solved together."""
+        at = 0
+        while at < len(texts):
+            size, some = 0, []
+            while at < len(texts) and (not some or size + len(texts[at]) <= LONG_TEXT):
+                some.append(texts[at])
+                size += len(texts[at])
+                at += 1
+            if len(some) == 1:
+                yield self.encode(some[0], n)
+                continue
+            words = [list(chain.from_iterable(self.blocks(t))) for t in some]
+            ends = np.cumsum([0, *map(len, words)])
+            number = self.numbers(list(chain.from_iterable(words)))
+            for k, t in enumerate(some):
+                yield self.encode(t, n, (words[k], number[ends[k] : ends[k + 1]]))
+
     def _odd(self, word: str) -> tuple:
         raw = MARK.encode() if word == "\0" else b"\0"
         return tuple(self.byte_id[b] for b in raw), self.unknown, float("inf")
@@ -334,7 +467,6 @@ def _with_vocabulary(spark, path: str):
 
 
 _built: dict[str, Vocabulary] = {}
-_IDS, _SCORE, _LOSS = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_ids: bool = True, with_alternatives: bool = True) -> DataFrame:
@@ -351,9 +483,8 @@ def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_i
         vocabulary = get()
         for pdf in batches:
             rows, size = [], 0
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                text = text or ""
-                ids, scores, changes = vocabulary.encode(text, n)
+            texts = [t or "" for t in pdf["text"]]
+            for doc_id, text, (ids, scores, changes) in zip(pdf["doc_id"], texts, vocabulary.encode_all(texts, n)):
                 digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
                 other = [[{"word": k, "at": at, "old": old, "ids": list(x)} for k, at, old, x in c] for c in changes[1:]] if with_alternatives else None
                 rows.append((doc_id, len(ids), ids if with_ids else None, digest, scores, other, vocabulary.decode(ids) == text))

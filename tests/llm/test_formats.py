@@ -313,3 +313,27 @@ def test_digests_keep_no_turns(spark):
     whole = chat.format_conversations(frame).drop("formatted", "loss_spans").collect()
     assert sorted(chat.digest_conversations(frame).collect(), key=str) == sorted(whole, key=str)
     assert chat.digest_conversations(frame.limit(0)).count() == 0
+
+
+def test_words_solved_together_are_solved_as_alone(vocabulary):
+    """Ids, scores and losses of many words at once, bytes of odd characters among them, and with a cache that is full."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abetio▁é一\U0001f600x1,") for _ in range(rng.randint(1, 64))) for _ in range(400)] + list("abऄퟻ") + ["the", "▁the", "tion" * 16]
+    ids, count, score, loss = vocabulary.solve_all(words)
+    at = 0
+    for w, n, s, x in zip(words, count, score, loss):
+        alone = vocabulary.solve(w)
+        assert ids[at : at + n].tolist() == list(alone[0]) and s == alone[1] and x == alone[2]
+        assert list(vocabulary.nbest(w, 2)[0][1]) == list(alone[0])
+        at += n
+    assert at == len(ids)
+
+
+def test_a_full_cache_changes_nothing(vocabulary, monkeypatch):
+    texts = ["the cat sat on the mat " * 3, "", "an ox\n" * 40, "▁ odd \0 text", "x" * 70 + " the end"] * 4
+    whole = [(a.tolist(), b, c) for a, b, c in vocabulary.encode_all(texts, 4)]
+    monkeypatch.setattr(pieces, "CACHE", 3)
+    monkeypatch.setattr(pieces, "LONG_TEXT", 100)
+    vocabulary.forget()
+    assert [(a.tolist(), b, c) for a, b, c in vocabulary.encode_all(texts, 4)] == whole
+    assert [vocabulary.decode(a) for a, _, _ in whole] == texts
