@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .text import strip
 
@@ -78,6 +82,35 @@ def prompt_block(subject: Column, terms: Column) -> Column:
     return F.concat(F.lit("Subject: "), subject, F.lit("\n"), F.when(F.size(terms) == 0, "  (No candidate controlled terms)").otherwise(lines), F.lit("\n"))
 
 
+def json_fault(payload: Column, path: str, kind: str) -> Column:
+    """Why a payload (JSON) can't be read, or null: it is no object, or what ``path`` names is not a list."""
+    parsed = F.try_parse_json(payload)
+    whole = F.schema_of_variant(parsed)
+    inner = F.get_json_object(payload, path)
+    no_object = parsed.isNull() | ~whole.startswith("OBJECT")
+    no_list = inner.isNotNull() & ~F.ltrim(inner).startswith("[")
+    return F.when(F.coalesce(no_object, F.lit(True)), F.lit(f"{kind} payload is not an object")).when(no_list, F.lit(f"{kind} payload has no list at {path}"))
+
+
+def xml_fault(payload: Column, kind: str) -> Column:
+    """Why a payload (XML) can't be read, or null."""
+    return F.when(F.coalesce(F.length(F.trim(payload)), F.lit(0)) == 0, F.lit(f"{kind} payload is empty")).when(~well_formed(payload), F.lit(f"{kind} payload is not XML"))
+
+
+@F.pandas_udf(BooleanType())
+def well_formed(payload: pd.Series) -> pd.Series:
+    """Is it XML?  Spark's own reader gives nulls for what it can't read, and for documents without the fields too."""
+
+    def reads(text: str | None) -> bool:
+        try:
+            ElementTree.fromstring((text or "").strip())
+        except ElementTree.ParseError:
+            return False
+        return True
+
+    return payload.map(reads).astype(bool)
+
+
 def fast_terms(payload: Column, source: str = "FAST", with_tag: bool = False) -> Column:
     """Terms of a suggest payload (JSON); a field may be a value or a list, whose first member counts."""
     docs = F.from_json(F.get_json_object(payload, "$.response.docs"), "array<struct<suggestall: string, idroot: string, auth: string, type: string, tag: string>>")
@@ -107,8 +140,16 @@ def lcsh_terms(payload: Column) -> Column:
 
 
 def getty_terms(xml: Column, source: str) -> Column:
-    """Terms of a Getty answer (XML): subjects with id and preferred term."""
-    kind = "STRUCT<Subject: ARRAY<STRUCT<Subject_ID: STRING, Preferred_Term: STRING>>>"
-    subjects = F.from_xml(xml, kind)["Subject"]
-    rows = F.transform(F.coalesce(subjects, F.array().cast("array<struct<Subject_ID: string, Preferred_Term: string>>")), lambda s: term(F.trim(s["Preferred_Term"]), F.when(F.trim(s["Subject_ID"]) != "", F.concat(F.lit(URIS[source]), F.trim(s["Subject_ID"]))), F.lit(source), subject_id=F.trim(s["Subject_ID"])))
+    """Terms of a Getty answer (XML): subjects, at any depth, with id and preferred term."""
+    subjects = F.regexp_extract_all(xml, F.lit(r"(?s)<Subject(?:\s[^>]*)?>(.*?)</Subject>"), F.lit(1))
+
+    def inner(subject: Column, name: str) -> Column:
+        found = F.from_xml(F.concat(F.lit("<r>"), subject, F.lit("</r>")), f"STRUCT<{name}: ARRAY<STRING>>")[name]
+        return F.coalesce(F.trim(F.get(found, F.lit(0))), F.lit(""))
+
+    def build(s: Column) -> Column:
+        n = inner(s, "Subject_ID")
+        return term(inner(s, "Preferred_Term"), F.when(n != "", F.concat(F.lit(URIS[source]), n)), F.lit(source), subject_id=n)
+
+    rows = F.transform(F.coalesce(subjects, F.array().cast("array<string>")), build)
     return F.filter(rows, lambda t: (t["label"] != "") & (t["uri"] != ""))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.terms import priority
+from ..functions.terms import formatted, priority, term
 from ..functions.text import comparison_key, latin_key, word_overlap, words
 
 #: Fixed: words that widen a search for places; words that let a label pass as architecture.
@@ -13,6 +15,8 @@ PLACE_WORDS = ["american", "southern", "northern", "eastern", "western", "city",
 BUILDING_WORDS = ["architecture", "architectural", "building", "style"]
 #: Fixed: order of the sources, and the group whose cap each shares.
 SOURCES = [("LCSH", "LCSH"), ("FAST", "FAST"), ("Getty AAT", "Getty"), ("Getty TGN", "Getty")]
+#: The source that places are looked up in, one term each.
+PLACES, PLACE_LIMIT = "FAST Geographic", 1
 
 
 def queries(values: DataFrame, column: str) -> DataFrame:
@@ -26,19 +30,32 @@ def cached(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked.join(cache, ["service", "query"]), asked.join(cache.select("service", "query"), ["service", "query"], "left_anti")
 
 
+def _ranked(found: DataFrame, whole: Column) -> DataFrame:
+    """Hits numbered by query and source: equal to the query first, then by label."""
+    exact = (F.lower("label") != whole).cast("int")
+    return found.withColumn("hit_pos", F.row_number().over(Window.partitionBy("query", "source").orderBy(exact, "label", "uri")))
+
+
 def table_hits(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query, source, label, uri, hit_pos) of a vocabulary table: terms that contain a query as a word, exact first.
 
-    ``vocabulary``: source, label, uri.  The join is on words, so it is an equi-join however large either side is.
+    ``vocabulary``: source, label, uri and what else is to be kept.  The join is on words, so it is an equi-join
+    however large either side is.
     """
-    terms = vocabulary.select("source", "label", "uri", F.explode(F.array_distinct(words(F.lower("label")))).alias("word"))
+    terms = vocabulary.withColumn("word", F.explode(F.array_distinct(words(F.lower("label")))))
     asked = asked.select("query", F.lower("query").alias("whole"), F.array_distinct(words(F.lower("query"))).alias("parts"))
     # the first word leads to the candidates, the others are checked
     found = asked.withColumn("word", F.get("parts", F.lit(0))).join(terms, "word")
     found = found.where(F.size(F.array_except("parts", words(F.lower("label")))) == 0)
-    exact = (F.lower("label") != F.col("whole")).cast("int")
-    w = Window.partitionBy("query", "source").orderBy(exact, "label", "uri")
-    return found.withColumn("hit_pos", F.row_number().over(w)).select("query", "source", "label", "uri", "hit_pos")
+    return _ranked(found, F.col("whole")).select("query", *vocabulary.columns, "hit_pos")
+
+
+def left_anchored_hits(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(query, source, label, uri, hit_pos): terms whose label starts with the query; an equi-join on label beginnings."""
+    label = F.lower("label")
+    starts = vocabulary.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1))))).withColumn("start", F.left(label, F.col("n"))).drop("n")
+    found = asked.select("query", F.lower("query").alias("start")).join(starts, "start")
+    return _ranked(found, F.lower("query")).select("query", *vocabulary.columns, "hit_pos")
 
 
 def fallback_words(query: Column, kind: str) -> Column:
@@ -57,33 +74,60 @@ def accepted(label: Column, query: Column, kind: str, term_type: Column | None =
     if kind == "Getty AAT":
         for w in BUILDING_WORDS:
             out = out | F.contains(F.lower(label), F.lit(w))
-    if kind == "FAST Geographic" and term_type is not None:
+    if kind == PLACES and term_type is not None:
         out = out | F.contains(F.lower(term_type), F.lit("geographic"))
     return out
 
 
+def by_kind(kinds, build: Callable[[str], Column], none: Column) -> Column:
+    """``build`` of the row's own source among ``kinds``."""
+    for kind in kinds:
+        none = F.when(F.col("source") == kind, build(kind)).otherwise(none)
+    return none
+
+
+def first_hits(hits: DataFrame, most: Column | int, *order: str) -> DataFrame:
+    """Of each query and source the first hit of each uri, ``most`` of them, numbered by ``order``."""
+    again = Window.partitionBy("query", "source", "uri").orderBy(*order)
+    once = hits.withColumn("again", F.row_number().over(again)).where((F.col("again") == 1) | (F.col("uri") == "")).drop("again")
+    return once.withColumn("hit_pos", F.row_number().over(Window.partitionBy("query", "source").orderBy(*order))).where(F.col("hit_pos") <= most)
+
+
 def search(asked: DataFrame, vocabulary: DataFrame, most: int = 3) -> DataFrame:
-    """Primary hits of each source, and those of a fallback where a source has fewer than it may have.
+    """Hits of each source, ``most`` of different uris at most, with those of a fallback where there are too few.
 
-    LCSH falls back whenever hits are short, the others only if there are none; each source gives ``most`` terms.
+    LCSH adds headings that start with the query whenever it has fewer than ``most``; the others ask word by word, and
+    only if nothing was found.
     """
-    primary = table_hits(asked, vocabulary).where(F.col("hit_pos") <= most)
-    counted = asked.crossJoin(F.broadcast(asked.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(SOURCES)], "source string, client_pos int")))
+    primary = table_hits(asked, vocabulary).where(F.col("hit_pos") <= most).withColumn("place", F.lit(0))
     found = primary.groupBy("query", "source").agg(F.countDistinct("uri").alias("n"))
-    short = counted.join(found, ["query", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    short = short.where((F.col("n") == 0) & (F.col("source") != "LCSH"))
-    parts = F.lit(None).cast("array<string>")
-    for source, _ in SOURCES:
-        parts = F.when(F.col("source") == source, fallback_words(F.col("query"), source)).otherwise(parts)
-    again = short.select(F.col("query").alias("original"), "source", F.posexplode(parts).alias("word_pos", "query"))
-    hits = table_hits(again.select("query").distinct(), vocabulary)
-    hits = again.join(hits, ["query", "source"])
-    may = F.lit(False)
-    for source, _ in SOURCES:
-        may = F.when(F.col("source") == source, accepted(F.col("label"), F.col("original"), source)).otherwise(may)
-    hits = hits.where(may).withColumn("hit_pos", F.row_number().over(Window.partitionBy("original", "source").orderBy("word_pos", "hit_pos")))
-    more = hits.where(F.col("hit_pos") <= most).select(F.col("original").alias("query"), "source", "label", "uri", "hit_pos")
-    return primary.unionByName(more)
+    of = lambda source: asked.withColumn("source", F.lit(source)).join(found, ["query", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    headings = vocabulary.where(F.col("source") == "LCSH")
+    hits = primary.unionByName(left_anchored_hits(of("LCSH").where(F.col("n") < most).select("query"), headings).where(F.col("hit_pos") <= most).withColumn("place", F.lit(1)))
+    others = [s for s, _ in SOURCES if s != "LCSH"]
+    nothing = of(others[0])
+    for source in others[1:]:
+        nothing = nothing.unionByName(of(source))
+    parts = by_kind(others, lambda s: fallback_words(F.col("query"), s), F.lit(None).cast("array<string>"))
+    again = nothing.where("n = 0").select(F.col("query").alias("original"), "source", F.posexplode(parts).alias("place", "query"))
+    more = again.join(table_hits(again.select("query").distinct(), vocabulary.where(F.col("source") != "LCSH")).where(F.col("hit_pos") <= most), ["query", "source"])
+    may = by_kind(others, lambda s: accepted(F.col("label"), F.col("original"), s), F.lit(False))
+    more = more.where(may).select(F.col("original").alias("query"), *vocabulary.columns, "hit_pos", (F.col("place") + 1).alias("place"))
+    return first_hits(hits.unionByName(more), most, "place", "hit_pos", "label").drop("place")
+
+
+def place_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(query, source, label, uri, type): the term of each place, not deduplicated over places.
+
+    Geographic terms come first; only where there is none, the first two terms of any type are looked at, and stand if
+    they share a word with the query or are of a geographic type.
+    """
+    geographic = vocabulary.where(F.col("type") == "Geographic")
+    primary = table_hits(asked, geographic.withColumn("source", F.lit(PLACES))).where(F.col("hit_pos") <= 2 * PLACE_LIMIT)
+    rest = asked.select("query").join(primary.select("query").distinct(), "query", "left_anti")
+    more = table_hits(rest, vocabulary.withColumn("source", F.lit(PLACES))).where(F.col("hit_pos") <= 2 * PLACE_LIMIT)
+    more = more.where(accepted(F.col("label"), F.col("query"), PLACES, F.col("type")))
+    return first_hits(primary.unionByName(more), PLACE_LIMIT, "hit_pos").drop("hit_pos")
 
 
 def capped(hits: DataFrame, limit: int = 3) -> DataFrame:
@@ -114,7 +158,7 @@ def look_up(asked: DataFrame, vocabulary: DataFrame, limit: int = 3) -> DataFram
 def write_back(items: DataFrame, terms: DataFrame, subjects: str = "subjects") -> DataFrame:
     """item_index, n_terms, cell: each item's terms in the order of its subjects, joined without repeats."""
     rows = items.select("item_index", F.posexplode(subjects).alias("pos", "query")).join(terms, "query")
-    text = F.concat("label", F.when(F.col("uri") != "", F.concat(F.lit(" ("), "uri", F.lit(")"))).otherwise(""), F.lit(" ["), "source", F.lit("]"))
+    text = formatted(term(F.col("label"), F.col("uri"), F.col("source")))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "term_pos", text.alias("text"))))
     return rows.groupBy("item_index").agg(F.count(F.lit(1)).alias("n_terms"), F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["text"])), "; ").alias("cell"))
 

@@ -67,19 +67,18 @@ def dedupe_norm_key(spark, sf_dir):
 
 @query(r"""
     SELECT doc_id, count(*) AS n, string_agg(part, '|' ORDER BY pos) AS parts FROM (
-      SELECT doc_id, trim(unnest(p)) AS part, generate_subscripts(p, 1) AS pos
-      FROM (SELECT doc_id, string_split_regex(string_split(text, chr(10))[1], '[,;]') AS p FROM documents))
+      SELECT doc_id, regexp_replace(unnest(p), '^\s+|\s+$', '', 'g') AS part, generate_subscripts(p, 1) AS pos
+      FROM (SELECT doc_id, string_split_regex(text, '[,;]') AS p FROM documents))
     WHERE part <> '' GROUP BY doc_id""")
 def subject_split(spark, sf_dir):
-    parts = text.split_list(F.get(F.split("text", "\n"), F.lit(0)))
-    rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("p")).where(F.size("p") > 0)
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.split_list(F.col("text")).alias("p")).where(F.size("p") > 0)
     return rows.select("doc_id", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("parts"))
 
 
 @query("""
-    SELECT doc_id, regexp_replace(trim(regexp_replace(lower(left(text, 60)), '\\s+', ' ', 'g')), '[.,;:!?]$', '') AS label FROM documents""")
+    SELECT doc_id, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[.,;:!?]$', '') AS label FROM documents""")
 def matching_label(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.matching_label(F.left("text", F.lit(60))).alias("label"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.matching_label(F.col("text")).alias("label"))
 
 
 @query("SELECT doc_id, length(text) > 2500 AS chunked, CAST(floor(length(text) / 4) AS BIGINT) + 100 + 4800 AS tokens FROM documents")
@@ -97,9 +96,9 @@ def truncate_prompt(spark, sf_dir):
 
 
 @query("""
-    SELECT doc_id, 'Cost: $5 for ' || source || chr(10) || left(text, 200) || chr(10) || 'Language ' || lang || '.' AS prompt FROM documents""")
+    SELECT doc_id, 'Cost: $5 for ' || source || chr(10) || text || chr(10) || 'Language ' || lang || '.' AS prompt FROM documents""")
 def prompt_render(spark, sf_dir):
-    prompt = text.fill_template("Cost: $$5 for $source\n${body}\nLanguage $lang.", source=F.col("source"), body=F.left("text", F.lit(200)), lang=F.col("lang"))
+    prompt = text.fill_template("Cost: $$5 for $source\n${body}\nLanguage $lang.", source=F.col("source"), body=F.col("text"), lang=F.col("lang"))
     return table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"))
 
 
@@ -318,15 +317,14 @@ def batch_marker(spark, sf_dir):
 # --- model output -----------------------------------------------------------------------------------------------
 
 @query("""
-    SELECT event_id, json_keys(props)[1] AS first_key, CASE WHEN event_id % 4 = 3 THEN NULL ELSE json_extract_string(props, '$.' || json_keys(props)[1]) END AS first_value,
-           event_id % 4 <> 3 AS readable FROM (SELECT event_id, CAST(props AS JSON) AS props FROM events)""")
+    SELECT event_id, k AS key, CASE WHEN event_id % 4 = 3 THEN NULL ELSE json_extract_string(props, '$."' || k || '"') END AS value, event_id % 4 <> 3 AS readable
+    FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM (SELECT event_id, CAST(props AS JSON) AS props FROM events))""")
 def json_repair_props(spark, sf_dir):
     props, kind = F.col("props"), F.col("event_id") % 4
     commas = F.regexp_replace(props, r"\}\s*$", ", }")
     raw = F.when(kind == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Here it is: "), commas, F.lit(" as asked."))).when(kind == 2, props).otherwise(F.left(props, F.length(props) - 1))
-    first = F.get(F.json_object_keys(props), F.lit(0))
-    rows = table(spark, sf_dir, "events").select("event_id", first.alias("first_key"), json_repair.repaired(raw).alias("m"))
-    return rows.select("event_id", "first_key", F.try_element_at("m", F.col("first_key")).alias("first_value"), F.col("m").isNotNull().alias("readable"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(F.json_object_keys(props)).alias("key"), json_repair.repaired(raw).alias("m"))
+    return rows.select("event_id", "key", F.try_element_at("m", F.col("key")).alias("value"), F.col("m").isNotNull().alias("readable"))
 
 
 @query("""
@@ -496,7 +494,7 @@ def subject_results(spark, sf_dir):
 _VOCABULARY_SQL = """
     v AS MATERIALIZED (SELECT DISTINCT 'LCSH' AS source, p_name AS label, 'l/' || p_name AS uri FROM part UNION SELECT DISTINCT 'FAST', p_type || ' ' || p_name, 'f/' || p_name FROM part
       UNION SELECT DISTINCT 'Getty AAT', p_brand || ' ' || split_part(p_name, ' ', 1), 'a/' || p_brand FROM part
-      UNION SELECT DISTINCT 'Getty TGN', n_name || ' ' || split_part(p_name, ' ', 2), 't/' || n_name FROM nation, (SELECT DISTINCT p_name FROM part))"""
+      UNION SELECT DISTINCT 'Getty TGN', n_name || ' ' || split_part(p_name, ' ', 2), 't/' || n_name FROM part JOIN nation ON n_nationkey = p_partkey % 25)"""
 
 
 def vocabulary(spark, sf_dir) -> DataFrame:
@@ -510,10 +508,8 @@ def vocabulary(spark, sf_dir) -> DataFrame:
     out = rows(part, "LCSH", name, F.concat(F.lit("l/"), name))
     out = out.union(rows(part, "FAST", F.concat_ws(" ", "p_type", "p_name"), F.concat(F.lit("f/"), name)))
     out = out.union(rows(part, "Getty AAT", F.concat_ws(" ", F.col("p_brand"), first), F.concat(F.lit("a/"), "p_brand")))
-    seconds = part.select(second.alias("second")).distinct()
-    # nations are a fixed table of 25 rows
-    places = seconds.crossJoin(F.broadcast(nation.select("n_name").limit(25)))
-    out = out.union(rows(places, "Getty TGN", F.concat_ws(" ", "n_name", "second"), F.concat(F.lit("t/"), "n_name")))
+    places = part.join(nation, F.col("n_nationkey") == F.col("p_partkey") % 25)
+    out = out.union(rows(places, "Getty TGN", F.concat_ws(" ", F.col("n_name"), second), F.concat(F.lit("t/"), "n_name")))
     return out.distinct()
 
 
@@ -527,8 +523,14 @@ _HITS_SQL = f"""
     q AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part),
     h AS (SELECT query, source, label, uri, row_number() OVER (PARTITION BY query, source ORDER BY lower(label) <> lower(query), label, uri) AS hit_pos
           FROM q JOIN v ON list_contains(string_split_regex(lower(label), '\\s+'), lower(query))),
+    few AS (SELECT query FROM q LEFT JOIN h USING (query) GROUP BY query HAVING count(DISTINCT uri) FILTER (source = 'LCSH' AND hit_pos <= 3) < 3),
+    a AS (SELECT query, source, label, uri, row_number() OVER (PARTITION BY query, source ORDER BY lower(label) <> lower(query), label, uri) AS hit_pos
+          FROM few JOIN v ON source = 'LCSH' AND starts_with(lower(label), lower(query))),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query, source, uri ORDER BY place, hit_pos, label) AS again
+          FROM (SELECT *, 0 AS place FROM h WHERE hit_pos <= 3 UNION ALL SELECT *, 1 FROM a WHERE hit_pos <= 3)),
+    f AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query, source ORDER BY place, hit_pos, label) AS hit_pos) FROM b WHERE again = 1),
     g AS (SELECT *, CASE source WHEN 'LCSH' THEN 0 WHEN 'FAST' THEN 1 WHEN 'Getty AAT' THEN 2 ELSE 3 END AS client_pos,
-                 CASE WHEN source LIKE 'Getty%' THEN 'Getty' ELSE source END AS grp FROM h WHERE hit_pos <= 3),
+                 CASE WHEN source LIKE 'Getty%' THEN 'Getty' ELSE source END AS grp FROM f WHERE hit_pos <= 3),
     c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, grp ORDER BY client_pos, hit_pos, label, uri) AS taken FROM g) WHERE taken <= 3),
     d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, uri ORDER BY client_pos, hit_pos, label) AS again FROM c) WHERE again = 1),
     t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY client_pos, hit_pos, label, uri) AS term_pos FROM d)
@@ -546,13 +548,69 @@ def vocab_dedupe(spark, sf_dir):
     return longs(lookup.look_up(subjects(spark, sf_dir), vocabulary(spark, sf_dir)), "term_pos")
 
 
+@query(_HITS_SQL + "SELECT query, label, uri, hit_pos, place FROM f WHERE source = 'LCSH' AND hit_pos <= 3 AND query IN (SELECT query FROM few)")
+def lookup_topup(spark, sf_dir):
+    """Headings of the queries that have fewer than three by keyword: keyword hits, then those that start with the query."""
+    asked, terms_ = subjects(spark, sf_dir), vocabulary(spark, sf_dir).where("source = 'LCSH'")
+    primary = lookup.table_hits(asked, terms_).where("hit_pos <= 3")
+    few = asked.join(primary, "query", "left").groupBy("query").agg(F.countDistinct("uri").alias("n")).where("n < 3").select("query")
+    place = primary.select("query", "uri", F.lit(0).alias("place")).distinct()
+    found = lookup.search(asked, terms_).where("source = 'LCSH'").join(few, "query", "left_semi").join(place, ["query", "uri"], "left")
+    return found.select("query", "label", "uri", F.col("hit_pos").cast("long").alias("hit_pos"), F.coalesce("place", F.lit(1)).alias("place"))
+
+
+_PLACES_SQL = """
+    WITH g AS (SELECT n_name AS label, 'g/' || n_name AS uri, 'Geographic' AS type FROM nation
+               UNION SELECT 'upper ' || r_name, 'r/' || r_name, 'Geographic Name' FROM region UNION SELECT p_name, 'p/' || p_name, 'Topic' FROM part),
+    q AS (SELECT DISTINCT lower(n_name) AS query FROM nation UNION SELECT DISTINCT lower(r_name) FROM region UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part UNION SELECT 'nowhere'),
+    a AS (SELECT query, label, uri, type, row_number() OVER (PARTITION BY query ORDER BY lower(label) <> query, label, uri) AS r
+          FROM q JOIN g ON len(list_filter(string_split(query, ' '), lambda w: NOT list_contains(string_split(lower(label), ' '), w))) = 0),
+    b AS (SELECT query, label, uri, type, row_number() OVER (PARTITION BY query ORDER BY lower(label) <> query, label, uri) AS r
+          FROM q JOIN g ON type = 'Geographic' AND len(list_filter(string_split(query, ' '), lambda w: NOT list_contains(string_split(lower(label), ' '), w))) = 0),
+    f AS (SELECT query, label, uri, type FROM b WHERE r = 1 UNION ALL SELECT query, label, uri, type FROM a WHERE r = 1 AND query NOT IN (SELECT query FROM b))"""
+
+
+@query(_PLACES_SQL + "SELECT query, 'FAST Geographic' AS source, label, uri, type FROM f")
+def lookup_places(spark, sf_dir):
+    nation, region, part = (table(spark, sf_dir, t) for t in ("nation", "region", "part"))
+    one = lambda df, label, mark, kind: df.select(label.alias("label"), F.concat(F.lit(mark), df.columns[1]).alias("uri"), F.lit(kind).alias("type"))
+    terms_ = one(nation.select("n_nationkey", "n_name"), F.col("n_name"), "g/", "Geographic").union(one(region.select("r_regionkey", "r_name"), F.concat(F.lit("upper "), "r_name"), "r/", "Geographic Name"))
+    terms_ = terms_.union(one(part.select("p_partkey", "p_name"), F.col("p_name"), "p/", "Topic")).distinct().withColumn("source", F.lit("FAST"))
+    asked = nation.select(F.lower("n_name").alias("q")).union(region.select(F.lower("r_name"))).union(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).union(spark.createDataFrame([("nowhere",)], "q string"))
+    return lookup.place_terms(lookup.queries(asked, "q"), terms_.select("source", "label", "uri", "type")).select("query", "source", "label", "uri", "type")
+
+
+@query("""
+    SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'LCSH payload is not an object' WHEN 1 THEN 'LCSH payload has no list at $.hits' WHEN 3 THEN 'FAST payload has no list at $.response.docs'
+             WHEN 4 THEN 'FAST payload is not an object' WHEN 6 THEN 'Getty payload is not XML' END AS error,
+           CASE event_id % 8 WHEN 2 THEN event_type WHEN 5 THEN event_type WHEN 7 THEN event_type END AS label FROM events""")
+def payload_faults(spark, sf_dir):
+    """Malformed answers are errors of their row; well-formed ones give their term."""
+    from ..sources import vocabularies
+
+    k, t = F.col("event_id") % 8, F.col("event_type")
+    say = lambda a, b: F.concat(F.lit(a), t, F.lit(b))
+    payload = (
+        F.when(k == 0, say('["', '"]')).when(k == 1, say('{"hits": "', '"}')).when(k == 2, say('{"hits": [{"aLabel": "', '", "uri": "u"}]}'))
+        .when(k == 3, say('{"response": {"docs": {"a": "', '"}}}')).when(k == 4, say("{", "")).when(k == 5, say('{"response": {"docs": [{"auth": "', '", "idroot": ["7"], "suggestall": ["x"]}]}}'))
+        .when(k == 6, say("<a>", "</b>")).otherwise(say("<a><b><Subject><Subject_ID>7</Subject_ID><Preferred_Term>", "</Preferred_Term></Subject></b></a>"))
+    )
+    service = F.when(k < 3, "LCSH").when(k < 6, "FAST").otherwise("Getty AAT")
+    rows = table(spark, sf_dir, "events").select(service.alias("service"), F.col("event_id").cast("string").alias("query"), "event_id", payload.alias("payload"), F.lit(0.0).alias("seconds"), F.lit(None).cast("string").alias("error"))
+    told = vocabularies.checked(rows)
+    label = vocabularies.parse(told).select("query", F.col("term.label").alias("label"))
+    return told.join(label, "query", "left").select("event_id", "error", "label")
+
+
 @query("""
     WITH a AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part), b AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM benchmark)
     SELECT item_id, count(DISTINCT p_name) AS names, count(DISTINCT w) AS words FROM a JOIN b USING (w) GROUP BY 1""")
 def word_overlap_join(spark, sf_dir):
-    a = table(spark, sf_dir, "part").select("p_name", F.explode(text.words(F.lower("p_name"))).alias("w")).distinct()
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.words(F.lower("text"))).alias("w")).distinct()
-    return a.join(b, "w").groupBy("item_id").agg(F.countDistinct("p_name").alias("names"), F.countDistinct("w").alias("words"))
+    """Names and items that share a word: candidates by an equi-join on words, the function says whether they overlap."""
+    a = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("w", F.explode(F.array_distinct(text.words(F.lower("p_name")))))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t")).withColumn("w", F.explode(F.array_distinct(text.words(F.lower("t")))))
+    pairs = a.join(b, "w").where(text.word_overlap(F.col("p_name"), F.col("t")))
+    return pairs.groupBy("item_id").agg(F.countDistinct("p_name").alias("names"), F.countDistinct("w").alias("words"))
 
 
 _SET = "array_to_string(list_sort(list_distinct(string_split({}, ' '))), ' ')"
@@ -626,20 +684,20 @@ def vocab_coverage(spark, sf_dir):
 @query(_HITS_SQL + """,
     i AS (SELECT p_partkey AS item_index, unnest(string_split(p_name, ' ')) AS query, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part),
     w AS (SELECT item_index, pos, term_pos, label || CASE WHEN uri <> '' THEN ' (' || uri || ')' ELSE '' END || ' [' || source || ']' AS x FROM i JOIN t USING (query)),
-    f AS (SELECT *, row_number() OVER (PARTITION BY item_index, x ORDER BY pos, term_pos) AS r FROM w)
-    SELECT item_index, count(*) AS n_terms, string_agg(x, '; ' ORDER BY pos, term_pos) FILTER (r = 1) AS cell FROM f GROUP BY 1""")
+    y AS (SELECT *, row_number() OVER (PARTITION BY item_index, x ORDER BY pos, term_pos) AS r FROM w)
+    SELECT item_index, count(*) AS n_terms, string_agg(x, '; ' ORDER BY pos, term_pos) FILTER (r = 1) AS cell FROM y GROUP BY 1""")
 def writeback(spark, sf_dir):
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_index"), F.split("p_name", " ").alias("subjects"))
     return lookup.write_back(items, vocab_dedupe(spark, sf_dir))
 
 
 @query("""
-    SELECT event_id, first_key, first_key IN ('k', 'a', 'page', 'x') AS hit FROM (SELECT event_id, json_keys(CAST(props AS JSON))[1] AS first_key FROM events)""")
+    SELECT event_id, key, key IN ('k', 'a', 'page', 'x') AS hit FROM (SELECT event_id, unnest(json_keys(CAST(props AS JSON))) AS key FROM events)""")
 def cache_hits(spark, sf_dir):
-    asked = table(spark, sf_dir, "events").select("event_id", F.get(F.json_object_keys("props"), F.lit(0)).alias("query"), F.lit("FAST").alias("service"))
+    asked = table(spark, sf_dir, "events").select("event_id", F.explode(F.json_object_keys("props")).alias("query"), F.lit("FAST").alias("service"))
     cache = spark.createDataFrame([("FAST", x, f"terms of {x}") for x in ("k", "a", "page", "x")], "service string, query string, terms string")
     hits, misses = lookup.cached(asked, cache)
-    cols = ["event_id", F.col("query").alias("first_key")]
+    cols = ["event_id", F.col("query").alias("key")]
     return hits.select(*cols, F.lit(True).alias("hit")).union(misses.select(*cols, F.lit(False).alias("hit")))
 
 
