@@ -1,9 +1,12 @@
 """Chat formatting by compiled templates.
 
-A small template language (text, ``{{ expression }}``, if / elif / else, for, generation) is parsed into a syntax
-tree, constant parts are folded, and each node becomes a Python closure that appends pieces to an output.  There is
-no way to Python objects from a template: names come from the data given, fields from a fixed list, filters from a
-fixed table.  Pieces under ``{% generation %}`` carry the loss mask.
+A small template language is parsed into a syntax tree, constant parts are folded, and each node becomes a Python
+closure that appends pieces to an output.  It has text, ``{{ expression }}``, ``{# comment #}``, if / elif / else, for
+(with loop.index, index0, first, last, length), set, generation, and ``-`` beside a tag's bracket to trim white space
+there; expressions have strings, whole numbers, true, false, none, names, fields (``turn.role``, ``turn['role']``),
+list items and slices, ``+ - %``, comparisons, ``in``, ``is defined``, not, and, or, filters and ``raise_exception``.
+There is no way to Python objects from a template: names come from the data given, fields and filters from fixed
+tables.  Pieces under ``{% generation %}`` carry the loss mask.
 
 Texts and roles are escaped with backslashes wherever a control string or a backslash stands in them, so no text
 can pose as a marker, and reading back gives exactly what went in.
@@ -15,6 +18,7 @@ null conv_id form one conversation; repeated rows are repeated turns; a table wi
 from __future__ import annotations
 
 import hashlib
+import operator
 import re
 
 import pandas as pd
@@ -45,19 +49,30 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
 
 
-FILTERS = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
-FIELDS = {"role", "text", "turn"}
+def trim(text: str) -> str:
+    return text.strip()
+
+
+FILTERS = {"escape": escape, "trim": trim, "upper": str.upper, "lower": str.lower, "length": len}
+#: Methods that stand for a filter.
+METHODS = {"strip": "trim", "upper": "upper", "lower": "lower"}
+FIELDS = {"role", "text", "content", "turn"}
+LOOP = {"index", "index0", "first", "last", "length"}
 
 
 class TemplateError(ValueError):
     pass
 
 
-# --- syntax tree: tuples ("text", s) ("out", e) ("if", [(e, body)], other) ("for", name, e, body) ("generation", body)
-#     expressions: ("const", v) ("name", n) ("field", e, n) ("filter", n, e) ("op", o, a, b) ("not", e)
+# --- syntax tree: tuples ("text", s) ("out", e) ("if", [(e, body)], other) ("for", name, e, body) ("set", name, e)
+#     ("generation", body); expressions: ("const", v) ("name", n) ("field", e, n) ("item", e, e) ("slice", e, e, e)
+#     ("filter", n, e) ("op", o, a, b) ("not", e) ("defined", n) ("raise", e)
 
-_tag = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
-_token = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(==|!=|[+|().])|([A-Za-z_]\w*))")
+_string = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+_tag = re.compile(rf"\{{\{{(-?)((?:{_string}|(?!-?\}}\}}).)*)(-?)\}}\}}|\{{%(-?)((?:{_string}|(?!-?%\}}).)*)(-?)%\}}|\{{#(-?).*?(-?)#\}}", re.S)
+_token = re.compile(rf"\s*(?:({_string})|(\d+)|(==|!=|<=|>=|[-+%|().<>:\[\]])|([A-Za-z_]\w*))")
+_WORDS = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
+_LEVELS = (("or",), ("and",), ("==", "!=", "<", "<=", ">", ">=", "in"), ("+", "-"), ("%",))
 
 
 def _tokens(source: str) -> list[tuple[str, str]]:
@@ -67,22 +82,32 @@ def _tokens(source: str) -> list[tuple[str, str]]:
         m = _token.match(source, at)
         if not m:
             raise TemplateError(f"cannot read {source[at:]!r}")
-        out.append(("str", m[1]) if m[1] else ("sign", m[2]) if m[2] else ("word", m[3]))
+        out.append(("str", m[1]) if m[1] else ("number", m[2]) if m[2] else ("sign", m[3]) if m[3] else ("word", m[4]))
         at = m.end()
     return out
 
 
 class _Expression:
-    """Precedence, low to high: or, and, not, == and !=, +, filters, fields."""
+    """Precedence, low to high: or, and, not, comparisons, + and -, %, then what stands behind a value."""
 
     def __init__(self, source: str):
         self.left = _tokens(source)
 
     def take(self, *values: str) -> str | None:
-        if self.left and self.left[0][0] != "str" and self.left[0][1] in values:
+        if self.left and self.left[0][0] not in ("str", "number") and self.left[0][1] in values:
             return self.left.pop(0)[1]
         return None
 
+    def need(self, value: str) -> None:
+        if not self.take(value):
+            raise TemplateError(f"missing {value}")
+
+    def word(self) -> str:
+        kind, word = self.left.pop(0) if self.left else ("", "")
+        if kind != "word":
+            raise TemplateError(f"a name is missing before {word!r}")
+        return word
+
     def whole(self):
         e = self.chain(0)
         if self.left:
@@ -90,56 +115,116 @@ class _Expression:
         return e
 
     def chain(self, level: int):
-        signs = (("or",), ("and",), ("==", "!="), ("+",))
         if level == 2 and self.take("not"):
             return ("not", self.chain(2))
-        if level == len(signs):
-            return self.filtered()
+        if level == len(_LEVELS):
+            return self.behind()
         e = self.chain(level + 1)
-        while sign := self.take(*signs[level]):
+        while True:
+            negated = level == 2 and [x[1] for x in self.left[:2]] == ["not", "in"] and bool(self.take("not"))
+            sign = self.take(*_LEVELS[level])
+            if not sign:
+                return e
             e = ("op", sign, e, self.chain(level + 1))
-        return e
+            e = ("not", e) if negated else e
 
-    def filtered(self):
+    def behind(self):
         e = self.atom()
-        while sign := self.take("|", "."):
-            kind, word = self.left.pop(0) if self.left else ("", "")
-            if kind != "word" or word not in (FILTERS if sign == "|" else FIELDS):
-                raise TemplateError(f"no filter or field {word!r}")
-            e = ("filter", word, e) if sign == "|" else ("field", e, word)
+        while sign := self.take("|", ".", "[", "is"):
+            if sign == "|":
+                e = ("filter", self.known(self.word(), FILTERS), e)
+            elif sign == ".":
+                name = self.word()
+                if self.take("("):
+                    self.need(")")
+                    e = ("filter", METHODS[self.known(name, METHODS)], e)
+                else:
+                    e = ("field", e, self.known(name, LOOP if e == ("name", "loop") else FIELDS))
+            elif sign == "is":
+                negated = self.take("not")
+                if self.word() != "defined" or e[0] not in ("name", "field"):
+                    raise TemplateError("only names and fields can be asked whether they are defined")
+                e = ("defined", e)
+                e = ("not", e) if negated else e
+            else:
+                e = self.item(e)
         return e
 
+    def item(self, e):
+        start = None if self.take(":") else self.chain(0)
+        if start is None or self.take(":"):
+            end = None if self.take("]") else self.chain(0)
+            if end is not None:
+                self.need("]")
+            return ("slice", e, start or ("const", None), end or ("const", None))
+        self.need("]")
+        if start[0] == "const" and isinstance(start[1], str):
+            return ("field", e, self.known(start[1], FIELDS))
+        return ("item", e, start)
+
+    @staticmethod
+    def known(word: str, table) -> str:
+        if word not in table:
+            raise TemplateError(f"no filter or field {word!r}")
+        return word
+
     def atom(self):
         if self.take("("):
             e = self.chain(0)
-            if not self.take(")"):
-                raise TemplateError("missing )")
+            self.need(")")
             return e
+        if self.take("-"):
+            e = self.atom()
+            if e[0] != "const" or type(e[1]) is not int:
+                raise TemplateError("- stands before a number or between two")
+            return ("const", -e[1])
         if not self.left:
             raise TemplateError("an expression ends too early")
         kind, word = self.left.pop(0)
         if kind == "str":
-            return ("const", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), word[1:-1]))
+            return ("const", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), word[1:-1], flags=re.S))
+        if kind == "number":
+            return ("const", int(word))
+        if kind == "word" and word == "raise_exception":
+            self.need("(")
+            e = self.chain(0)
+            self.need(")")
+            return ("raise", e)
         if kind == "word":
-            return ("const", word == "true") if word in ("true", "false") else ("name", word)
+            return ("const", _WORDS[word]) if word in _WORDS else ("name", word)
         raise TemplateError(f"unexpected {word!r}")
 
 
+def _cut(source: str) -> list[tuple]:
+    """Texts, outputs and tags in order; white space goes where a tag asks for it."""
+    pieces, at, strip = [], 0, False
+    for m in [*_tag.finditer(source), None]:
+        text = source[at : m.start() if m else len(source)]
+        text = text.lstrip() if strip else text
+        if m and (m[1] or m[4] or m[7]):
+            text = text.rstrip()
+        if text:
+            pieces.append(("text", text))
+        if not m:
+            return pieces
+        if m[2] is not None:
+            e = _Expression(m[2]).whole()
+            if e[0] == "const" and not isinstance(e[1], str):
+                raise TemplateError(f"{m[2].strip()} is no text")
+            pieces.append(("out", e))
+        elif m[5] is not None:
+            pieces.append(("tag", m[5].strip()))
+        strip, at = bool(m[3] or m[6] or m[8]), m.end()
+
+
 def parse(source: str) -> list:
     """The syntax tree of a template."""
-    pieces, at = [], 0
-    for m in _tag.finditer(source):
-        if m.start() > at:
-            pieces.append(("text", source[at : m.start()]))
-        pieces.append(("out", _Expression(m[1]).whole()) if m[1] is not None else ("tag", m[2].strip()))
-        at = m.end()
-    if at < len(source):
-        pieces.append(("text", source[at:]))
+    pieces = _cut(source)[::-1]
 
     def body(*ends: str) -> tuple[list, str]:
         out = []
         while pieces:
-            kind, value = pieces.pop(0)
+            kind, value = pieces.pop()
             if kind != "tag":
                 out.append((kind, value))
                 continue
@@ -147,10 +232,15 @@ def parse(source: str) -> list:
             if word in ends:
                 return out, value
             if word == "for":
-                m = re.fullmatch(r"\s*([A-Za-z_]\w*)\s+in\s+(.+)", rest)
+                m = re.fullmatch(r"\s*([A-Za-z_]\w*)\s+in\s+(.+)", rest, re.S)
                 if not m:
                     raise TemplateError(f"cannot read {value!r}")
                 out.append(("for", m[1], _Expression(m[2]).whole(), body("endfor")[0]))
+            elif word == "set":
+                m = re.fullmatch(r"\s*([A-Za-z_]\w*)\s*=(?!=)(.+)", rest, re.S)
+                if not m or m[1] == "loop":
+                    raise TemplateError(f"cannot read {value!r}")
+                out.append(("set", m[1], _Expression(m[2]).whole()))
             elif word == "generation":
                 out.append(("generation", body("endgeneration")[0]))
             elif word == "if":
@@ -175,20 +265,28 @@ def parse(source: str) -> list:
 
 
 def _apply(sign: str, a, b):
-    return a + b if sign == "+" else a == b if sign == "==" else a != b if sign == "!=" else (a and b) if sign == "and" else (a or b)
+    if sign in ("and", "or"):
+        return (a and b) if sign == "and" else (a or b)
+    try:
+        if sign == "%" and not (isinstance(a, int) and isinstance(b, int)):
+            raise TypeError("% stands between numbers")
+        return {"+": operator.add, "-": operator.sub, "%": operator.mod, "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda x, y: x in y}[sign](a, b)
+    except (TypeError, ZeroDivisionError) as e:
+        raise TemplateError(str(e)) from e
 
 
 def fold_expression(e):
-    if e[0] == "op":
-        a, b = fold_expression(e[2]), fold_expression(e[3])
-        return ("const", _apply(e[1], a[1], b[1])) if a[0] == b[0] == "const" else ("op", e[1], a, b)
-    if e[0] == "not":
-        a = fold_expression(e[1])
-        return ("const", not a[1]) if a[0] == "const" else ("not", a)
-    if e[0] == "filter":
-        a = fold_expression(e[2])
-        return ("const", FILTERS[e[1]](a[1])) if a[0] == "const" else ("filter", e[1], a)
-    return ("field", fold_expression(e[1]), e[2]) if e[0] == "field" else e
+    """The expression with constant parts evaluated; what fails is left to fail where it is reached."""
+    kind = e[0]
+    if kind in ("const", "name", "defined"):
+        return e
+    parts = tuple(fold_expression(x) if isinstance(x, tuple) else x for x in e)
+    if kind != "raise" and all(x[0] == "const" for x in parts if isinstance(x, tuple)):
+        try:
+            return ("const", _value(parts)({}))
+        except TemplateError:
+            pass
+    return parts
 
 
 def fold(tree: list) -> list:
@@ -198,9 +296,11 @@ def fold(tree: list) -> list:
         new = [node]
         if node[0] == "out":
             e = fold_expression(node[1])
-            new = [("text", str(e[1]))] if e[0] == "const" else [("out", e)]
+            new = [("text", _text(e[1]))] if e[0] == "const" else [("out", e)]
         elif node[0] == "for":
             new = [("for", node[1], fold_expression(node[2]), fold(node[3]))]
+        elif node[0] == "set":
+            new = [("set", node[1], fold_expression(node[2]))]
         elif node[0] == "generation":
             new = [("generation", fold(node[1]))]
         elif node[0] == "if":
@@ -221,6 +321,20 @@ def fold(tree: list) -> list:
     return out
 
 
+def _text(value) -> str:
+    """What an output writes; none and lists can't be written."""
+    if isinstance(value, (str, int)):
+        return str(value)
+    raise TemplateError(f"a {type(value).__name__} is no text")
+
+
+def _filtered(name: str, value):
+    try:
+        return FILTERS[name](value)
+    except TypeError as e:
+        raise TemplateError(f"{name}: {e}") from e
+
+
 def _value(e):
     """A closure: scope -> value."""
     if e[0] == "const":
@@ -233,10 +347,38 @@ def _value(e):
         return look
     if e[0] == "field":
         inner = _value(e[1])
-        return lambda scope, n=e[2]: inner(scope)[n]
+        def field(scope, n=e[2]):
+            found = inner(scope)
+            if not isinstance(found, dict) or n not in found and (n != "content" or "text" not in found):
+                raise TemplateError(f"no field {n!r}")
+            return found[n] if n in found else found["text"]
+        return field
+    if e[0] in ("item", "slice"):
+        inner, a = _value(e[1]), _value(e[2])
+        b = _value(e[3]) if e[0] == "slice" else None
+        def item(scope):
+            try:
+                return inner(scope)[slice(a(scope), b(scope)) if b else a(scope)]
+            except (TypeError, IndexError, KeyError) as x:
+                raise TemplateError(str(x)) from x
+        return item
+    if e[0] == "defined":
+        inner = _value(e[1])
+        def defined(scope):
+            try:
+                inner(scope)
+            except TemplateError:
+                return False
+            return True
+        return defined
+    if e[0] == "raise":
+        inner = _value(e[1])
+        def fail(scope):
+            raise TemplateError(_text(inner(scope)))
+        return fail
     if e[0] == "filter":
-        inner, f = _value(e[2]), FILTERS[e[1]]
-        return lambda scope: f(inner(scope))
+        inner = _value(e[2])
+        return lambda scope, n=e[1]: _filtered(n, inner(scope))
     if e[0] == "not":
         inner = _value(e[1])
         return lambda scope: not inner(scope)
@@ -247,19 +389,25 @@ def _value(e):
 
 
 def _writer(tree: list, loss: bool):
-    """A closure: (scope, pieces) appends (text, loss) pieces."""
+    """A closure: (scope, pieces) appends (text, loss) pieces; a scope is changed by ``set`` alone, and copied by ``for``."""
     steps = []
     for node in tree:
         if node[0] == "text":
             steps.append(lambda scope, out, piece=(node[1], loss): out.append(piece))
         elif node[0] == "out":
-            steps.append(lambda scope, out, v=_value(node[1]): out.append((str(v(scope)), loss)))
+            steps.append(lambda scope, out, v=_value(node[1]): out.append((_text(v(scope)), loss)))
         elif node[0] == "generation":
             steps.append(_writer(node[1], True))
+        elif node[0] == "set":
+            steps.append(lambda scope, out, name=node[1], v=_value(node[2]): scope.__setitem__(name, v(scope)))
         elif node[0] == "for":
             def loop(scope, out, name=node[1], items=_value(node[2]), inner=_writer(node[3], loss)):
-                for item in items(scope):
-                    inner(scope | {name: item}, out)
+                found = items(scope)
+                if not isinstance(found, list):
+                    raise TemplateError("for goes over lists")
+                for i, item in enumerate(found):
+                    at = {"index": i + 1, "index0": i, "first": i == 0, "last": i + 1 == len(found), "length": len(found)}
+                    inner(scope | {name: item, "loop": at}, out)
             steps.append(loop)
         else:
             arms = [(_value(t), _writer(b, loss)) for t, b in node[1]]
@@ -274,13 +422,17 @@ def _writer(tree: list, loss: bool):
     return write
 
 
-def compile_template(source: str = TEMPLATE):
-    """turns -> (formatted text, [(start, end)] spans under the loss mask)."""
+def compile_template(source: str = TEMPLATE, values: dict | None = None):
+    """turns -> (formatted text, [(start, end)] spans under the loss mask).
+
+    A template sees the turns as ``turns`` and as ``messages``, and ``values`` (texts, numbers) by their names.
+    """
     write = _writer(fold(parse(source)), False)
+    given = {"add_generation_prompt": False} | (values or {})
 
     def render(turns: list[dict]) -> tuple[str, list[tuple[int, int]]]:
         pieces: list[tuple[str, bool]] = []
-        write({"turns": turns}, pieces)
+        write(given | {"turns": turns, "messages": turns}, pieces)
         at, spans = 0, []
         for text, loss in pieces:
             if loss:
@@ -334,12 +486,12 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
             out.append((None if conv == "null" else int(conv), len(back), digest, len(loss), own, len(text), text, [{"start": a, "end": b} for a, b in spans]))
 
         for pdf in batches:
-            for key, role, text in zip(pdf["key"], pdf["role"], pdf["text"]):
+            for key, turn, role, text in zip(pdf["key"], pdf["turn"], pdf["role"], pdf["text"]):
                 if key != conv:
                     if turns:
                         close()
                     conv, turns = key, []
-                turns.append({"role": role, "text": text})
+                turns.append({"role": role, "text": text, "turn": turn})
             if out:
                 yield _frame(out)
                 out = []
@@ -351,10 +503,10 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """key, role and text, a conversation's turns together and in order."""
+    """key, turn (as text, "" for null), role and text, a conversation's turns together and in order."""
     rows = rows.select("turn", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("key"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("key").sortWithinPartitions("key", "turn", "role", "text")
-    return dealt.select("key", "role", "text")
+    return dealt.select("key", F.coalesce(F.col("turn").cast("string"), F.lit("")).alias("turn"), "role", "text")
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -364,7 +516,7 @@ def digest_conversations(rows: DataFrame) -> DataFrame:
     """``format_conversations`` with TEMPLATE, without the formatted text and its spans: TEMPLATE writes turn by turn,
     so each turn is formatted, read back and hashed on its own, and of a conversation only hashes and counts are kept.
     """
-    return _dealt(rows).mapInPandas(_digests, DIGESTS)
+    return _dealt(rows).drop("turn").mapInPandas(_digests, DIGESTS)
 
 
 def _digests(batches):

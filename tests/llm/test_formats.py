@@ -56,6 +56,44 @@ def test_template_faults(source):
         chat.compile_template(source)([])
 
 
+#: Templates as they are in use, and what they are to give for a system, a user and an assistant turn.
+IN_USE = [
+    (
+        "{% for message in messages %}{{'<|im_start|>' + message['role'] + '\n' + message['content'] + '<|im_end|>' + '\n'}}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}",
+        "<|im_start|>system\ns\n<|im_end|>\n<|im_start|>user\n u <|im_end|>\n<|im_start|>assistant\na<|im_end|>\n",
+    ),
+    (
+        "{% if messages[0]['role'] == 'system' %}{% set loop_messages = messages[1:] %}{% set system_message = messages[0]['content'] %}{% else %}{% set loop_messages = messages %}{% set system_message = false %}{% endif %}"
+        "{% for message in loop_messages %}{% if (message['role'] == 'user') != (loop.index0 % 2 == 0) %}{{ raise_exception('roles must alternate') }}{% endif %}"
+        "{% if loop.index0 == 0 and system_message != false %}{% set content = '<<SYS>>\\n' + system_message + '\\n<</SYS>>\\n\\n' + message['content'] %}{% else %}{% set content = message['content'] %}{% endif %}"
+        "{% if message['role'] == 'user' %}{{ bos_token + '[INST] ' + content.strip() + ' [/INST]' }}{% elif message['role'] == 'assistant' %}{% generation %}{{ ' '  + content | trim + ' ' }}{% endgeneration %}{{ eos_token }}{% endif %}{% endfor %}",
+        "<s>[INST] <<SYS>>\ns\n\n<</SYS>>\n\n u [/INST] a </s>",
+    ),
+    (
+        "{# note #}{%- for t in turns -%}  {{- t.turn }}{{ ' }} %}' }}{% if not loop.last %}, {% endif %}\n {%- endfor %} {{ turns | length }}{% if x is defined or turns[-1].role not in 'ab' %}!{% endif %}",
+        "0 }} %}, 1 }} %}, 2 }} %} 3!",
+    ),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), IN_USE, ids=["im", "inst", "odd"])
+def test_templates_in_use(source, want):
+    turns = [{"role": r, "text": t, "turn": str(i)} for i, (r, t) in enumerate([("system", "s\n"), ("user", " u "), ("assistant", "a")])]
+    assert chat.compile_template(source, {"bos_token": "<s>", "eos_token": "</s>"})(turns)[0] == want
+
+
+@pytest.mark.parametrize("source", ["{{ messages[7].role }}", "{{ messages }}", "{{ 'a' % 2 }}", "{{ raise_exception('x') }}", "{{ turns['__len__'] }}", "{{ turns.strip() }}", "{% for c in 'abc' %}{% endfor %}", "{{ none }}", "{% set loop = 1 %}", "{{ turns[0][1] }}", "{{ 'a'.format() }}", "{{ '%x' % 3 }}"])
+def test_templates_that_fail_say_so(source):
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(source)([{"role": "user", "text": "x", "turn": "0"}])
+
+
+def test_a_template_sees_turn_numbers(spark):
+    rows = spark.createDataFrame([(1, 4, "user", "a"), (1, None, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    source = "{% for t in turns %}{% if t.role == 'user' %}[INST]{{ t.turn }}[/INST]{% else %}<s>{% generation %}{{ t.text }}{% endgeneration %}</s>{% endif %}{% endfor %}"
+    assert [r.formatted for r in chat.format_conversations(rows, source).collect()] == ["<s>b</s>[INST]4[/INST]"]
+
+
 def test_unknown_name():
     with pytest.raises(chat.TemplateError):
         chat.compile_template("{{ nope }}")([])
