@@ -331,7 +331,7 @@ def _text(value) -> str:
 def _filtered(name: str, value):
     try:
         return FILTERS[name](value)
-    except TypeError as e:
+    except (TypeError, AttributeError) as e:
         raise TemplateError(f"{name}: {e}") from e
 
 
