@@ -26,7 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, components, map_groups, materialize, mix, word_hashes
@@ -104,8 +104,13 @@ def _node(words: np.ndarray) -> bytes:
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
+def _row(which: int) -> Column:
+    """One of two hashes of id and text, which together name a row."""
+    return F.xxhash64("doc_id", "text", *[F.lit(which)] * which)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of id and text), node (digest of the words; null: none), size (k-mers), bands (bucket keys)."""
+    """doc_id, row and row2 (hashes of id and text), node (digest of the words; null: none), size (k-mers), bands (bucket keys)."""
 
     def run(batches):
         for pdf in batches:
@@ -115,11 +120,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 nodes = [_node(words[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:])]
                 keys = [order_sketch(labels[a:b]).view(np.int64) if b > a else None for a, b in zip(off[:-1], off[1:])]
                 part = pdf.iloc[start : start + len(some)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "node": nodes, "size": np.diff(off), "bands": keys})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "row2": part["row2"], "node": nodes, "size": np.diff(off), "bands": keys})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(rows.mapInPandas(run, f"doc_id {kind}, row long, node binary, size long, bands array<long>"), "sketches")
+    rows = docs.select("doc_id", _row(0).alias("row"), _row(1).alias("row2"), F.coalesce("text", F.lit("")).alias("text"))
+    return materialize(rows.mapInPandas(run, f"doc_id {kind}, row long, row2 long, node binary, size long, bands array<long>"), "sketches")
 
 
 def _labels(batches):
@@ -225,13 +230,13 @@ def _blocks(n, kmers):
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b) edges between nodes that span all classes."""
-    reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("row", "doc_id")).alias("m"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    reps = materialize(reps.select("node", F.col("m.row").alias("row"), F.col("m.doc_id").alias("id"), "size", "bands"), "nodes")
+    reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("row", "row2")).alias("m"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    reps = materialize(reps.select("node", "m.row", "m.row2", "size", "bands"), "nodes")
     buckets = live_buckets(reps)
-    need = reps.select("node", F.col("row").alias("at"), "id").join(buckets.select("node").distinct(), "node")
+    need = reps.select("node", "row", "row2").join(buckets.select("node").distinct(), "node")
     # one text a row, folded before the shuffle: rows that repeat id and text must not come back once per copy
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").where("text IS NOT NULL").groupBy("row", "doc_id").agg(F.first("text").alias("text"))
-    texts = texts.join(need, (F.col("row") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    texts = docs.select(_row(0).alias("row"), _row(1).alias("row2"), "text").where("text IS NOT NULL").groupBy("row", "row2").agg(F.first("text").alias("text"))
+    texts = texts.join(need, ["row", "row2"]).select("node", "text")
     texts = materialize(texts.mapInPandas(_labels, "node binary, labels array<long>"), "texts")
 
     blocks = _blocks(F.col("n"), F.col("kmers"))
@@ -261,23 +266,24 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, kept and row (hash of id and text) for every document."""
+    """doc_id, class_id, class_size, kept, row and row2 (hashes of id and text) for every document."""
     docs = docs.select("doc_id", "text")
     rows = sketches(docs)
     roots = components(links(docs, rows))
-    per_node = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2")
+    per_node = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
     per_node = materialize(per_node.join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")), "classes")
     classes = per_node.groupBy("root").agg(F.min("first").alias("m"), F.sum("n").alias("class_size"))
     named = per_node.select("node", "root").join(classes, "root").select("node", "m", "class_size")
-    grouped = rows.where("node IS NOT NULL").select("doc_id", "row", "node").join(named, "node")
-    stays = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("row") == F.col("m.row"))
-    grouped = grouped.select("doc_id", F.col("m.doc_id").alias("class_id"), "class_size", stays.alias("kept"), "row")
-    alone = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "row")
+    grouped = rows.where("node IS NOT NULL").select("doc_id", "row", "row2", "node").join(named, "node")
+    stays = (F.col("row") == F.col("m.row")) & (F.col("row2") == F.col("m.row2"))
+    grouped = grouped.select("doc_id", F.col("m.doc_id").alias("class_id"), "class_size", stays.alias("kept"), "row", "row2")
+    alone = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "row", "row2")
     return grouped.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns, whatever their names) that stay: one of each class."""
-    gone = near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("id"), F.col("row").alias("at")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own"), F.xxhash64("doc_id", "text").alias("row"))
-    return rows.join(gone, (F.col("row") == F.col("at")) & F.col("own").eqNullSafe(F.col("id")), "left_anti").select("doc.*")
+    gone = near_dedup(docs).where("NOT kept").select("row", "row2").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), _row(0).alias("row"), _row(1).alias("row2"))
+    return rows.join(gone, ["row", "row2"], "left_anti").select("doc.*")

@@ -24,7 +24,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(_table(spark, sf_dir, "documents")).drop("row")
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents")).drop("row", "row2")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
