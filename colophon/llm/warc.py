@@ -59,7 +59,8 @@ def with_types(pages: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     firsts = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
     # written first: a join of two plain shuffles is one whose skewed partitions Spark splits
     again = large.join(materialize(firsts, "firsts"), "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
-    again = again.select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest"), "refers_to")
+    # written, so that Spark knows its size: payloads are shuffled only if the revisits are too many to broadcast
+    again = materialize(again.select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest"), "refers_to"), "revisits")
     rows = _payloads(pages).join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest")), "left")
     kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
