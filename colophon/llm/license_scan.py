@@ -18,6 +18,7 @@ says nothing about the licence; a line that is only an address says nothing; kno
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from operator import or_
@@ -230,9 +231,9 @@ def _form(plain: Column, known: Column, gaps: list[tuple[str, str]]) -> Column:
     return F.when(F.map_contains_key(known, plain), plain).otherwise(form)
 
 
-def sentences(text: Column, known: Column) -> Column:
-    """Normalised sentences that speak of licences, in text order."""
-    lower = F.regexp_replace(F.lower(text), *LABEL)
+def sentences(lower: Column, known: Column) -> Column:
+    """Normalised sentences of a lower-case text that speak of licences, in text order."""
+    lower = F.regexp_replace(lower, *LABEL)
     passages = F.split(F.regexp_replace(lower, STOP, "$1\n\n"), BLANK)
 
     def line(x: Column) -> Column:
@@ -247,14 +248,13 @@ def sentences(text: Column, known: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licences (sorted, joined by "; "), n_known and n_unknown sentences, sequence (what the rules made)."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.from_json(F.lit(json.dumps(SENTENCES)), "map<string,string>")  # a constant, folded once
     marks = F.transform("found", lambda s: F.concat(F.lit("<"), F.coalesce(F.try_element_at(known, s), F.lit("?")), F.lit(">")))
-    text = F.coalesce("text", F.lit(""))
     # most texts hold no clue at all: they are not cut up, and plain searches tell it far faster than a pattern
-    lower = F.lower(text)
-    clue = reduce(or_, [F.contains(lower, F.lit(w)) for w in CLUE_WORDS])
-    found = F.when(clue, sentences(text, known)).otherwise(F.array().cast("array<string>"))
-    rows = docs.select("doc_id", found.alias("found")).select("doc_id", F.array_join(marks, "").alias("marks"))
+    clue = reduce(or_, [F.contains("lower", F.lit(w)) for w in CLUE_WORDS])
+    found = F.when(clue, sentences(F.col("lower"), known)).otherwise(F.array().cast("array<string>"))
+    rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("lower"))
+    rows = rows.select("doc_id", found.alias("found")).select("doc_id", F.array_join(marks, "").alias("marks"))
     sequence = F.col("marks")
     for ids, licence in RULES[:-1]:
         sequence = F.replace(sequence, F.lit("".join(f"<{i}>" for i in ids)), F.lit(f"[{licence}]"))
