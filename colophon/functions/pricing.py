@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 #: Fixed: dollars for 1000 tokens of input, output and cached input.
 PRICES = {
     "gpt-4o": (0.0025, 0.01, 0.00125),
+    "gpt-4o-2024-08-06": (0.0025, 0.01, 0.00125),
     "gpt-4o-mini": (0.00015, 0.0006, 0.000075),
+    "gpt-4o-mini-2024-07-18": (0.00015, 0.0006, 0.000075),
     "gpt-4.1": (0.002, 0.008, 0.0005),
+    "gpt-4.1-2025-04-14": (0.002, 0.008, 0.0005),
     "gpt-4.1-mini": (0.0004, 0.0016, 0.0001),
+    "gpt-4.1-mini-2025-04-14": (0.0004, 0.0016, 0.0001),
 }
 BATCH_DISCOUNT = 0.5
 

@@ -42,44 +42,74 @@ def grams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters), F.lit(1))), lambda i: F.concat(F.get(letters, i - 1), F.size(F.filter(F.slice(letters, F.lit(1), i), lambda c: c == F.get(letters, i - 1))).cast("string")))
 
 
+def candidate_keys(names: DataFrame, share: float) -> DataFrame:
+    """(id, key): names that may overlap in ``share`` of the larger multiset of characters have a key in common.
+
+    Characters (with their occurrence number) stand in one fixed order, the rarest first.  Two multisets that share n
+    characters have two of them in common among the first size - n + 2 of each, so the keys are the pairs of these;
+    where one character may do (names of one or two), the single ones are keys as well.
+    """
+    base = names.select("id", grams(F.col("key")).alias("grams"))
+    rare = base.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    ranked = base.select("id", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(rare, "g")
+    ordered = ranked.groupBy("id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("grams"))
+    least = F.greatest(F.ceil(F.col("size") * F.lit(share) - 1e-9), F.lit(1)).cast("int")
+    first = F.slice("grams", F.lit(1), F.least(F.col("size") - least + 2, F.col("size")))
+    ordered = ordered.select("id", first.alias("first"), (least < 2).alias("one"))
+    pairs = F.flatten(F.transform("first", lambda a, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda b: F.concat_ws(" ", a, b))))
+    return ordered.select("id", F.explode(F.when(F.col("one"), F.concat(pairs, F.col("first"))).otherwise(pairs)).alias("g"))
+
+
+def candidate_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """(ia, ib) of names that have a key in common, once each."""
+    keys = candidate_keys(names, threshold / (200.0 - threshold)).join(names.select("id", F.length("key").alias("n")), "id")
+    left, right = (keys.select(F.col("id").alias(i), F.col("n").alias(n), "g") for i, n in (("ia", "na"), ("ib", "nb")))
+    # the longest common subsequence is at most the shorter name
+    fits = F.least("na", "nb") * 200.0 >= (F.col("na") + F.col("nb")) * F.lit(float(threshold)) - 1e-9
+    return left.join(right, "g").where((F.col("ia") < F.col("ib")) & fits).select("ia", "ib").distinct()
+
+
 def similar_pairs(names: DataFrame, threshold: float = 85, similarity_of: Similarity = similarity.ratio) -> DataFrame:
     """(a, b, ratio) of names at or above the threshold, a before b.
 
-    A pair at threshold t shares so many characters that, of each name's characters in one fixed order, the rarest
-    few must meet (prefix filtering on character multisets): blocking by those characters loses no pair and keeps
-    the join an equi-join.  Lengths prune what is left before the similarity is computed.
+    A pair at threshold t shares so many characters that two of the rarest few of each must meet (prefix filtering on
+    character multisets): blocking by pairs of those loses nothing, keeps the join an equi-join and its keys many.
+    Candidates are numbers; names are fetched for those that are left.
     """
     if threshold <= 0:
         raise ValueError("a threshold above 0 is needed: everything is similar at 0")
-    share = threshold / (200.0 - threshold)  # of the larger multiset that the overlap is at least
-    base = names.select("name", "pos", "key", grams(F.col("key")).alias("grams"))
-    rare = base.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    ranked = base.select("name", "pos", "key", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(rare, "g")
-    kept = F.size("grams") - F.ceil(F.col("size") * F.lit(share) - 1e-9) + 1
-    prefix = ranked.groupBy("name", "pos", "key", "size").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("grams"))
-    prefix = prefix.select("name", "pos", "key", F.explode(F.slice("grams", F.lit(1), F.greatest(kept, F.lit(1)).cast("int"))).alias("g"))
-    left = prefix.select(F.col("name").alias("a"), F.col("pos").alias("pa"), F.col("key").alias("ka"), "g")
-    right = prefix.select(F.col("name").alias("b"), F.col("pos").alias("pb"), F.col("key").alias("kb"), "g")
-    near = left.join(right, "g").where(F.struct("pa", "a") < F.struct("pb", "b")).where(similarity.may_reach(F.col("ka"), F.col("kb"), threshold))
-    near = near.select("a", "b", "ka", "kb").distinct()
-    return near.withColumn("ratio", similarity_of(F.col("ka"), F.col("kb"))).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
+    names = cut(names.select("name", "pos", "key", F.monotonically_increasing_id().alias("id")))
+    a, b = (names.select(F.col("id").alias(f"i{x}"), F.col("name").alias(x), F.col("pos").alias(f"p{x}"), F.col("key").alias(f"k{x}")) for x in "ab")
+    near = candidate_pairs(names, threshold).join(a, "ia").join(b, "ib").where(similarity.may_reach(F.col("ka"), F.col("kb"), threshold))
+    near = near.withColumn("ratio", similarity_of(F.col("ka"), F.col("kb"))).where(F.col("ratio") >= threshold)
+    before = F.struct("pa", "a") < F.struct("pb", "b")
+    return near.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b"), "ratio")
 
 
 def leaders(names: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(name, leader) for each name."""
+    """(name, leader) for each name.
+
+    In each round names without an earlier open neighbour lead, those beside a leader follow, and the edges of both go;
+    what is left shrinks with every round.
+    """
     order = names.select("name", F.struct("pos", "name").alias("rank"))
     edges = pairs.join(order.select(F.col("name").alias("a"), F.col("rank").alias("ra")), "a").join(order.select(F.col("name").alias("b"), F.col("rank").alias("rb")), "b")
     edges = cut(edges.select(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")))
-    linked = edges.select(F.col("high").alias("rank")).union(edges.select("low")).distinct()
-    state = cut(linked.select("rank", F.lit(None).cast("boolean").alias("leads")))
-    while state.where("leads IS NULL").limit(1).count():
-        seen = edges.join(state.select(F.col("rank").alias("low"), "leads"), "low")
-        verdict = seen.groupBy(F.col("high").alias("rank")).agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_and(F.coalesce(~F.col("leads"), F.lit(False))).alias("free"))
-        state = state.join(verdict, "rank", "left")
-        decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("free", F.lit(True)), True)
-        state = cut(state.select("rank", decided.alias("leads")))
-    first = edges.join(state.where("leads").select(F.col("rank").alias("low")), "low").groupBy("high").agg(F.min("low").alias("leader"))
-    follow = first.join(state.where("NOT leads").select(F.col("rank").alias("high")), "high").select(F.col("high.name").alias("name"), F.col("leader.name").alias("leader"))
+    left, leading = edges, None
+    while left.limit(1).count():
+        lead = cut(left.select("low").distinct().join(left.select(F.col("high").alias("low")), "low", "left_anti"))
+        leading = lead if leading is None else leading.unionByName(lead)
+        led = left.join(lead, "low", "left_semi").select("high").distinct()
+        left = left.join(led, "high", "left_anti").join(led.withColumnRenamed("high", "low"), "low", "left_anti")
+        left = cut(left.join(lead, "low", "left_anti"))
+    if leading is None:
+        return names.select("name", F.col("name").alias("leader"))
+    # names whose neighbours all follow lead too, but nobody follows them but through edges that lead says
+    undecided = edges.select(F.col("high").alias("low")).distinct().join(leading, "low", "left_anti")
+    led = edges.join(leading, "low", "left_semi").select(F.col("high").alias("low")).distinct()
+    alone = undecided.join(led, "low", "left_anti")
+    first = edges.join(cut(leading.unionByName(alone)), "low", "left_semi").groupBy("high").agg(F.min("low").alias("leader"))
+    follow = first.select(F.col("high.name").alias("name"), F.col("leader.name").alias("leader"))
     return names.select("name").join(follow, "name", "left").select("name", F.coalesce("leader", "name").alias("leader"))
 
 

@@ -724,7 +724,12 @@ def item_numbers(spark, sf_dir):
     return usage.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"]).drop("source")
 
 
-@query()
+@query(r"""
+    WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS clean FROM documents),
+    e AS (SELECT doc_id, clean, CASE WHEN clean = '' THEN 'empty document' WHEN length(clean) % 7 = 0 THEN 'empty response' WHEN length(clean) % 11 = 0 THEN 'no JSON object in the response' END AS error FROM c),
+    t AS (SELECT *, CASE WHEN error IS NULL THEN replace(replace(left(string_split(clean, chr(10))[1], 80), '"', chr(39)), '\', '/') ELSE '' END AS title FROM e)
+    SELECT doc_id, trim(title) AS title, CAST(len(list_filter(string_split_regex(title, '[,;]'), lambda x: trim(x) <> '')) AS INTEGER) AS n_subjects, error,
+           CASE WHEN error = 'no JSON object in the response' THEN 'Explicit processing error in response' WHEN error IS NOT NULL THEN 'Empty response' END AS failure_reason FROM t""")
 def run_end_to_end(spark, sf_dir):
     """Extraction with a scripted provider, and the reasons why records need another try."""
     from .run import scripted_extraction

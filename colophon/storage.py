@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a new temporary folder only where none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``; a new temporary folder only on one machine, where none is set."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="colophon-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

@@ -33,6 +33,11 @@ def hourly_counts(spark: SparkSession, path: str, late: str = "1 day") -> DataFr
     rows = counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
     target = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
-    query = rows.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{target}/out")).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/out/batch={number}")
+
+    # only windows that changed are written, and the watermark lets go of old ones
+    query = rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("window_start timestamp_ntz, event_type string, n bigint").parquet(f"{target}/out")
+    written = spark.read.schema("window_start timestamp_ntz, event_type string, n bigint, batch int").option("basePath", f"{target}/out").parquet(f"{target}/out")
+    return written.groupBy("window_start", "event_type").agg(F.max_by("n", "batch").alias("n"))
