@@ -166,3 +166,38 @@ def test_numbered_is_dense(spark):
     df = spark.createDataFrame([(f"p{i:03d}",) for i in range(97)], "path string").repartition(7)
     got = {r.path: r.item_index for r in usage.numbered(df, ["path"]).collect()}
     assert got == {f"p{i:03d}": i for i in range(97)}
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [60, 75, 85, 100])
+def test_pairs_and_leaders_equal_brute_force(spark, threshold):
+    """All pairs at the threshold, names of one letter among them, and the leaders of a sequential pass."""
+    rng = random.Random(threshold)
+    names = list({"".join(rng.choice("abcde ") for _ in range(rng.choice([1, 2, 3, 8, 9, 10]))) for _ in range(120)})
+    names += [n[:-1] + "f" for n in names[:40] if len(n) > 5 and n[:-1] + "f" not in names]
+    frame = spark.createDataFrame([(n, i, n) for i, n in enumerate(names)], "name string, pos int, key string")
+    pairs = clustering.similar_pairs(frame, threshold)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 200 * lcs(a, b) >= threshold * (len(a) + len(b))}
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+    led, leading = {}, []
+    for n in names:
+        led[n] = next((x for x in leading if (x, n) in want), n)
+        leading += [n] if led[n] == n else []
+    assert {r.name: r.leader for r in clustering.leaders(frame, pairs).collect()} == led
+
+
+def test_candidates_are_far_fewer_than_all_pairs(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(4, 9))) for _ in range(120)]
+    names = sorted({f"{rng.choice(words)} {rng.choice(words)}" for _ in range(1500)})
+    frame = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, key string")
+    assert clustering.candidate_pairs(frame, 85).count() < 0.2 * len(names) * (len(names) - 1) / 2
