@@ -13,6 +13,7 @@ from ..errors import ConfigError, MissingInput
 from ..functions import json_repair, quality, terms
 from ..functions.text import clean_list, fill_template, truncate
 from ..operators import chunking, clustering, extraction, lookup, usage
+from ..sources import vocabularies
 from ..sources.completions import Provider, Retry, complete, messages
 from ..storage import cut
 from . import run
@@ -20,7 +21,7 @@ from . import run
 SELECT_SYSTEM = "You choose controlled-vocabulary terms for a catalogue record. Answer with one JSON object."
 SELECT_USER = "Title: $title\nAbstract: $abstract\n\nCandidates:\n$candidates\nReturn {\"selected_terms\": [labels]}."
 #: Fixed: the records' fields as Parquet tables.
-TABLES = ("documents", "items", "failures", "fixes", "candidates", "selection", "selected", "unmatched", "authority", "answers")
+TABLES = ("documents", "items", "failures", "fixes", "candidates", "place_candidates", "calls", "faults", "selection", "selected", "unmatched", "authority", "answers")
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,8 @@ class Catalogue:
     folder: str
     factory: Callable[[], Provider]
     vocabulary: DataFrame | None = None
+    http: Callable[[], Callable[[str], str]] | None = None
+    cache: str | None = None
     model: str = "gpt-4o-mini"
     threshold: float = 85
     retry: Retry = field(default_factory=Retry)
@@ -79,11 +82,34 @@ class Catalogue:
         return "cleaned"
 
     def look_up(self) -> None:
-        """Step 2: candidate terms for each distinct subject and place."""
-        if self.vocabulary is None:
-            raise ConfigError("step 2 needs a vocabulary")
-        values = self.items().select(F.explode(F.concat(clean_list(F.col("record.subjects")), clean_list(F.col("record.geographic_entities")))).alias("v"))
-        self.write(lookup.look_up(lookup.queries(values, "v"), self.vocabulary), "candidates")
+        """Step 2: candidate terms for each distinct subject and place, from a table or from the services.
+
+        From the services, places are asked apart from subjects and keep their own table; ``calls`` has a row for each
+        question (from the cache, or asked with its time), ``faults`` those that failed.
+        """
+        record = lambda c: lookup.queries(self.items().select(F.explode(clean_list(F.col(f"record.{c}"))).alias("v")), "v")
+        subjects, places = record("subjects"), record("geographic_entities")
+        if self.vocabulary is not None:
+            self.write(lookup.look_up(subjects.union(places).distinct(), self.vocabulary), "candidates")
+            return
+        if self.http is None:
+            raise ConfigError("step 2 needs a vocabulary, or services to ask")
+        names = F.explode(F.array(*[F.lit(s) for s, _ in lookup.SOURCES]))
+        asked = subjects.select(names.alias("service"), "query").union(places.select(F.lit(lookup.PLACES).alias("service"), "query"))
+        known = vocabularies.read_cache(self.spark, self.cache) if self.cache else None
+        answers, payloads = vocabularies.services(asked, self.http, known)
+        answers = cut(answers)
+        if self.cache:
+            vocabularies.keep_answers(answers, self.cache)
+        took = cut(payloads).groupBy("service", "query").agg(F.sum("seconds").alias("seconds"), F.max(F.when(F.col("place") == 0, F.col("error"))).alias("error"))
+        calls = asked.join(answers, ["service", "query"], "left").join(took, ["service", "query"], "left")
+        kind = F.when(F.col("cached"), "cache").otherwise("request")
+        self.write(calls.select(F.col("service").alias("source"), F.col("query").alias("subject"), kind.alias("kind"), F.col("terms").isNotNull().alias("success"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("terms")), "calls")
+        self.write(took.where("error IS NOT NULL").select("service", "query", "error"), "faults")
+        hits = answers.select("query", F.col("service").alias("source"), F.posexplode("terms").alias("hit_pos", "term")).select("query", "source", "hit_pos", "term.label", "term.uri")
+        found = lookup.distinct_terms(lookup.capped(hits.where(F.col("source") != lookup.PLACES)))
+        self.write(found.select("query", "term_pos", "label", "uri", "source", "grp"), "candidates")
+        self.write(hits.where(F.col("source") == lookup.PLACES).drop("hit_pos"), "place_candidates")
 
     def pools(self) -> DataFrame:
         """Each item's candidates, numbered in the order of its subjects; places are not offered."""
