@@ -724,6 +724,97 @@ def item_numbers(spark, sf_dir):
     return usage.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"]).drop("source")
 
 
+# --- terms, records and answers ---------------------------------------------------------------------------------
+
+_TERM_SQL = """
+    (SELECT p_partkey, p_name AS label, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'u/' || p_partkey END AS uri, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'LCSH' ELSE 'FAST' END AS source, p_type AS type FROM part)"""
+
+
+def _term(**more):
+    k = F.col("p_partkey")
+    uri = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("u/"), k.cast("string")))
+    return terms.term(F.col("p_name"), uri, F.when(k % 4 == 0, "").when(k % 4 == 1, "LCSH").otherwise("FAST"), **more)
+
+
+@query(f"SELECT p_partkey, label || CASE WHEN uri <> '' THEN ' (' || uri || ')' ELSE '' END || ' [' || CASE source WHEN '' THEN 'Unknown' ELSE source END || ']' AS text FROM {_TERM_SQL}")
+def term_format(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", terms.formatted(_term()).alias("text"))
+
+
+@query(f"""
+    SELECT p_brand, pos, label, uri, source FROM (
+      SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY part.p_partkey) - 1 AS pos, label, uri, CASE source WHEN '' THEN 'Unknown' ELSE source END AS source
+      FROM part JOIN {_TERM_SQL} t ON t.p_partkey = part.p_partkey)""")
+def cell_round_trip(spark, sf_dir):
+    """Terms of a brand joined to one cell, and read back from it."""
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", _term().alias("t")))), lambda x: x["t"]).alias("all"))
+    back = rows.select("p_brand", F.posexplode(terms.from_cell(terms.cell(F.col("all")))).alias("pos", "t"))
+    return longs(back.select("p_brand", "pos", "t.label", "t.uri", "t.source"), "pos")
+
+
+@query(f"""
+    SELECT p_partkey, '{{"label":"' || label || '","uri":"' || uri || '","source":"' || source || '"' || CASE WHEN p_partkey % 2 = 0 THEN ',"type":"' || type || '"' ELSE '' END || '}}' AS text FROM {_TERM_SQL}""")
+def term_json(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", terms.to_json(_term(type=kind)).alias("text"))
+
+
+@query(f"""
+    SELECT p_brand, 'Subject: ' || p_brand || chr(10) || string_agg('  - ' || label || CASE WHEN uri <> '' THEN ' (' || uri || ')' ELSE '' END || ' [' || CASE source WHEN '' THEN 'Unknown' ELSE source END || ']', chr(10) ORDER BY part.p_partkey) || chr(10) AS block
+    FROM part JOIN {_TERM_SQL} t ON t.p_partkey = part.p_partkey GROUP BY p_brand""")
+def candidate_block(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", _term().alias("t")))), lambda x: x["t"]).alias("all"))
+    return rows.select("p_brand", terms.prompt_block(F.col("p_brand"), F.col("all")).alias("block"))
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' (' || p_brand ELSE p_name END AS term FROM part""")
+def place_search_term(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    place = F.when(k == 0, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).when(k == 1, F.concat("p_name", F.lit(" ("), "p_brand")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.search_term(place).alias("term"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS prompt, CASE WHEN event_id % 3 = 2 THEN 0 ELSE event_id END AS completion,
+           CASE WHEN event_id % 3 = 1 THEN user_id % 10 ELSE 0 END AS cached FROM (SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS user_id FROM events)""")
+def usage_parse(spark, sf_dir):
+    """Tokens of responses; what one does not say counts as 0."""
+    k = F.col("event_id") % 3
+    said = F.struct(
+        F.when(k != 0, F.col("user_id")).alias("prompt_tokens"), F.when(k != 2, F.col("event_id")).alias("completion_tokens"),
+        F.when(k == 1, F.struct((F.col("user_id") % 10).alias("cached_tokens"))).alias("prompt_tokens_details"),
+    )
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("event_id"), pricing.usage_of(F.to_json(F.struct(said.alias("usage")))).alias("u"))
+    return rows.select("event_id", "u.prompt", "u.completion", "u.cached")
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '|' || p_brand WHEN 1 THEN p_name WHEN 2 THEN '' END AS labels FROM part""")
+def selected_labels(spark, sf_dir):
+    """Labels of answers: strings, objects, none, and answers of the wrong shape."""
+    k = F.col("p_partkey") % 4
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    inner = (
+        F.when(k == 0, F.concat(F.lit("["), q("p_name"), F.lit(", "), q("p_brand"), F.lit("]")))
+        .when(k == 1, F.concat(F.lit('[{"label": '), q("p_name"), F.lit(', "uri": "u"}]'))).when(k == 2, "[]").otherwise(F.concat(F.lit('[{"uri": '), q("p_name"), F.lit("}]")))
+    )
+    answer = F.concat(F.lit('```json\n{"selected_terms": '), inner, F.lit("}\n```"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(json_repair.selected_labels(answer), "|").alias("labels"))
+
+
+@query("""
+    SELECT p_partkey, p_name AS title, p_type AS type, '' AS abstract, p_brand || '|' || p_type AS subjects, p_name || ' (person)' AS named_entities, 'None' AS content_warning, 'abstract' AS missing
+    FROM part""")
+def record_postprocess(spark, sf_dir):
+    """The normal record of an answer: trimmed, lists from strings, blank where it says nothing; and the key it lacks."""
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    answer = F.concat(F.lit('{"title": "  '), "p_name", F.lit(' ", "type": '), q("p_type"), F.lit(', "subjects": ["'), "p_brand", F.lit('", "'), "p_type", F.lit('"], "namedEntities": ["'), "p_name", F.lit(' (person)"], "contentWarning": "none"}'))
+    rows = table(spark, sf_dir, "part").select("p_partkey", json_repair.repaired(answer).alias("m"))
+    rows = rows.select("p_partkey", json_repair.record(F.col("m")).alias("r"), json_repair.missing_keys(F.col("m"), ["title", "type", "abstract"]).alias("missing"))
+    return rows.select("p_partkey", "r.title", "r.type", F.coalesce("r.abstract", F.lit("")).alias("abstract"), F.array_join("r.subjects", "|").alias("subjects"), F.array_join("r.named_entities", "|").alias("named_entities"), "r.content_warning", F.array_join("missing", "|").alias("missing"))
+
+
 @query(r"""
     WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS clean FROM documents),
     e AS (SELECT doc_id, clean, CASE WHEN clean = '' THEN 'empty document' WHEN length(clean) % 7 = 0 THEN 'empty response' WHEN length(clean) % 11 = 0 THEN 'no JSON object in the response' END AS error FROM c),
