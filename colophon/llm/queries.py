@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup, exact_dedup, language_id, license_scan, mixing, near_dedup, sentencepiece_nbest, toxicity, warc
+from . import chat, embedding_dedup, exact_dedup, importance_resampling, language_id, license_scan, mixing, near_dedup, prefix_hashes, sentencepiece_nbest, source_divergence, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_toxicity, op4_near_dedup, op5_chat_format, op6_language_id, op7_embedding_dedup, op8_warc, op9_sentencepiece, op10_exact_dedup)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hashes.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_license_scan, op2_mixing, op3_toxicity, op4_near_dedup, op5_chat_format, op6_language_id, op7_embedding_dedup, op8_warc, op9_sentencepiece, op10_exact_dedup, op11_fingerprints, op12_importance_resampling, op13_source_divergence]
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
     "op1_license_scan": license_scan.oracle(),
+    "op12_importance_resampling": importance_resampling.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
