@@ -12,8 +12,8 @@ common beginning and end, found by binary search over the grid (so rounded down
 and the resemblance of their spans (BINS samples).  The first sees one edit however large, the second many small ones.
 
 ``fingerprint_edits`` gives each document and an edited text of it, whose last third comes from the next document in
-descending order of ids.  Documents are range-sorted by id (and hash of the text), so a task needs one document at a
-time; only the first and last document of each partition are put together afterwards.
+descending order of ids.  Documents are range-sorted by id (and hash of the text), compressed for the way, so a task
+needs one document at a time; only the first and last document of each partition are put together afterwards.
 
 Defined results: null texts are empty; an empty text is like an empty one (1) and like no other (0).  A null id comes
 after all others, rows of equal ids are ordered by a hash of their texts; rows equal in both are interchangeable.  The
@@ -27,9 +27,11 @@ import struct
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from . import common
 from .common import code_points, materialize
@@ -266,11 +268,18 @@ RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerp
 _COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+@F.pandas_udf(BinaryType())
+def _compressed(text: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pd.Series([pack(t.encode("utf-8", "surrogatepass")) for t in text])
+
+
 def _chain(batches):
     """The results of all documents but the last; the first and the last as texts (edge 0 and 1)."""
     part, names, ids, texts, prints = TaskContext.get().partitionId(), ["part", "edge", "text", *_COLUMNS], [], [], []
     for pdf in batches:
-        all_ids, all_texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+        read = zstandard.ZstdDecompressor().decompress
+        all_ids, all_texts = pdf["doc_id"].tolist(), [read(t).decode("utf-8", "surrogatepass") for t in pdf["packed"]]
         for start, some in common.chunks(all_texts):
             out = [] if ids else [(part, 0, some[0], all_ids[start], *[None] * 6)]
             # the last document of what came before waits for the first one here
@@ -291,11 +300,12 @@ def _seams(batches):
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), _compressed("text").alias("packed"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     # a number of partitions is named, so that none are put together: the number of a partition is its place in the order
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    done = materialize(dealt.select("doc_id", "text").mapInPandas(_chain, f"part int, edge int, text string, doc_id {kind}, {RESULT}"), "fingerprints")
+    done = materialize(dealt.select("doc_id", "packed").mapInPandas(_chain, f"part int, edge int, text string, doc_id {kind}, {RESULT}"), "fingerprints")
     edges = done.where("edge IS NOT NULL").select("part", "edge", "doc_id", "text")
     # one row a partition
     parts = edges.where("edge = 0").select("part")
