@@ -1,14 +1,15 @@
 """Audit of how the sources of a language differ in their words.
 
-Terms are counted inside tasks and written once with their texts; what is shuffled for the counts are their 64-bit
-digests.  A term is kept if enough documents of its language have it.  For kept digests the least and the greatest
-text say whether two terms share a digest: such a digest is split and counted again by its texts.  Texts are joined
-back only for the terms that the report names.
+Terms are counted inside tasks.  What is shuffled for the counts is of fixed width: numbers of the language and of the
+group (language, source), the term's 64-bit digest, counts.  Texts are written once a task and language, and meet only
+the digests of kept terms, those that enough documents of the language have.  The least and the greatest text of such
+a digest say whether two terms share it: then documents are read again, and it is split and counted by texts.  For the
+report, texts are joined back only for the terms that it names.
 
-A group (language, source) gives each kept term a smoothed share of a billion, rounded down; the divergence of two
-shares p and q is floor((p - q)^2 / (p + q)), in whole numbers throughout.  The divergence of two sources is its sum
-over all kept terms.  Terms that neither has contribute the same, those that one has depend on its count alone, so
-that only terms that both have meet in a join, and those counts are grouped first.
+A group gives each kept term a smoothed share of a billion, rounded down; the divergence of two shares p and q is
+floor((p - q)^2 / (p + q)), in whole numbers throughout.  The divergence of two sources is its sum over all kept terms.
+Terms that neither has contribute the same, those that one has depend on its count alone, so that only terms that both
+have meet in a join, and those counts are grouped first.
 
 Defined results: null texts, languages and sources are empty strings; a language without kept terms has divergence 0
 between its sources and no terms; other columns play no part, whatever their names.
@@ -16,10 +17,13 @@ between its sources and no terms; other columns play no part, whatever their nam
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,63 +39,87 @@ LONG_BYTES = 1 << 22
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
-GROUP, KEY = ["lang", "source"], ["lang", "digest", "part"]
-
-
-def _rows(occurring: dict, having: dict) -> pd.DataFrame:
-    rows = [(*group, term.decode("utf-8", "replace"), occurring[group][term], n) for group, terms in having.items() for term, n in terms.items()]
-    return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
-
-
-def _count(batches):
-    """Occurrences and documents of each term of each group; the empty term counts the group's documents."""
-    occurring, having = {}, {}
-    for pdf in batches:
-        for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"]):
-            data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
-            words = _TERM.findall(data) if len(data) < LONG_BYTES else (m[0] for m in _TERM.finditer(data))
-            own = Counter(words)
-            group = (lang, source)
-            occurring.setdefault(group, Counter()).update(own)
-            docs = having.setdefault(group, Counter())
-            docs.update(own.keys())
-            docs[b""] += 1
-            if sum(map(len, having.values())) > HELD_TERMS:
-                yield _rows(occurring, having)
-                occurring, having = {}, {}
-    if having:
-        yield _rows(occurring, having)
-
-
-def count_terms(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
-    """lang, source, term, n, docs and digest: partial counts, several rows a term; term '' has a group's documents."""
+KEY = ["lid", "digest", "part"]
+COUNTS = "gid long, lid long, digest long, n long, docs long, term string"
+
+
+def _digests(terms: list[bytes], bits: int) -> np.ndarray:
+    found = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
+    return (found >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _rows(occurring: dict, having: dict, bits: int, with_text: bool):
+    """Counts by digest (term null) and the texts of each language once; or, with texts, counts by both."""
+    def table(gid, lid, terms, n, docs, named):
+        texts = np.array([t.decode("utf-8", "replace") if named else None for t in terms], object)
+        return pd.DataFrame({"gid": gid, "lid": lid, "digest": _digests(terms, bits), "n": n, "docs": docs, "term": texts})
+
+    texts: dict[int, set] = {}
+    for (gid, lid), docs in having.items():
+        if docs:
+            terms = list(docs)
+            yield table(gid, lid, terms, [occurring[gid, lid][t] for t in terms], list(docs.values()), with_text)
+            texts.setdefault(lid, set()).update(terms)
+    if not with_text:
+        for lid, some in texts.items():
+            yield table(0, lid, list(some), 0, 0, True)
+
+
+def _counter(bits: int, with_text: bool = False):
+    def run(batches):
+        """Occurrences and documents of each term of each group."""
+        occurring, having, held = {}, {}, 0
+        for pdf in batches:
+            for gid, lid, text in zip(pdf["gid"].tolist(), pdf["lid"].tolist(), pdf["text"]):
+                data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
+                own = Counter(_TERM.findall(data) if len(data) < LONG_BYTES else (m[0] for m in _TERM.finditer(data)))
+                docs = having.setdefault((gid, lid), Counter())
+                held -= len(docs)
+                docs.update(own.keys())
+                held += len(docs)
+                occurring.setdefault((gid, lid), Counter()).update(own)
+                if held > HELD_TERMS:
+                    yield from _rows(occurring, having, bits, with_text)
+                    occurring, having, held = {}, {}, 0
+        yield from _rows(occurring, having, bits, with_text)
+
+    return run
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gid, lid, lang, source of each group; gid, lid, text of each document); numbers are hashes without collisions."""
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    seen = texts.mapInPandas(_count, "lang string, source string, term string, n long, docs long")
-    digest = F.xxhash64("term") if digest_bits >= 64 else F.pmod(F.xxhash64("term"), F.lit(1 << digest_bits))
-    return materialize(seen.withColumn("digest", digest), "terms")
+    names = materialize(texts.select("lang", "source").distinct(), "names")
+    for seed in itertools.count():
+        number = [F.xxhash64("lang", "source", F.lit(seed)).alias("gid"), F.xxhash64("lang", F.lit(seed)).alias("lid")]
+        groups = names.select(*number, "lang", "source")
+        n, gids, langs, lids = groups.agg(F.count(F.lit(1)), F.countDistinct("gid"), F.countDistinct("lang"), F.countDistinct("lid")).first()
+        if (n, langs) == (gids, lids):
+            return groups, texts.select(*number, "text")
 
 
-def kept_terms(seen: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, digest, part, n of kept terms that occur there; lang, digest, part, term of each kept term).
+def kept_terms(texts: DataFrame, least_docs: int = LEAST_DOCS, digest_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(gid, lid, digest, part, n of kept terms that occur there; lid, digest, part, term of each kept term).
 
     ``part`` is 0 but for terms that share a digest.
     """
-    terms = seen.where("term <> ''")
-    per_digest = materialize(terms.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "digests")
-    frequent = per_digest.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-    texts = terms.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
-    texts = materialize(texts.join(frequent, ["lang", "digest"], "left_semi"), "texts")
-    zero, single = F.lit(0).alias("part"), texts.where("low = high")
-    counts = per_digest.join(single.select("lang", "digest"), ["lang", "digest"]).select(*GROUP, "digest", zero, "n")
-    names = single.select("lang", "digest", zero, F.col("low").alias("term"))
-    shared = texts.where("low <> high").select("lang", "digest")
+    seen = materialize(texts.mapInPandas(_counter(digest_bits), COUNTS), "terms")
+    per = seen.where("term IS NULL").groupBy("gid", "lid", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    per = materialize(per, "digests")
+    frequent = per.groupBy("lid", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
+    known = seen.where("term IS NOT NULL").select("lid", "digest", "term").join(frequent, ["lid", "digest"], "left_semi")
+    known = materialize(known.groupBy("lid", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "texts")
+    zero, single = F.lit(0).alias("part"), known.where("low = high")
+    counts = per.join(single.select("lid", "digest"), ["lid", "digest"]).select("gid", "lid", "digest", zero, "n")
+    names = single.select("lid", "digest", zero, F.col("low").alias("term"))
+    shared = known.where("low <> high").select("lid", "digest")
     if not shared.limit(1).count():
         return counts, names
-    again = terms.join(shared, ["lang", "digest"], "left_semi").groupBy(*GROUP, "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    again = materialize(again, "shared")
-    apart = again.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    apart = apart.select("lang", "digest", F.row_number().over(Window.partitionBy("lang", "digest").orderBy("term")).alias("part"), "term")
-    counts = counts.unionByName(again.join(apart, ["lang", "digest", "term"]).select(*GROUP, "digest", "part", "n"))
+    again = texts.mapInPandas(_counter(digest_bits, True), COUNTS).join(shared, ["lid", "digest"], "left_semi")
+    again = materialize(again.groupBy("gid", "lid", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "shared")
+    apart = again.groupBy("lid", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
+    apart = apart.select("lid", "digest", F.row_number().over(Window.partitionBy("lid", "digest").orderBy("term")).alias("part"), "term")
+    counts = counts.unionByName(again.join(apart, ["lid", "digest", "term"]).select("gid", "lid", "digest", "part", "n"))
     return counts, names.unionByName(apart)
 
 
@@ -107,43 +135,43 @@ def _divergence(p: str, q: str) -> str:
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, most_terms: int = MOST_TERMS, digest_bits: int = 64) -> DataFrame:
     """lang, source, part, item, value, rank: part ``pair`` for the other sources of the language, ``term`` for the
     terms that the group has more of than its language."""
-    seen = count_terms(docs, digest_bits)
-    counts, names = kept_terms(seen, least_docs)
+    groups, texts = numbered(docs)
+    counts, names = kept_terms(texts, least_docs, digest_bits)
     counts, names = materialize(counts, "counts"), materialize(names, "names")
-    v = names.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    sums = counts.groupBy(*GROUP).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("own"))
-    groups = seen.where("term = ''").select(*GROUP).distinct().join(sums, GROUP, "left").join(v, "lang", "left").na.fill(0, ["total", "own", "v"])
+    v = names.groupBy("lid").agg(F.count(F.lit(1)).alias("v"))
+    sums = counts.groupBy("gid").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("own"))
+    groups = groups.join(sums, "gid", "left").join(v, "lid", "left").na.fill(0, ["total", "own", "v"])
     groups = materialize(groups.withColumn("none", _share("0", "total", "v")), "groups")
-    shares = counts.join(groups, GROUP).select(*GROUP, "digest", "part", "n", _share("n", "total", "v").alias("p"), "none")
+    shares = counts.join(groups.drop("lid"), "gid").select("gid", *KEY, "n", _share("n", "total", "v").alias("p"), "none")
     shares = materialize(shares, "shares")
 
     # of each two sources: terms of both, terms of one, terms of neither
-    one = shares.select("lang", F.col("source").alias("a"), "digest", "part", F.col("p").alias("pa"), F.col("none").alias("na"))
-    two = shares.select("lang", F.col("source").alias("b"), "digest", "part", F.col("p").alias("pb"), F.col("none").alias("nb"))
-    both = one.join(two, KEY).where("a < b").groupBy("lang", "a", "b")
-    both = both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(f"{_divergence('pa', 'pb')} - {_divergence('pa', 'nb')} - {_divergence('na', 'pb')} + {_divergence('na', 'nb')}")).alias("value"))
-    like = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("n"))
-    other = groups.select("lang", F.col("source").alias("other"), "none")
-    single = like.join(other, "lang").where("source <> other").groupBy("lang", "source", "other").agg(F.sum(F.expr(f"n * ({_divergence('p', 'none')})")).alias("value"))
-    single = single.select("lang", F.least("source", "other").alias("a"), F.greatest("source", "other").alias("b"), "value")
-    named = lambda x: groups.select("lang", F.col("source").alias(x), F.col("own").alias(f"own_{x}"), F.col("none").alias(f"none_{x}"), "v")
-    pairs = named("a").join(named("b").drop("v"), "lang").where("a < b")
-    neither = pairs.select("lang", "a", "b", F.expr(f"(v - own_a - own_b) * ({_divergence('none_a', 'none_b')})").alias("value"))
-    total = both.select("lang", "a", "b", "value").unionByName(single).unionByName(neither).groupBy("lang", "a", "b").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value"))
+    one, two = (shares.select(*KEY, F.col("gid").alias(x), F.col("p").alias(f"p{x}"), F.col("none").alias(f"n{x}")) for x in "ab")
+    both = one.join(two, KEY).where("a < b").groupBy("a", "b")
+    both = both.agg(F.sum(F.expr(f"{_divergence('pa', 'pb')} - {_divergence('pa', 'nb')} - {_divergence('na', 'pb')} + {_divergence('na', 'nb')}")).alias("value"))
+    like = shares.groupBy("lid", "gid", "p").agg(F.count(F.lit(1)).alias("n"))
+    other = groups.select("lid", F.col("gid").alias("other"), "none")
+    single = like.join(other, "lid").where("gid <> other").select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b"), F.expr(f"n * ({_divergence('p', 'none')})").alias("value"))
+    single = single.groupBy("a", "b").agg(F.sum("value").alias("value"))
+    named = lambda x: groups.select("lid", F.col("gid").alias(x), F.col("own").alias(f"own_{x}"), F.col("none").alias(f"none_{x}"), "v")
+    pairs = named("a").join(named("b").drop("v"), "lid").where("a < b")
+    neither = pairs.select("a", "b", F.expr(f"(v - own_a - own_b) * ({_divergence('none_a', 'none_b')})").alias("value"))
+    total = both.unionByName(single).unionByName(neither).groupBy("a", "b").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value"))
     total = materialize(total, "pairs")
-    pair = total.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(total.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
-    order = Window.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
-    pair = pair.withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
+    own, others = groups.select("gid", "lang", "source"), groups.select(F.col("gid").alias("other"), F.col("source").alias("item"))
+    pair = total.select(F.col("a").alias("gid"), F.col("b").alias("other"), "value").unionByName(total.select(F.col("b").alias("gid"), F.col("a").alias("other"), "value"))
+    order = Window.partitionBy("gid").orderBy(F.desc("value"), "item")
+    pair = pair.join(others, "other").withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
 
     whole = counts.groupBy(*KEY).agg(F.sum("n").alias("all_n"))
-    whole = whole.join(groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v")), "lang").select(*KEY, _share("all_n", "total", "v").alias("q"))
+    whole = whole.join(groups.groupBy("lid").agg(F.sum("total").alias("total"), F.max("v").alias("v")), "lid").select(*KEY, _share("all_n", "total", "v").alias("q"))
     more = shares.join(whole, KEY).where("p > q").withColumn("value", F.expr(_divergence("p", "q")))
     # ties with the last rank stay until their texts are there
-    first = more.withColumn("place", F.rank().over(Window.partitionBy(*GROUP).orderBy(F.desc("value")))).where(F.col("place") <= most_terms)
-    first = first.select(*GROUP, "digest", F.col("part").alias("split"), "value").join(names.withColumnRenamed("part", "split"), ["lang", "digest", "split"])
-    first = first.select(*GROUP, F.col("term").alias("item"), "value").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_terms).withColumn("part", F.lit("term"))
-    columns = [*GROUP, "part", "item", "value", "rank"]
-    return pair.select(*columns).unionByName(first.select(*columns))
+    first = more.withColumn("place", F.rank().over(Window.partitionBy("gid").orderBy(F.desc("value")))).where(F.col("place") <= most_terms)
+    first = first.select("gid", *KEY, "value").join(names, KEY).select("gid", F.col("term").alias("item"), "value")
+    first = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_terms).withColumn("part", F.lit("term"))
+    columns = ["lang", "source", "part", "item", "value", "rank"]
+    return pair.join(own, "gid").select(*columns).unionByName(first.join(own, "gid").select(*columns))
 
 
 ORACLE = r"""

@@ -221,11 +221,13 @@ def test_counts_handed_on_early_and_odd_rows(spark, odd_docs, no_docs, monkeypat
     assert sorted(map(tuple, source_divergence.audit(odd_docs, least_docs=2).collect())) == plain_audit(docs, least=2)
     monkeypatch.setattr(source_divergence, "HELD_TERMS", 3)
     monkeypatch.setattr(source_divergence, "LONG_BYTES", 10)
-    parts = [x for x in source_divergence._count([odd_docs.select("lang", "source", "text").na.fill("").toPandas()])]
-    assert len(parts) > 5
+    rows = odd_docs.select("text").na.fill("").toPandas().assign(gid=1, lid=2)
+    parts = list(source_divergence._counter(64, True)([rows]))
+    assert len(parts) > 3
     whole = collections.Counter()
     for x in parts:
         for r in x.itertuples():
-            whole[r.lang, r.source, r.term] += r.docs
-    assert sum(n for (_, _, w), n in whole.items() if not w) == len(docs)
+            whole[r.term] += r.docs
+    plain = collections.Counter(w for t in rows["text"] for w in set(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.translate(LOWER))))
+    assert whole == plain
     assert source_divergence.audit(no_docs).count() == 0
