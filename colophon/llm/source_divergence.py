@@ -104,9 +104,11 @@ def kept_terms(texts: DataFrame, least_docs: int = LEAST_DOCS, digest_bits: int
     ``part`` is 0 but for terms that share a digest.
     """
     seen = materialize(texts.mapInPandas(_counter(digest_bits), COUNTS), "terms")
-    per = seen.where("term IS NULL").groupBy("gid", "lid", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    per = materialize(per, "digests")
-    frequent = per.groupBy("lid", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
+    # dealt out by term once: a term's groups lie together, and only counts of kept terms are written
+    per = seen.where("term IS NULL").select("gid", "lid", "digest", "n", "docs").repartition("lid", "digest").groupBy("gid", "lid", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    per = per.withColumn("all_docs", F.sum("docs").over(Window.partitionBy("lid", "digest"))).where(F.col("all_docs") >= least_docs)
+    per = materialize(per.select("gid", "lid", "digest", "n"), "digests")
+    frequent = per.select("lid", "digest").distinct()
     known = seen.where("term IS NOT NULL").select("lid", "digest", "term").join(frequent, ["lid", "digest"], "left_semi")
     known = materialize(known.groupBy("lid", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "texts")
     zero, single = F.lit(0).alias("part"), known.where("low = high")
