@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source emits its documents in a shuffled order (md5 of the id), over and over.  A copy's virtual finish time
+Every source emits its documents in a shuffled order (md5 of the id, or of the text where that is null), over and over.  A copy's virtual finish time
 is the number of source tokens up to and including it, divided by the source's target; all sources reach time 1
 when they have given what they should.  Copies are range-sorted by finish time over all sources and cut at the
 total budget.
@@ -69,9 +69,9 @@ def source_targets(sizes: DataFrame, max_passes: int = 3, cycle: int = 3) -> Dat
 
 def queue(docs: DataFrame, max_passes: int = 3, cycle: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target and ``upto``: the source's tokens up to this document in one pass."""
-    rows = docs.select("doc_id", "source", size_of().alias("size"))
-    rows = rows.withColumn("shuffle", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = materialize(rows, "sizes")
+    # rows without an id are told apart by their texts, so that they don't share one range of their source
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), F.coalesce("text", F.lit(""))))
+    rows = materialize(docs.select("doc_id", "source", size_of().alias("size"), F.md5(name.cast("binary")).alias("shuffle")), "sizes")
     key = F.concat(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.lit("/"), F.substring("shuffle", 1, range_digits(rows.count())))
     rows = rows.withColumn("range", key)
     totals = materialize(rows.groupBy("range").agg(F.first("source").alias("source"), F.sum("size").alias("size")), "ranges")
@@ -146,7 +146,7 @@ def mixed_stream(docs: DataFrame, max_passes: int = 3, cycle: int = 3) -> DataFr
     on = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("n"))
     if queued.groupBy("doc_id", "source", "size").count().where("count > 1").limit(1).count():
         copy = copy.withColumn("k", F.row_number().over(Window.partitionBy("id", "of", "n", "pass").orderBy("finish")))
-        own = Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("doc"))
+        own = Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64(F.to_json("doc")))  # maps can be written, not hashed
         rows = rows.withColumn("own", F.row_number().over(own))
         on = on & (F.col("own") == F.col("k"))
     return rows.join(copy, on).repartitionByRange("finish").sortWithinPartitions("finish").select("doc.*")

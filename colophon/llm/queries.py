@@ -111,7 +111,7 @@ ORACLES = {
         FROM p LEFT JOIN f ON p.d = f.d""",
     "op2_mixing": """
         WITH RECURSIVE d AS (
-          SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+          SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '/' || coalesce(text, ''))) AS h,
                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
           FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -2,9 +2,9 @@ import random
 
 import pytest
 
-EXTRA = "row long, size long, fp long, label string, key string, node string, pass int, finish double, range string, shuffle string, suspect boolean, __n int, __sha string, __own long, __row long, __id long, __s string, __mix_id long, __mix_size long, doc string, own string, id string, n int, sha binary, digest string, of string, k string, at string, node_id string, size_of string"
+EXTRA = "row long, size long, fp long, label string, key string, node string, pass int, finish double, range string, shuffle string, suspect boolean, __n int, __sha string, __own long, __row long, __id long, __s string, __mix_id long, __mix_size long, doc string, own string, id string, n int, sha binary, digest string, of string, k string, at string, node_id string, size_of string, by_name map<string,int>, parts array<int>, inner struct<a: int, m: map<string,int>>"
 #: Values of the further columns, which operators are to leave alone.
-CLASH = (7, 8, 9, "label", "key", "node", 1, 0.5, "range", "shuffle", True, 3, "sha", 4, 5, 6, "s", 10, 11, "doc", "own", "id", 12, b"sha", "digest", "of", "k", "at", "node_id", "size_of")
+CLASH = (7, 8, 9, "label", "key", "node", 1, 0.5, "range", "shuffle", True, 3, "sha", 4, 5, 6, "s", 10, 11, "doc", "own", "id", 12, b"sha", "digest", "of", "k", "at", "node_id", "size_of", {"a": 1}, [1, 2], (3, {"b": 4}))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
