@@ -7,7 +7,8 @@ more than SAMPLE_ROWS / PER_LANGUAGE languages; every language of the labels is
 not trained on sets the temperature of the probabilities and the threshold below which a document is rejected: so low
 that of correctly recognised documents only REJECT_RATE go.
 
-A row of the sample takes at most six bytes a bucket; rows beyond SAMPLE_BYTES in all are thinned evenly.
+A row of the sample takes at most six bytes a bucket; each language has an equal share of SAMPLE_BYTES, and one row at
+least.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 (and rejected); so is every text if
 there is nothing to learn from.  Very long texts are read in parts and counted as a whole.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,6 +28,8 @@ GRAMS = (2, 3, 4)
 BITS = 15
 #: Bounds of the training sample: rows a language, rows in all (one a language at least), bytes in all.
 PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 20_000, 200 << 20
+#: Rows drawn beyond those wanted, so that no language is left without one by chance.
+SPARE_ROWS = 30
 EPOCHS, RATE, BATCH = 6, 0.5, 8
 #: Share of correctly recognised documents that rejection may cost.
 REJECT_RATE = 0.001
@@ -118,19 +121,24 @@ def features(rows: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame) -> pd.DataFrame:
-    """A bounded number of rows of each language, chosen by hash, as features.  Rows with fold 2 are never read from."""
+    """A bounded number of rows of each language, chosen by a hash of id and text, as features.
+
+    Rows with fold 2 are never read from; rows that repeat id and text count once.  Every language has a row at least:
+    some more are drawn than wanted, and those that are too many, or beyond the language's share of SAMPLE_BYTES, go.
+    """
     rows = docs.where((fold() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    each = max(1, min(PER_LANGUAGE, SAMPLE_ROWS // max(counts.count(), 1)))
-    rows = rows.select("text", F.col("lang").alias("label"), F.xxhash64("doc_id", F.lit(6)).alias("hash"))
+    languages = max(counts.count(), 1)
+    each = max(1, min(PER_LANGUAGE, SAMPLE_ROWS // languages))
+    rows = rows.select("text", F.col("lang").alias("label"), F.xxhash64("doc_id", "text", F.lit(6)).alias("hash"))
     # one row a language, as many as the model has columns
     rows = rows.join(F.broadcast(counts), F.col("label") == F.col("lang"))
-    chosen = rows.where(F.pmod("hash", F.lit(1 << 20)) < F.greatest(F.lit(each << 20) / F.col("n"), F.lit(1)))
-    found = materialize(features(chosen.select("text", "label", "hash")), "features")
-    size = found.agg(F.sum(F.length("bucket") + F.length("share"))).first()[0] or 0
-    if size > SAMPLE_BYTES:
-        found = found.where(F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < int(SAMPLE_BYTES / size * (1 << 20)))
-    return found.toPandas().sort_values(["hash", "label", "bucket"]).reset_index(drop=True)
+    drawn = rows.where(F.pmod("hash", F.lit(1 << 40)) < F.lit(float((each + SPARE_ROWS) << 40)) / F.col("n"))
+    found = materialize(features(drawn.select("text", "label", "hash")).dropDuplicates(["label", "hash"]), "features")
+    order = Window.partitionBy("label").orderBy("hash", "bucket")
+    found = found.withColumn("place", F.row_number().over(order)).withColumn("bytes", F.sum(F.length("bucket") + F.length("share")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.where((F.col("place") <= each) & ((F.col("place") == 1) | (F.col("bytes") <= SAMPLE_BYTES // languages)))
+    return found.select("label", "hash", "bucket", "share").toPandas().sort_values(["hash", "label", "bucket"]).reset_index(drop=True)
 
 
 def dimensions(languages: int) -> int:

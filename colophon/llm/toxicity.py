@@ -81,7 +81,7 @@ def _sampled_terms(batches):
             cuts = np.searchsorted(doc, np.arange(len(some) + 1))
             part = pdf.iloc[start : start + len(some)]
             spans = list(zip(cuts[:-1], cuts[1:]))
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype(str), "label": part["label"], "bucket": [bucket[a:b].astype(np.int32) for a, b in spans], "count": [count[a:b].astype(np.int32) for a, b in spans]})
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype(str), "hash": part["hash"], "label": part["label"], "bucket": [bucket[a:b].astype(np.int32) for a, b in spans], "count": [count[a:b].astype(np.int32) for a, b in spans]})
 
 
 def chosen_terms(sample: DataFrame) -> np.ndarray:
@@ -107,7 +107,7 @@ def chosen_terms(sample: DataFrame) -> np.ndarray:
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, np.ndarray, dict[int, int]]:
     """Chosen terms (slots and counts) of a bounded sample, the buckets of the slots, and labelled rows by label.
 
-    Rows with fold 2 are left out.
+    Rows with fold 2 are left out.  SAMPLE_ROWS bounds rows, however often an id repeats.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).where("label IN (0, 1)")
@@ -115,8 +115,14 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, n
     rate = F.when(F.col("label") == 1, PER_CLASS / max(shares.get(1, 0), 1)).otherwise(PER_CLASS / max(shares.get(0, 0), 1))
     hashed = F.xxhash64("doc_id", F.lit(3))
     chosen = known.where(F.pmod(hashed, F.lit(1 << 20)) < rate * (1 << 20)).orderBy(hashed).limit(SAMPLE_ROWS)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = materialize(rows.mapInPandas(_sampled_terms, "doc_id string, label int, bucket array<int>, count array<int>"), "terms")
+    chosen = materialize(chosen, "labels")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # ids may repeat: rows are thinned after the join too, and those that repeat id and text count once
+    having = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rate = F.when(F.col("label") == 1, PER_CLASS / max(having.get(1, 0), 1)).otherwise(PER_CLASS / max(having.get(0, 0), 1))
+    rows = texts.withColumn("hash", F.xxhash64("doc_id", "text", F.lit(4))).where(F.pmod("hash", F.lit(1 << 20)) < 2 * rate * (1 << 20))
+    sample = rows.mapInPandas(_sampled_terms, "doc_id string, hash long, label int, bucket array<int>, count array<int>").dropDuplicates(["doc_id", "hash"])
+    sample = materialize(sample.orderBy("hash", "doc_id").limit(SAMPLE_ROWS), "terms")
     buckets = chosen_terms(sample)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[buckets] = np.arange(len(buckets))

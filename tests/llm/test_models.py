@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -233,3 +234,33 @@ def test_two_hundred_languages_are_all_predicted(spark):
     found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len({r.lang_pred for r in found}) == 200
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.97
+
+
+def test_every_language_is_sampled_within_the_bounds(spark, monkeypatch):
+    """Null and repeated ids, 200 languages of which 190 have three long rows, and the bound in bytes passed."""
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 2_000)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 600_000)
+    rng = random.Random(4)
+    own = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(None if k % 2 else own, f"{k} " + "".join(rng.choices("abcdefghij ", k=300)), f"l{k % 10}") for k in range(3_000)]
+    rows += [(None, "same text", "l0")] * 500
+    rows += [(None, f"{k} " + "".join(rng.choices("klmnopqrstuvwxyz ", k=4_000)), f"m{k % 190}") for k in range(570)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.training_sample(docs)
+    per = sample.groupby("label").size()
+    assert len(per) == 200 and per.max() <= 10
+    sizes = sample["bucket"].map(len) + sample["share"].map(len)
+    first = sample.assign(n=sizes).groupby("label")["n"].max()
+    assert sizes.sum() <= 600_000 + first.sum()
+    assert sample.groupby("label").apply(lambda x: len(x) == 1 or (x["bucket"].map(len) + x["share"].map(len)).sum() <= 3_000).all()
+
+
+def test_sample_of_repeated_ids_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 200)
+    monkeypatch.setattr(toxicity, "PER_CLASS", 80)
+    rows = [(k % 40, f"word{k % 7} other{k}" if k % 3 else "the same") for k in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    sample, _, shares = toxicity.training_sample(docs, labels)
+    assert 100 < len(sample) <= 200 and set(sample["label"]) == {0, 1} and sum(shares.values()) <= 40
+    assert len(toxicity.score_documents(docs, labels).collect()) == len(rows)
