@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import formatted, priority, term
 from ..functions.text import comparison_key, latin_key, word_overlap, words
+from ..storage import written
 
 #: Fixed: words that widen a search for places; words that let a label pass as architecture.
 PLACE_WORDS = ["american", "southern", "northern", "eastern", "western", "city", "state", "county"]
@@ -17,6 +20,8 @@ BUILDING_WORDS = ["architecture", "architectural", "building", "style"]
 SOURCES = [("LCSH", "LCSH"), ("FAST", "FAST"), ("Getty AAT", "Getty"), ("Getty TGN", "Getty")]
 #: The source that places are looked up in, one term each.
 PLACES, PLACE_LIMIT = "FAST Geographic", 1
+#: Labels that one range of a left-anchored search holds on average.
+LABELS_PER_RANGE = 50_000
 
 
 def queries(values: DataFrame, column: str) -> DataFrame:
@@ -36,26 +41,68 @@ def _ranked(found: DataFrame, whole: Column) -> DataFrame:
     return found.withColumn("hit_pos", F.row_number().over(Window.partitionBy("query", "source").orderBy(exact, "label", "uri")))
 
 
-def table_hits(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(query, source, label, uri, hit_pos) of a vocabulary table: terms that contain a query as a word, exact first.
+def word_index(vocabulary: DataFrame) -> DataFrame:
+    """A vocabulary's rows once for each word of their label, with the word, all words, and how many rows have the word.
+
+    It can be written and kept: searches of any number of queries read it.
+    """
+    rows = vocabulary.withColumn("words", F.array_distinct(words(F.lower("label")))).withColumn("word", F.explode("words"))
+    return rows.join(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n_rows")), "word")
+
+
+def index_hits(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(query, source, label, uri, hit_pos) of an indexed vocabulary: terms that contain all words of a query, exact first.
 
-    ``vocabulary``: source, label, uri and what else is to be kept.  The join is on words, so it is an equi-join
-    however large either side is.
+    The rarest word of a query leads to its candidates and the others are checked, so a frequent word brings up its
+    rows only for queries that have nothing else.
     """
-    terms = vocabulary.withColumn("word", F.explode(F.array_distinct(words(F.lower("label")))))
-    asked = asked.select("query", F.lower("query").alias("whole"), F.array_distinct(words(F.lower("query"))).alias("parts"))
-    # the first word leads to the candidates, the others are checked
-    found = asked.withColumn("word", F.get("parts", F.lit(0))).join(terms, "word")
-    found = found.where(F.size(F.array_except("parts", words(F.lower("label")))) == 0)
-    return _ranked(found, F.col("whole")).select("query", *vocabulary.columns, "hit_pos")
+    parts = asked.select("query", F.array_distinct(words(F.lower("query"))).alias("parts"))
+    known = index.select("word", "n_rows").distinct()
+    led = parts.select("query", "parts", F.explode("parts").alias("word")).join(known, "word")
+    led = led.groupBy("query", "parts").agg(F.min(F.struct("n_rows", "word")).alias("rarest"), F.count(F.lit(1)).alias("n"))
+    led = led.where(F.col("n") == F.size("parts")).select("query", "parts", F.col("rarest.word").alias("word"))
+    found = led.join(index, "word").where(F.size(F.array_except("parts", "words")) == 0)
+    columns = [c for c in index.columns if c not in ("word", "words", "n_rows")]
+    return _ranked(found, F.lower("query")).select("query", *columns, "hit_pos")
 
 
-def left_anchored_hits(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(query, source, label, uri, hit_pos): terms whose label starts with the query; an equi-join on label beginnings."""
-    label = F.lower("label")
-    starts = vocabulary.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1))))).withColumn("start", F.left(label, F.col("n"))).drop("n")
-    found = asked.select("query", F.lower("query").alias("start")).join(starts, "start")
-    return _ranked(found, F.lower("query")).select("query", *vocabulary.columns, "hit_pos")
+def table_hits(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The hits in a vocabulary that is indexed for this search only."""
+    return index_hits(asked, word_index(vocabulary)).select("query", *vocabulary.columns, "hit_pos")
+
+
+def left_anchored_hits(asked: DataFrame, vocabulary: DataFrame, per_range: int = LABELS_PER_RANGE) -> DataFrame:
+    """(query, source, label, uri, hit_pos): terms whose label starts with the query.
+
+    Labels are range-sorted; a query is the interval of what starts with it, and goes to the ranges it overlaps, where
+    its labels are a slice of the sorted ones.  The cost is labels, queries and hits.
+    """
+    ranges = max(1, vocabulary.count() // per_range)
+    rows = vocabulary.withColumn("start", F.lower("label")).where("start IS NOT NULL").repartitionByRange(ranges, "start").withColumn("range", F.spark_partition_id())
+    rows = written(rows)
+    firsts = rows.groupBy("range").agg(F.min("start").alias("first"))
+    firsts = firsts.agg(F.array_sort(F.collect_list(F.struct("first", "range"))).alias("firsts"))  # a row a range
+    q = F.col("start")
+    before = F.size(F.filter("firsts", lambda x: x["first"] <= q))
+    upto = F.size(F.filter("firsts", lambda x: (x["first"] <= q) | F.startswith(x["first"], q)))
+    spans = asked.select("query", F.lower("query").alias("start")).crossJoin(F.broadcast(firsts))
+    spans = spans.withColumn("among", F.slice("firsts", F.greatest(before, F.lit(1)), F.greatest(upto - F.greatest(before, F.lit(1)) + 1, F.lit(0))))
+    spans = spans.select("query", "start", F.explode("among").alias("at")).select("query", "start", F.col("at.range").alias("range"))
+    columns = vocabulary.columns
+
+    def slices(labels, queries):
+        labels = labels.sort_values("start")
+        starts, found = labels["start"].tolist(), []
+        for query, q in zip(queries["query"], queries["start"]):
+            a = bisect.bisect_left(starts, q)
+            b = bisect.bisect_right(starts, q, lo=a, key=lambda x: x[: len(q)])
+            if a < b:
+                found.append(labels.iloc[a:b][columns].assign(query=query))
+        return pd.concat(found, ignore_index=True)[["query", *columns]] if found else labels.iloc[:0][columns].assign(query="")[["query", *columns]]
+
+    schema = "query string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vocabulary.schema)
+    found = rows.groupBy("range").cogroup(spans.groupBy("range")).applyInPandas(slices, schema)
+    return _ranked(found, F.lower("query")).select("query", *columns, "hit_pos")
 
 
 def fallback_words(query: Column, kind: str) -> Column:
@@ -99,7 +146,8 @@ def search(asked: DataFrame, vocabulary: DataFrame, most: int = 3) -> DataFrame:
     LCSH adds headings that start with the query whenever it has fewer than ``most``; the others ask word by word, and
     only if nothing was found.
     """
-    primary = table_hits(asked, vocabulary).where(F.col("hit_pos") <= most).withColumn("place", F.lit(0))
+    index = written(word_index(vocabulary))
+    primary = written(index_hits(asked, index).where(F.col("hit_pos") <= most).withColumn("place", F.lit(0)))
     found = primary.groupBy("query", "source").agg(F.countDistinct("uri").alias("n"))
     of = lambda source: asked.withColumn("source", F.lit(source)).join(found, ["query", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     headings = vocabulary.where(F.col("source") == "LCSH")
@@ -110,7 +158,7 @@ def search(asked: DataFrame, vocabulary: DataFrame, most: int = 3) -> DataFrame:
         nothing = nothing.unionByName(of(source))
     parts = by_kind(others, lambda s: fallback_words(F.col("query"), s), F.lit(None).cast("array<string>"))
     again = nothing.where("n = 0").select(F.col("query").alias("original"), "source", F.posexplode(parts).alias("place", "query"))
-    more = again.join(table_hits(again.select("query").distinct(), vocabulary.where(F.col("source") != "LCSH")).where(F.col("hit_pos") <= most), ["query", "source"])
+    more = again.join(index_hits(again.select("query").distinct(), index.where(F.col("source") != "LCSH")).where(F.col("hit_pos") <= most), ["query", "source"])
     may = by_kind(others, lambda s: accepted(F.col("label"), F.col("original"), s), F.lit(False))
     more = more.where(may).select(F.col("original").alias("query"), *vocabulary.columns, "hit_pos", (F.col("place") + 1).alias("place"))
     return first_hits(hits.unionByName(more), most, "place", "hit_pos", "label").drop("place")

@@ -32,6 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- files ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def json_array_items(spark, sf_dir):
+    """Documents written as files of JSON arrays, and read back element by element in byte ranges."""
+    from ..sources.json_array import read_elements
+    from ..storage import new_path
+
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), new_path(spark, "arrays")
+    arrays = docs.groupBy(F.floor(F.col("doc_id") / 50).alias("array")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    arrays.select("value").write.text(path)
+    return read_elements(spark, path).select(F.from_json("value", "doc_id bigint, text string, lang string").alias("d")).select("d.*")
+
+
 # --- text -------------------------------------------------------------------------------------------------------
 
 _NOISE_SQL = "replace(replace(replace(text, ' ', chr(9) || ' '), '.', '.' || chr(160)), chr(10), repeat(chr(10), 4))"
@@ -518,11 +533,12 @@ def subjects(spark, sf_dir) -> DataFrame:
     return lookup.queries(words, "w")
 
 
-_HITS_SQL = f"""
+def _hits_sql(asked: str) -> str:
+    return f"""
     WITH {_VOCABULARY_SQL},
-    q AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part),
+    q AS (SELECT DISTINCT query FROM ({asked}) WHERE query <> ''),
     h AS (SELECT query, source, label, uri, row_number() OVER (PARTITION BY query, source ORDER BY lower(label) <> lower(query), label, uri) AS hit_pos
-          FROM q JOIN v ON list_contains(string_split_regex(lower(label), '\\s+'), lower(query))),
+          FROM q JOIN v ON list_has_all(string_split_regex(lower(label), '\\s+'), string_split_regex(lower(query), '\\s+'))),
     few AS (SELECT query FROM q LEFT JOIN h USING (query) GROUP BY query HAVING count(DISTINCT uri) FILTER (source = 'LCSH' AND hit_pos <= 3) < 3),
     a AS (SELECT query, source, label, uri, row_number() OVER (PARTITION BY query, source ORDER BY lower(label) <> lower(query), label, uri) AS hit_pos
           FROM few JOIN v ON source = 'LCSH' AND starts_with(lower(label), lower(query))),
@@ -537,6 +553,10 @@ _HITS_SQL = f"""
     """
 
 
+_HITS_SQL = _hits_sql("SELECT unnest(string_split(p_name, ' ')) AS query FROM part")
+_TOPUP_SQL = _hits_sql("SELECT unnest([p_name, trim(left(p_name, length(p_name) // 2)), trim(substr(p_name, 3))]) AS query FROM part")
+
+
 @query(_HITS_SQL + "SELECT query, source, label, uri, hit_pos, taken FROM c")
 def vocab_lookup(spark, sf_dir):
     found = lookup.search(subjects(spark, sf_dir), vocabulary(spark, sf_dir))
@@ -548,10 +568,12 @@ def vocab_dedupe(spark, sf_dir):
     return longs(lookup.look_up(subjects(spark, sf_dir), vocabulary(spark, sf_dir)), "term_pos")
 
 
-@query(_HITS_SQL + "SELECT query, label, uri, hit_pos, place FROM f WHERE source = 'LCSH' AND hit_pos <= 3 AND query IN (SELECT query FROM few)")
+@query(_TOPUP_SQL + "SELECT query, label, uri, hit_pos, place FROM f WHERE source = 'LCSH' AND hit_pos <= 3 AND query IN (SELECT query FROM few)")
 def lookup_topup(spark, sf_dir):
     """Headings of the queries that have fewer than three by keyword: keyword hits, then those that start with the query."""
-    asked, terms_ = subjects(spark, sf_dir), vocabulary(spark, sf_dir).where("source = 'LCSH'")
+    n, name = F.length("p_name"), F.col("p_name")
+    names = table(spark, sf_dir, "part").select(F.explode(F.array(name, F.substring(name, F.lit(1), F.floor(n / 2).cast("int")), F.substring(name, F.lit(3), n))).alias("w"))
+    asked, terms_ = lookup.queries(names, "w"), vocabulary(spark, sf_dir).where("source = 'LCSH'")
     primary = lookup.table_hits(asked, terms_).where("hit_pos <= 3")
     few = asked.join(primary, "query", "left").groupBy("query").agg(F.countDistinct("uri").alias("n")).where("n < 3").select("query")
     place = primary.select("query", "uri", F.lit(0).alias("place")).distinct()
@@ -602,15 +624,16 @@ def payload_faults(spark, sf_dir):
     return told.join(label, "query", "left").select("event_id", "error", "label")
 
 
-@query("""
-    WITH a AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part), b AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM benchmark)
-    SELECT item_id, count(DISTINCT p_name) AS names, count(DISTINCT w) AS words FROM a JOIN b USING (w) GROUP BY 1""")
+@query(r"""
+    WITH a AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part), b AS (SELECT DISTINCT p_type, unnest(string_split_regex(lower(p_type || ' ' || p_name), '\s+')) AS w FROM part)
+    SELECT p_type, count(DISTINCT p_name) AS names, count(DISTINCT w) AS words FROM a JOIN b USING (w) GROUP BY 1""")
 def word_overlap_join(spark, sf_dir):
-    """Names and items that share a word: candidates by an equi-join on words, the function says whether they overlap."""
-    a = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("w", F.explode(F.array_distinct(text.words(F.lower("p_name")))))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t")).withColumn("w", F.explode(F.array_distinct(text.words(F.lower("t")))))
+    """Names and descriptions that share a word: candidates by an equi-join on words, the function says whether they overlap."""
+    part = table(spark, sf_dir, "part")
+    a = part.select("p_name").distinct().withColumn("w", F.explode(F.array_distinct(text.words(F.lower("p_name")))))
+    b = part.select("p_type", F.concat_ws(" ", "p_type", "p_name").alias("t")).distinct().withColumn("w", F.explode(F.array_distinct(text.words(F.lower("t")))))
     pairs = a.join(b, "w").where(text.word_overlap(F.col("p_name"), F.col("t")))
-    return pairs.groupBy("item_id").agg(F.countDistinct("p_name").alias("names"), F.countDistinct("w").alias("words"))
+    return pairs.groupBy("p_type").agg(F.countDistinct("p_name").alias("names"), F.countDistinct("w").alias("words"))
 
 
 _SET = "array_to_string(list_sort(list_distinct(string_split({}, ' '))), ' ')"

@@ -9,7 +9,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import FormatError, MissingInput
+from ..errors import FormatError
+from .json_array import read_elements
 
 #: Fixed: columns of the analysis sheet.
 SHEET = ["title", "creator", "date", "department", "abstract", "subjects", "type", "access", "publisher", "sponsor", "language", "named_entities", "geographic_entities", "content_warning"]
@@ -19,18 +20,11 @@ STATS = "total_requests bigint, total_input_tokens bigint, total_output_tokens b
 
 
 def read_workflow(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(items with item_index by position, api_stats) of a workflow file."""
-    schema = f"{ITEM}, api_stats struct<{', '.join(x.replace(' ', ': ', 1) for x in STATS.split(', '))}>, _corrupt_record string"
-    try:
-        whole = spark.read.text(path, wholetext=True)
-    except Exception as e:
-        raise MissingInput(f"no workflow file {path}: {e}") from e
-    first = whole.select(F.left(F.ltrim("value"), F.lit(1)).alias("c"), F.try_parse_json("value").isNull().alias("bad")).first()
-    if first is None or first["bad"] or first["c"] != "[":
-        raise FormatError(f"{path} is not a JSON array")
-    rows = whole.select(F.posexplode(F.from_json("value", f"array<struct<{', '.join(_colon(x) for x in _split(schema))}>>"))).select("pos", "col.*").drop("_corrupt_record")
-    items = rows.where("api_stats IS NULL").withColumn("item_index", F.col("pos").cast("long")).drop("api_stats", "pos")
-    return items, rows.where("api_stats IS NOT NULL").select("api_stats.*")
+    """(items with item_index by position, api_stats) of a workflow file of any size."""
+    schema = f"{ITEM}, api_stats struct<{', '.join(x.replace(' ', ': ', 1) for x in STATS.split(', '))}>"
+    rows = read_elements(spark, path).select("index", F.from_json("value", f"struct<{', '.join(_colon(x) for x in _split(schema))}>").alias("item"))
+    items = rows.where("item.api_stats IS NULL").select("item.*", F.col("index").alias("item_index")).drop("api_stats")
+    return items, rows.where("item.api_stats IS NOT NULL").select("item.api_stats.*")
 
 
 def _split(schema: str) -> list[str]:

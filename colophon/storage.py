@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,25 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in reliable storage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie, apart from those of others."""
+    return f"{checkpoint_dir(spark)}/colophon-tables-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in that folder: lineage is cut, and readers take only the columns they need."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete these tables; frames that read them can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
