@@ -14,6 +14,7 @@ from ..functions import json_repair, quality, terms
 from ..functions.text import clean_list, fill_template, truncate
 from ..operators import chunking, clustering, extraction, lookup, usage
 from ..sources import vocabularies
+from ..sources.batches import Batches, BatchService
 from ..sources.completions import Provider, Retry, complete, messages
 from ..storage import cut
 from . import run
@@ -39,6 +40,9 @@ class Catalogue:
     retry: Retry = field(default_factory=Retry)
     batch: bool = True
     chunking: chunking.Chunking | None = None
+    service: Callable[[], BatchService] | None = None
+    use_batch: bool | None = None
+    poll: float = 60.0
 
     def read(self, name: str) -> DataFrame:
         try:
@@ -50,11 +54,23 @@ class Catalogue:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         return self.read(name)
 
+    def wants_batch(self, rows: DataFrame, at_least: int) -> bool:
+        """Remote batches are used if there is a service for them, as asked for or from ``at_least`` rows on."""
+        return run.wants_batch(rows.limit(at_least).count(), at_least, self.use_batch, self.service is not None)
+
+    def ask_batch(self, requests: DataFrame, name: str) -> DataFrame:
+        """The outcomes of requests; those of an earlier try of this run are not asked again."""
+        return Batches(self.spark, f"{self.folder}/batches/{name}", self.service()).complete(requests, self.poll)
+
     def extract(self, docs: DataFrame) -> None:
         """Step 1: a record, raw answer and error for each document, numbered by id."""
         numbered = self.write(usage.numbered(docs.select("doc_id", "text"), ["doc_id"]), "documents")
         whole, long = chunking.split_by_size(numbered, self.chunking) if self.chunking else (numbered, numbered.limit(0))
-        items = extraction.extract(whole, self.factory, self.model, self.retry).select("item_index", "doc_id", "text", "record", "raw", "error")
+        if self.wants_batch(whole, 6):
+            done = extraction.extract_batch(whole, lambda asked: self.ask_batch(asked, "extraction"), self.factory, self.model)
+        else:
+            done = extraction.extract(whole, self.factory, self.model, self.retry)
+        items = done.select("item_index", "doc_id", "text", "record", "raw", "error")
         if self.chunking:
             done = extraction.extract_long(long, self.factory, self.model, self.chunking, self.retry).drop("warnings")
             items = items.unionByName(long.join(done, "doc_id"))
@@ -127,7 +143,12 @@ class Catalogue:
         told = items.join(offers, "item_index")
         prompt = fill_template(SELECT_USER, title=truncate(F.coalesce("record.title", F.lit("")), 500), abstract=truncate(F.coalesce("record.abstract", F.lit("")), 4000), candidates=F.col("candidates"))
         requests = told.select(F.concat(F.lit("entry-"), F.col("item_index").cast("string")).alias("custom_id"), F.lit(self.model).alias("model"), messages(F.lit(SELECT_SYSTEM), prompt).alias("messages"), F.lit(1000).alias("max_tokens"), F.lit(0.0).alias("temperature"))
-        answers = self.write(complete(requests, self.factory, Retry(5)), "answers")
+        if self.wants_batch(requests, 5):
+            answers = self.ask_batch(requests, "selection")
+            answers = answers.withColumns({"seconds": F.lit(0.0), "retries": F.lit(0)})
+        else:
+            answers = complete(requests, self.factory, Retry(5))
+        answers = self.write(answers, "answers")
         answers = answers.select(F.substring_index("custom_id", "-", -1).cast("long").alias("item_index"), json_repair.selected_labels(F.col("content")).alias("labels"), "error")
         answers = answers.withColumn("error", F.when(F.col("error").isNull() & F.col("labels").isNull(), "answer of the wrong shape").otherwise(F.col("error")))
         matched = cut(lookup.match(answers.select("item_index", F.posexplode("labels").alias("label_pos", "label")), pools.select("item_index", "pool_pos", "label", "uri", "source")))

@@ -119,7 +119,7 @@ def write_batch(requests: DataFrame, path: str, url: str = "/v1/chat/completions
     if twice := duplicate_ids(requests).limit(1).collect():
         raise BatchError(f"id used twice: {twice[0]['custom_id']}")
     body = F.struct("model", "messages", "max_tokens", "temperature")
-    requests.select(F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body"))).alias("value")).write.text(path)
+    requests.select(F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body"))).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:

@@ -33,6 +33,8 @@ def hourly_counts(spark: SparkSession, path: str, late: str = "1 day") -> DataFr
     rows = counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
     target = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
+    spark.createDataFrame([], "window_start timestamp_ntz, event_type string, n bigint").write.parquet(f"{target}/out/batch=-1")  # an empty stream has no batch
+
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/out/batch={number}")
 
