@@ -581,6 +581,21 @@ def lookup_topup(spark, sf_dir):
     return found.select("query", "label", "uri", F.col("hit_pos").cast("long").alias("hit_pos"), F.coalesce("place", F.lit(1)).alias("place"))
 
 
+@query("""
+    WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query, p_name AS label FROM part),
+    p AS (SELECT DISTINCT lower(n_name) AS query, n_name AS label FROM nation UNION SELECT DISTINCT split_part(p_name, ' ', 1), 'place of ' || split_part(p_name, ' ', 1) FROM part),
+    q AS (SELECT DISTINCT query FROM p UNION SELECT lower(r_name) FROM region)
+    SELECT query, label FROM q JOIN t USING (query) UNION ALL SELECT query, label FROM q JOIN p USING (query) WHERE query NOT IN (SELECT query FROM t)""")
+def topical_then_places(spark, sf_dir):
+    """Terms of subjects, those of places only where a query has no topical ones."""
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    part, nation, region = (table(spark, sf_dir, t) for t in ("part", "nation", "region"))
+    topical = part.select(first.alias("query"), F.col("p_name").alias("label")).distinct()
+    places = nation.select(F.lower("n_name").alias("query"), F.col("n_name").alias("label")).union(part.select(first, F.concat(F.lit("place of "), first))).distinct()
+    asked = places.select("query").union(region.select(F.lower("r_name"))).distinct()
+    return lookup.terms_for(asked, topical, places)
+
+
 _PLACES_SQL = """
     WITH g AS (SELECT n_name AS label, 'g/' || n_name AS uri, 'Geographic' AS type FROM nation
                UNION SELECT 'upper ' || r_name, 'r/' || r_name, 'Geographic Name' FROM region UNION SELECT p_name, 'p/' || p_name, 'Topic' FROM part),

@@ -49,3 +49,12 @@ def test_nothing_to_search(spark, skewed):
     assert lookup.left_anchored_hits(none, vocabulary).count() == 0
     some = spark.createDataFrame([("american",)], "query string")
     assert lookup.search(some, vocabulary.limit(0)).count() == 0
+
+
+def test_lost_texts_are_read_again_by_path(spark):
+    from colophon.sources.folder import missing_texts
+
+    failed = spark.createDataFrame([(1, "a"), (2, "b")], "item_index int, path string")
+    documents = spark.createDataFrame([("a", "text of a"), ("c", "other")], "path string, text string")
+    got = sorted((r.item_index, r.text, r.reason) for r in missing_texts(failed, documents).collect())
+    assert got == [(1, "text of a", None), (2, None, "the file cannot be read")]
