@@ -42,16 +42,32 @@ def grams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters), F.lit(1))), lambda i: F.concat(F.get(letters, i - 1), F.size(F.filter(F.slice(letters, F.lit(1), i), lambda c: c == F.get(letters, i - 1))).cast("string")))
 
 
-def candidate_keys(names: DataFrame, share: float) -> DataFrame:
+def share(threshold: float) -> float:
+    """The least share of the larger multiset of characters that names at the threshold have in common."""
+    return threshold / (200.0 - threshold)
+
+
+def lengths_fit(a: str, b: str, threshold: float) -> Column:
+    """Can names of these lengths reach the threshold?  The longest common subsequence is at most the shorter one."""
+    return F.least(a, b) * 200.0 >= (F.col(a) + F.col(b)) * F.lit(float(threshold)) - 1e-9
+
+
+def gram_counts(names: DataFrame) -> DataFrame:
+    """(g, n): in how many names a letter with its occurrence is."""
+    return names.select(F.explode(grams(F.col("key"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+def candidate_keys(names: DataFrame, share: float, counts: DataFrame | None = None) -> DataFrame:
     """(id, key): names that may overlap in ``share`` of the larger multiset of characters have a key in common.
 
     Characters (with their occurrence number) stand in one fixed order, the rarest first.  Two multisets that share n
     characters have two of them in common among the first size - n + 2 of each, so the keys are the pairs of these;
-    where one character may do (names of one or two), the single ones are keys as well.
+    where one character may do (names of one or two), the single ones are keys as well.  ``counts`` (g, n) gives the
+    order where it is not to be that of these names; characters it lacks count as rarest.
     """
     base = names.select("id", grams(F.col("key")).alias("grams"))
-    rare = base.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    ranked = base.select("id", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(rare, "g")
+    rare = gram_counts(names) if counts is None else counts
+    ranked = base.select("id", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(rare, "g", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ordered = ranked.groupBy("id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("grams"))
     least = F.greatest(F.ceil(F.col("size") * F.lit(share) - 1e-9), F.lit(1)).cast("int")
     first = F.slice("grams", F.lit(1), F.least(F.col("size") - least + 2, F.col("size")))
@@ -62,11 +78,9 @@ def candidate_keys(names: DataFrame, share: float) -> DataFrame:
 
 def candidate_pairs(names: DataFrame, threshold: float) -> DataFrame:
     """(ia, ib) of names that have a key in common, once each."""
-    keys = candidate_keys(names, threshold / (200.0 - threshold)).join(names.select("id", F.length("key").alias("n")), "id")
+    keys = candidate_keys(names, share(threshold)).join(names.select("id", F.length("key").alias("n")), "id")
     left, right = (keys.select(F.col("id").alias(i), F.col("n").alias(n), "g") for i, n in (("ia", "na"), ("ib", "nb")))
-    # the longest common subsequence is at most the shorter name
-    fits = F.least("na", "nb") * 200.0 >= (F.col("na") + F.col("nb")) * F.lit(float(threshold)) - 1e-9
-    return left.join(right, "g").where((F.col("ia") < F.col("ib")) & fits).select("ia", "ib").distinct()
+    return left.join(right, "g").where((F.col("ia") < F.col("ib")) & lengths_fit("na", "nb", threshold)).select("ia", "ib").distinct()
 
 
 def similar_pairs(names: DataFrame, threshold: float = 85, similarity_of: Similarity = similarity.ratio) -> DataFrame:
@@ -120,21 +134,34 @@ def clusters(names: DataFrame, threshold: float = 85, similarity_of: Similarity
     ``similarity.ratio`` is, and equal to it.
     """
     names = cut(names)
-    led = cut(leaders(names, similar_pairs(names, threshold, similarity_of)).join(names, "name"))
-    best = Window.partitionBy("leader").orderBy(F.desc("mentions"), F.desc(F.length("name")), "pos", "name")
-    top = led.withColumn("r", F.row_number().over(best)).where("r = 1").select("leader", F.col("name").alias("canonical"))
+    return with_canonical(cut(leaders(names, similar_pairs(names, threshold, similarity_of)).join(names, "name")))
+
+
+def with_canonical(led: DataFrame) -> DataFrame:
+    """The canonical name of each leader's cluster beside its names (name, leader, mentions, pos)."""
+    best = F.struct(-F.col("mentions"), -F.length("name"), "pos", "name")
+    top = led.groupBy("leader").agg(F.min_by("name", best).alias("canonical"))
     return led.join(top, "leader").select("name", "leader", "canonical", "mentions", "pos")
 
 
+def entries(rows: DataFrame, threshold: float = 85, similarity_of: Similarity = similarity.fast_ratio) -> DataFrame:
+    """Every mention with the canonical name of its cluster, as rows: no name's mentions meet in one row."""
+    return rows.join(clusters(distinct_names(rows), threshold, similarity_of).select("name", "canonical"), "name")
+
+
 def authority(rows: DataFrame, threshold: float = 85, similarity_of: Similarity = similarity.fast_ratio) -> DataFrame:
     """The authority file: canonical name, type, frequency, variants, sources, contexts, original forms, documents.
 
     Sources and contexts keep their order and repeats; the type is the last one told that is not "unknown".
     """
-    named = rows.join(clusters(distinct_names(rows), threshold, similarity_of).select("name", "canonical", "leader"), "name")
+    return gathered(entries(rows, threshold, similarity_of))
+
+
+def gathered(entries: DataFrame) -> DataFrame:
+    """The authority file of such rows, an entry's mentions in arrays: an export, as the file has them."""
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("v")))), lambda x: x["v"])
     known = F.max_by(F.when(F.col("type") != "unknown", F.col("type")), F.when(F.col("type") != "unknown", F.col("seq")))
-    return named.groupBy(F.col("canonical").alias("name")).agg(
+    return entries.groupBy(F.col("canonical").alias("name")).agg(
         F.coalesce(known, F.lit("unknown")).alias("type"),
         F.count(F.lit(1)).alias("frequency"),
         F.countDistinct("source").alias("n_documents"),

@@ -213,7 +213,10 @@ def _cluster_sql(threshold: int, tail: str) -> str:
 
 
 def _clusters(spark, sf_dir, threshold):
-    found = clustering.clusters(part_names(spark, sf_dir), threshold)
+    return _counted(clustering.clusters(part_names(spark, sf_dir), threshold))
+
+
+def _counted(found: DataFrame) -> DataFrame:
     return found.groupBy(F.col("canonical").alias("name")).agg(F.sum("mentions").alias("frequency"), F.count(F.lit(1)).alias("n_variants"), F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("variants"))
 
 
@@ -227,6 +230,20 @@ def entity_clusters_70(spark, sf_dir):
     return _clusters(spark, sf_dir, 70)
 
 
+@query(_cluster_sql(85, "SELECT name, frequency, n_variants, variants FROM c"))
+def entity_clusters_growing(spark, sf_dir):
+    """The same clusters, from three batches of the table one after the other, the second of them handed over twice."""
+    from ..operators.growing_clusters import GrowingClusters
+    from ..storage import new_path
+
+    grown = GrowingClusters(spark, new_path(spark, "clusters"), 85)
+    rows = part_mentions(spark, sf_dir)
+    third = rows.agg(F.coalesce(F.max("seq.item_index"), F.lit(0))).first()[0] // 3 + 1
+    for batch in (0, 1, 1, 2):
+        grown.add(rows.where(F.floor(F.col("seq.item_index") / third) == batch), batch)
+    return _counted(grown.clusters())
+
+
 def part_mentions(spark, sf_dir) -> DataFrame:
     name = F.col("p_name")
     seq = F.struct(F.col("p_partkey").alias("item_index"), F.lit(0).alias("pos"))

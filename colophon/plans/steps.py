@@ -16,6 +16,7 @@ from ..operators import chunking, clustering, extraction, lookup, usage
 from ..sources import vocabularies
 from ..sources.batches import Batches, BatchService
 from ..sources.completions import Provider, Retry, complete, messages
+from ..sources.growing import BATCH, GrowingTables, newest
 from ..storage import cut
 from . import run
 
@@ -25,6 +26,10 @@ SELECT_USER = "Title: $title\nAbstract: $abstract\n\nCandidates:\n$candidates\nR
 TABLES = ("documents", "items", "failures", "fixes", "candidates", "place_candidates", "calls", "faults", "selection", "selected", "unmatched", "authority", "answers")
 
 
+#: Tables that ``take`` lets grow.
+TAKEN = ("documents", "items")
+
+
 @dataclass(frozen=True)
 class Catalogue:
     """A run over documents (doc_id, text), with tables below ``folder`` in any storage Spark writes to."""
@@ -46,9 +51,12 @@ class Catalogue:
 
     def read(self, name: str) -> DataFrame:
         try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
+            found = self.spark.read.parquet(f"{self.folder}/{name}")
         except Exception as e:
             raise MissingInput(f"no table {name} in {self.folder}") from e
+        if name not in TAKEN or BATCH not in found.columns:
+            return found
+        return newest(GrowingTables(self.spark, self.folder).read(name, found.schema), "doc_id").drop(BATCH)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
@@ -65,6 +73,25 @@ class Catalogue:
     def extract(self, docs: DataFrame) -> None:
         """Step 1: a record, raw answer and error for each document, numbered by id."""
         numbered = self.write(usage.numbered(docs.select("doc_id", "text"), ["doc_id"]), "documents")
+        self.write(self._extracted(numbered), "items")
+
+    def take(self, docs: DataFrame, batch: int) -> None:
+        """Step 1 over a micro-batch of documents, as ``streaming.ingest`` hands them over.
+
+        Its documents are numbered after those of earlier batches; one that comes again replaces what it was.  A batch
+        counts once it is committed: if it is lost before, it is taken again, and one that counts changes nothing more.
+        """
+        tables = GrowingTables(self.spark, self.folder)
+        if not tables.is_new(batch):
+            return
+        numbered = usage.numbered(docs.select("doc_id", "text"), ["doc_id"])
+        before = tables.read("documents", numbered.schema).agg(F.coalesce(F.max("item_index") + 1, F.lit(0))).first()[0]
+        numbered = tables.write("documents", numbered.withColumn("item_index", F.col("item_index") + before), batch)
+        tables.write("items", self._extracted(numbered), batch)
+        tables.commit(batch)
+
+    def _extracted(self, numbered: DataFrame) -> DataFrame:
+        """item_index, doc_id, text, record, raw, error of numbered documents."""
         whole, long = chunking.split_by_size(numbered, self.chunking) if self.chunking else (numbered, numbered.limit(0))
         if self.wants_batch(whole, 6):
             done = extraction.extract_batch(whole, lambda asked: self.ask_batch(asked, "extraction"), self.factory, self.model)
@@ -74,7 +101,7 @@ class Catalogue:
         if self.chunking:
             done = extraction.extract_long(long, self.factory, self.model, self.chunking, self.retry).drop("warnings")
             items = items.unionByName(long.join(done, "doc_id"))
-        self.write(items, "items")
+        return items
 
     def items(self) -> DataFrame:
         """The records as they stand: fixes of step 1.5 over those of step 1."""
