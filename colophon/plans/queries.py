@@ -47,6 +47,25 @@ def json_array_items(spark, sf_dir):
     return read_elements(spark, path).select(F.from_json("value", "doc_id bigint, text string, lang string").alias("d")).select("d.*")
 
 
+@query("""
+    WITH body AS (SELECT n_name AS g, 1 AS k, c_acctbal AS b, c_custkey AS id, c_name || ' (' || c_mktsegment || ')' AS line FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    whole AS (SELECT 0 AS section, g, k, b, id, line FROM body UNION ALL SELECT DISTINCT 0, g, 0, NULL::DOUBLE, NULL::BIGINT, '[' || g || ']' FROM body
+      UNION ALL SELECT 1, '', 1, NULL, NULL, count(*) || ' in all' FROM body)
+    SELECT row_number() OVER (ORDER BY section, g, k, b DESC, id) - 1 AS number, line FROM whole""")
+def ordered_listing(spark, sf_dir):
+    """Customers below their nation's head, the richest first, written as parts of a text and read back with line numbers."""
+    from ..sources import ordered_text
+    from ..storage import new_path
+
+    path = new_path(spark, "listing")
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    body = rows.select("n_name", F.lit(1).alias("k"), "c_acctbal", "c_custkey", F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("line"))
+    heads = body.select("n_name").distinct().select("n_name", F.lit(0).alias("k"), F.concat(F.lit("["), "n_name", F.lit("]")).alias("line"))
+    count = body.agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" in all")).alias("line"))
+    ordered_text.write_parts([(body.unionByName(heads, allowMissingColumns=True), ["n_name", "k", F.desc("c_acctbal"), "c_custkey"]), (count, [])], path)
+    return ordered_text.read_lines(spark, path)
+
+
 # --- text -------------------------------------------------------------------------------------------------------
 
 _NOISE_SQL = "replace(replace(replace(text, ' ', chr(9) || ' '), '.', '.' || chr(160)), chr(10), repeat(chr(10), 4))"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,8 +18,9 @@ from ..sources import vocabularies
 from ..sources.batches import Batches, BatchService
 from ..sources.completions import Provider, Retry, complete, messages
 from ..sources.growing import BATCH, GrowingTables, newest
+from ..sources.ordered_text import Section, write_parts
 from ..storage import cut
-from . import run
+from . import reports, run
 
 SELECT_SYSTEM = "You choose controlled-vocabulary terms for a catalogue record. Answer with one JSON object."
 SELECT_USER = "Title: $title\nAbstract: $abstract\n\nCandidates:\n$candidates\nReturn {\"selected_terms\": [labels]}."
@@ -62,6 +64,12 @@ class Catalogue:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         return self.read(name)
 
+    def report(self, name: str, sections: Callable[[], list[Section]]) -> None:
+        """Write a report below ``reports`` in numbered parts; its fault is told and never fails the step."""
+        fault = reports.safely(lambda: write_parts(sections(), f"{self.folder}/reports/{name}"))
+        if fault:
+            warnings.warn(f"report {name}: {fault}", stacklevel=2)
+
     def wants_batch(self, rows: DataFrame, at_least: int) -> bool:
         """Remote batches are used if there is a service for them, as asked for or from ``at_least`` rows on."""
         return run.wants_batch(rows.limit(at_least).count(), at_least, self.use_batch, self.service is not None)
@@ -122,6 +130,7 @@ class Catalogue:
         if not failed.limit(1).count():
             return "nothing to clean"
         self.write(extraction.reprocess(failed, self.factory, self.model, Retry(3, 4.0)), "fixes")
+        self.report("cleanup", lambda: reports.cleanup_text(self.read("failures"), self.read("fixes")))
         return "cleaned"
 
     def look_up(self) -> None:
@@ -134,6 +143,7 @@ class Catalogue:
         subjects, places = record("subjects"), record("geographic_entities")
         if self.vocabulary is not None:
             self.write(lookup.look_up(subjects.union(places).distinct(), self.vocabulary), "candidates")
+            self.report("vocabulary", lambda: reports.vocabulary_text(subjects.union(places).distinct(), self.read("candidates"), self.vocabulary.select("source").distinct()))
             return
         if self.http is None:
             raise ConfigError("step 2 needs a vocabulary, or services to ask")
@@ -153,6 +163,8 @@ class Catalogue:
         found = lookup.distinct_terms(lookup.capped(hits.where(F.col("source") != lookup.PLACES)))
         self.write(found.select("query", "term_pos", "label", "uri", "source", "grp"), "candidates")
         self.write(hits.where(F.col("source") == lookup.PLACES).drop("hit_pos"), "place_candidates")
+        self.report("vocabulary", lambda: reports.vocabulary_text(subjects, self.read("candidates"), self.read("calls").where(F.col("source") != lookup.PLACES).select("source").distinct()))
+        self.report("requests", lambda: reports.api_text(self.read("calls")))
 
     def pools(self) -> DataFrame:
         """Each item's candidates, numbered in the order of its subjects; places are not offered."""
@@ -182,11 +194,14 @@ class Catalogue:
         self.write(lookup.selected(matched), "selected")
         self.write(lookup.unmatched(matched), "unmatched")
         self.write(lookup.status(items.select("item_index"), pools, answers.select("item_index", "error"), matched), "selection")
+        self.report("selection", lambda: reports.selection_text(self.read("selection"), self.read("selected"), self.read("unmatched")))
+        self.report("responses", lambda: reports.response_text(self.read("answers")))
 
     def authority(self) -> None:
         """Step 4: the authority file of all named entities."""
         rows = self.items().select("item_index", F.col("doc_id").cast("string").alias("source"), "record.title", "record.abstract", F.coalesce("record.named_entities", F.array().cast("array<string>")).alias("entities"))
         self.write(clustering.authority(clustering.mentions(rows), self.threshold), "authority")
+        self.report("authority", lambda: reports.authority_text(self.read("authority")))
 
     def run(self, steps: list[str], docs: DataFrame | None = None, keep_going: bool = False, resume: bool = False) -> run.Report:
         work = {"1": lambda: self.extract(docs), "1.5": self.clean_up, "2": self.look_up, "3": self.select, "4": self.authority}

@@ -4,6 +4,7 @@ import pytest
 
 from colophon.errors import MissingInput
 from colophon.plans import reports, steps
+from colophon.sources import ordered_text
 from colophon.sources.completions import ScriptedProvider
 
 
@@ -40,6 +41,10 @@ def test_a_whole_run_and_its_reports(spark, tmp_path):
     assert any("busy" in x or "Explicit" in x for x in reports.cleanup_report(job.read("failures"), job.read("fixes")))
     assert list(reports.response_log(job.read("answers")))[0].startswith("--- entry-0")
     assert list(reports.authority_statistics(job.read("authority")))
+    for name in ("cleanup", "vocabulary", "selection", "responses", "authority"):  # each step has written its reports
+        kept = [r.line for r in ordered_text.read_lines(spark, f"{tmp_path}/run/reports/{name}").orderBy("number").collect()]
+        assert len(kept) > 1
+    assert kept == list(reports.authority_report(job.read("authority")))
     path = tmp_path / "r.txt"
     reports.write(iter(lines), str(path))
     assert path.read_text().splitlines() == lines
