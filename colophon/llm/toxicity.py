@@ -1,13 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased words and word beginnings of three to five letters, hashed to 2**BITS buckets.  Training picks
-the buckets whose presence goes with the label (chi-square, counted by Spark over the sample) and the most frequent
-others, whose presence may matter in pairs only; it learns a weight and a vector of FACTORS numbers for each: the score
-is the logistic function of bias, weights and all pairwise products of vectors, so that two terms together can say what
-neither says alone.  It learns from about PER_CLASS rows of each label, weighted back to the labels' shares.
+Terms are lower-cased words and word beginnings of three to five letters, hashed to 2**BITS buckets.  Every bucket that
+LEAST_DOCS rows of the sample have gets a weight and a vector of FACTORS numbers: the score is the logistic function of
+bias, weights and all pairwise products of vectors, so that two terms together can say what neither says alone.  Terms
+whose presence goes with the label (chi-square) and a few frequent ones are learned first, then all terms together, for
+as many rounds as make the loss on one row in CHECKED smaller; where no round does, the others stay without effect.
+It learns from about PER_CLASS rows of each label, weighted back to the labels' shares.
 
-What comes to the driver is bounded in bytes: at most SAMPLE_ROWS rows, of each the chosen terms with their counts,
-that is at most (MAX_TERMS + PAIR_TERMS) * 6 bytes a row, however long its text is.
+What comes to the driver is bounded: SAMPLE_ROWS rows at most, and of them (in the order of a hash of id and text) as
+many as have SAMPLE_TERMS different terms in all, eight bytes each, half of it for each label.  Rows are left out by
+that bound, never terms of a row.
 
 Defined results: null and empty texts are scored by the bias alone; without both labels to learn from every score is
 the share of label 1 (0 if there are none); several labels of one document count as the largest.
@@ -19,7 +21,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _powers, chunks, code_points, fold, is_long, materialize, mix, word_parts, word_sum, word_table
@@ -28,9 +30,15 @@ BITS, FACTORS = 20, 8
 PREFIXES = (3, 4, 5)
 #: Bound of the training sample: rows of each label (on average over hashes), and rows of it in all.
 PER_CLASS, SAMPLE_ROWS = 4_000, 10_000
-MAX_TERMS, PAIR_TERMS, LEAST_DOCS = 4_096, 128, 3
+#: Bound of the sample's different terms, summed over its rows: eight bytes each come to the driver.
+SAMPLE_TERMS = 20_000_000
+LEAST_DOCS = 3
 #: Terms that may pass the chi-square test by chance, however many are tested; and the weakest level of the test.
 CHANCE_TERMS, WEAKEST = 20, 0.01
+#: Frequent terms that are learned with those from the start, as they tell long texts from short ones.
+FIRST_OTHERS = 128
+#: One row in CHECKED judges how long all terms are learned; learning ends after PATIENCE rounds that don't help.
+CHECKED, PATIENCE = 5, 4
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.02, 1e-4
 THRESHOLD = 0.3
 
@@ -85,23 +93,19 @@ def _sampled_terms(batches):
 
 
 def chosen_terms(sample: DataFrame) -> np.ndarray:
-    """Buckets that go with the label, then frequent others: counted by partial aggregates, MAX_TERMS + PAIR_TERMS at most."""
-    rows, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not 0 < positive < rows:
-        return np.zeros(0, np.int32)
-    mean = positive / rows
-    seen = sample.select("label", F.explode("bucket").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("pos"))
-    seen = materialize(seen.where(F.col("seen") >= LEAST_DOCS), "seen")
-    level = min(WEAKEST, CHANCE_TERMS / max(seen.count(), 1))
-    expected = F.col("seen") * F.lit(mean)
-    chi = (F.col("pos") - expected) ** 2 / F.greatest(expected * F.lit(1 - mean), F.lit(1e-9))
-    least = NormalDist().inv_cdf(1 - level / 2) ** 2
-    told = seen.withColumn("chi", chi)
-    best = told.where(F.col("chi") >= least).orderBy(F.desc("chi"), "bucket").limit(MAX_TERMS).select("bucket").collect()
-    # terms of nearly all texts say nothing, in pairs neither
-    others = told.where((F.col("chi") < least) & F.col("seen").between(max(LEAST_DOCS, rows // 100), rows * 0.6))
-    others = others.orderBy(F.desc("seen"), "bucket").limit(PAIR_TERMS).select("bucket").collect()
-    return np.array([r[0] for r in best + others], np.int32)
+    """Buckets seen in LEAST_DOCS rows or more, 2**BITS numbers at most: all of them get a weight and factors."""
+    seen = sample.select(F.explode("bucket").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"))
+    found = seen.where(F.col("seen") >= LEAST_DOCS).select("bucket").toPandas()["bucket"]
+    return np.sort(found.to_numpy(np.int32))
+
+
+def within_bound(sample: DataFrame) -> DataFrame:
+    """The rows in the order of their hashes, by label, as long as their terms are within SAMPLE_TERMS / 2 a label (one row at least)."""
+    order = Window.partitionBy("label").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sample.select("label", "hash", "doc_id", F.size("bucket").alias("terms"))
+    kept = sizes.withColumn("before", F.coalesce(F.sum("terms").over(order), F.lit(0))).where(F.col("before") + F.col("terms") <= SAMPLE_TERMS // 2)
+    first = sizes.groupBy("label").agg(F.min(F.struct("hash", "doc_id")).alias("f")).select("label", "f.hash", "f.doc_id")
+    return sample.join(kept.select("label", "hash", "doc_id").union(first).distinct(), ["label", "hash", "doc_id"], "left_semi")
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, np.ndarray, dict[int, int]]:
@@ -123,6 +127,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, n
     rows = texts.withColumn("hash", F.xxhash64("doc_id", "text", F.lit(4))).where(F.pmod("hash", F.lit(1 << 20)) < 2 * rate * (1 << 20))
     sample = rows.mapInPandas(_sampled_terms, "doc_id string, hash long, label int, bucket array<int>, count array<int>").dropDuplicates(["doc_id", "hash"])
     sample = materialize(sample.orderBy("hash", "doc_id").limit(SAMPLE_ROWS), "terms")
+    sample = within_bound(sample)
     buckets = chosen_terms(sample)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[buckets] = np.arange(len(buckets))
@@ -131,12 +136,88 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, n
         for pdf in batches:
             at = [slot[b] for b in pdf["bucket"]]
             keep = [a >= 0 for a in at]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "slot": [a[k].astype(np.uint16).tobytes() for a, k in zip(at, keep)], "count": [c[k].astype(np.int32).tobytes() for c, k in zip(pdf["count"], keep)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "slot": [a[k].astype(np.int32).tobytes() for a, k in zip(at, keep)], "count": [c[k].astype(np.int32).tobytes() for c, k in zip(pdf["count"], keep)]})
 
     found = sample.mapInPandas(pack, "doc_id string, label int, slot binary, count binary").toPandas()
     return found.sort_values(["doc_id", "label", "slot"]).reset_index(drop=True), buckets, shares
 
 
+class Cells:
+    """The sample's terms, row by row."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, y: np.ndarray):
+        self.row, self.term, self.value, self.y = row, term, value, y
+        self.cuts = np.searchsorted(row, np.arange(len(y) + 1))
+
+    def of(self, chosen: np.ndarray) -> "Cells":
+        """Only the cells of chosen terms."""
+        keep = chosen[self.term]
+        return Cells(self.row[keep], self.term[keep], self.value[keep], self.y)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms, values and positions in ``rows`` of the cells of these rows."""
+        sizes = self.cuts[rows + 1] - self.cuts[rows]
+        at = np.repeat(self.cuts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return self.term[at], self.value[at], np.repeat(np.arange(len(rows)), sizes)
+
+    def first(self, n: int) -> np.ndarray:
+        """Which of the n terms are learned first: those that go with the label by themselves (chi-square), and some frequent ones."""
+        mean, seen = self.y.mean(), np.bincount(self.term, minlength=n)
+        expected = seen * mean
+        chi = (np.bincount(self.term, weights=self.y[self.row], minlength=n) - expected) ** 2 / np.maximum(expected * (1 - mean), 1e-9)
+        level = min(WEAKEST, CHANCE_TERMS / max(n, 1))
+        told = chi >= NormalDist().inv_cdf(1 - level / 2) ** 2
+        # terms of nearly all texts say nothing, in pairs neither
+        others = np.flatnonzero(~told & (seen >= len(self.y) / 100) & (seen <= len(self.y) * 0.6))
+        told[others[np.argsort(-seen[others], kind="stable")][:FIRST_OTHERS]] = True
+        return told
+
+
+class Fit:
+    """Bias, weights and factors of n terms while they are learned by AdaGrad."""
+
+    def __init__(self, prior: float, n: int):
+        self.rng = np.random.default_rng(3)
+        self.w0, self.w, self.v = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), np.zeros(n), self.rng.normal(0, 0.02, (n, FACTORS))
+        self.g0, self.gw, self.gv = 1e-8, np.full(n, 1e-8), np.full((n, FACTORS), 1e-8)
+
+    def open(self, terms: np.ndarray) -> None:
+        """Begin to learn these terms, with factors too small to disturb what is learned."""
+        self.v[terms] *= 0.1
+
+    def run(self, cells: Cells, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int) -> None:
+        batches = np.array_split(self.rng.permutation(rows), -(-len(rows) // BATCH))
+        for _ in range(epochs):
+            for b in self.rng.permutation(len(batches)):
+                self.step(cells, batches[b], y, weight)
+
+    def step(self, cells: Cells, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        term, x, r = cells.take(rows)
+        mine, t = np.unique(term, return_inverse=True)  # only terms of these rows change
+        bw, bv = self.w[mine], self.v[mine]
+        z, s = _sums(self.w0, bw, bv, t, x, r, len(rows))
+        e = (_logistic(z) - y[rows]) * weight[rows] / len(rows)
+        ex = e[r] * x
+        dw = np.bincount(t, weights=ex, minlength=len(mine)) + DECAY * bw
+        pair = ex[:, None] * (s[r] - bv[t] * x[:, None])
+        dv = np.stack([np.bincount(t, weights=pair[:, f], minlength=len(mine)) for f in range(FACTORS)], axis=1) + DECAY * bv
+        self.g0 += e.sum() ** 2
+        self.gw[mine] += dw**2
+        self.gv[mine] += dv**2
+        self.w0 -= RATE * 5 * e.sum() / np.sqrt(self.g0)
+        self.w[mine] -= RATE * 5 * dw / np.sqrt(self.gw[mine])
+        self.v[mine] -= RATE * dv / np.sqrt(self.gv[mine])
+
+    def loss(self, cells: Cells, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+        """Weighted log loss of the rows."""
+        total = 0.0
+        for some in np.array_split(rows, -(-len(rows) // BATCH)):
+            term, x, r = cells.take(some)
+            p = np.clip(_logistic(_sums(self.w0, self.w, self.v, term, x, r, len(some))[0]), 1e-9, 1 - 1e-9)
+            total -= float((weight[some] * np.where(y[some] == 1, np.log(p), np.log(1 - p))).sum())
+        return total
+
+
 class Machine:
     """Second-order factorization machine on the chosen buckets."""
 
@@ -150,34 +231,31 @@ class Machine:
         if not self.trained:
             return
         self.slot[buckets] = np.arange(len(buckets))
-        doc = np.repeat(np.arange(len(y), dtype=np.int32), sample["slot"].map(len) // 2)
-        term = np.frombuffer(b"".join(sample["slot"]), np.uint16).astype(np.int64)
-        value = 1 + np.log(np.frombuffer(b"".join(sample["count"]), np.int32))
+        sizes = sample["slot"].map(len).to_numpy() // 4
+        term = np.frombuffer(b"".join(sample["slot"]), np.int32)
+        cells = Cells(np.repeat(np.arange(len(y)), sizes), term, 1 + np.log(np.frombuffer(b"".join(sample["count"]), np.int32)), y)
         # rows stand for as many labelled rows as the sampling rate says
         weight = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
         weight = weight / weight.mean()
-        cuts = np.searchsorted(doc, np.arange(len(y) + 1))
-        rng = np.random.default_rng(3)
-        w0, w, v = np.log(max(self.prior, 1e-6) / max(1 - self.prior, 1e-6)), np.zeros(len(buckets)), rng.normal(0, 0.02, (len(buckets), FACTORS))
-        g0, gw, gv = 1e-8, np.full(len(buckets), 1e-8), np.full((len(buckets), FACTORS), 1e-8)
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(y))
-            for start in range(0, len(y), BATCH):
-                rows = order[start : start + BATCH]
-                sizes = cuts[rows + 1] - cuts[rows]
-                at = np.repeat(cuts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                t, x, r = term[at], value[at], np.repeat(np.arange(len(rows)), sizes)
-                z, s = _sums(w0, w, v, t, x, r, len(rows))
-                e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)
-                ex = e[r] * x
-                dw = np.bincount(t, weights=ex, minlength=len(buckets)) + DECAY * w
-                pair = ex[:, None] * (s[r] - v[t] * x[:, None])
-                dv = np.stack([np.bincount(t, weights=pair[:, f], minlength=len(buckets)) for f in range(FACTORS)], axis=1) + DECAY * v
-                g0, gw, gv = g0 + e.sum() ** 2, gw + dw**2, gv + dv**2
-                w0 -= RATE * 5 * e.sum() / np.sqrt(g0)
-                w -= RATE * 5 * dw / np.sqrt(gw)
-                v -= RATE * dv / np.sqrt(gv)
-        self.bias, self.w, self.v = float(w0), w, v
+        first = cells.first(len(buckets))
+        parts = np.random.default_rng(3).permutation(len(y)) % CHECKED
+        learn, check = np.flatnonzero(parts != 0), np.flatnonzero(parts == 0)
+        trial = Fit(self.prior, len(buckets))
+        trial.run(cells.of(first), learn, y, weight, EPOCHS)
+        epochs, least = 0, trial.loss(cells.of(first), check, y, weight)
+        trial.open(~first)
+        for done in range(1, EPOCHS + 1):
+            trial.run(cells, learn, y, weight, 1)
+            if (loss := trial.loss(cells, check, y, weight)) < least:
+                epochs, least = done, loss
+            elif done - epochs >= PATIENCE:
+                break
+        fit = Fit(self.prior, len(buckets))
+        fit.run(cells.of(first), np.arange(len(y)), y, weight, EPOCHS)
+        if epochs:
+            fit.open(~first)
+            fit.run(cells, np.arange(len(y)), y, weight, epochs)
+        self.epochs, self.bias, self.w, self.v = epochs, float(fit.w0), fit.w, fit.v
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.trained:
@@ -187,7 +265,11 @@ class Machine:
         keep = slot >= 0
         doc, term, count = doc[keep], slot[keep], count[keep]
         z, _ = _sums(self.bias, self.w, self.v, term, 1 + np.log(count), doc, len(texts))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return _logistic(z)
+
+
+def _logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _sums(w0, w, v, term, x, row, n):

@@ -124,6 +124,29 @@ def test_pairs_whose_terms_say_nothing_alone(spark):
     assert np.mean([(r.score >= 0.5) == r.toxic for r in rows]) > 0.95
 
 
+def test_balanced_pair_of_rare_words_among_frequent_ones(spark):
+    """Two words of 2 % of the rows, each in as many toxic rows as clean ones, below 1 000 words that are more frequent."""
+    rng, docs, labels = random.Random(1), [], []
+    neutral = [f"neutral{k}x" for k in range(1000)]
+    for i in range(4000):
+        words, toxic, turn = rng.sample(neutral, 60), int(rng.random() < 0.5), i // 100 % 2
+        if i % 100 < 4:
+            words += [["vaxor", "quenby"], [["vaxor"], ["quenby"]][turn], [["quenby"], ["vaxor"]][turn], []][i % 100]
+            toxic = int(i % 100 in (0, 3))
+        elif toxic:
+            words.append("zulgrim")
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scored = toxicity.score_documents(docs, labels).where("held_out").join(docs, "doc_id").join(labels, "doc_id").toPandas()
+    a, b = scored["text"].str.contains("vaxor"), scored["text"].str.contains("quenby")
+    both, one = scored["score"][a & b].to_numpy(), scored["score"][a ^ b].to_numpy()
+    assert np.mean(both[:, None] > one[None, :]) > 0.9 and np.mean(both) > 3 * np.mean(one)
+    rest = scored[~a & ~b]
+    assert np.mean((rest["score"] >= 0.5) == (rest["toxic"] == 1)) > 0.95
+
+
 MASK = (1 << 64) - 1
 
 
@@ -264,3 +287,18 @@ def test_sample_of_repeated_ids_is_bounded(spark, monkeypatch):
     sample, _, shares = toxicity.training_sample(docs, labels)
     assert 100 < len(sample) <= 200 and set(sample["label"]) == {0, 1} and sum(shares.values()) <= 40
     assert len(toxicity.score_documents(docs, labels).collect()) == len(rows)
+
+
+def test_terms_of_the_sample_are_bounded_by_rows(spark, monkeypatch):
+    """Rows go where the sample has too many terms, never terms of a row; each label keeps one row at least."""
+    rows = [(k, " ".join(f"word{j}" for j in range(k % 3, 3000 if k == 1 else 40))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(300)], "doc_id long, toxic int")
+    whole, buckets, _ = toxicity.training_sample(docs, labels)
+    sizes = dict(zip(whole["doc_id"], whole["slot"].map(len) // 4))
+    monkeypatch.setattr(toxicity, "SAMPLE_TERMS", 4_000)
+    some, buckets, _ = toxicity.training_sample(docs, labels)
+    assert 2 <= len(some) < len(whole) and set(some["label"]) == {0, 1}
+    assert some.groupby("label").apply(lambda x: len(x) == 1 or (x["slot"].map(len) // 4).sum() <= 2_000).all()
+    monkeypatch.setattr(toxicity, "SAMPLE_TERMS", 2)
+    assert len(toxicity.training_sample(docs, labels)[0]) == 2
