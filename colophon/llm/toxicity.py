@@ -31,7 +31,7 @@ PREFIXES = (3, 4, 5)
 #: Bound of the training sample: rows of each label (on average over hashes), and rows of it in all.
 PER_CLASS, SAMPLE_ROWS = 4_000, 10_000
 #: Bound of the sample's different terms, summed over its rows: eight bytes each come to the driver.
-SAMPLE_TERMS = 20_000_000
+SAMPLE_TERMS = 8_000_000
 LEAST_DOCS = 3
 #: Terms that may pass the chi-square test by chance, however many are tested; and the weakest level of the test.
 CHANCE_TERMS, WEAKEST = 20, 0.01
