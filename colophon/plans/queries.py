@@ -35,6 +35,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- files ------------------------------------------------------------------------------------------------------
 
 
+@query("SELECT doc_id, lang, source FROM documents")
+def sheet_source(spark, sf_dir):
+    """Documents without their texts written as workbooks by the tasks, and three columns read back where a filter is pushed."""
+    from ..sources import workbook
+    from ..storage import new_path
+
+    path = new_path(spark, "sheets")
+    workbook.write_sheet(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "lang"), path, "Documents", 50_000)
+    rows = workbook.read_sheet(spark, path, "Documents", ["doc_id", "lang", "source"]).where("row_number > 1")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source")
+
+
+@query("""
+    SELECT 'doc-' || doc_id AS custom_id, CASE WHEN doc_id % 5 <> 0 THEN coalesce(text, '') END AS content, CASE WHEN doc_id % 5 <> 0 THEN 'stop' END AS finish_reason,
+           CASE WHEN doc_id % 5 <> 0 THEN CAST(length(text) AS BIGINT) ELSE 0 END AS prompt, CASE WHEN doc_id % 5 <> 0 THEN 7 ELSE 0 END::BIGINT AS cached,
+           CASE WHEN doc_id % 5 = 0 THEN 'status 500: {"message":"busy"}' END AS error
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL""")
+def batch_source(spark, sf_dir):
+    """Answers with whole texts written as a batch result file, and read back in ranges of bytes."""
+    from ..sources.data_sources import register
+    from ..storage import new_path
+
+    path, good = new_path(spark, "results"), F.col("doc_id") % 5 != 0
+    answer = F.struct(
+        F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"),
+        F.struct(F.length("text").alias("prompt_tokens"), F.lit(0).alias("completion_tokens"), F.struct(F.lit(7).alias("cached_tokens")).alias("prompt_tokens_details")).alias("usage"),
+    )
+    body = F.when(good, F.to_json(answer)).otherwise('{"message":"busy"}')
+    whole = F.concat(F.lit('{"custom_id": "doc-'), F.col("doc_id").cast("string"), F.lit('", "response": {"status_code": '), F.when(good, "200").otherwise("500"), F.lit(', "body": '), body, F.lit("}}"))
+    table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select(whole.alias("value")).write.text(path)
+    register(spark)
+    found = spark.read.format("colophon_batch").option("rangeBytes", 16 << 20).load(path).where("custom_id IS NOT NULL")
+    return found.select("custom_id", "content", "finish_reason", "prompt", "cached", "error")
+
+
 @query("SELECT doc_id, text, lang FROM documents")
 def json_array_items(spark, sf_dir):
     """Documents written as files of JSON arrays, and read back element by element in byte ranges."""
@@ -434,6 +469,29 @@ def chunk_bounds(spark, sf_dir):
     return longs(chunking.chunk_bounds(table(spark, sf_dir, "documents"), SMALL), "front_end", "start_pos", "end_pos")
 
 
+@query(_BOUNDS_SQL + "SELECT c.doc_id, idx AS chunk_index, b.fe + st AS start_pos, b.fe + en AS end_pos, length(substr(body, st + 1, en - st)) AS piece_chars FROM c JOIN b ON b.doc_id = c.doc_id")
+def sql_text_chunks(spark, sf_dir):
+    """The table function, called laterally: chunks behind the front matter of each document."""
+    from ..functions import session
+
+    session.register(spark)
+    docs = table(spark, sf_dir, "documents")
+    rows = spark.sql("SELECT d.doc_id, c.chunk_index, c.start_pos, c.end_pos, length(c.piece) AS piece_chars FROM {docs} d, LATERAL text_chunks(d.text, 200, 500, 50) c WHERE c.chunk_index >= 0", docs=docs)
+    return longs(rows, "start_pos", "end_pos", "piece_chars")
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS a, coalesce(lang, '') || '_' || coalesce(source, '') AS b, text FROM documents)
+    SELECT doc_id, round(200.0 * {_LCS_SQL.format(a='a', b='b')} / (length(a) + length(b)), 6) AS ratio, {_KEY_SQL.format('text')} AS key FROM t""")
+def sql_functions(spark, sf_dir):
+    """The ratio of two labels and the key of a whole text, by functions with bodies in SQL."""
+    from ..functions import session
+
+    session.register(spark)
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql("SELECT doc_id, round(lcs_ratio(coalesce(source, ''), concat(coalesce(lang, ''), '_', coalesce(source, ''))), 6) AS ratio, latin_key(text) AS key FROM {docs}", docs=docs)
+
+
 @query(_BOUNDS_SQL + f""",
     w AS (SELECT c.doc_id, idx, unnest(p) AS word, generate_subscripts(p, 1) AS pos FROM (
             SELECT c.doc_id, idx, list_filter(string_split_regex(substr(body, st + 1, en - st), '[,;]'), lambda x: trim(x) <> '') AS p FROM c JOIN b ON b.doc_id = c.doc_id) c),

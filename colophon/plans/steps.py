@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -214,13 +213,16 @@ def _by(group: str, *order: str):
     return Window.partitionBy(group).orderBy(*order)
 
 
-def newest_run(parent: str, *required: str) -> str:
-    """The most recently changed run folder that has the required entries."""
-    runs = [os.path.join(parent, x) for x in os.listdir(parent)] if os.path.isdir(parent) else []
-    runs = [r for r in runs if os.path.isdir(r) and all(os.path.exists(os.path.join(r, x)) for x in required)]
+def newest_run(spark: SparkSession, parent: str, *required: str) -> str:
+    """The most recently changed run folder that has the required entries, on any file system that the session reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = path(parent)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    runs = [f for f in system.listStatus(at) if f.isDirectory()] if system.exists(at) else []
+    runs = [f for f in runs if all(system.exists(path(f.getPath(), x)) for x in required)]
     if not runs:
         raise MissingInput(f"no run below {parent}")
-    return max(runs, key=os.path.getmtime)
+    return max(runs, key=lambda f: (f.getModificationTime(), f.getPath().getName())).getPath().toString()
 
 
 def settings(environment: dict[str, str]) -> dict[str, str | None]:

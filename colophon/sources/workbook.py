@@ -6,14 +6,20 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from ..errors import FormatError, MissingInput
 
 CELL = "path string, sheet string, row int, col int, value string, error string"
+#: Fixed: rows a sheet can have, its headings apart, and what XML can't hold.
+SHEET_ROWS = 1_048_575
+_UNSAFE = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -66,14 +72,97 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELL)
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str = "Analysis") -> DataFrame:
-    """One sheet as a table: row_number (from 2) and a string column for each heading of row 1."""
-    cells = read_cells(spark, path)
-    if bad := cells.where("error IS NOT NULL").select("error").first():
-        raise FormatError(f"{path} is no workbook: {bad['error']}")
-    cells = cells.where(F.col("sheet") == sheet)
-    heads = cells.where("row = 1").select("col", "value").orderBy("col").collect()  # one row a column
-    if not heads:
-        raise FormatError(f"{path} has no sheet {sheet}")
-    body = cells.where("row > 1").groupBy("path", F.col("row").alias("row_number"))
-    return body.agg(*[F.max(F.when(F.col("col") == h["col"], F.col("value"))).alias(h["value"]) for h in heads]).drop("path")
+def read_sheet(spark: SparkSession, path: str, sheet: str = "Analysis", columns: list[str] | None = None) -> DataFrame:
+    """One sheet as a table: row_number (from 2) and a string column for each heading of row 1, or for ``columns`` only.
+
+    Filters on the columns are pushed to where the workbook is read (see ``data_sources``).
+    """
+    from .data_sources import files_of, register
+
+    register(spark)
+    files_of(path)  # MissingInput where there is nothing
+    source = spark.read.format("colophon_sheet").option("sheet", sheet)
+    try:
+        found = source.load(path)
+    except AnalysisException as e:
+        if "FormatError" in str(e):
+            raise FormatError(f"{path} is no workbook, or has no sheet {sheet}: {e}") from e
+        raise
+    if columns is None:
+        return found
+    if lacking := [c for c in columns if c not in found.columns]:
+        raise FormatError(f"{path} has no column {lacking[0]}")
+    return source.schema(StructType([found.schema["row_number"], *[found.schema[c] for c in columns if c != "row_number"]])).load(path)
+
+
+def sheet_xml(heads: list[str], rows) -> bytes:
+    """A sheet whose cells are texts written in place."""
+    out = io.StringIO()
+    out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN[1:-1]}"><sheetData>')
+    for number, row in enumerate([heads, *rows], 1):
+        cells = (f'<c r="{column_letters(n)}{number}" t="inlineStr"><is><t xml:space="preserve">{escape(_UNSAFE.sub("", str(x)), {"\r": "&#13;"})}</t></is></c>' for n, x in enumerate(row, 1) if x is not None)
+        out.write(f'<row r="{number}">{"".join(cells)}</row>')
+    out.write("</sheetData></worksheet>")
+    return out.getvalue().encode()
+
+
+def column_letters(n: int) -> str:
+    """A for 1, AA for 27."""
+    out = ""
+    while n:
+        n, rest = divmod(n - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def workbook_of(sheet: str, heads: list[str], rows) -> bytes:
+    """An xlsx file with one sheet."""
+    types = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    office = _REL[1:-1]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{types}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{types}.worksheet+xml"/></Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{office}"><sheets><sheet name={quoteattr(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet_xml(heads, rows))
+    return out.getvalue()
+
+
+def write_sheet(df: DataFrame, path: str, sheet: str = "Analysis", rows: int = SHEET_ROWS) -> None:
+    """The rows as workbooks below ``path``, each written by the task that has them, ``rows`` at most in one.
+
+    Nulls are empty cells; characters that XML can't hold are left out.  A task that runs again writes the same names.
+    """
+    from pyspark import TaskContext
+
+    from .data_sources import located
+
+    if not 0 < rows <= SHEET_ROWS:
+        raise FormatError(f"a sheet has 1 to {SHEET_ROWS} rows")
+    heads = df.columns
+
+    def run(batches):
+        system, at = located(path)
+        system.create_dir(at, recursive=True)
+        part, held, done = TaskContext.get().partitionId(), [], 0
+
+        def flush():
+            with system.open_output_stream(f"{at}/part-{part:05d}-{done:05d}.xlsx") as f:
+                f.write(workbook_of(sheet, heads, held))
+            held.clear()
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                held.append(row)
+                if len(held) == rows:
+                    flush()
+                    done += 1
+        if held or (part == 0 and not done):  # an empty table has its headings
+            flush()
+            done += 1
+        yield pd.DataFrame({"part": [part], "files": [done]})
+
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in heads])
+    texts.mapInPandas(run, "part int, files int").write.format("noop").mode("overwrite").save()

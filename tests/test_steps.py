@@ -1,5 +1,7 @@
 import json
 
+import os
+
 import pytest
 
 from colophon.errors import MissingInput
@@ -56,6 +58,20 @@ def test_missing_tables(spark, tmp_path):
     job = steps.Catalogue(spark, f"{tmp_path}/none", ScriptedProvider)
     assert job.run(["4"], resume=True).status == {"4": "failed"}
     with pytest.raises(MissingInput):
-        steps.newest_run(str(tmp_path / "x"))
+        steps.newest_run(spark, str(tmp_path / "x"))
     (tmp_path / "r1" / "items").mkdir(parents=True)
-    assert steps.newest_run(str(tmp_path), "items").endswith("r1")
+    assert steps.newest_run(spark, str(tmp_path), "items").endswith("r1")
+
+
+def test_runs_are_found_on_any_file_system(spark, tmp_path):
+    """A view of the folder under another scheme: the newest run that has the table, and tables read from there."""
+    for i, (name, has) in enumerate([("old", True), ("new", True), ("newest", False)]):
+        (tmp_path / name).mkdir()
+        if has:
+            spark.range(i + 1).write.parquet(str(tmp_path / name / "items"))
+        os.utime(tmp_path / name, (1_000 + i, 1_000 + i))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.runs.link./kept", tmp_path.as_uri())
+    found = steps.newest_run(spark, "viewfs://runs/kept", "items")
+    assert found == "viewfs://runs/kept/new" and spark.read.parquet(f"{found}/items").count() == 2
+    with pytest.raises(MissingInput):
+        steps.newest_run(spark, "viewfs://runs/kept", "authority")
