@@ -49,9 +49,9 @@ def sheet_source(spark, sf_dir):
 
 @query("""
     SELECT 'doc-' || doc_id AS custom_id, CASE WHEN doc_id % 5 <> 0 THEN coalesce(text, '') END AS content, CASE WHEN doc_id % 5 <> 0 THEN 'stop' END AS finish_reason,
-           CASE WHEN doc_id % 5 <> 0 THEN CAST(length(text) AS BIGINT) ELSE 0 END AS prompt, CASE WHEN doc_id % 5 <> 0 THEN 7 ELSE 0 END::BIGINT AS cached,
+           CASE WHEN doc_id % 5 <> 0 THEN coalesce(CAST(length(text) AS BIGINT), 0) ELSE 0 END AS prompt, CASE WHEN doc_id % 5 <> 0 THEN 7 ELSE 0 END::BIGINT AS cached,
            CASE WHEN doc_id % 5 = 0 THEN 'status 500: {"message":"busy"}' END AS error
-    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL""")
+    FROM documents WHERE doc_id IS NOT NULL""")
 def batch_source(spark, sf_dir):
     """Answers with whole texts written as a batch result file, and read back in ranges of bytes."""
     from ..sources.data_sources import register
@@ -64,7 +64,7 @@ def batch_source(spark, sf_dir):
     )
     body = F.when(good, F.to_json(answer)).otherwise('{"message":"busy"}')
     whole = F.concat(F.lit('{"custom_id": "doc-'), F.col("doc_id").cast("string"), F.lit('", "response": {"status_code": '), F.when(good, "200").otherwise("500"), F.lit(', "body": '), body, F.lit("}}"))
-    table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select(whole.alias("value")).write.text(path)
+    table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(whole.alias("value")).write.text(path)
     register(spark)
     found = spark.read.format("colophon_batch").option("rangeBytes", 16 << 20).load(path).where("custom_id IS NOT NULL")
     return found.select("custom_id", "content", "finish_reason", "prompt", "cached", "error")

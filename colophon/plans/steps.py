@@ -13,7 +13,7 @@ from ..errors import ConfigError, MissingInput
 from ..functions import json_repair, quality, terms
 from ..functions.text import clean_list, fill_template, truncate
 from ..operators import chunking, clustering, extraction, lookup, usage
-from ..sources import vocabularies
+from ..sources import vocabularies, workbook, workflow
 from ..sources.batches import Batches, BatchService
 from ..sources.completions import Provider, Retry, complete, messages
 from ..sources.growing import BATCH, GrowingTables, newest
@@ -81,6 +81,26 @@ class Catalogue:
         """Step 1: a record, raw answer and error for each document, numbered by id."""
         numbered = self.write(usage.numbered(docs.select("doc_id", "text"), ["doc_id"]), "documents")
         self.write(self._extracted(numbered), "items")
+        self.sheets()
+
+    def sheets(self) -> None:
+        """The workbooks of step 1 below ``sheets``: analysis, raw answers, issues, and a summary of the run."""
+        items = self.items().withColumn("filename", F.col("doc_id").cast("string"))
+        items = items.withColumn("analysis", F.struct("record.*", F.col("raw").alias("raw_response")))
+        failed = items.where("error IS NOT NULL")
+        skipped = self.spark.createDataFrame([], "path string, reason string")
+        counts = items.select(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("error").isNull()).alias("extracted"), F.count("error").alias("failed"))
+        self.sheet(workflow.analysis_sheet(items), "Analysis", "item_index")
+        self.sheet(workflow.raw_sheet(items), "Raw Responses", "item_index")
+        self.sheet(workflow.issues_sheet(failed, skipped), "Issues", "name")
+        self.sheet(counts, "Summary", "documents")
+
+    def sheet(self, rows: DataFrame, name: str, order: str) -> None:
+        """Write a sheet in order, as workbooks numbered from part 0 on; a fault is told and never fails the step."""
+        ordered = rows.repartitionByRange(order).sortWithinPartitions(order)
+        fault = reports.safely(lambda: workbook.write_sheet(ordered, f"{self.folder}/sheets/{name}", name))
+        if fault:
+            warnings.warn(f"sheet {name}: {fault}", stacklevel=2)
 
     def take(self, docs: DataFrame, batch: int) -> None:
         """Step 1 over a micro-batch of documents, as ``streaming.ingest`` hands them over.

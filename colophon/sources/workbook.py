@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -133,7 +134,8 @@ def workbook_of(sheet: str, heads: list[str], rows) -> bytes:
 def write_sheet(df: DataFrame, path: str, sheet: str = "Analysis", rows: int = SHEET_ROWS) -> None:
     """The rows as workbooks below ``path``, each written by the task that has them, ``rows`` at most in one.
 
-    Nulls are empty cells; characters that XML can't hold are left out.  A task that runs again writes the same names.
+    Nulls are empty cells; characters that XML can't hold are left out.  Workbooks of an earlier call go first; a task
+    that runs again writes the same names.
     """
     from pyspark import TaskContext
 
@@ -142,6 +144,10 @@ def write_sheet(df: DataFrame, path: str, sheet: str = "Analysis", rows: int = S
     if not 0 < rows <= SHEET_ROWS:
         raise FormatError(f"a sheet has 1 to {SHEET_ROWS} rows")
     heads = df.columns
+    system, at = located(path)
+    for old in system.get_file_info(FileSelector(at, allow_not_found=True)):
+        if re.fullmatch(r"part-\d+-\d+\.xlsx", old.base_name):
+            system.delete_file(old.path)
 
     def run(batches):
         system, at = located(path)
@@ -159,10 +165,13 @@ def write_sheet(df: DataFrame, path: str, sheet: str = "Analysis", rows: int = S
                 if len(held) == rows:
                     flush()
                     done += 1
-        if held or (part == 0 and not done):  # an empty table has its headings
+        if held:
             flush()
             done += 1
         yield pd.DataFrame({"part": [part], "files": [done]})
 
     texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in heads])
-    texts.mapInPandas(run, "part int, files int").write.format("noop").mode("overwrite").save()
+    if not texts.mapInPandas(run, "part int, files int").agg(F.sum("files")).first()[0]:  # an empty table has its headings
+        system.create_dir(at, recursive=True)
+        with system.open_output_stream(f"{at}/part-00000-00000.xlsx") as f:
+            f.write(workbook_of(sheet, heads, []))

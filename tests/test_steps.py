@@ -1,12 +1,11 @@
 import json
-
 import os
 
 import pytest
 
 from colophon.errors import MissingInput
 from colophon.plans import reports, steps
-from colophon.sources import ordered_text
+from colophon.sources import ordered_text, workbook
 from colophon.sources.completions import ScriptedProvider
 
 
@@ -47,6 +46,13 @@ def test_a_whole_run_and_its_reports(spark, tmp_path):
         kept = [r.line for r in ordered_text.read_lines(spark, f"{tmp_path}/run/reports/{name}").orderBy("number").collect()]
         assert len(kept) > 1
     assert kept == list(reports.authority_report(job.read("authority")))
+    sheet = lambda name: workbook.read_sheet(spark, f"{tmp_path}/run/sheets/{name}", name)
+    assert [(r.item_index, r.filename, r.title, r.subjects) for r in sheet("Analysis").orderBy("filename").collect()][:2] == [("0", "a", "first", "Modern Art"), ("1", "b", "second", "Nothing")]
+    assert {r.filename: r.raw_response[:6] for r in sheet("Raw Responses").collect()}["c"] == "Error:"
+    assert [r.name for r in sheet("Issues").collect()] == ["c"]
+    assert [(r.documents, r.extracted, r.failed) for r in sheet("Summary").collect()] == [("3", "2", "1")]
+    job.run(["1"], docs.where("doc_id = 'b'"))
+    assert [r.filename for r in sheet("Analysis").collect()] == ["b"] and sheet("Issues").count() == 0
     path = tmp_path / "r.txt"
     reports.write(iter(lines), str(path))
     assert path.read_text().splitlines() == lines
