@@ -58,8 +58,8 @@ def extract(docs: DataFrame, factory: Callable[[], Provider], model: str, retry:
 def failures(items: DataFrame) -> DataFrame:
     """item_index, failure_reason of items (item_index, record, raw, keys) that need another try."""
     complete_ = quality.complete_record(quality.REQUIRED, F.col("record.title"), F.col("record.abstract")) & (F.size(F.array_except(F.array(*[F.lit(k) for k in quality.REQUIRED]), F.col("keys"))) == 0)
-    reason = quality.failure_reason(F.col("record").isNotNull(), F.col("raw"), complete_)
-    return items.withColumn("failure_reason", reason).where("failure_reason IS NOT NULL")
+    reason = quality.failure_reason(F.col("record").isNotNull(), F.col("raw"), complete_, F.col("__top"))
+    return items.withColumn("__top", quality.once_top(F.col("raw"))).withColumn("failure_reason", reason).where("failure_reason IS NOT NULL").drop("__top")
 
 
 def histogram(failed: DataFrame) -> DataFrame:
