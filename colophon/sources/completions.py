@@ -8,7 +8,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,9 @@ from ..errors import BatchError, PermanentError, TransientError
 from ..functions.pricing import usage_of
 
 ANSWER = "custom_id string, content string, finish_reason string, prompt bigint, completion bigint, cached bigint, seconds double, retries int, error string"
+_ANSWER = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in (x.split(" ") for x in ANSWER.split(", "))])
+#: Answers and their characters that a task holds before it hands them on.
+HELD_ROWS, HELD_CHARS = 500, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,10 @@ def call(work: Callable[[], Answer], retry: Retry, sleep: Callable[[float], None
     raise AssertionError
 
 
+def _answers(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ANSWER.types)], schema=_ANSWER)
+
+
 def complete(requests: DataFrame, factory: Callable[[], Provider], retry: Retry = Retry(), throttle: float = 0.0) -> DataFrame:
     """An answer or an error for each request (custom_id, model, messages, max_tokens, temperature).
 
@@ -90,20 +97,25 @@ def complete(requests: DataFrame, factory: Callable[[], Provider], retry: Retry
     """
 
     def run(batches):
-        provider = factory()
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
+        provider, rows, held = factory(), [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                # one row at a time leaves the batch: its prompts are long
+                r = batch.slice(i, 1).to_pylist()[0]
                 began = time.monotonic()
-                messages = [m.asDict() if hasattr(m, "asDict") else dict(m) for m in r.messages]
-                got, error, retries = call(lambda: provider.complete(r.model, messages, r.max_tokens, r.temperature), retry)
+                got, error, retries = call(lambda: provider.complete(r["model"], r["messages"], r["max_tokens"], r["temperature"]), retry)
                 got = got or Answer("")
-                rows.append((r.custom_id, got.content if error is None else None, got.finish_reason, got.prompt, got.completion, got.cached, time.monotonic() - began, retries, error))
+                rows.append((r["custom_id"], got.content if error is None else None, got.finish_reason, got.prompt, got.completion, got.cached, time.monotonic() - began, retries, error))
+                held += len(got.content or "") + len(error or "")
                 if throttle:
                     time.sleep(throttle)
-            yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in ANSWER.split(", ")])
+                if len(rows) >= HELD_ROWS or held >= HELD_CHARS:
+                    yield _answers(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _answers(rows)
 
-    return requests.select("custom_id", "model", "messages", "max_tokens", "temperature").mapInPandas(run, ANSWER)
+    return requests.select("custom_id", "model", "messages", "max_tokens", "temperature").mapInArrow(run, ANSWER)
 
 
 def messages(system: Column, user: Column) -> Column:
