@@ -23,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,15 +52,17 @@ def _digests(terms: list[bytes], bits: int) -> np.ndarray:
 def _rows(occurring: dict, having: dict, bits: int, with_text: bool):
     """Counts by digest (term null) and the texts of each language once; or, with texts, counts by both."""
     def table(gid, lid, terms, n, docs, named):
-        texts = np.array([t.decode("utf-8", "replace") if named else None for t in terms], object)
-        return pd.DataFrame({"gid": gid, "lid": lid, "digest": _digests(terms, bits), "n": n, "docs": docs, "term": texts})
+        # UTF-8 as it was read, so that no term becomes a Python string
+        texts = pa.array(terms, pa.binary()).view(pa.string()) if named else pa.nulls(len(terms), pa.string())
+        return pd.DataFrame({"gid": gid, "lid": lid, "digest": _digests(terms, bits), "n": n, "docs": docs, "term": pd.arrays.ArrowExtensionArray(texts)})
 
-    texts: dict[int, set] = {}
+    texts: dict[int, dict] = {}
     for (gid, lid), docs in having.items():
         if docs:
-            terms = list(docs)
-            yield table(gid, lid, terms, [occurring[gid, lid][t] for t in terms], list(docs.values()), with_text)
-            texts.setdefault(lid, set()).update(terms)
+            # both hold a group's terms in the same order
+            terms, n = list(docs), occurring[gid, lid].values()
+            yield table(gid, lid, terms, np.fromiter(n, np.int64, len(terms)), np.fromiter(docs.values(), np.int64, len(terms)), with_text)
+            texts.setdefault(lid, {}).update(docs)
     if not with_text:
         for lid, some in texts.items():
             yield table(0, lid, list(some), 0, 0, True)
@@ -72,12 +75,15 @@ def _counter(bits: int, with_text: bool = False):
         for pdf in batches:
             for gid, lid, text in zip(pdf["gid"].tolist(), pdf["lid"].tolist(), pdf["text"]):
                 data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
-                own = Counter(_TERM.findall(data) if len(data) < LONG_BYTES else (m[0] for m in _TERM.finditer(data)))
-                docs = having.setdefault((gid, lid), Counter())
+                own = _TERM.findall(data) if len(data) < LONG_BYTES else Counter(m[0] for m in _TERM.finditer(data))
+                if (gid, lid) not in having:
+                    occurring[gid, lid], having[gid, lid] = Counter(), Counter()
+                docs = having[gid, lid]
                 held -= len(docs)
-                docs.update(own.keys())
+                # counted from lists, not from counts: that loop is not Python's; terms in the order of their first place
+                occurring[gid, lid].update(own)
+                docs.update(dict.fromkeys(own).keys())
                 held += len(docs)
-                occurring.setdefault((gid, lid), Counter()).update(own)
                 if held > HELD_TERMS:
                     yield from _rows(occurring, having, bits, with_text)
                     occurring, having, held = {}, {}, 0
