@@ -9,7 +9,8 @@ It learns from about PER_CLASS rows of each label, weighted back to the labels'
 
 What comes to the driver is bounded: SAMPLE_ROWS rows at most, and of them (in the order of a hash of id and text) as
 many as have SAMPLE_TERMS different terms in all, eight bytes each, half of it for each label.  Rows are left out by
-that bound, never terms of a row.
+that bound, never terms of a row.  They come part by part, are held once, as these bytes, and only the cells of
+STEP_CELLS (or of one row) are ever unpacked at a time.
 
 Defined results: null and empty texts are scored by the bias alone; without both labels to learn from every score is
 the share of label 1 (0 if there are none); several labels of one document count as the largest.
@@ -33,6 +34,8 @@ PER_CLASS, SAMPLE_ROWS = 4_000, 10_000
 #: Bound of the sample's different terms, summed over its rows: eight bytes each come to the driver.
 SAMPLE_TERMS = 8_000_000
 LEAST_DOCS = 3
+#: Parts in which the sample comes to the driver, one at a time; cells (a term of a row) that are unpacked at once.
+SAMPLE_PARTS, STEP_CELLS = 16, 1 << 18
 #: Terms that may pass the chi-square test by chance, however many are tested; and the weakest level of the test.
 CHANCE_TERMS, WEAKEST = 20, 0.01
 #: Frequent terms that are learned with those from the start, as they tell long texts from short ones.
@@ -95,8 +98,13 @@ def _sampled_terms(batches):
 def chosen_terms(sample: DataFrame) -> np.ndarray:
     """Buckets seen in LEAST_DOCS rows or more, 2**BITS numbers at most: all of them get a weight and factors."""
     seen = sample.select(F.explode("bucket").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"))
-    found = seen.where(F.col("seen") >= LEAST_DOCS).select("bucket").toPandas()["bucket"]
-    return np.sort(found.to_numpy(np.int32))
+    found = seen.where(F.col("seen") >= LEAST_DOCS).select("bucket").mapInPandas(_packed_buckets, "buckets binary").collect()
+    return np.sort(np.frombuffer(b"".join(r["buckets"] for r in found), np.int32))
+
+
+def _packed_buckets(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"buckets": [pdf["bucket"].to_numpy(np.int32).tobytes()]})
 
 
 def within_bound(sample: DataFrame) -> DataFrame:
@@ -138,33 +146,56 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, n
             keep = [a >= 0 for a in at]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "slot": [a[k].astype(np.int32).tobytes() for a, k in zip(at, keep)], "count": [c[k].astype(np.int32).tobytes() for c, k in zip(pdf["count"], keep)]})
 
-    found = sample.mapInPandas(pack, "doc_id string, label int, slot binary, count binary").toPandas()
+    packed = sample.repartition(SAMPLE_PARTS, "hash").mapInPandas(pack, "doc_id string, label int, slot binary, count binary")
+    # one part after another: the driver's JVM never holds the whole sample beside Python's
+    rows = [(r["doc_id"], r["label"], bytes(r["slot"]), bytes(r["count"])) for r in packed.toLocalIterator()]
+    found = pd.DataFrame(rows, columns=["doc_id", "label", "slot", "count"])
     return found.sort_values(["doc_id", "label", "slot"]).reset_index(drop=True), buckets, shares
 
 
 class Cells:
-    """The sample's terms, row by row."""
+    """The sample's terms and counts, row by row, as packed numbers that are read a few rows at a time."""
 
-    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, y: np.ndarray):
-        self.row, self.term, self.value, self.y = row, term, value, y
-        self.cuts = np.searchsorted(row, np.arange(len(y) + 1))
+    def __init__(self, slots: list[bytes], counts: list[bytes], y: np.ndarray):
+        self.slots, self.counts, self.y = slots, counts, y
+        self.sizes = np.array([len(s) // 4 for s in slots], np.int64)
 
     def of(self, chosen: np.ndarray) -> "Cells":
         """Only the cells of chosen terms."""
-        keep = chosen[self.term]
-        return Cells(self.row[keep], self.term[keep], self.value[keep], self.y)
+        slots, counts = [], []
+        for s, c in zip(self.slots, self.counts):
+            term = np.frombuffer(s, np.int32)
+            keep = chosen[term]
+            slots.append(term[keep].tobytes())
+            counts.append(np.frombuffer(c, np.int32)[keep].tobytes())
+        return Cells(slots, counts, self.y)
+
+    def runs(self, rows: np.ndarray) -> list[np.ndarray]:
+        """The rows in order, cut so that a run has at most STEP_CELLS cells, or is one row."""
+        cuts, size = [], 0
+        for i, n in enumerate(self.sizes[rows].tolist()):
+            if size and size + n > STEP_CELLS:
+                cuts.append(i)
+                size = 0
+            size += n
+        return np.split(rows, cuts)
+
+    def terms(self, rows: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join([self.slots[i] for i in rows]), np.int32)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms, values and positions in ``rows`` of the cells of these rows."""
-        sizes = self.cuts[rows + 1] - self.cuts[rows]
-        at = np.repeat(self.cuts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return self.term[at], self.value[at], np.repeat(np.arange(len(rows)), sizes)
+        value = 1 + np.log(np.frombuffer(b"".join([self.counts[i] for i in rows]), np.int32))
+        return self.terms(rows), value, np.repeat(np.arange(len(rows)), self.sizes[rows])
 
     def first(self, n: int) -> np.ndarray:
         """Which of the n terms are learned first: those that go with the label by themselves (chi-square), and some frequent ones."""
-        mean, seen = self.y.mean(), np.bincount(self.term, minlength=n)
+        mean, seen, toxic = self.y.mean(), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for total, rows in ((seen, np.arange(len(self.y))), (toxic, np.flatnonzero(self.y == 1))):
+            for some in self.runs(rows):
+                total += np.bincount(self.terms(some), minlength=n)
         expected = seen * mean
-        chi = (np.bincount(self.term, weights=self.y[self.row], minlength=n) - expected) ** 2 / np.maximum(expected * (1 - mean), 1e-9)
+        chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - mean), 1e-9)
         level = min(WEAKEST, CHANCE_TERMS / max(n, 1))
         told = chi >= NormalDist().inv_cdf(1 - level / 2) ** 2
         # terms of nearly all texts say nothing, in pairs neither
@@ -180,10 +211,11 @@ class Fit:
         self.rng = np.random.default_rng(3)
         self.w0, self.w, self.v = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), np.zeros(n), self.rng.normal(0, 0.02, (n, FACTORS))
         self.g0, self.gw, self.gv = 1e-8, np.full(n, 1e-8), np.full((n, FACTORS), 1e-8)
+        self.place = np.zeros(n, np.int32)
 
     def open(self, terms: np.ndarray) -> None:
         """Begin to learn these terms, with factors too small to disturb what is learned."""
-        self.v[terms] *= 0.1
+        np.multiply(self.v, 0.1, out=self.v, where=terms[:, None])
 
     def run(self, cells: Cells, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int) -> None:
         batches = np.array_split(self.rng.permutation(rows), -(-len(rows) // BATCH))
@@ -192,29 +224,39 @@ class Fit:
                 self.step(cells, batches[b], y, weight)
 
     def step(self, cells: Cells, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        term, x, r = cells.take(rows)
-        mine, t = np.unique(term, return_inverse=True)  # only terms of these rows change
-        bw, bv = self.w[mine], self.v[mine]
-        z, s = _sums(self.w0, bw, bv, t, x, r, len(rows))
-        e = (_logistic(z) - y[rows]) * weight[rows] / len(rows)
-        ex = e[r] * x
-        dw = np.bincount(t, weights=ex, minlength=len(mine)) + DECAY * bw
-        pair = ex[:, None] * (s[r] - bv[t] * x[:, None])
-        dv = np.stack([np.bincount(t, weights=pair[:, f], minlength=len(mine)) for f in range(FACTORS)], axis=1) + DECAY * bv
-        self.g0 += e.sum() ** 2
+        runs, seen = cells.runs(rows), np.zeros(len(self.w), bool)
+        for some in runs:
+            seen[cells.terms(some)] = True
+        mine = np.flatnonzero(seen)  # only terms of these rows change
+        self.place[mine] = np.arange(len(mine))
+        d0, dw, dv = 0.0, np.zeros(len(mine)), np.zeros((FACTORS, len(mine)))
+        for some in runs:
+            term, x, r = cells.take(some)
+            z, s = _sums(self.w0, self.w, self.v, term, x, r, len(some))
+            e = (_logistic(z) - y[some]) * weight[some] / len(rows)
+            ex, t = e[r] * x, self.place[term]
+            d0 += e.sum()
+            dw += np.bincount(t, weights=ex, minlength=len(mine))
+            for f in range(FACTORS):
+                dv[f] += np.bincount(t, weights=ex * (s[r, f] - self.v[term, f] * x), minlength=len(mine))
+        dw += DECAY * self.w[mine]
+        self.g0 += d0**2
         self.gw[mine] += dw**2
-        self.gv[mine] += dv**2
-        self.w0 -= RATE * 5 * e.sum() / np.sqrt(self.g0)
+        self.w0 -= RATE * 5 * d0 / np.sqrt(self.g0)
         self.w[mine] -= RATE * 5 * dw / np.sqrt(self.gw[mine])
-        self.v[mine] -= RATE * dv / np.sqrt(self.gv[mine])
+        for f in range(FACTORS):
+            d = dv[f] + DECAY * self.v[mine, f]
+            self.gv[mine, f] += d**2
+            self.v[mine, f] -= RATE * d / np.sqrt(self.gv[mine, f])
 
     def loss(self, cells: Cells, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
         """Weighted log loss of the rows."""
         total = 0.0
-        for some in np.array_split(rows, -(-len(rows) // BATCH)):
-            term, x, r = cells.take(some)
-            p = np.clip(_logistic(_sums(self.w0, self.w, self.v, term, x, r, len(some))[0]), 1e-9, 1 - 1e-9)
-            total -= float((weight[some] * np.where(y[some] == 1, np.log(p), np.log(1 - p))).sum())
+        for batch in np.array_split(rows, -(-len(rows) // BATCH)):
+            for some in cells.runs(batch):
+                term, x, r = cells.take(some)
+                p = np.clip(_logistic(_sums(self.w0, self.w, self.v, term, x, r, len(some))[0]), 1e-9, 1 - 1e-9)
+                total -= float((weight[some] * np.where(y[some] == 1, np.log(p), np.log(1 - p))).sum())
         return total
 
 
@@ -231,18 +273,17 @@ class Machine:
         if not self.trained:
             return
         self.slot[buckets] = np.arange(len(buckets))
-        sizes = sample["slot"].map(len).to_numpy() // 4
-        term = np.frombuffer(b"".join(sample["slot"]), np.int32)
-        cells = Cells(np.repeat(np.arange(len(y)), sizes), term, 1 + np.log(np.frombuffer(b"".join(sample["count"]), np.int32)), y)
+        cells = Cells(sample["slot"].tolist(), sample["count"].tolist(), y)
         # rows stand for as many labelled rows as the sampling rate says
         weight = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
         weight = weight / weight.mean()
         first = cells.first(len(buckets))
+        some = cells.of(first)
         parts = np.random.default_rng(3).permutation(len(y)) % CHECKED
         learn, check = np.flatnonzero(parts != 0), np.flatnonzero(parts == 0)
         trial = Fit(self.prior, len(buckets))
-        trial.run(cells.of(first), learn, y, weight, EPOCHS)
-        epochs, least = 0, trial.loss(cells.of(first), check, y, weight)
+        trial.run(some, learn, y, weight, EPOCHS)
+        epochs, least = 0, trial.loss(some, check, y, weight)
         trial.open(~first)
         for done in range(1, EPOCHS + 1):
             trial.run(cells, learn, y, weight, 1)
@@ -250,8 +291,9 @@ class Machine:
                 epochs, least = done, loss
             elif done - epochs >= PATIENCE:
                 break
+        del trial
         fit = Fit(self.prior, len(buckets))
-        fit.run(cells.of(first), np.arange(len(y)), y, weight, EPOCHS)
+        fit.run(some, np.arange(len(y)), y, weight, EPOCHS)
         if epochs:
             fit.open(~first)
             fit.run(cells, np.arange(len(y)), y, weight, epochs)
@@ -273,11 +315,16 @@ def _logistic(z):
 
 
 def _sums(w0, w, v, term, x, row, n):
-    """Raw scores of n rows and their factor sums."""
-    vx = v[term] * x[:, None]
-    s = np.stack([np.bincount(row, weights=vx[:, f], minlength=n) for f in range(FACTORS)], axis=1)
-    squares = np.bincount(row, weights=(vx**2).sum(axis=1), minlength=n)
-    return w0 + np.bincount(row, weights=w[term] * x, minlength=n) + 0.5 * ((s**2).sum(axis=1) - squares), s
+    """Raw scores of n rows and their factor sums; the products are formed for STEP_CELLS cells at a time."""
+    linear, squares, s = np.zeros(n), np.zeros(n), np.zeros((n, FACTORS))
+    for a in range(0, len(term), STEP_CELLS):
+        t, part, r = term[a : a + STEP_CELLS], x[a : a + STEP_CELLS], row[a : a + STEP_CELLS]
+        vx = v[t] * part[:, None]
+        for f in range(FACTORS):
+            s[:, f] += np.bincount(r, weights=vx[:, f], minlength=n)
+        squares += np.bincount(r, weights=(vx**2).sum(axis=1), minlength=n)
+        linear += np.bincount(r, weights=w[t] * part, minlength=n)
+    return w0 + linear + 0.5 * ((s**2).sum(axis=1) - squares), s
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
