@@ -107,13 +107,12 @@ def _packed_buckets(batches):
         yield pd.DataFrame({"buckets": [pdf["bucket"].to_numpy(np.int32).tobytes()]})
 
 
-def within_bound(sample: DataFrame) -> DataFrame:
-    """The rows in the order of their hashes, by label, as long as their terms are within SAMPLE_TERMS / 2 a label (one row at least)."""
+def within_bound(sizes: DataFrame) -> DataFrame:
+    """Label, hash and id of the rows in the order of their hashes, by label, as long as their terms are within SAMPLE_TERMS / 2 a label (one row at least)."""
     order = Window.partitionBy("label").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sample.select("label", "hash", "doc_id", F.size("bucket").alias("terms"))
     kept = sizes.withColumn("before", F.coalesce(F.sum("terms").over(order), F.lit(0))).where(F.col("before") + F.col("terms") <= SAMPLE_TERMS // 2)
     first = sizes.groupBy("label").agg(F.min(F.struct("hash", "doc_id")).alias("f")).select("label", "f.hash", "f.doc_id")
-    return sample.join(kept.select("label", "hash", "doc_id").union(first).distinct(), ["label", "hash", "doc_id"], "left_semi")
+    return kept.select("label", "hash", "doc_id").union(first).distinct()
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, np.ndarray, dict[int, int]]:
@@ -133,9 +132,12 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, n
     having = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.when(F.col("label") == 1, PER_CLASS / max(having.get(1, 0), 1)).otherwise(PER_CLASS / max(having.get(0, 0), 1))
     rows = texts.withColumn("hash", F.xxhash64("doc_id", "text", F.lit(4))).where(F.pmod("hash", F.lit(1 << 20)) < 2 * rate * (1 << 20))
-    sample = rows.mapInPandas(_sampled_terms, "doc_id string, hash long, label int, bucket array<int>, count array<int>").dropDuplicates(["doc_id", "hash"])
-    sample = materialize(sample.orderBy("hash", "doc_id").limit(SAMPLE_ROWS), "terms")
-    sample = within_bound(sample)
+    found = rows.mapInPandas(_sampled_terms, "doc_id string, hash long, label int, bucket array<int>, count array<int>")
+    # rows are chosen by the numbers of their terms, then read again: terms beyond the bound are never shuffled or sorted
+    sizes = found.select("doc_id", "hash", "label", F.size("bucket").alias("terms")).dropDuplicates(["doc_id", "hash"])
+    sizes = materialize(sizes.orderBy("hash", "doc_id").limit(SAMPLE_ROWS), "sizes")
+    kept = found.join(F.broadcast(within_bound(sizes)), ["label", "hash", "doc_id"], "left_semi")
+    sample = materialize(kept.dropDuplicates(["doc_id", "hash"]), "terms")
     buckets = chosen_terms(sample)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[buckets] = np.arange(len(buckets))
