@@ -1,10 +1,11 @@
 """Audit of how the sources of a language differ in their words.
 
 Terms are counted inside tasks.  What is shuffled for the counts is of fixed width: numbers of the language and of the
-group (language, source), the term's 64-bit digest, counts.  Texts are written once a task and language, and meet only
-the digests of kept terms, those that enough documents of the language have.  The least and the greatest text of such
-a digest say whether two terms share it: then documents are read again, and it is split and counted by texts.  For the
-report, texts are joined back only for the terms that it names.
+group (language, source), the term's 64-bit digest, counts.  Texts go along once a task and language, those of a slot
+(the digest's first bits) in one row.  Both are shuffled once, by language and slot, and never written otherwise: each
+digest's documents are summed where its rows meet, and only kept terms, those that enough documents of the language
+have, are written.  The least and the greatest text of such a digest say whether two terms share it: then documents are
+read again, and it is split and counted by texts.  For the report, texts are joined back only for the terms that it names.
 
 A group gives each kept term a smoothed share of a billion, rounded down; the divergence of two shares p and q is
 floor((p - q)^2 / (p + q)), in whole numbers throughout.  The divergence of two sources is its sum over all kept terms.
@@ -24,6 +25,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ from .common import materialize
 LEAST_DOCS, MOST_TERMS = 10, 10
 #: Different terms that a task holds before it hands on what it has counted.
 HELD_TERMS = 500_000
+#: Leading bits of a digest by which counts and texts of terms are dealt out: more deal more evenly, fewer join more texts.
+SLOT_BITS = 14
 #: Bytes of text from which on words are not listed at once.
 LONG_BYTES = 1 << 22
 
@@ -45,7 +49,8 @@ COUNTS = "gid long, lid long, digest long, n long, docs long, term string"
 
 
 def _digests(terms: list[bytes], bits: int) -> np.ndarray:
-    found = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
+    # with the seed of Spark's xxhash64
+    found = np.fromiter(map(xxhash.xxh64_intdigest, terms, itertools.repeat(42)), np.uint64, len(terms))
     return (found >> np.uint64(64 - bits)).view(np.int64)
 
 
@@ -92,6 +97,25 @@ def _counter(bits: int, with_text: bool = False):
     return run
 
 
+def _dealt(count):
+    def run(batches):
+        """Counts as they are; of the texts of a language, one row a slot, with spaces between, which no term has."""
+        for table in count(batches):
+            if table["docs"].iloc[0]:
+                yield table
+                continue
+            slots = table["digest"].to_numpy().view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+            order = np.argsort(slots, kind="stable")
+            slots, first = np.unique(slots[order], return_index=True)
+            terms = pa.array(table["term"].array[order], pa.string())
+            terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+            lists = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), terms)
+            digests = (slots << np.uint64(64 - SLOT_BITS)).view(np.int64)
+            yield pd.DataFrame({"gid": 0, "lid": table["lid"].iloc[0], "digest": digests, "n": 0, "docs": 0, "term": pd.arrays.ArrowExtensionArray(pc.binary_join(lists, " "))})
+
+    return run
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gid, lid, lang, source of each group; gid, lid, text of each document); numbers are hashes without collisions."""
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
@@ -109,18 +133,22 @@ def kept_terms(texts: DataFrame, least_docs: int = LEAST_DOCS, digest_bits: int
 
     ``part`` is 0 but for terms that share a digest.
     """
-    seen = materialize(texts.mapInPandas(_counter(digest_bits), COUNTS), "terms")
-    # dealt out by term once: a term's groups lie together, and only counts of kept terms are written
-    per = seen.where("term IS NULL").select("gid", "lid", "digest", "n", "docs").repartition("lid", "digest").groupBy("gid", "lid", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    per = per.withColumn("all_docs", F.sum("docs").over(Window.partitionBy("lid", "digest"))).where(F.col("all_docs") >= least_docs)
-    per = materialize(per.select("gid", "lid", "digest", "n"), "digests")
-    frequent = per.select("lid", "digest").distinct()
-    known = seen.where("term IS NOT NULL").select("lid", "digest", "term").join(frequent, ["lid", "digest"], "left_semi")
-    known = materialize(known.groupBy("lid", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "texts")
-    zero, single = F.lit(0).alias("part"), known.where("low = high")
-    counts = per.join(single.select("lid", "digest"), ["lid", "digest"]).select("gid", "lid", "digest", zero, "n")
-    names = single.select("lid", "digest", zero, F.col("low").alias("term"))
-    shared = known.where("low <> high").select("lid", "digest")
+    # dealt out by slot once, straight from the tasks that counted; only what is kept is written
+    slot = F.expr(f"shiftrightunsigned(digest, {64 - SLOT_BITS})")
+    seen = texts.mapInPandas(_dealt(_counter(digest_bits)), COUNTS).repartition("lid", slot)
+    seen = seen.select("gid", "lid", slot.alias("slot"), "digest", "n", "docs", F.explode_outer(F.split("term", " ")).alias("term"))
+    seen = seen.withColumn("digest", F.expr(f"CASE WHEN term IS NULL THEN digest ELSE shiftrightunsigned(xxhash64(term), {64 - digest_bits}) END"))
+    # the digest first: sorts compare it before they look at a row
+    term = Window.partitionBy("digest", "lid", "slot")
+    seen = seen.withColumns({"all_docs": F.sum("docs").over(term), "low": F.min("term").over(term), "high": F.max("term").over(term)}).where(F.col("all_docs") >= least_docs)
+    # rows of texts have no documents
+    kept = seen.withColumn("gid", F.when(F.col("docs") > 0, F.col("gid")))
+    kept = kept.groupBy("slot", "lid", "digest", "gid", "low", "high").agg(F.sum("n").alias("n"))
+    kept = materialize(kept.select("gid", "lid", "digest", "n", F.when(F.col("gid").isNull(), F.col("low")).alias("term"), (F.col("low") != F.col("high")).alias("shared")), "kept")
+    zero, single = F.lit(0).alias("part"), kept.where("NOT shared")
+    counts = single.where("gid IS NOT NULL").select("gid", "lid", "digest", zero, "n")
+    names = single.where("gid IS NULL").select("lid", "digest", zero, "term")
+    shared = kept.where("shared AND gid IS NULL").select("lid", "digest")
     if not shared.limit(1).count():
         return counts, names
     again = texts.mapInPandas(_counter(digest_bits, True), COUNTS).join(shared, ["lid", "digest"], "left_semi")
